@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat_format, token_counts
+from quillspark.llm import chat_format, mixing, quality_mil, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 1, 2, 3, repeating; whole size of the corpus; at most three times a source."""
+    mixed = mixing.mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.transform("copies", lambda c: c["shard"]).alias("shards"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and a probing one, formatted and read back from the output."""
     probe = "</s>[INST] ok [/INST]"
@@ -38,7 +44,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format}
+def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document by attention-based multiple-instance learning."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_mil.fit_quality(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return quality_mil.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op8_mix_sources": op8_mix_sources, "op10_quality_mil": op10_quality_mil, "op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format}
 
 #: Only op9 is expressible: its digests follow from the rows, and the formatted length from the template.
 ORACLES = {
