@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat_format, mixing, quality_mil, token_counts
+from quillspark.llm import additive_ann, chat_format, html_extract, mixing, quality_mil, secret_scan, token_counts
+from quillspark.llm.lineage import cut
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,29 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for secrets in every document, scored by the forest."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secret_scan.scan_secrets(docs, secret_scan.train_forest(secret_scan.labelled_findings(spark)))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_pages(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op7_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest other vectors of every vector whose id is divisible by 50, by cosine."""
+    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    quantizer = additive_ann.fit_quantizer(vectors, id_col="vec_id", vec_col="embedding")
+    if quantizer is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index = cut(additive_ann.encode_vectors(vectors, quantizer, id_col="vec_id", vec_col="embedding"))
+    asked = additive_ann.usable(vectors, "vec_id", "embedding").filter((F.col("id") % 50 == 0) & (F.size("v") == quantizer.books.shape[2]))
+    return additive_ann.search(index, asked, quantizer, k=5).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 1, 2, 3, repeating; whole size of the corpus; at most three times a source."""
     mixed = mixing.mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -52,7 +76,7 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op8_mix_sources": op8_mix_sources, "op10_quality_mil": op10_quality_mil, "op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format}
+QUERIES = {"op3_secret_scan": op3_secret_scan, "op5_html_extract": op5_html_extract, "op7_additive_ann": op7_additive_ann, "op8_mix_sources": op8_mix_sources, "op10_quality_mil": op10_quality_mil, "op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format}
 
 #: Only op9 is expressible: its digests follow from the rows, and the formatted length from the template.
 ORACLES = {
