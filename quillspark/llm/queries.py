@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import additive_ann, chat_format, html_extract, mixing, quality_mil, secret_scan, token_counts
+from quillspark.llm import additive_ann, chat_format, html_extract, line_dedup, mixing, quality_mil, secret_scan, token_counts
 from quillspark.llm.lineage import cut
 
 
@@ -31,6 +31,11 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier place already holds."""
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest other vectors of every vector whose id is divisible by 50, by cosine."""
     vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -76,7 +81,7 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op3_secret_scan": op3_secret_scan, "op5_html_extract": op5_html_extract, "op7_additive_ann": op7_additive_ann, "op8_mix_sources": op8_mix_sources, "op10_quality_mil": op10_quality_mil, "op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format}
+QUERIES = {"op6_line_dedup": op6_line_dedup, "op3_secret_scan": op3_secret_scan, "op5_html_extract": op5_html_extract, "op7_additive_ann": op7_additive_ann, "op8_mix_sources": op8_mix_sources, "op10_quality_mil": op10_quality_mil, "op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format}
 
 #: Only op9 is expressible: its digests follow from the rows, and the formatted length from the template.
 ORACLES = {
