@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.lineage import cut
+from quillspark.llm.lineage import cut, keyed_rows
 
 DIVISOR, MAX_LINES, SALTS = 3, 32, 32
 
@@ -48,11 +48,6 @@ def line_chunks(text: str, long_words: int) -> tuple[list[str], list[tuple[int,
     return lines, chunks
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with two keys of a row's own: its id as text, and a hash of its text (null texts: none)."""
-    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000null"))).withColumn("__th", F.xxhash64(F.col(text_col)))
-
-
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, long_words: int = 40) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text_col``, and ``lines_removed`` (long).
 
@@ -60,7 +55,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lines becomes empty; null and empty texts stay as they are. Rows of one id with one text count as one
     document and are treated alike. Repeats inside one text are repeats too.
     """
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = keyed_rows(docs, id_col, text_col)
     order = F.struct(F.length("__id"), F.col("__id"), F.col("__th")) if docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte") else F.struct(F.lit(0), F.col("__id"), F.col("__th"))
     lean = keyed.filter(F.length(text_col) > 0).select("__id", "__th", order.alias("ord"), F.col(text_col).alias("text"))
 

@@ -1,10 +1,11 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""Cutting lineage through the shared checkpoint folder, and keys that name rows."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -17,3 +18,11 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint()
+
+
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with two never-null keys: __id, its id as text, and __th, a hash of its text.
+
+    Rows of one id with different texts are told apart; rows alike in both are treated alike.
+    """
+    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000null"))).withColumn("__th", F.xxhash64(text_col))

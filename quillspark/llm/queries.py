@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import additive_ann, chat_format, html_extract, line_dedup, mixing, quality_mil, secret_scan, token_counts
+from quillspark.llm import additive_ann, chat_format, decontaminate, html_extract, line_dedup, mixing, quality_mil, secret_scan, token_counts
 from quillspark.llm.lineage import cut
 
 
@@ -25,6 +25,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(docs, secret_scan.train_forest(secret_scan.labelled_findings(spark)))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all windows of 13 words of the benchmark."""
+    docs, items = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark")
+    found = decontaminate.decontaminate(docs, items)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -81,10 +88,30 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op6_line_dedup": op6_line_dedup, "op3_secret_scan": op3_secret_scan, "op5_html_extract": op5_html_extract, "op7_additive_ann": op7_additive_ann, "op8_mix_sources": op8_mix_sources, "op10_quality_mil": op10_quality_mil, "op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format}
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op6_line_dedup": op6_line_dedup, "op3_secret_scan": op3_secret_scan, "op5_html_extract": op5_html_extract, "op7_additive_ann": op7_additive_ann, "op8_mix_sources": op8_mix_sources, "op10_quality_mil": op10_quality_mil, "op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format}
 
-#: Only op9 is expressible: its digests follow from the rows, and the formatted length from the template.
 ORACLES = {
+    "op4_decontaminate": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS l, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS t
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, l, s, array_to_string(w[s:s + l - 1], ' ') AS t
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS s FROM d, (SELECT DISTINCT l FROM iw))
+), hit AS (
+  SELECT doc_id, item_id, s, dw.l AS l FROM dw JOIN iw ON dw.l = iw.l AND dw.t = iw.t
+), words AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + l)) AS p FROM hit) GROUP BY 1
+), named AS (
+  SELECT doc_id, count(*) AS n, string_agg(k, ',' ORDER BY k) AS ks FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(named.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ks, '')) AS items_sha256, coalesce(words.n > 0 AND 20 * words.n >= len(d.w), false) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op9_chat_format": r"""
 WITH rows AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
