@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import additive_ann, chat_format, decontaminate, html_extract, line_dedup, mixing, quality_mil, secret_scan, token_counts
+from quillspark.llm import additive_ann, chat_format, decontaminate, html_extract, line_dedup, mixing, ngram_join, quality_mil, secret_scan, token_counts
 from quillspark.llm.lineage import cut
 
 
@@ -19,6 +19,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.ngram_components(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=85)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates for secrets in every document, scored by the forest."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -88,9 +93,28 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op6_line_dedup": op6_line_dedup, "op3_secret_scan": op3_secret_scan, "op5_html_extract": op5_html_extract, "op7_additive_ann": op7_additive_ann, "op8_mix_sources": op8_mix_sources, "op10_quality_mil": op10_quality_mil, "op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format}
+QUERIES = {"op2_ngram_join": op2_ngram_join, "op4_decontaminate": op4_decontaminate, "op6_line_dedup": op6_line_dedup, "op3_secret_scan": op3_secret_scan, "op5_html_extract": op5_html_extract, "op7_additive_ann": op7_additive_ann, "op8_mix_sources": op8_mix_sources, "op10_quality_mil": op10_quality_mil, "op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format}
 
 ORACLES = {
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS s FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY 1
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM w
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)""",
     "op4_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
