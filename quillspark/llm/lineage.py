@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a temporary one is set where the session names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to, and read from, the folder named by spark.checkpoint.dir, which executors share.
 
-    Where the session names none (tests on one machine), a temporary folder is set first. Reliable
-    checkpoints survive lost executors; local ones are never used.
+    Reliable checkpoints survive lost executors; local ones are never used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -198,6 +198,7 @@ def score_quality(docs: DataFrame, model: GatedAttentionMIL, *, id_col: str = "d
     Only the text is an input of the score. Null and empty texts are one empty passage. Repeated rows stay.
     """
     passed = [id_col, *keep]
+    at = passed.index(text_col) if text_col in passed else len(passed)
     state = {k: v.astype(np.float32) for k, v in model.p.items()}, model.mean.astype(np.float32), model.scale.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,12 +206,12 @@ def score_quality(docs: DataFrame, model: GatedAttentionMIL, *, id_col: str = "d
         own.p, own.mean, own.scale = state
         for batch in batches:
             scores = []
-            for text in batch.column(len(passed)):
+            for text in batch.column(at):
                 f = passage_features(text.as_py())
                 scores.append(float(own.score([f])[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array(scores, type=pa.float64())], names=[*[f"c{i}" for i in range(len(passed))], "score"])
 
     fields = [docs.schema[c].dataType.simpleString() for c in passed]
-    lean = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(passed)], F.col(text_col).alias("text"))
+    lean = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(passed)], *([] if at < len(passed) else [F.col(text_col).alias("text")]))
     scored = lean.mapInArrow(run, ", ".join([*[f"c{i} {t}" for i, t in enumerate(fields)], "score double"]))
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(passed)], "score")
