@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillspark.plans import items_queries
+
+QUERIES: dict = {**items_queries.QUERIES}
+ORACLES: dict = {**items_queries.ORACLES}
