@@ -49,7 +49,7 @@ def detect_movements(items: DataFrame, keywords=lexicon.MOVEMENT_KEYWORDS, thres
     hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.struct(F.lit(k).alias("kind"), F.lit(w).alias("word"))) for k, w in pairs]))
     speech = any_word(low, lexicon.JUDGE_WORDS) & any_word(low, lexicon.SPEECH_WORDS) & ~any_word(low, lexicon.MOVE_WORDS)
     out = out.withColumns({"__h": hits, "__speech": speech})
-    kind = _rank_when([(F.exists("__h", lambda h, k=k: h["kind"] == k), k) for k in lexicon.MOVEMENT_PRIORITY], "unknown")
+    kind = _rank_when([(F.array_contains(F.transform("__h", lambda h: h["kind"]), k), k) for k in lexicon.MOVEMENT_PRIORITY], "unknown")
     court = F.coalesce(*[F.when(x.rlike(rf"(?i)\b{c}\b"), F.lit(c)) for c in lexicon.COURTS], F.lit(""))
     out = out.withColumns({"movement_type": kind, "court": court, "judge_name": _name(x)})
     out = out.withColumn("new_role", _role(x, F.col("movement_type")))
