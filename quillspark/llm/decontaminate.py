@@ -37,9 +37,9 @@ def _shingles(words: str) -> Column:
     return F.arrays_zip(F.col(words).alias("a"), F.slice(F.col(words), F.lit(2), F.size(words)).alias("b"))
 
 
-def _places(docs: DataFrame) -> DataFrame:
+def _places(docs: DataFrame, text: Column) -> DataFrame:
     """__id, __th, at, a, b: every word of every document with the word after it."""
-    words = docs.select("__id", "__th", words_of(F.col("__text")).alias("w"))
+    words = docs.select("__id", "__th", words_of(text).alias("w"))
     return words.select("__id", "__th", F.posexplode(_shingles("w")).alias("at", "s")).select("__id", "__th", "at", F.col("s")["a"].alias("a"), F.col("s")["b"].alias("b"))
 
 
@@ -63,9 +63,11 @@ def decontaminate(
 
     A document word inside any occurrence of an item's window of ``window`` words (all words of a shorter item)
     is hit; ``share`` * n_hit >= n_words > 0 with a hit makes a document contaminated. Null and empty texts have
-    no words; null and empty items have no windows; items of one id count once. Repeated rows stay.
+    no words; null and empty items have no windows; items of one id count once. Repeated rows stay. Columns of
+    ``docs`` with the added names are replaced.
     """
-    keyed = keyed_rows(docs, id_col, text_col).withColumn("__text", F.col(text_col))
+    keyed = keyed_rows(docs, id_col, text_col)
+    text = F.col("__row")[text_col]
     listed = items.select(F.col(item_id_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("iw")).filter(F.size("iw") > 0).distinct()
     span = F.least(F.size("iw"), F.lit(window))
     windows = listed.select("item", "iw", F.explode(F.sequence(F.lit(0), F.size("iw") - span)).alias("start"))
@@ -75,19 +77,19 @@ def decontaminate(
 
     # Rarity of the items' shingles, counted over all documents.
     pairs = shingles.filter(F.col("b").isNotNull()).select("a", "b").distinct()
-    counts = _places(keyed).join(_small(pairs, held, broadcast_rows), ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    counts = _places(keyed, text).join(_small(pairs, held, broadcast_rows), ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
     ranked = shingles.join(counts, ["a", "b"], "left").withColumn("single", F.col("b").isNull())
     # A window whose rarest shingle is nowhere cannot occur; one-word items have no pair to look for.
     rarest = ranked.groupBy("item", "iw", "start", "single").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "a", "b", "p")).alias("s")).filter((F.col("s.n") > 0) | F.col("single"))
     anchors = cut(rarest.select(F.col("s.a").alias("a"), F.col("s.b").alias("b"), "item", "iw", F.col("s.p").alias("p")).distinct())
 
     paired, single = anchors.filter(F.col("b").isNotNull()), anchors.filter(F.col("b").isNull())
-    found = _places(keyed).join(_small(paired, held, broadcast_rows), ["a", "b"])
+    found = _places(keyed, text).join(_small(paired, held, broadcast_rows), ["a", "b"])
     if not single.isEmpty():
-        found = found.unionByName(_places(keyed).drop("b").join(_small(single, held, broadcast_rows), "a").select(*found.columns))
+        found = found.unionByName(_places(keyed, text).drop("b").join(_small(single, held, broadcast_rows), "a").select(*found.columns))
     candidates = found.groupBy("__id", "__th").agg(F.collect_set(F.struct("item", "iw", (F.col("at") - F.col("p")).alias("shift"))).alias("__c"))
 
-    joined = keyed.join(candidates, ["__id", "__th"], "left").withColumn("__w", words_of(F.col("__text"))).withColumn("__n", F.size("__w"))
+    joined = keyed.join(candidates, ["__id", "__th"], "left").withColumn("__w", words_of(text)).withColumn("__n", F.size("__w"))
     w, n = F.col("__w"), F.col("__n")
 
     def occurrences(c: Column) -> Column:
@@ -109,5 +111,6 @@ def decontaminate(
     named = F.array_sort(F.array_distinct(F.filter(F.transform("__o", lambda o: o["item"]), lambda i: i.isNotNull())))
     measured = spans.withColumns({"n_words": n.cast("long"), "n_hit": covered, "items": named})
     contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))
-    added = ("n_words", "n_hit", "items")
-    return measured.withColumn("contaminated", contaminated).select(*[c for c in docs.columns if c not in (*added, "contaminated")], *added, "contaminated")
+    added = ("n_words", "n_hit", "items", "contaminated")
+    own = [F.col("__row")[c].alias(c) for c in docs.columns if c not in added]
+    return measured.withColumn("contaminated", contaminated).select(*own, *added)

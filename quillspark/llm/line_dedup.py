@@ -4,12 +4,11 @@ A text is cut into chunks of lines where a rolling hash over the hashes of the l
 before and after every line that is a passage by itself (``long_words`` or more). Boundaries hang on content
 alone, so the same lines give the same chunks wherever they stand. Chunks whose 128-bit hashes occur more than
 once anywhere are compared byte by byte with their first occurrence (smallest id, then place), and matches
-that are short are grown, line by line, into the neighbouring chunks. A match of at least ``min_words`` words is
-removed; the first occurrence stays.
+that are short are grown, line by line (by 128-bit hashes), into the neighbouring chunks. A match of at least
+``min_words`` words is removed; the first occurrence stays.
 
 Only hashes of chunks are grouped over the corpus, with partial sums before the shuffle; texts of repeated
-chunks alone are compared. A chunk that a third of all documents hold is one row on its first side, and its
-occurrences are spread by salt.
+chunks alone are compared, and copies of a first occurrence are as many as its repeats need, one for each ``SPREAD``.
 """
 
 from __future__ import annotations
@@ -23,7 +22,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.lineage import cut, keyed_rows
 
-DIVISOR, MAX_LINES, SALTS = 3, 32, 32
+DIVISOR, MAX_LINES = 3, 32
+#: Occurrences of a chunk that are compared with one copy of its first.
+SPREAD = 1000
 
 
 def line_chunks(text: str, long_words: int) -> tuple[list[str], list[tuple[int, int]]]:
@@ -53,94 +54,100 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Lines are what \\n separates; lines that stay keep their bytes and their order. A text that loses all its
     lines becomes empty; null and empty texts stay as they are. Rows of one id with one text count as one
-    document and are treated alike. Repeats inside one text are repeats too.
+    document and are treated alike. Repeats inside one text are repeats too. A column of ``docs`` named lines_removed
+    is replaced.
     """
     keyed = keyed_rows(docs, id_col, text_col)
-    order = F.struct(F.length("__id"), F.col("__id"), F.col("__th")) if docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte") else F.struct(F.lit(0), F.col("__id"), F.col("__th"))
-    lean = keyed.filter(F.length(text_col) > 0).select("__id", "__th", order.alias("ord"), F.col(text_col).alias("text"))
+    whole = docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
+    order = F.struct(F.length("__id") if whole else F.lit(0), "__id", "__th", "start")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, starts, high, low = [], [], [], []
-            for i, text in enumerate(batch.column(3)):
+            for i, text in enumerate(batch.column(2)):
                 lines, chunks = line_chunks(text.as_py(), long_words)
                 for b, e in chunks:
                     body = "\n".join(lines[b:e])
                     if body and not body.isspace():
-                        digest = xxhash.xxh3_128_digest(body.encode("utf-8", "surrogatepass"))
+                        digest = _digest(body)
                         at.append(i)
                         starts.append(b)
                         high.append(int.from_bytes(digest[:8], "little", signed=True))
                         low.append(int.from_bytes(digest[8:], "little", signed=True))
             pick = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(pick), pa.array(starts, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], names=["__id", "__th", "ord", "start", "high", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(starts, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], names=["__id", "__th", "start", "high", "low"])
 
-    ord_type = lean.schema["ord"].dataType.simpleString()
-    chunks = cut(lean.mapInArrow(hashes, f"__id string, __th long, ord {ord_type}, start int, high long, low long"))
-    repeated = chunks.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("ord", "start")).alias("first")).filter("n > 1").drop("n")
-    salted = chunks.withColumn("salt", F.pmod("__th", F.lit(SALTS)).cast("int"))
-    firsts = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    held = salted.join(firsts, ["high", "low", "salt"])
-    places = held.groupBy("__id", "__th").agg(F.array_sort(F.collect_list(F.struct("start", "high", "low", "first", (F.struct("ord", "start") == F.col("first")).alias("is_first")))).alias("places"))
+    text = F.col("__row")[text_col]
+    lean = keyed.filter(F.length(text) > 0).select("__id", "__th", text.alias("text"))
+    chunks = cut(lean.mapInArrow(hashes, "__id string, __th long, start int, high long, low long"))
+    repeated = chunks.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
+    held = chunks.join(repeated.select("high", "low", "first", F.ceil(F.col("n") / SPREAD).cast("int").alias("ways")), ["high", "low"])
+    place = F.struct("start", "high", "low", "ways", (order == F.col("first")).alias("is_first"))
+    places = held.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(place)).alias("__places"))
+
+    names = ["__row", "__id", "__th", "__places"]
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[dict] = []
+            rows, ids, hashes_, wanted = batch.columns
+            texts = rows.field(text_col)
             for i in range(batch.num_rows):
-                lines, chunks = line_chunks(batch.column(2)[i].as_py(), long_words)
+                lines, chunks = line_chunks(texts[i].as_py(), long_words)
                 at = {b: n for n, (b, _) in enumerate(chunks)}
-                for p in batch.column(3)[i].as_py():
+                for p in wanted[i].as_py():
                     n = at[p["start"]]
                     b, e = chunks[n]
                     body = "\n".join(lines[b:e])
                     short = len(body.split()) < min_words
-                    prev = "\n".join(lines[chunks[n - 1][0] : b]) if short and n else None
-                    after = "\n".join(lines[e : chunks[n + 1][1]]) if short and n + 1 < len(chunks) else None
-                    out.append({"__id": batch.column(0)[i].as_py(), "__th": batch.column(1)[i].as_py(), "start": b, "stop": e, "high": p["high"], "low": p["low"], "is_first": p["is_first"], "body": body, "prev": prev, "after": after})
-            yield pa.RecordBatch.from_pylist(out, schema=bodies_schema)
-
-    bodies_schema = pa.schema([("__id", pa.string()), ("__th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("is_first", pa.bool_()), ("body", pa.string()), ("prev", pa.string()), ("after", pa.string())])
-    texts = keyed.select("__id", "__th", F.col(text_col).alias("text"))
-    shown = texts.join(places, ["__id", "__th"]).mapInArrow(bodies, "__id string, __th long, start int, stop int, high long, low long, is_first boolean, body string, prev string, after string")
-    shown = cut(shown.dropDuplicates(["__id", "__th", "start"]))
-    originals = shown.filter("is_first").select("high", "low", F.col("body").alias("body0"), F.col("prev").alias("prev0"), F.col("after").alias("after0"))
-    originals = originals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    others = shown.filter(~F.col("is_first")).withColumn("salt", F.pmod("__th", F.lit(SALTS)).cast("int"))
-    pairs = others.join(originals, ["high", "low", "salt"]).filter(F.col("body") == F.col("body0"))
+                    prev = lines[chunks[n - 1][0] : b][::-1] if short and n else []
+                    after = lines[e : chunks[n + 1][1]] if short and n + 1 < len(chunks) else []
+                    sides = {"prev": [_digest(x) for x in prev], "after": [_digest(x) for x in after], "prev_words": [len(x.split()) for x in prev], "after_words": [len(x.split()) for x in after]}
+                    out.append({"__id": ids[i].as_py(), "__th": hashes_[i].as_py(), "start": b, "stop": e, **{k: p[k] for k in ("high", "low", "ways", "is_first")}, "body": body, **sides})
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    hashed, counted = pa.list_(pa.binary()), pa.list_(pa.int32())
+    shape = pa.schema([("__id", pa.string()), ("__th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("ways", pa.int32()), ("is_first", pa.bool_()), ("body", pa.string()), ("prev", hashed), ("after", hashed), ("prev_words", counted), ("after_words", counted)])
+    # Whole rows go in, so that this join and the last one read one and the same exchange of the documents.
+    shown = keyed.join(places, ["__id", "__th"]).select(names).mapInArrow(bodies, "__id string, __th long, start int, stop int, high long, low long, ways int, is_first boolean, body string, prev array<binary>, after array<binary>, prev_words array<int>, after_words array<int>")
+    originals = shown.filter("is_first").select("high", "low", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("salt"), F.col("body").alias("body0"), F.col("prev").alias("prev0"), F.col("after").alias("after0"))
+    originals = originals.groupBy("high", "low", "salt").agg(*[F.first(c).alias(c) for c in ("body0", "prev0", "after0")])
+    others = shown.filter(~F.col("is_first")).withColumn("salt", F.pmod(F.xxhash64("__th", "start"), F.col("ways")).cast("int"))
+    pairs = others.join(originals, ["high", "low", "salt"])
 
     def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, gone = [], []
-            col = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+            col = dict(zip(batch.schema.names, batch.columns, strict=True))
             for i in range(batch.num_rows):
-                get = lambda n: col[n][i].as_py()  # noqa: B023, E731
-                b, e, words = get("start"), get("stop"), len(get("body").split())
-                back = _alike(_lines(get("prev"))[::-1], _lines(get("prev0"))[::-1])
-                on = _alike(_lines(get("after")), _lines(get("after0")))
-                words += sum(len(x.split()) for x in (*back, *on))
-                if words >= min_words:
+                row = {n: col[n][i].as_py() for n in ("start", "stop", "body", "body0", "prev", "after", "prev0", "after0", "prev_words", "after_words")}
+                if row["body"] != row["body0"]:
+                    continue
+                back, on = _alike(row["prev"], row["prev0"]), _alike(row["after"], row["after0"])
+                if len(row["body"].split()) + sum(row["prev_words"][:back]) + sum(row["after_words"][:on]) >= min_words:
                     keep.append(i)
-                    gone.append(list(range(b - len(back), e + len(on))))
+                    gone.append(list(range(row["start"] - back, row["stop"] + on)))
             pick = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([col["__id"].take(pick), col["__th"].take(pick), pa.array(gone, pa.list_(pa.int32()))], names=["__id", "__th", "gone"])
 
-    matched = pairs.select("__id", "__th", "start", "stop", "body", "prev", "after", "prev0", "after0").mapInArrow(grown, "__id string, __th long, gone array<int>")
+    matched = pairs.select("__id", "__th", "start", "stop", "body", "body0", "prev", "after", "prev0", "after0", "prev_words", "after_words").mapInArrow(grown, "__id string, __th long, gone array<int>")
     removed = matched.groupBy("__id", "__th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__gone"))
     joined = keyed.join(removed, ["__id", "__th"], "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    lines = F.split(text, "\n", -1)
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    out = joined.withColumn("__text", text).withColumn("lines_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "lines_removed"], "lines_removed")
+    cleaned = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(stay, "\n"))
+    count = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
+    own = [cleaned.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns if c != "lines_removed"]
+    return joined.select(*own, count.alias("lines_removed"))
 
 
-def _lines(text: str | None) -> list[str]:
-    return [] if text is None else text.split("\n")
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
 
-def _alike(a: list[str], b: list[str]) -> list[str]:
-    """The lines that two lists have in common from their start on."""
+def _alike(a: list[bytes], b: list[bytes]) -> int:
+    """How many lines two lists have in common from their start on."""
     n = 0
     while n < len(a) and n < len(b) and a[n] == b[n]:
         n += 1
-    return a[:n]
+    return n

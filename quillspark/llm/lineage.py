@@ -26,8 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with two never-null keys: __id, its id as text, and __th, a hash of its text.
+    """Every row as one struct, __row, with two never-null keys: __id, its id as text, and __th, a hash of its text.
 
-    Rows of one id with different texts are told apart; rows alike in both are treated alike.
+    Inside the struct no column of the caller's can clash with an operator's own. Rows of one id with different
+    texts are told apart; rows alike in both are treated alike.
     """
-    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("\u0000null"))).withColumn("__th", F.xxhash64(text_col))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.coalesce(docs[id_col].cast("string"), F.lit("\u0000null")).alias("__id"), F.xxhash64(docs[text_col]).alias("__th"))
