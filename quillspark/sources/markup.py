@@ -29,6 +29,9 @@ class _Nodes(HTMLParser):
             self.skipped += 1
         if tag == "p":  # a paragraph ends the one before
             self.open = [n for n in self.open if n["tag"] != "p"]
+        if tag in ("td", "th", "br"):
+            for n in self.open:
+                n["text"].append(" ")
         if tag == "a" and known.get("href"):
             for n in self.open:
                 n["href"] = n["href"] or known["href"]
