@@ -1,11 +1,12 @@
 """Line dedup by content-defined chunks of lines.
 
-A text is cut into chunks of lines where a rolling hash over the hashes of the last two lines says so, and
-before and after every line that is a passage by itself (``long_words`` or more). Boundaries hang on content
-alone, so the same lines give the same chunks wherever they stand. Chunks whose 128-bit hashes occur more than
-once anywhere are compared byte by byte with their first occurrence (smallest id, then place), and matches
-that are short are grown, line by line (by 128-bit hashes), into the neighbouring chunks. A match of at least
-``min_words`` words is removed; the first occurrence stays.
+A text is cut into chunks of lines where a rolling hash over the hashes of the last two lines says so, after every
+line of ``FULL_WORDS`` words or more, and before and after every line that is a passage by itself (``long_words``
+or more). Boundaries hang on content alone, so the same lines give the same chunks wherever they stand. Chunks
+whose 128-bit hashes occur more than once anywhere are compared byte by byte with their first occurrence
+(smallest id, then place), and matches that are short are grown over the lines before and after, by their 128-bit
+hashes, for as long as both places agree. A match of at least ``min_words`` words is removed; the first
+occurrence stays. Shorter lines that many documents share, such as licences, stay where they are.
 
 Only hashes of chunks are grouped over the corpus, with partial sums before the shuffle; texts of repeated
 chunks alone are compared, and copies of a first occurrence are as many as its repeats need, one for each ``SPREAD``.
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.lineage import cut, keyed_rows
 
-DIVISOR, MAX_LINES = 3, 32
+DIVISOR, MAX_LINES, FULL_WORDS = 3, 32, 10
 #: Occurrences of a chunk that are compared with one copy of its first.
-SPREAD = 1000
+SPREAD, HOT = 1000, 400
 
 
 def line_chunks(text: str, long_words: int) -> tuple[list[str], list[tuple[int, int]]]:
@@ -32,7 +33,8 @@ def line_chunks(text: str, long_words: int) -> tuple[list[str], list[tuple[int,
     lines = text.split("\n")
     chunks, begin, before = [], 0, 0
     for i, line in enumerate(lines):
-        if len(line) >= 2 * long_words - 1 and len(line.split()) >= long_words:
+        words = len(line.split())
+        if words >= long_words:
             if i > begin:
                 chunks.append((begin, i))
             chunks.append((i, i + 1))
@@ -41,7 +43,7 @@ def line_chunks(text: str, long_words: int) -> tuple[list[str], list[tuple[int,
         now = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
         rolled = (now * 0x9E3779B97F4A7C15 + before * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
         before = now
-        if (rolled >> 32) % DIVISOR == 0 or i + 1 - begin >= MAX_LINES:
+        if words >= FULL_WORDS or (rolled >> 32) % DIVISOR == 0 or i + 1 - begin >= MAX_LINES:
             chunks.append((begin, i + 1))
             begin = i + 1
     if begin < len(lines):
@@ -81,7 +83,12 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     lean = keyed.filter(F.length(text) > 0).select("__id", "__th", text.alias("text"))
     chunks = cut(lean.mapInArrow(hashes, "__id string, __th long, start int, high long, low long"))
     repeated = chunks.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
-    held = chunks.join(repeated.select("high", "low", "first", F.ceil(F.col("n") / SPREAD).cast("int").alias("ways")), ["high", "low"])
+    repeated = cut(repeated.select("high", "low", "n", "first", F.ceil(F.col("n") / SPREAD).cast("int").alias("ways")))
+    # Chunks with more than 1 / HOT of all occurrences are fewer than HOT: those are broadcast, the others shuffle.
+    often = max(SPREAD, chunks.count() // HOT)
+    met = chunks.join(F.broadcast(repeated.filter(F.col("n") > often).drop("n")), ["high", "low"], "left")
+    rest = met.filter(F.col("ways").isNull()).drop("first", "ways").join(repeated.filter(F.col("n") <= often).drop("n"), ["high", "low"])
+    held = met.filter(F.col("ways").isNotNull()).unionByName(rest)
     place = F.struct("start", "high", "low", "ways", (order == F.col("first")).alias("is_first"))
     places = held.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(place)).alias("__places"))
 
@@ -100,8 +107,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     b, e = chunks[n]
                     body = "\n".join(lines[b:e])
                     short = len(body.split()) < min_words
-                    prev = lines[chunks[n - 1][0] : b][::-1] if short and n else []
-                    after = lines[e : chunks[n + 1][1]] if short and n + 1 < len(chunks) else []
+                    prev = _context(lines[max(0, b - MAX_LINES) : b][::-1], min_words) if short else []
+                    after = _context(lines[e : e + MAX_LINES], min_words) if short else []
                     sides = {"prev": [_digest(x) for x in prev], "after": [_digest(x) for x in after], "prev_words": [len(x.split()) for x in prev], "after_words": [len(x.split()) for x in after]}
                     out.append({"__id": ids[i].as_py(), "__th": hashes_[i].as_py(), "start": b, "stop": e, **{k: p[k] for k in ("high", "low", "ways", "is_first")}, "body": body, **sides})
             yield pa.RecordBatch.from_pylist(out, schema=shape)
@@ -141,6 +148,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return joined.select(*own, count.alias("lines_removed"))
 
 
+def _context(lines: list[str], words: int) -> list[str]:
+    """As many of the lines as hold that many words, if there are."""
+    n = held = 0
+    while n < len(lines) and held < words:
+        held += len(lines[n].split())
+        n += 1
+    return lines[:n]
+
+
 def _digest(text: str) -> bytes:
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 

@@ -133,9 +133,9 @@ class GatedAttentionMIL:
         if not bags:
             self.p["c"][:] = 0
             return self
-        every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(axis=0), every.std(axis=0) + 0.02
-        del every
+        held = sum(len(b) for b in bags)
+        self.mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / held
+        self.scale = np.sqrt(sum(((b - self.mean) ** 2).sum(axis=0) for b in bags) / held) + 0.02
         m1, m2, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
@@ -186,7 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
     rows = sorted(texts.mapInArrow(bags, f"id {id_type}, y double, bag binary").collect(), key=lambda r: (r["id"], len(r["bag"])))
-    held = [np.frombuffer(r["bag"], dtype=np.float16).reshape(-1, N_FEATURES).astype(np.float32) for r in rows]
+    held = [np.frombuffer(r["bag"], dtype=np.float16).reshape(-1, N_FEATURES) for r in rows]
     y = np.array([r["y"] for r in rows])
     del rows
     return GatedAttentionMIL().fit(held, y)
