@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting that removes the shuffle files of an execution as it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one is set where the session names none."""
@@ -19,10 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to, and read from, the folder named by spark.checkpoint.dir, which executors share.
 
-    Reliable checkpoints survive lost executors; local ones are never used.
+    Reliable checkpoints survive lost executors; local ones are never used. What has been written needs no shuffle
+    again, so its shuffle files go at once instead of whenever the driver next collects garbage.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        return df.select("*").checkpoint()  # the setting is read when a frame is made
+    finally:
+        spark.conf.set(SHUFFLES_GO, before) if before is not None else spark.conf.unset(SHUFFLES_GO)
 
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
