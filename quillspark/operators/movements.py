@@ -92,9 +92,15 @@ def funnel(movements: DataFrame) -> DataFrame:
 
 
 def draft(movements: DataFrame) -> DataFrame:
-    """subject, body, missing fields and whether a draft can be approved."""
-    role = F.when(F.col("new_role") != "", F.col("new_role")).otherwise(F.initcap(F.replace(F.col("movement_type"), F.lit("_"), F.lit(" "))))
-    name = F.when(F.col("judge_name") != "", F.col("judge_name")).otherwise("[Name]")
-    missing = F.array_compact(F.array(F.when(F.col("judge_name") == "", F.lit("judge name")), F.when(F.col("court") == "", F.lit("court")), F.when(F.col("new_role") == "", F.lit("new role"))))
+    """subject, body, missing fields and whether a draft can be approved.
+
+    A name is always needed, a role or a court unless someone retires or is honoured.
+    """
+    kind = F.col("movement_type")
+    role = _rank_when([(F.col("new_role") != "", F.col("new_role")), (kind == "retirement", "your judicial service"), (kind == "honour", "this honour")], "[New Role]")
+    name = F.when(F.col("judge_name") != "", F.col("judge_name")).otherwise("[Judge Name]")
+    placeless = (F.col("new_role") == "") & (F.col("court") == "") & ~kind.isin("retirement", "honour")
+    missing = F.array_compact(F.array(F.when(F.col("judge_name") == "", F.lit("judge name")), F.when(placeless, F.lit("new role or court"))))
+    subject = F.when(kind == "retirement", "Congratulations on your judicial service").otherwise(F.concat(F.lit("Congratulations on your appointment as "), role))
     body = F.concat_ws("\n\n", F.format_string("Dear %s,", name), F.format_string("Congratulations on the news of your %s%s.", role, F.when(F.col("court") != "", F.concat(F.lit(" at the "), F.col("court"))).otherwise("")), F.lit("With respect,"))
-    return movements.withColumns({"subject": F.format_string("Congratulations - %s, %s", name, role), "body": body, "missing": missing, "can_approve": F.size(missing) == 0})
+    return movements.withColumns({"subject": subject, "body": body, "missing": missing, "can_approve": F.size(missing) == 0})

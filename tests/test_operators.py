@@ -135,6 +135,17 @@ def test_movement(spark):
     assert [(r["id"], r["movement_type"], r["judge_name"], r["court"], r["status"]) for r in got] == [(1, "appointment", "Mary Tan", "High Court", "detected")]
 
 
+def test_drafts(spark):
+    rows = [(1, "appointment", "Mary Tan", "High Court", "Judge"), (2, "retirement", "Mary Tan", "", ""), (3, "elevation", "", "", ""), (4, "honour", "Mary Tan", "", "")]
+    made = movements.draft(spark.createDataFrame(rows, "id int, movement_type string, judge_name string, court string, new_role string")).orderBy("id").collect()
+    assert [(r["subject"], r["missing"], r["can_approve"]) for r in made] == [
+        ("Congratulations on your appointment as Judge", [], True),
+        ("Congratulations on your judicial service", [], True),
+        ("Congratulations on your appointment as [New Role]", ["judge name", "new role or court"], False),
+        ("Congratulations on your appointment as this honour", [], True),
+    ]
+
+
 def test_carry_forward_stops(spark):
     rows = spark.createDataFrame([(1, 0, "d1"), (1, 1, "h:x"), (1, 2, "a"), (1, 3, "d2"), (1, 4, "b"), (1, 5, "STOP"), (1, 6, "c"), (2, 0, "z")], "page_id int, pos int, t string")
     t = F.col("t")
