@@ -1,15 +1,15 @@
-"""Line dedup by content-defined chunks of lines.
-
-A text is cut into chunks of lines where a rolling hash over the hashes of the last two lines says so, after every
-line of ``FULL_WORDS`` words or more, and before and after every line that is a passage by itself (``long_words``
-or more). Boundaries hang on content alone, so the same lines give the same chunks wherever they stand. Chunks
-whose 128-bit hashes occur more than once anywhere are compared byte by byte with their first occurrence
-(smallest id, then place), and matches that are short are grown over the lines before and after, by their 128-bit
-hashes, for as long as both places agree. A match of at least ``min_words`` words is removed; the first
-occurrence stays. Shorter lines that many documents share, such as licences, stay where they are.
-
-Only hashes of chunks are grouped over the corpus, with partial sums before the shuffle; texts of repeated
-chunks alone are compared, and copies of a first occurrence are as many as its repeats need, one for each ``SPREAD``.
+"""Line dedup by windows of lines.
+
+At every line of a text that has words begins a window of as few lines as hold ``min_words`` words, and one ends.
+A passage of ``min_words`` words or more is covered by the windows inside it, whatever stands around it, so two
+copies of a passage share all of its windows. Windows are grouped over the corpus by 128-bit hashes; the first
+occurrence of a window (smallest id, then place) stays, and every later one is taken out with the lines that it
+covers. Windows that repeat one text at one distance are joined to runs, and runs are compared byte by byte with the
+lines that they repeat. A window that overlaps its own first occurrence leaves that occurrence's lines. Shorter
+passages that many documents share, such as licences, stay where they are.
+
+Only hashes of windows are grouped over the corpus, with partial sums before the shuffle; texts of repeated
+runs alone are compared, and copies of what they repeat are as many as the repeats need, one for each ``SPREAD``.
 """
 
 from __future__ import annotations
@@ -23,35 +23,34 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.lineage import cut, keyed_rows
 
-DIVISOR, MAX_LINES, FULL_WORDS = 3, 32, 10
-#: Occurrences of a chunk that are compared with one copy of its first.
+#: Occurrences of a passage that are compared with one copy of its first.
 SPREAD, HOT = 1000, 400
 
 
-def line_chunks(text: str, long_words: int) -> tuple[list[str], list[tuple[int, int]]]:
-    """The lines of a text and its chunks as (first line, line after the last)."""
+def line_chunks(text: str, min_words: int) -> tuple[list[str], list[tuple[int, int]]]:
+    """The lines of a text and its windows as (first line, line after the last), in order.
+
+    A window begins and ends with a line that has words, holds ``min_words`` words or more, and would not without
+    its last line, or not without its first.
+    """
     lines = text.split("\n")
-    chunks, begin, before = [], 0, 0
-    for i, line in enumerate(lines):
-        words = len(line.split())
-        if words >= long_words:
-            if i > begin:
-                chunks.append((begin, i))
-            chunks.append((i, i + 1))
-            begin, before = i + 1, 0
-            continue
-        now = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
-        rolled = (now * 0x9E3779B97F4A7C15 + before * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF
-        before = now
-        if words >= FULL_WORDS or (rolled >> 32) % DIVISOR == 0 or i + 1 - begin >= MAX_LINES:
-            chunks.append((begin, i + 1))
-            begin = i + 1
-    if begin < len(lines):
-        chunks.append((begin, len(lines)))
-    return lines, chunks
-
-
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, long_words: int = 40) -> DataFrame:
+    words = [len(line.split()) for line in lines]
+    held = [i for i, n in enumerate(words) if n]
+    windows, first, total = set(), 0, 0
+    for last, j in enumerate(held):
+        # Line j fills the windows of these first lines.
+        total += words[j]
+        while total >= min_words and first <= last:
+            windows.add((held[first], j + 1))
+            total -= words[held[first]]
+            first += 1
+        # The least window that ends at j begins one before ``first``, whose own window is not full yet.
+        if first:
+            windows.add((held[first - 1], j + 1))
+    return lines, sorted(windows)
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text_col``, and ``lines_removed`` (long).
 
     Lines are what \\n separates; lines that stay keep their bytes and their order. A text that loses all its
@@ -61,38 +60,61 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed = keyed_rows(docs, id_col, text_col)
     whole = docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
-    order = F.struct(F.length("__id") if whole else F.lit(0), "__id", "__th", "start")
+    order = F.struct(F.length("__id") if whole else F.lit(0), F.col("__id").alias("id0"), F.col("__th").alias("th0"), F.col("start").alias("start0"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, starts, high, low = [], [], [], []
+            at, starts, stops, high, low = [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
-                lines, chunks = line_chunks(text.as_py(), long_words)
-                for b, e in chunks:
-                    body = "\n".join(lines[b:e])
-                    if body and not body.isspace():
-                        digest = _digest(body)
-                        at.append(i)
-                        starts.append(b)
-                        high.append(int.from_bytes(digest[:8], "little", signed=True))
-                        low.append(int.from_bytes(digest[8:], "little", signed=True))
+                lines, windows = line_chunks(text.as_py(), min_words)
+                digests = [_digest(line.encode("utf-8", "surrogatepass")) for line in lines] if windows else []
+                for b, e in windows:
+                    digest = _digest(b"".join(digests[b:e]))
+                    at.append(i)
+                    starts.append(b)
+                    stops.append(e)
+                    high.append(int.from_bytes(digest[:8], "little", signed=True))
+                    low.append(int.from_bytes(digest[8:], "little", signed=True))
             pick = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(starts, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], names=["__id", "__th", "start", "high", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], names=["__id", "__th", "start", "stop", "high", "low"])
 
     text = F.col("__row")[text_col]
     lean = keyed.filter(F.length(text) > 0).select("__id", "__th", text.alias("text"))
-    chunks = cut(lean.mapInArrow(hashes, "__id string, __th long, start int, high long, low long"))
-    repeated = chunks.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
-    repeated = cut(repeated.select("high", "low", "n", "first", F.ceil(F.col("n") / SPREAD).cast("int").alias("ways")))
-    # Chunks with more than 1 / HOT of all occurrences are fewer than HOT: those are broadcast, the others shuffle.
-    often = max(SPREAD, chunks.count() // HOT)
-    met = chunks.join(F.broadcast(repeated.filter(F.col("n") > often).drop("n")), ["high", "low"], "left")
-    rest = met.filter(F.col("ways").isNull()).drop("first", "ways").join(repeated.filter(F.col("n") <= often).drop("n"), ["high", "low"])
-    held = met.filter(F.col("ways").isNotNull()).unionByName(rest)
-    place = F.struct("start", "high", "low", "ways", (order == F.col("first")).alias("is_first"))
-    places = held.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(place)).alias("__places"))
-
-    names = ["__row", "__id", "__th", "__places"]
+    windows = cut(lean.mapInArrow(hashes, "__id string, __th long, start int, stop int, high long, low long"))
+    repeated = cut(windows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1"))
+    # Windows with more than 1 / HOT of all occurrences are fewer than HOT: those are broadcast, the others shuffle.
+    often = max(SPREAD, windows.count() // HOT)
+    met = windows.join(F.broadcast(repeated.filter(F.col("n") > often).drop("n")), ["high", "low"], "left")
+    rest = met.filter(F.col("first").isNull()).drop("first").join(repeated.filter(F.col("n") <= often).drop("n"), ["high", "low"])
+    later = met.filter(F.col("first").isNotNull()).unionByName(rest).filter(order != F.col("first"))
+    place = F.struct(F.col("first.id0").alias("id0"), F.col("first.th0").alias("th0"), (F.col("first.start0") - F.col("start")).alias("shift"), "start", "stop")
+    places = later.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(place)).alias("places"))
+
+    def joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                runs: list[dict] = []
+                for p in row["places"]:
+                    same = runs and all(runs[-1][k] == p[k] for k in ("id0", "th0", "shift"))
+                    if same and p["start"] <= runs[-1]["stop"]:
+                        runs[-1]["stop"] = max(runs[-1]["stop"], p["stop"])
+                    else:
+                        runs.append(dict(p))
+                out += [{"__id": row["__id"], "__th": row["__th"], **r} for r in runs]
+            yield pa.RecordBatch.from_pylist(out, schema=run_shape)
+
+    run_shape = pa.schema([("__id", pa.string()), ("__th", pa.int64()), ("id0", pa.string()), ("th0", pa.int64()), ("shift", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+    runs = cut(places.mapInArrow(joined_runs, "__id string, __th long, id0 string, th0 long, shift int, start int, stop int"))
+    runs = runs.withColumns({"start0": F.col("start") + F.col("shift"), "stop0": F.col("stop") + F.col("shift")})
+    key = ["id0", "th0", "start0", "stop0"]
+    firsts = runs.groupBy(key).agg(F.count("*").alias("n"))
+    hot = firsts.filter(F.col("n") > max(SPREAD, runs.count() // HOT)).select(*key, F.ceil(F.col("n") / SPREAD).cast("int").alias("ways"))
+    salted = runs.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("__id", "__th", "start"), F.col("ways")), F.lit(0)).cast("int"))
+    wanted = F.struct("id0", "th0", "start0", "stop0", "salt", "start", "stop")
+    asked = salted.groupBy("__id", "__th").agg(F.collect_list(wanted).alias("__places"))
+    ways = firsts.join(F.broadcast(hot), key, "left").select(*key, F.coalesce("ways", F.lit(1)).alias("ways"))
+    held = ways.groupBy(F.col("id0").alias("__id"), F.col("th0").alias("__th")).agg(F.collect_list(F.struct("id0", "th0", "start0", "stop0", F.col("ways").alias("salt"), F.col("start0").alias("start"), F.col("stop0").alias("stop"))).alias("__places"))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,44 +122,32 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             rows, ids, hashes_, wanted = batch.columns
             texts = rows.field(text_col)
             for i in range(batch.num_rows):
-                lines, chunks = line_chunks(texts[i].as_py(), long_words)
-                at = {b: n for n, (b, _) in enumerate(chunks)}
+                lines = texts[i].as_py().split("\n")
                 for p in wanted[i].as_py():
-                    n = at[p["start"]]
-                    b, e = chunks[n]
-                    body = "\n".join(lines[b:e])
-                    short = len(body.split()) < min_words
-                    prev = _context(lines[max(0, b - MAX_LINES) : b][::-1], min_words) if short else []
-                    after = _context(lines[e : e + MAX_LINES], min_words) if short else []
-                    sides = {"prev": [_digest(x) for x in prev], "after": [_digest(x) for x in after], "prev_words": [len(x.split()) for x in prev], "after_words": [len(x.split()) for x in after]}
-                    out.append({"__id": ids[i].as_py(), "__th": hashes_[i].as_py(), "start": b, "stop": e, **{k: p[k] for k in ("high", "low", "ways", "is_first")}, "body": body, **sides})
+                    out.append({"__id": ids[i].as_py(), "__th": hashes_[i].as_py(), **p, "body": "\n".join(lines[p["start"] : p["stop"]])})
             yield pa.RecordBatch.from_pylist(out, schema=shape)
 
-    hashed, counted = pa.list_(pa.binary()), pa.list_(pa.int32())
-    shape = pa.schema([("__id", pa.string()), ("__th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("high", pa.int64()), ("low", pa.int64()), ("ways", pa.int32()), ("is_first", pa.bool_()), ("body", pa.string()), ("prev", hashed), ("after", hashed), ("prev_words", counted), ("after_words", counted)])
-    # Whole rows go in, so that this join and the last one read one and the same exchange of the documents.
-    shown = keyed.join(places, ["__id", "__th"]).select(names).mapInArrow(bodies, "__id string, __th long, start int, stop int, high long, low long, ways int, is_first boolean, body string, prev array<binary>, after array<binary>, prev_words array<int>, after_words array<int>")
-    originals = shown.filter("is_first").select("high", "low", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("salt"), F.col("body").alias("body0"), F.col("prev").alias("prev0"), F.col("after").alias("after0"))
-    originals = originals.groupBy("high", "low", "salt").agg(*[F.first(c).alias(c) for c in ("body0", "prev0", "after0")])
-    others = shown.filter(~F.col("is_first")).withColumn("salt", F.pmod(F.xxhash64("__th", "start"), F.col("ways")).cast("int"))
-    pairs = others.join(originals, ["high", "low", "salt"])
+    shape = pa.schema([("__id", pa.string()), ("__th", pa.int64()), ("id0", pa.string()), ("th0", pa.int64()), ("start0", pa.int32()), ("stop0", pa.int32()), ("salt", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("body", pa.string())])
+    # Whole rows go in, so that these joins and the last one read one and the same exchange of the documents.
+    shown = lambda places: keyed.join(places, ["__id", "__th"]).select("__row", "__id", "__th", "__places").mapInArrow(bodies, "__id string, __th long, id0 string, th0 long, start0 int, stop0 int, salt int, start int, stop int, body string")
+    originals = shown(held).select(*key, F.explode(F.sequence(F.lit(0), F.col("salt") - 1)).alias("salt"), F.col("body").alias("body0"))
+    originals = originals.groupBy(*key, "salt").agg(F.first("body0").alias("body0"))
+    pairs = shown(asked).join(originals, [*key, "salt"])
 
-    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, gone = [], []
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
             for i in range(batch.num_rows):
-                row = {n: col[n][i].as_py() for n in ("start", "stop", "body", "body0", "prev", "after", "prev0", "after0", "prev_words", "after_words")}
-                if row["body"] != row["body0"]:
-                    continue
-                back, on = _alike(row["prev"], row["prev0"]), _alike(row["after"], row["after0"])
-                if len(row["body"].split()) + sum(row["prev_words"][:back]) + sum(row["after_words"][:on]) >= min_words:
+                row = {n: col[n][i].as_py() for n in ("__id", "__th", "id0", "th0", "start", "start0", "body", "body0")}
+                lines = _equal(row["body"], row["body0"], row["start"], row["start0"] if (row["__id"], row["__th"]) == (row["id0"], row["th0"]) else None, min_words)
+                if lines:
                     keep.append(i)
-                    gone.append(list(range(row["start"] - back, row["stop"] + on)))
+                    gone.append(lines)
             pick = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([col["__id"].take(pick), col["__th"].take(pick), pa.array(gone, pa.list_(pa.int32()))], names=["__id", "__th", "gone"])
 
-    matched = pairs.select("__id", "__th", "start", "stop", "body", "body0", "prev", "after", "prev0", "after0", "prev_words", "after_words").mapInArrow(grown, "__id string, __th long, gone array<int>")
+    matched = pairs.select("__id", "__th", "id0", "th0", "start", "start0", "body", "body0").mapInArrow(alike, "__id string, __th long, gone array<int>")
     removed = matched.groupBy("__id", "__th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__gone"))
     joined = keyed.join(removed, ["__id", "__th"], "left")
     lines = F.split(text, "\n", -1)
@@ -148,22 +158,23 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return joined.select(*own, count.alias("lines_removed"))
 
 
-def _context(lines: list[str], words: int) -> list[str]:
-    """As many of the lines as hold that many words, if there are."""
-    n = held = 0
-    while n < len(lines) and held < words:
-        held += len(lines[n].split())
-        n += 1
-    return lines[:n]
-
+def _digest(data: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(data)
 
-def _digest(text: str) -> bytes:
-    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
+def _equal(body: str, body0: str, start: int, start0: int | None, min_words: int) -> list[int]:
+    """The lines of ``body``, which begins at line ``start``, that windows equal to those of ``body0`` cover.
 
-def _alike(a: list[bytes], b: list[bytes]) -> int:
-    """How many lines two lists have in common from their start on."""
-    n = 0
-    while n < len(a) and n < len(b) and a[n] == b[n]:
-        n += 1
-    return n
+    ``start0`` is where ``body0`` begins if it stands in the same text: a window then leaves the lines that are
+    its first occurrence's too.
+    """
+    lines, windows = line_chunks(body, min_words)
+    if body == body0 and start0 is None:
+        return list(range(start, start + len(lines)))
+    lines0 = body0.split("\n")
+    gone: set[int] = set()
+    for b, e in windows:
+        if lines[b:e] == lines0[b:e]:
+            ours = set(range(start + b, start + e))
+            gone |= ours if start0 is None else ours - set(range(start0 + b, start0 + e))
+    return sorted(gone)

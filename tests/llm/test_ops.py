@@ -235,6 +235,36 @@ def test_line_dedup(spark):
     assert got[5] == rows[4][1] and got[6] == rows[5][1]
 
 
+def brute_dedup(texts, min_words=50):
+    """Each text without the lines of runs that hold min_words words and stand at an earlier place too."""
+    split = [t.split("\n") for t in texts]
+    first, gone = {}, [set() for _ in texts]
+    for d, lines in enumerate(split):
+        for b in range(len(lines)):
+            for e in range(b + 1, len(lines) + 1):
+                run = lines[b:e]
+                if run[0].split() and run[-1].split() and sum(len(x.split()) for x in run) >= min_words:
+                    at = first.setdefault(tuple(run), (d, b))
+                    if at != (d, b):
+                        gone[d] |= set(range(b, e)) - (set(range(at[1], at[1] + e - b)) if at[0] == d else set())
+    return ["\n".join(x for i, x in enumerate(lines) if i not in g) for lines, g in zip(split, gone, strict=True)]
+
+
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(16)
+    texts = []
+    for n, words in [(6, 9), (8, 7), (11, 5), (7, 8), (5, 9)] * 6:
+        passage = [prose(rng, words) for _ in range(n)]
+        for _ in range(2):
+            around = [[prose(rng, rng.choice([2, 4, 8, 12])) if rng.random() > 0.1 else "" for _ in range(3)] for _ in range(2)]
+            texts.append("\n".join(around[0] + passage + around[1]))
+    texts += ["\n".join(["again and again the same words come"] * 30), "\n".join([f"{w} " * 12 for w in "abcabcabcabcab"])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    want = brute_dedup(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(w != t for w, t in zip(want, texts, strict=True)) == 26
+
+
 def test_boundaries_resist_shifts():
     rng = random.Random(8)
     lines = [prose(rng, 6) for _ in range(60)]
