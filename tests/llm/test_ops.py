@@ -265,6 +265,15 @@ def test_line_dedup_of_short_lines(spark):
     assert sum(w != t for w, t in zip(want, texts, strict=True)) == 26
 
 
+def test_line_dedup_where_lines_also_stand_alone(spark):
+    rng = random.Random(17)
+    a, b = prose(rng, 30), prose(rng, 30)
+    texts = [a, b, f"three\n{a}\n{b}\nend", f"four\n{a}\n{b}\nend four"]
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.dedup_lines(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(3)] == [(t, 0) for t in texts[:3]]
+    assert got[3] == ("four\nend four", 2)
+
+
 def test_boundaries_resist_shifts():
     rng = random.Random(8)
     lines = [prose(rng, 6) for _ in range(60)]
