@@ -4,7 +4,8 @@
    source's size; the excess is reshared by weight until none is above (``water_fill``).
 2. A source's documents fall into permuted blocks by a seeded hash. A target asks for so many whole passes
    over the source and a remainder; the remainder takes blocks in permuted order, documents in permuted order
-   inside the one block at its edge, and then single documents, at most one of each size step, that still fit.
+   inside the one block at its edge. Documents that still fit what is open are then walked in a permuted order
+   again, by block sums and one by one in the block at the edge, until no document left would fit.
 3. The taken blocks of all sources are dealt to output shards by a splitting tree: every node halves its
    shards and draws, without replacement, how many blocks of each source go left. So every shard gets a block
    quota that is an exact multivariate-hypergeometric draw, and quotas add up to what each source owes.
@@ -12,15 +13,17 @@
    shard, rows are put in order by a seeded hash (``shard_rows``).
 
 Everything is a function of ids, sizes and the seed, not of partitioning: reruns agree. Only per-source totals
-and at most a hundred documents' sizes for each source come to the driver (the mix is defined by a weight for each). Windows run over at
-most ``blocks`` rows of a source, or over one block's documents.
+come to the driver (the mix is defined by a weight for each). Windows run over at most ``blocks`` rows of a source, or over
+one block's documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,14 +68,18 @@ def splitting_tree(blocks: Sequence[int], shards: int, seed: int) -> np.ndarray:
     return quota
 
 
-def _fill(open_words: dict[str, float], offers: list) -> list[tuple]:
-    """For each source, the offered documents that fit what is open, largest first."""
-    chosen = []
-    for o in sorted(offers, key=lambda o: (o["src"], -o["size"], o["id"] is None, o["id"])):
-        if o["id"] is not None and o["size"] <= open_words.get(o["src"], 0):
-            open_words[o["src"]] -= o["size"]
-            chosen.append((o["src"], o["id"], o["size"]))
-    return chosen
+def _walk(seed: int) -> Callable[[pa.Table], pa.Table]:
+    """Takes, of one block's documents in a seeded order, each that still fits what is left."""
+
+    def walk(block: pa.Table) -> pa.Table:
+        ids, sizes = block.column("id").to_pylist(), block.column("size").to_pylist()
+        left, extra = block.column("left")[0].as_py(), [False] * len(ids)
+        for _, _, size, i in sorted((xxhash.xxh3_64_intdigest(str(d).encode("utf-8", "surrogatepass"), seed=seed), str(d), n, i) for i, (d, n) in enumerate(zip(ids, sizes, strict=True))):
+            if size <= left:
+                left, extra[i] = left - size, True
+        return block.drop_columns(["left", "extra"]).append_column("extra", pa.array(extra, pa.bool_()))
+
+    return walk
 
 
 def mix_sources(
@@ -135,16 +142,28 @@ def mix_sources(
     at_edge = at_edge.withColumn("again", F.col("upto") <= F.col("edge")).drop("upto")
     rows = cut(rows.filter(F.col("edge").isNull()).withColumn("again", F.col("more")).unionByName(at_edge))
 
-    # What whole blocks and documents leave open is filled with single documents, largest first.
-    taken = {r["src"]: r["n"] for r in rows.groupBy("src").agg(F.sum(F.when(F.col("again"), F.col("size"))).alias("n")).collect()}
-    ladder = rows.filter(~F.col("again") & (F.col("size") > 0)).groupBy("src", F.floor(F.log2("size") * 4).alias("step"))
-    offers = ladder.agg(F.min(F.struct(F.xxhash64(F.lit(seed + 5), "id").alias("h"), "id", "size")).alias("o")).select("src", "o.id", "o.size").collect()
-    extra = _fill({p[0]: p[4] - (taken.get(p[0]) or 0) for p in plan}, offers)
-    extras = F.broadcast(spark.createDataFrame(extra, f"src string, id {rows.schema['id'].dataType.simpleString()}, size long").withColumn("extra", F.lit(True)))
-    rows = rows.join(extras, ["src", "id", "size"], "left")
+    # What the edge leaves open is filled by further walks over the documents that still fit, until none does.
+    # An edge block's documents are tried one by one, so what stays open is below the least that it has left.
+    slot = F.struct(F.xxhash64(F.lit(seed + 5), "block").alias("h"), "block")
+    upto = F.sum("block_size").over(Window.partitionBy("src").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("extra", F.lit(False))
+    while True:
+        used = rows.groupBy("src").agg(F.sum(F.when(F.col("again") | F.col("extra"), F.col("size")).otherwise(0)).alias("n"), F.min(F.when(~F.col("again") & ~F.col("extra") & (F.col("size") > 0), F.col("size"))).alias("least")).collect()
+        rest = {p[0]: p[4] for p in plan}
+        open_words = [(r["src"], float(rest[r["src"]] - r["n"])) for r in used if r["least"] is not None and r["least"] <= rest[r["src"]] - r["n"]]
+        if not open_words:
+            break
+        fits = rows.join(F.broadcast(spark.createDataFrame(open_words, "src string, open double")), "src", "left").withColumn("fits", F.coalesce(~F.col("again") & ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("open")), F.lit(False)))
+        sums = fits.filter("fits").groupBy("src", "open", "block").agg(F.sum("size").alias("block_size")).withColumn("slot", slot).withColumn("upto", upto)
+        edges = sums.filter(F.col("upto") > F.col("open")).groupBy("src").agg(F.min(F.struct("slot", (F.col("open") - F.col("upto") + F.col("block_size")).alias("left"))).alias("e"))
+        edges = edges.select("src", F.col("e.slot").alias("stop"), F.col("e.left").alias("left"))
+        walked = cut(fits.join(F.broadcast(edges), "src", "left").withColumn("at", F.when(~F.col("fits"), 0).when(F.col("stop").isNull() | (slot < F.col("stop")), 1).when(slot == F.col("stop"), 2).otherwise(0)))
+        plain = walked.filter("at < 2").withColumn("extra", F.col("extra") | (F.col("at") == 1)).select(rows.columns)
+        tried = walked.filter("at = 2").select(*rows.columns, "left").groupBy("src", "block").applyInArrow(_walk(seed), rows.schema)
+        rows = cut(plain.unionByName(tried))
     single = F.when(F.col("extra"), F.array(F.struct(F.col("passes").alias("pass"), F.pmod(F.xxhash64(F.lit(seed + 6), "id"), F.lit(shards)).cast("int").alias("shard"))))
     rows = rows.withColumn("dealt", F.concat(F.coalesce("dealt", F.array().cast("array<struct<pass:int,shard:int>>")), F.coalesce(single, F.array().cast("array<struct<pass:int,shard:int>>"))))
-    times = F.col("passes") + (F.col("again") | F.coalesce("extra", F.lit(False))).cast("int")
+    times = F.col("passes") + (F.col("again") | F.col("extra")).cast("int")
     copies = F.transform(
         F.array_distinct(F.filter("dealt", lambda c: c["pass"] < times)),
         lambda c: F.struct(c["shard"].alias("shard"), c["pass"].alias("pass"), F.xxhash64(F.lit(seed + 4), F.col("id"), c["pass"]).alias("sort_key")),

@@ -356,6 +356,16 @@ def test_mix(spark):
     assert len(spread) == 4 and max(r["count"] for r in spread) < 2 * min(r["count"] for r in spread)
 
 
+def test_mix_fills_what_a_large_document_leaves_open(spark):
+    rows = [(0, "w " * 40_000, "a")] + [(i, "w " * (i % 7 + 17), "a") for i in range(1, 2000)] + [(i, "w " * 37, "b") for i in range(2000, 3000)]
+    for seed in (1, 2, 3):
+        got = mixing.mix_sources(docs(spark, rows), weights=(1, 4), blocks=64, shards=4, seed=seed).collect()
+        mine = [r for r in got if r["source"] == "a"]
+        left = [r["size"] for r in mine if not r["copies"]]
+        assert len(got) == 3000 and all(r["taken"] == r["size"] * len(r["copies"]) for r in got)
+        assert 0 <= mine[0]["target"] - sum(r["taken"] for r in mine) < min(left)
+
+
 def test_mix_awkward(spark):
     got = mixing.mix_sources(docs(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and sum(r["size"] for r in got) == 60_000 + 5 + 5 + 4 + 2
