@@ -5,11 +5,11 @@ and classes. For every node the spread of its presentation (sequences of childre
 over the host's pages is measured as normalised entropy; their weighted sum is the node's importance. What
 looks and reads alike on page after page, such as a menu or a notice, comes out low.
 
-A page's branch goes if its node is of low importance. Two priors stand above the entropy: elements whose tag,
-role or class names say that they are page furniture have no importance, and article or main elements
-always stay, with everything in them that is not furniture (copies of one article on a host would otherwise
-measure as boilerplate). Where a page has article or main elements, its text is theirs; else it is what is left
-of the body, and if nothing would be left, low-importance branches stay.
+A page's branch goes if its node is of low importance, inside article and main elements too. Pages of a host with one
+main text are copies and count once, so that a copied article does not measure as boilerplate. Two priors stand above
+the entropy: elements whose tag, role or class names say that they are page furniture have no importance, and article
+or main elements themselves stay. Where a page has article or main elements, its text is what is left of theirs; else
+it is what is left of the body, and if nothing would be left, low-importance branches stay.
 """
 
 from __future__ import annotations
@@ -133,12 +133,12 @@ class PageTree(HTMLParser):
             up = self.parent[i]
             gone[i] = gone[up] or self.prior[i] == FURNITURE
             inside[i] = not gone[i] and (inside[up] or self.prior[i] == ARTICLE)
-        if any(inside):
-            return self._blocks(inside)
-        kept = [not g for g in gone]
+        kept = inside if any(inside) else [not g for g in gone]
         dropped = [False] * n
         for i in range(1, n):
-            dropped[i] = dropped[self.parent[i]] or self.path[i] in low
+            up = self.parent[i]
+            outer = dropped[up] and (kept[up] or not inside[i])
+            dropped[i] = outer or (self.path[i] in low and not (inside[i] and self.prior[i] == ARTICLE))
         return self._blocks([k and not d for k, d in zip(kept, dropped, strict=True)]) or self._blocks(kept)
 
     def _blocks(self, stays: list[bool]) -> str:
@@ -157,17 +157,23 @@ def site_styles(pages: DataFrame, *, url_col: str = "url", html_col: str = "html
     """The merged style trees: host, path, pages, importance (0 to 1) of every style node.
 
     Importance is (1 - weight) * entropy of presentation + weight * entropy of content, each over the log of the
-    number of pages that have the node; a node on one page alone has importance 1. Pages without a host
-    are left out.
+    number of pages that have the node; a node on one page alone has importance 1. Pages with one main text, by the
+    priors alone, are one page. Pages without a host are left out.
     """
     lean = pages.select(F.lower(F.try_parse_url(F.col(url_col), F.lit("HOST"))).alias("host"), F.col(html_col).alias("html")).filter(F.col("host").isNotNull() & F.col("html").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(host, *s) for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for s in PageTree(html.as_py()).styles()]
-            yield pa.RecordBatch.from_pydict({"host": pa.array([r[0] for r in rows], pa.string()), "path": pa.array([r[1] for r in rows], pa.string()), "style": pa.array([r[2] for r in rows], pa.int64()), "content": pa.array([r[3] for r in rows], pa.int64())})
-
-    nodes = lean.mapInArrow(run, "host string, path string, style long, content long")
+            rows = []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tree = PageTree(html.as_py())
+                page = xxhash.xxh3_64_intdigest(tree.main_text().encode("utf-8", "replace"))
+                rows += [(host, page - (1 << 64) if page >> 63 else page, *s) for s in tree.styles()]
+            kinds = {"host": pa.string(), "page": pa.int64(), "path": pa.string(), "style": pa.int64(), "content": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+    nodes = lean.mapInArrow(run, "host string, page long, path string, style long, content long")
+    nodes = nodes.groupBy("host", "path", "page").agg(F.min(F.struct("style", "content")).alias("s")).select("host", "path", "s.style", "s.content")
     kinds = nodes.select("host", "path", F.explode(F.create_map(F.lit("style"), "style", F.lit("content"), "content")).alias("kind", "value"))
     counts = kinds.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
     spread = counts.groupBy("host", "path").agg(

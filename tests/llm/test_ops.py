@@ -212,6 +212,16 @@ def test_style_tree_drops_what_repeats_on_a_host(spark):
     assert deep.main_text() == "deep" and deep.styles()
 
 
+def test_style_tree_drops_what_repeats_inside_main(spark):
+    body = lambda n: f"<body><main><div class='x1'><p>Read our other stories</p></div><div class='x2'><p>Story {n} told at length</p></div></main></body>"
+    copy = "<body><article><h1>One title</h1><p>One story on every page</p></article><div class='d'>%d</div></body>"
+    rows = [(n, f"http://site/{n}", body(n)) for n in range(8)] + [(n, f"http://copies/{n}", copy % n) for n in range(20, 28)] + [(50, "http://one/", body(50))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[n] for n in range(8)] == [f"Story {n} told at length" for n in range(8)]
+    assert {got[n] for n in range(20, 28)} == {"One title\nOne story on every page"}
+    assert got[50] == "Read our other stories\nStory 50 told at length"
+
+
 # 6
 
 
