@@ -13,7 +13,7 @@ string can occur inside an escaped text, and ``\\\\(.)`` -> ``$1`` undoes it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -60,33 +60,27 @@ def format_chats(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: st
 
     ``content_col`` is array<struct<type, text, ref, tokens>>. Null content, role and part text are empty; a part
     with an unknown or null type is text where it has text. A null conversation id is one conversation of
-    its own, null turns come first, equal turns are ordered by role, then content. No rows give no rows.
+    its own, null turns come first, equal turns are ordered by role, then content. No rows give no rows. A formatted
+    conversation is one string, so one conversation must fit a task (2 GB is Spark's limit for a string).
     """
     empty = F.array().cast("array<struct<type:string,text:string,ref:string,tokens:bigint>>")
     rows = messages.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(content_col), empty).alias("parts")
     )
     attached = F.filter(F.transform("parts", _attachment), lambda x: x["type"].isin(*DEFAULT_TOKENS))
-    message = F.struct("turn", "role", F.array_join(F.transform("parts", _visit), "").alias("body"), attached.alias("att"))
-    grouped = rows.select("conv", message.alias("m")).groupBy("conv").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    head = lambda m: F.concat(F.lit(TURN), escape(m["role"]), F.lit(TEXT))
-    heads = F.transform("ms", head)
-    pieces = F.transform("ms", lambda m: F.concat(head(m), m["body"], F.lit(END)))
-    sized = grouped.select("conv", "ms", pieces.alias("pieces"), heads.alias("heads"))
-    spans = F.aggregate(
-        F.sequence(F.lit(0), F.size("ms") - 1),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,len:bigint>>").alias("spans")),
-        lambda s, i: F.struct(
-            (s["at"] + F.char_length(F.col("pieces")[i])).alias("at"),
-            F.when(
-                F.col("ms")[i]["role"] == loss_role,
-                F.concat(s["spans"], F.array(F.struct((s["at"] + F.char_length(F.col("heads")[i])).alias("start"), F.char_length(F.col("ms")[i]["body"]).cast("long").alias("len")))),
-            ).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
+    body = F.array_join(F.transform("parts", _visit), "")
+    head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
+    pieces = rows.select("conv", "turn", "role", "parts", head.alias("head"), body.alias("body"), attached.alias("att"))
+    # Where a message begins is a running sum over its conversation; the grouping below uses the same exchange and order.
+    order = Window.partitionBy("conv").orderBy("turn", "role", "parts")
+    chars = F.char_length("head") + F.char_length("body") + len(END)
+    placed = pieces.withColumns({"at": F.sum(chars).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - chars, "no": F.row_number().over(order)})
+    span = F.when(F.col("role") == loss_role, F.struct((F.col("at") + F.char_length("head")).cast("long").alias("start"), F.char_length("body").cast("long").alias("len")))
+    message = F.struct("no", F.concat("head", "body", F.lit(END)).alias("piece"), span.alias("span"), "att")
+    sized = placed.select("conv", message.alias("m")).groupBy("conv").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    spans = F.array_compact(F.transform("ms", lambda m: m["span"]))
     attachments = F.flatten(F.transform("ms", lambda m: m["att"]))
-    out = sized.select(F.col("conv"), F.size("ms").cast("long").alias("n_turns"), F.array_join("pieces", "").alias("formatted"), spans.alias("loss_spans"), attachments.alias("attachments"))
+    out = sized.select(F.col("conv"), F.size("ms").cast("long").alias("n_turns"), F.array_join(F.transform("ms", lambda m: m["piece"]), "").alias("formatted"), spans.alias("loss_spans"), attachments.alias("attachments"))
     return out.withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])).withColumnRenamed("conv", conv_col)
 
 

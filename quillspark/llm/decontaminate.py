@@ -6,8 +6,9 @@ document places that hold such a shingle are candidates. Each gives an alignment
 document; bounds on position and length leave the windows that fit, and these are compared word by word.
 
 Both passes over the documents explode words inside the scan's stage and keep only what joins. The shingles
-of the items are broadcast if there are at most ``broadcast_rows`` of them; else the joins shuffle. One shuffle
-brings candidates back to their documents; documents without any pass through it once.
+of the items are broadcast if their measured bytes are ``broadcast_bytes`` at most; else the joins shuffle. Item texts
+are not broadcast: an item's words join a document's candidates of it once. One shuffle brings candidates back to
+their documents; documents without any pass through it once.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ def _places(docs: DataFrame, text: Column) -> DataFrame:
     return words.select("__id", "__th", F.posexplode(_shingles("w")).alias("at", "s")).select("__id", "__th", "at", F.col("s")["a"].alias("a"), F.col("s")["b"].alias("b"))
 
 
-def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
+def _small(df: DataFrame, held: int, most: int) -> DataFrame:
+    return F.broadcast(df) if held <= most else df
 
 
 def decontaminate(
@@ -57,7 +58,7 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = 13,
     share: int = 20,
-    broadcast_rows: int = 500_000,
+    broadcast_bytes: int = 64_000_000,
 ) -> DataFrame:
     """``docs`` with n_words, n_hit (long), items (sorted array<string> of item ids) and contaminated (boolean).
 
@@ -70,34 +71,40 @@ def decontaminate(
     text = F.col("__row")[text_col]
     listed = items.select(F.col(item_id_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("iw")).filter(F.size("iw") > 0).distinct()
     span = F.least(F.size("iw"), F.lit(window))
-    windows = listed.select("item", "iw", F.explode(F.sequence(F.lit(0), F.size("iw") - span)).alias("start"))
-    inside = windows.select("item", "iw", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.greatest(span - 2, F.lit(0)))).alias("p"))
-    shingles = cut(inside.select("item", "iw", "start", "p", F.get("iw", F.col("p")).alias("a"), F.get("iw", F.col("p") + 1).alias("b")))
-    held = shingles.count()
+    listed = cut(listed.withColumn("ih", F.xxhash64("iw")))
+    windows = listed.select("item", "ih", "iw", F.explode(F.sequence(F.lit(0), F.size("iw") - span)).alias("start"))
+    inside = windows.select("item", "ih", "iw", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.greatest(span - 2, F.lit(0)))).alias("p"))
+    shingles = cut(inside.select("item", "ih", "start", "p", F.get("iw", F.col("p")).alias("a"), F.get("iw", F.col("p") + 1).alias("b")))
+    # What a broadcast holds at most: every shingle with its item, and as much again for a row's and a hash table's own needs.
+    held = shingles.agg(F.sum(F.octet_length("item") + F.octet_length("a") + F.coalesce(F.octet_length("b"), F.lit(0)) + 128)).first()[0] or 0
 
     # Rarity of the items' shingles, counted over all documents.
     pairs = shingles.filter(F.col("b").isNotNull()).select("a", "b").distinct()
-    counts = _places(keyed, text).join(_small(pairs, held, broadcast_rows), ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+    counts = _places(keyed, text).join(_small(pairs, held, broadcast_bytes), ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
     ranked = shingles.join(counts, ["a", "b"], "left").withColumn("single", F.col("b").isNull())
     # A window whose rarest shingle is nowhere cannot occur; one-word items have no pair to look for.
-    rarest = ranked.groupBy("item", "iw", "start", "single").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "a", "b", "p")).alias("s")).filter((F.col("s.n") > 0) | F.col("single"))
-    anchors = cut(rarest.select(F.col("s.a").alias("a"), F.col("s.b").alias("b"), "item", "iw", F.col("s.p").alias("p")).distinct())
+    rarest = ranked.groupBy("item", "ih", "start", "single").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "a", "b", "p")).alias("s")).filter((F.col("s.n") > 0) | F.col("single"))
+    anchors = cut(rarest.select(F.col("s.a").alias("a"), F.col("s.b").alias("b"), "item", "ih", F.col("s.p").alias("p")).distinct())
 
     paired, single = anchors.filter(F.col("b").isNotNull()), anchors.filter(F.col("b").isNull())
-    found = _places(keyed, text).join(_small(paired, held, broadcast_rows), ["a", "b"])
+    found = _places(keyed, text).join(_small(paired, held, broadcast_bytes), ["a", "b"])
     if not single.isEmpty():
-        found = found.unionByName(_places(keyed, text).drop("b").join(_small(single, held, broadcast_rows), "a").select(*found.columns))
-    candidates = found.groupBy("__id", "__th").agg(F.collect_set(F.struct("item", "iw", (F.col("at") - F.col("p")).alias("shift"))).alias("__c"))
+        found = found.unionByName(_places(keyed, text).drop("b").join(_small(single, held, broadcast_bytes), "a").select(*found.columns))
+    shifts = found.groupBy("__id", "__th", "item", "ih").agg(F.collect_set(F.col("at") - F.col("p")).alias("shifts"))
+    candidates = shifts.join(listed, ["item", "ih"]).groupBy("__id", "__th").agg(F.collect_list(F.struct("item", "iw", "shifts")).alias("__c"))
 
     joined = keyed.join(candidates, ["__id", "__th"], "left").withColumn("__w", words_of(text)).withColumn("__n", F.size("__w"))
     w, n = F.col("__w"), F.col("__n")
 
-    def occurrences(c: Column) -> Column:
+    def aligned(c: Column, shift: Column) -> Column:
         length = F.least(F.size(c["iw"]), F.lit(window))
-        fits = lambda k: (k + c["shift"] >= 0) & (k + c["shift"] + length <= n)
-        same = lambda k: F.slice(w, k + c["shift"] + 1, length) == F.slice(c["iw"], k + 1, length)
+        fits = lambda k: (k + shift >= 0) & (k + shift + length <= n)
+        same = lambda k: F.slice(w, k + shift + 1, length) == F.slice(c["iw"], k + 1, length)
         starts = F.filter(F.sequence(F.lit(0), F.size(c["iw"]) - length), lambda k: F.when(fits(k), same(k)).otherwise(False))
-        return F.transform(starts, lambda k: F.struct((k + c["shift"]).alias("start"), (k + c["shift"] + length).alias("stop"), c["item"].alias("item")))
+        return F.transform(starts, lambda k: F.struct((k + shift).alias("start"), (k + shift + length).alias("stop"), c["item"].alias("item")))
+
+    def occurrences(c: Column) -> Column:
+        return F.flatten(F.transform(c["shifts"], lambda shift: aligned(c, shift)))
 
     none = F.array().cast("array<struct<start:int,stop:int,item:string>>")
     occurring = F.when(F.col("__c").isNull(), none).otherwise(F.array_sort(F.flatten(F.transform("__c", occurrences))))

@@ -5,8 +5,9 @@ word statistics; an encoder (linear, tanh) maps them to a vector. Gated attentio
 projected to a score, weighs the passages, and the weighted sum of their vectors is scored. Labels are of
 documents only; the attention learns which passages carry them.
 
-Fitting uses at most ``fit_rows`` labelled documents, the first by a hash of the id (a documented, bounded
-sample, fitted with numpy on the driver). Scoring is one pass over all whole texts, without a shuffle.
+Fitting uses at most ``fit_rows`` labelled documents, the first by a hash of the id, and of each at most
+``fit_passages`` passages, evenly spaced over the whole text (a documented, bounded sample of a few hundred MB at the
+very most, fitted with numpy on the driver). Scoring encodes every passage of every whole text, without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ OWN_CLASS = b".,!?%$&#*|:;-_/\\\"'()[]{}<>=+@"
 _KINDS = 6  # lower, upper, digit, line break, other white space, other ASCII; then two for UTF-8
 N_CLASSES = _KINDS + 2 + len(OWN_CLASS)
 N_FEATURES = N_CLASSES * N_CLASSES + 4
+#: Passages scored together; a document with more is scored by itself.
+SCORE_PASSAGES = 4096
 #: Characters encoded at once; longer texts are read in slices cut at white space.
 SLICE_CHARS = 500_000
 
@@ -167,7 +170,7 @@ class GatedAttentionMIL:
         return {"W": x.T @ gh, "b": gh.sum(axis=0), "V": h.T @ gt, "U": h.T @ gg, "w": (t * g).T @ de, "c": z.T @ ds, "d": np.array([ds.sum()])}
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 3000) -> GatedAttentionMIL:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 3000, fit_passages: int = 40) -> GatedAttentionMIL:
     """Fit on at most ``fit_rows`` labelled documents whose crc32(id as text) mod 4 is not 2.
 
     Null labels and ids are left out. Contradicting labels of one id count as the smaller. Without any
@@ -181,6 +184,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         for batch in batches:
             for i in range(batch.num_rows):
                 f = passage_features(batch.column(2)[i].as_py())
+                if len(f) > fit_passages:
+                    f = f[np.linspace(0, len(f) - 1, fit_passages).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([f.astype(np.float16).tobytes()], type=pa.binary())], names=["id", "y", "bag"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -205,11 +210,15 @@ def score_quality(docs: DataFrame, model: GatedAttentionMIL, *, id_col: str = "d
         own = GatedAttentionMIL()
         own.p, own.mean, own.scale = state
         for batch in batches:
-            scores = []
+            scores, bags, held = [], [], 0
             for text in batch.column(at):
-                f = passage_features(text.as_py())
-                scores.append(float(own.score([f])[0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array(scores, type=pa.float64())], names=[*[f"c{i}" for i in range(len(passed))], "score"])
+                bags.append(passage_features(text.as_py()))
+                held += len(bags[-1])
+                if held >= SCORE_PASSAGES:
+                    scores.append(own.score(bags))
+                    bags, held = [], 0
+            scores.append(own.score(bags))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array(np.concatenate(scores).astype(np.float64))], names=[*[f"c{i}" for i in range(len(passed))], "score"])
 
     fields = [docs.schema[c].dataType.simpleString() for c in passed]
     lean = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(passed)], *([] if at < len(passed) else [F.col(text_col).alias("text")]))

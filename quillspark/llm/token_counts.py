@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The byte-level pre-tokenizer's pattern (fixed value of the format).
+#: The pattern that the format's "ByteLevel" pre-tokenizer stands for (fixed value of the format).
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of each of the memo's two generations; the older one goes when the younger is full.
 MEMO_ENTRIES = 400_000
@@ -37,18 +37,34 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def pre_tokenizer(spec: dict | None) -> tuple[str | None, bool]:
+    """The splitting pattern (None: texts stay whole) and whether a space is put before texts, as a file states them."""
+    spec = spec or {"type": "ByteLevel"}
+    if spec["type"] != "ByteLevel":
+        raise ValueError(f"not a byte-level pre-tokenizer: {spec['type']}")
+    return BYTE_LEVEL_PATTERN if spec.get("use_regex", True) else None, spec.get("add_prefix_space", False)
+
+
 class BytePairCounter:
-    """Counts tokens of texts for one byte-level BPE vocabulary file (the ``tokenizers`` JSON format)."""
+    """Counts tokens of texts for one byte-level BPE vocabulary file (the ``tokenizers`` JSON format).
+
+    Files that ask for more than byte-level pre-tokenizing and plain merging are refused with a ValueError.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        asked = [k for k in ("normalizer",) if spec.get(k)] + [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback") if model.get(k)]
+        asked += [t["content"] for t in spec.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+        if asked:
+            raise ValueError(f"not supported in a vocabulary file: {', '.join(asked)}")
         self.symbols = byte_symbols()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {pair: rank for rank, pair in enumerate(merges)}
         self.vocab = model["vocab"] if model.get("ignore_merges") else ()
-        self.pieces = regex.compile(BYTE_LEVEL_PATTERN).findall
+        pattern, self.lead = pre_tokenizer(spec.get("pre_tokenizer"))
+        self.pieces = regex.compile(pattern).findall if pattern else lambda text: [text] if text else []
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.memo: dict[str, int] = {}
@@ -91,17 +107,20 @@ class BytePairCounter:
                 self.memo[piece] = found
         return found
 
+    def _plain(self, text: str) -> int:
+        return sum(map(self._piece, self.pieces(f" {text}" if self.lead and text and not text[0].isspace() else text)))
+
     def count(self, text: str | None) -> int:
         """Tokens of a whole text. A special token's string counts as one token, as the library's default has it."""
         if not text:
             return 0
         if self.special is None:
-            return sum(map(self._piece, self.pieces(text)))
+            return self._plain(text)
         total = at = 0
         for m in self.special.finditer(text):
-            total += 1 + sum(map(self._piece, self.pieces(text[at : m.start()])))
+            total += 1 + self._plain(text[at : m.start()])
             at = m.end()
-        return total + sum(map(self._piece, self.pieces(text[at:] if at else text)))
+        return total + self._plain(text[at:] if at else text)
 
 
 _COUNTERS: dict[str, BytePairCounter] = {}

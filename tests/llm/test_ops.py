@@ -1,6 +1,5 @@
 """The numbered operators on small rows: brute force, round trips and the awkward cases."""
 
-import hashlib
 import json
 import random
 import string
@@ -55,6 +54,16 @@ def test_token_counts_match_the_library(spark):
     assert [r["n_bytes"] for r in got] == [len(t.encode()) for t in texts]
 
 
+def test_vocabulary_files_are_read_as_they_state(tmp_path):
+    model = {"vocab": {}, "merges": ["a b", "Ġ a"]}
+    made = lambda **spec: (tmp_path / "v.json").write_text(json.dumps({"model": model, **spec})) and token_counts.BytePairCounter(str(tmp_path / "v.json"))
+    assert made(pre_tokenizer={"type": "ByteLevel", "add_prefix_space": True}).count("ab ab") == 4
+    assert made(pre_tokenizer={"type": "ByteLevel", "use_regex": False}).count("ab1ab") == 3
+    for other in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "NFC"}}, {"added_tokens": [{"content": "<x>", "lstrip": True}]}, {"model": {**model, "byte_fallback": True}}):
+        with pytest.raises(ValueError, match="not"):
+            made(**other)
+
+
 def test_token_counts_awkward(spark, vocabulary):
     got = token_counts.token_counts(docs(spark, AWKWARD), vocabulary, limit=5).collect()
     assert len(got) == len(AWKWARD)
@@ -175,7 +184,7 @@ def test_decontaminate(spark, few):
     texts = [prose(rng, 40, 30) for _ in range(30)] + [f"{prose(rng, 9)}, {items[3][1].upper()}! {prose(rng, 5)} {items[1][1]}", "a ÄÖ-Ü x", "a äö ü x", items[0][1] * 2]
     rows = [(i, t, "s") for i, t in enumerate(texts)]
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.decontaminate(docs(spark, rows), table, broadcast_rows=10**6 if few else 0).collect()
+    got = decontaminate.decontaminate(docs(spark, rows), table, broadcast_bytes=10**9 if few else 0).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got} == {i: brute_hits(t, items) for i, t, _ in rows}
 
 
@@ -451,15 +460,21 @@ def test_quality_gradients():
         assert abs((up - down) / 2e-5 - g[at]) < 1e-6, name
 
 
+def test_quality_scores_in_batches_as_one_by_one(monkeypatch):
+    rng = random.Random(11)
+    model = quality_mil.GatedAttentionMIL()
+    bags = [quality_mil.passage_features(prose(rng, n)) for n in (1, 300, 64, 65, 900)]
+    assert np.allclose(model.score(bags), [model.score([b])[0] for b in bags])
+
+
 def test_quality_awkward(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_mil.fit_quality(docs(spark, AWKWARD), none)
     got = quality_mil.score_quality(docs(spark, AWKWARD), model, keep=("text", "label")).collect()
     assert len(got) == len(AWKWARD) and all(abs(r["score"] - 0.5) < 1e-9 for r in got)
     assert quality_mil.score_quality(docs(spark, []), model).count() == 0
+    known = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    fitted = quality_mil.fit_quality(docs(spark, [(i, prose(random.Random(i), 40_000 if i == 0 else 20), "s") for i in range(12)]), known, fit_passages=3)
+    assert quality_mil.score_quality(docs(spark, AWKWARD), fitted).count() == len(AWKWARD)
     long = "Ab, c " * 200_000
     assert len(quality_mil.passage_features(long)) >= 400_000 // 64 and len(quality_mil.passage_features(None)) == 1
-
-
-def test_digest_of_nothing():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
