@@ -6,15 +6,17 @@
    over the source and a remainder; the remainder takes blocks in permuted order, documents in permuted order
    inside the one block at its edge. Documents that still fit what is open are then walked in a permuted order
    again, by block sums and one by one in the block at the edge, until no document left would fit.
+   If one more document then brings a source nearer to its target than none, the smallest left is taken too.
 3. The taken blocks of all sources are dealt to output shards by a splitting tree: every node halves its
    shards and draws, without replacement, how many blocks of each source go left. So every shard gets a block
-   quota that is an exact multivariate-hypergeometric draw, and quotas add up to what each source owes.
+   quota that is an exact multivariate-hypergeometric draw, and quotas add up to what each source owes. Sources
+   are drawn in two steps of one law: first by groups of sources, then, in a task for each group, by source.
 4. Each source's permuted block instances fill the quotas in order, so the draws are disjoint; inside a
    shard, rows are put in order by a seeded hash (``shard_rows``).
 
-Everything is a function of ids, sizes and the seed, not of partitioning: reruns agree. Only per-source totals
-come to the driver (the mix is defined by a weight for each). Windows run over at most ``blocks`` rows of a source, or over
-one block's documents.
+Everything is a function of ids, sizes and the seed, not of partitioning: reruns agree. Sources stay in tables, however
+many they are: only sums over all of them and one row for each group of sources come to the driver. Windows run over at
+most ``blocks`` rows of a source, or over one block's documents.
 """
 
 from __future__ import annotations
@@ -32,25 +34,43 @@ from quillspark.llm.lineage import cut
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def water_fill(sizes: Sequence[float], weights: Sequence[float], cap: float) -> list[float]:
-    """Targets: weighted shares of sum(sizes), none above cap * size; excess is reshared by weight."""
-    targets, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
-    while open_:
-        weight = float(sum(weights[i] for i in open_))
-        over = [i for i in open_ if left * weights[i] / weight > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in over:
-            targets[i] = float(cap * sizes[i])
-        left -= sum(targets[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
-    return targets
+#: Groups of sources in the first step of the splitting tree.
+GROUPS = 256
+
+
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with place (long): the position by ``key``, from 0. One count for each range comes to the driver."""
+    ranged = cut(rows.repartitionByRange(key).withColumn("range", F.spark_partition_id()))
+    counts = sorted((r["range"], r["n"]) for r in ranged.groupBy("range").agg(F.count("*").alias("n")).collect())
+    starts = [(part, sum(n for _, n in counts[:i])) for i, (part, _) in enumerate(counts)]
+    before = F.broadcast(rows.sparkSession.createDataFrame(starts, "range int, before long"))
+    return ranged.join(before, "range").withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1 + F.col("before")).drop("range", "before")
+
+
+def water_fill(sources: DataFrame, cap: float) -> DataFrame:
+    """``sources`` (size, weight) with target: weighted shares of all sizes, none above cap * size; excess is reshared.
+
+    Each round finds the sources that their share at the present level would overfill; a source once found stays so,
+    since what the others share only grows. Rounds are sums over all sources, and end when none is found anew.
+    """
+    total = float(sources.agg(F.sum("source_size")).first()[0] or 0)
+    full, found = F.lit(False), -1
+    limit = F.col("source_size") * F.lit(float(cap))
+    while True:
+        n, held, weight = sources.agg(F.count_if(full), F.sum(F.when(full, F.col("source_size"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if weight is None:
+            return sources.withColumn("target", limit)
+        share = F.lit(total - cap * (held or 0)) * F.col("weight") / F.lit(float(weight))
+        if n == found:
+            return sources.withColumn("target", F.least(share, limit))
+        full, found = share > limit, n
 
 
-def splitting_tree(blocks: Sequence[int], shards: int, seed: int) -> np.ndarray:
-    """quota[shard, source]: how many of each source's blocks a shard gets; columns add up to ``blocks``."""
+def splitting_tree(blocks: Sequence[int], shards: int, seed: int, quotas: Sequence[int] | None = None) -> np.ndarray:
+    """quota[shard, source]: how many of each source's blocks a shard gets; columns add up to ``blocks``.
+
+    ``quotas`` says how many blocks each shard gets in all; without it they are as even as can be.
+    """
     quota = np.zeros((shards, len(blocks)), dtype=np.int64)
 
     def split(counts: np.ndarray, lo: int, hi: int) -> None:
@@ -58,7 +78,7 @@ def splitting_tree(blocks: Sequence[int], shards: int, seed: int) -> np.ndarray:
             quota[lo] = counts
             return
         mid = (lo + hi) // 2
-        draw = int(counts.sum()) * (mid - lo) // (hi - lo)
+        draw = int(counts.sum()) * (mid - lo) // (hi - lo) if quotas is None else int(sum(quotas[lo:mid]))
         left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(counts, draw, method="marginals") if draw else np.zeros_like(counts)
         split(left, lo, mid)
         split(counts - left, mid, hi)
@@ -68,6 +88,21 @@ def splitting_tree(blocks: Sequence[int], shards: int, seed: int) -> np.ndarray:
     return quota
 
 
+def _shard_quotas(owed: DataFrame, shards: int, seed: int) -> DataFrame:
+    """src and ends (array<long>): up to which of its block instances each shard gets, of sources that owe ``owed`` blocks."""
+    grouped = owed.withColumn("group", F.pmod(F.xxhash64(F.lit(seed + 7), "src"), F.lit(GROUPS)).cast("int"))
+    sums = sorted((r["group"], r["owed"]) for r in grouped.groupBy("group").agg(F.sum("owed").alias("owed")).collect())
+    per_group = splitting_tree([n for _, n in sums], shards, seed)
+    quotas = owed.sparkSession.createDataFrame([(g, [int(n) for n in per_group[:, i]]) for i, (g, _) in enumerate(sums)], "group int, quotas array<long>")
+
+    def split(group: pa.Table) -> pa.Table:
+        group = group.sort_by("src")
+        drawn = splitting_tree(group["owed"].to_pylist(), shards, seed + 1000 + group["group"][0].as_py(), group["quotas"][0].as_py()).cumsum(axis=0)
+        return pa.table({"src": group["src"], "ends": pa.array(drawn.T.tolist(), pa.list_(pa.int64()))})
+
+    return grouped.join(F.broadcast(quotas), "group").groupBy("group").applyInArrow(split, "src string, ends array<long>")
+
+
 def _walk(seed: int) -> Callable[[pa.Table], pa.Table]:
     """Takes, of one block's documents in a seeded order, each that still fits what is left."""
 
@@ -98,37 +133,32 @@ def mix_sources(
 
     ``copies`` is an array of struct<shard, pass, sort_key>, one for each time the document is taken. Sources in
     code-point order (null last, a source of its own) get ``weights`` in turn. Null texts have size 0, and take
-    part with size 0. Repeated rows count as often as they occur. An empty table gives no rows.
+    part with size 0. Repeated rows count as often as they occur; each is taken or left by itself, so rows alike may
+    have different ``taken``. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     block = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(blocks)).cast("int")
     sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), block.alias("block")).withColumn("src", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))))
     by_block = cut(sized.groupBy("src", "block").agg(F.sum("size").alias("block_size")))
 
-    totals = by_block.groupBy("src").agg(F.sum("block_size").alias("source_size"), F.count("*").alias("n_blocks")).collect()
-    totals.sort(key=lambda r: (r["src"] == "null", r["src"].encode("utf-8")))
-    sizes = [r["source_size"] for r in totals]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(totals))], cap)
-    plan = []
-    for r, target in zip(totals, targets, strict=True):
-        passes = min(int(target // r["source_size"]), int(cap)) if r["source_size"] else 0
-        plan.append((r["src"], r["source_size"], float(target), passes, float(target - passes * r["source_size"])))
-    # One row for each source: as large as the list of weights that defines the mix.
-    plan_df = F.broadcast(spark.createDataFrame(plan, "src string, source_size long, target double, passes int, rest double"))
+    # "=name" comes before "null" in byte order, so sources are in code-point order and the null source is last.
+    sources = _numbered(by_block.groupBy("src").agg(F.sum("block_size").alias("source_size")), "src")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights)).cast("int") + 1)
+    plan = water_fill(cut(sources.select("src", "source_size", weight.alias("weight"))), cap)
+    passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0).cast("int")
+    plan = plan.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
+    plan = cut(plan.select("src", "source_size", "target", "passes", "rest"))
 
     order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 1), "block"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = by_block.join(plan_df, "src")
+    ranked = by_block.join(plan, "src")
     ranked = ranked.withColumn("upto", F.sum("block_size").over(order))
     before = F.col("upto") - F.col("block_size")
     ranked = ranked.withColumn("edge", F.when((before < F.col("rest")) & (F.col("upto") > F.col("rest")), F.col("rest") - before))
     ranked = ranked.withColumn("more", (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0) | F.col("edge").isNotNull())
     ranked = cut(ranked.select("src", "block", "source_size", "target", "passes", "edge", "more"))
 
-    owed_rows = {r["src"]: r["owed"] for r in ranked.groupBy("src").agg(F.sum(F.col("passes") + F.col("more").cast("int")).alias("owed")).collect()}
-    quota = splitting_tree([owed_rows.get(p[0], 0) or 0 for p in plan], shards, seed)
-    ends = quota.cumsum(axis=0)
-    quotas = F.broadcast(spark.createDataFrame([(p[0], [int(x) for x in ends[:, i]]) for i, p in enumerate(plan)], "src string, ends array<long>"))
+    owed = cut(ranked.groupBy("src").agg(F.sum(F.col("passes") + F.col("more").cast("int")).alias("owed")))
+    quotas = _shard_quotas(owed, shards, seed)
 
     rounds = ranked.withColumn("pass", F.explode(F.when(F.col("passes") + F.col("more").cast("int") > 0, F.sequence(F.lit(0), F.col("passes") + F.col("more").cast("int") - 1)).otherwise(F.array().cast("array<int>"))))
     turn = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed + 2), "block", "pass"), "block", "pass")
@@ -147,25 +177,39 @@ def mix_sources(
     slot = F.struct(F.xxhash64(F.lit(seed + 5), "block").alias("h"), "block")
     upto = F.sum("block_size").over(Window.partitionBy("src").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("extra", F.lit(False))
+    untaken = ~F.col("again") & ~F.col("extra") & (F.col("size") > 0)
+
+    def walk(rows: DataFrame, stops: DataFrame) -> DataFrame:
+        """Takes what fits in the blocks before each source's ``stop``, and there one by one while it fits ``left``."""
+        fits = F.coalesce(untaken & (F.col("size") <= F.col("open")), F.lit(False))
+        at = F.when(~fits, 0).when(F.col("stop").isNull() | (slot < F.col("stop")), 1).when(slot == F.col("stop"), 2).otherwise(0)
+        walked = cut(rows.join(stops, "src", "left").withColumn("at", at))
+        plain = walked.filter("at < 2").withColumn("extra", F.col("extra") | (F.col("at") == 1)).select(rows.columns)
+        tried = walked.filter("at = 2").select(*rows.columns, "left").groupBy("src", "block").applyInArrow(_walk(seed), rows.schema)
+        return cut(plain.unionByName(tried))
+
     while True:
-        used = rows.groupBy("src").agg(F.sum(F.when(F.col("again") | F.col("extra"), F.col("size")).otherwise(0)).alias("n"), F.min(F.when(~F.col("again") & ~F.col("extra") & (F.col("size") > 0), F.col("size"))).alias("least")).collect()
-        rest = {p[0]: p[4] for p in plan}
-        open_words = [(r["src"], float(rest[r["src"]] - r["n"])) for r in used if r["least"] is not None and r["least"] <= rest[r["src"]] - r["n"]]
-        if not open_words:
+        used = rows.groupBy("src").agg(F.sum(F.when(F.col("again") | F.col("extra"), F.col("size")).otherwise(0)).alias("n"), F.min(F.when(untaken, F.struct("size", slot.alias("slot")))).alias("least"))
+        open_ = cut(used.filter("least IS NOT NULL").join(plan.select("src", "rest"), "src").select("src", (F.col("rest") - F.col("n")).alias("open"), "least"))
+        short = open_.filter(F.col("least.size") <= F.col("open")).select("src", "open")
+        if short.isEmpty():
             break
-        fits = rows.join(F.broadcast(spark.createDataFrame(open_words, "src string, open double")), "src", "left").withColumn("fits", F.coalesce(~F.col("again") & ~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("open")), F.lit(False)))
-        sums = fits.filter("fits").groupBy("src", "open", "block").agg(F.sum("size").alias("block_size")).withColumn("slot", slot).withColumn("upto", upto)
+        sums = rows.join(short, "src").filter(untaken & (F.col("size") <= F.col("open"))).groupBy("src", "open", "block").agg(F.sum("size").alias("block_size")).withColumn("slot", slot).withColumn("upto", upto)
         edges = sums.filter(F.col("upto") > F.col("open")).groupBy("src").agg(F.min(F.struct("slot", (F.col("open") - F.col("upto") + F.col("block_size")).alias("left"))).alias("e"))
-        edges = edges.select("src", F.col("e.slot").alias("stop"), F.col("e.left").alias("left"))
-        walked = cut(fits.join(F.broadcast(edges), "src", "left").withColumn("at", F.when(~F.col("fits"), 0).when(F.col("stop").isNull() | (slot < F.col("stop")), 1).when(slot == F.col("stop"), 2).otherwise(0)))
-        plain = walked.filter("at < 2").withColumn("extra", F.col("extra") | (F.col("at") == 1)).select(rows.columns)
-        tried = walked.filter("at = 2").select(*rows.columns, "left").groupBy("src", "block").applyInArrow(_walk(seed), rows.schema)
-        rows = cut(plain.unionByName(tried))
-    single = F.when(F.col("extra"), F.array(F.struct(F.col("passes").alias("pass"), F.pmod(F.xxhash64(F.lit(seed + 6), "id"), F.lit(shards)).cast("int").alias("shard"))))
-    rows = rows.withColumn("dealt", F.concat(F.coalesce("dealt", F.array().cast("array<struct<pass:int,shard:int>>")), F.coalesce(single, F.array().cast("array<struct<pass:int,shard:int>>"))))
+        rows = walk(rows, short.join(edges.select("src", F.col("e.slot").alias("stop"), F.col("e.left").alias("left")), "src", "left"))
+    nearer = open_.filter(F.col("least.size") < 2 * F.col("open")).select("src", F.col("least.size").cast("double").alias("open"), F.col("least.slot").alias("stop"), F.col("least.size").cast("double").alias("left"))
+    if not nearer.isEmpty():
+        last = rows.join(nearer.select("src", "stop"), "src", "left").withColumn("only", F.coalesce(slot == F.col("stop"), F.lit(False))).drop("stop")
+        rows = walk(last.filter("only").drop("only"), nearer).unionByName(last.filter("NOT only").drop("only"))
+    # A document at the edge has its block's shard for the last pass; others that were walked to get one of their own.
+    none = F.array().cast("array<struct<pass:int,shard:int>>")
+    dealt = F.coalesce("dealt", none)
+    alone = F.col("extra") & ~F.exists(dealt, lambda c: c["pass"] == F.col("passes"))
+    single = F.array(F.struct(F.col("passes").alias("pass"), F.pmod(F.xxhash64(F.lit(seed + 6), "id"), F.lit(shards)).cast("int").alias("shard")))
+    rows = rows.withColumn("dealt", F.concat(dealt, F.when(alone, single).otherwise(none)))
     times = F.col("passes") + (F.col("again") | F.col("extra")).cast("int")
     copies = F.transform(
-        F.array_distinct(F.filter("dealt", lambda c: c["pass"] < times)),
+        F.filter("dealt", lambda c: c["pass"] < times),
         lambda c: F.struct(c["shard"].alias("shard"), c["pass"].alias("pass"), F.xxhash64(F.lit(seed + 4), F.col("id"), c["pass"]).alias("sort_key")),
     )
     return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), copies.alias("copies"))
