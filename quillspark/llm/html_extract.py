@@ -7,14 +7,20 @@ looks and reads alike on page after page, such as a menu or a notice, comes out
 
 A page's branch goes if its node is of low importance, inside article and main elements too. Pages of a host with one
 main text are copies and count once, so that a copied article does not measure as boilerplate. Two priors stand above
-the entropy: elements whose tag, role or class names say that they are page furniture have no importance, and article
-or main elements themselves stay. Where a page has article or main elements, its text is what is left of theirs; else
-it is what is left of the body, and if nothing would be left, low-importance branches stay.
+the entropy, since adverts, menus and comments may differ from page to page: elements whose tag, role, style or class
+names say that they are page furniture have no importance, and article or main elements themselves stay. Names that prose
+may bear as well (``SOFT_NAMES``) say so inside an article only of branches that are mostly links. Where a page has
+article or main elements, its text is what is left of theirs; else it is what is left of the body, and if nothing would
+be left, low-importance branches stay.
+
+Pages shuffle only if their host is neither large nor absent from the table of low branches: hosts with more than one
+page in ``HOT`` are fewer than that, and their branches are broadcast.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.lineage import cut
+
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -35,14 +43,18 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments disqus respond reply replies "
-    "share sharing social related recommended newsletter subscribe subscription signup login paywall widget toolbar pagination pager".split()
+    "newsletter subscribe subscription signup login paywall widget toolbar pagination pager".split()
 )
+SOFT_NAMES = frozenset("share sharing social related recommended".split())
+HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 #: What an element's start tag closes, if it is open in the same list or table.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-NEUTRAL, FURNITURE, ARTICLE = 0, 1, 2
+NEUTRAL, FURNITURE, ARTICLE, SOFT = 0, 1, 2, 3
 #: Elements deeper than this share the style node of their ancestor at this depth.
 MAX_STYLE_DEPTH = 24
+#: A host with more than one page in so many is large.
+HOT = 400
 
 
 class PageTree(HTMLParser):
@@ -51,33 +63,61 @@ class PageTree(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tags, self.parent, self.path, self.prior = ["#root"], [-1], [""], [NEUTRAL]
+        self.styled, self.in_article = [0], [False]  # the ancestor that bears a node's style; whether an article encloses it
         self.events: list[tuple[int, str | None]] = []
-        self.open = [0]
+        self.open, self.opened = [0], Counter()
         self.feed(html)
         self.close()
+        self._settle_soft()
 
     def _prior(self, tag: str, attrs: dict[str, str | None]) -> int:
         names = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
         role = (attrs.get("role") or "").lower()
-        in_article = any(self.prior[i] == ARTICLE for i in self.open)
-        if tag in FURNITURE_TAGS or role in FURNITURE_ROLES or names & FURNITURE_NAMES or "hidden" in attrs or (tag == "header" and not in_article):
+        inside = self.in_article[self.open[-1]]
+        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDING_STYLE.search(attrs.get("style") or "")
+        if tag in FURNITURE_TAGS or role in FURNITURE_ROLES or names & FURNITURE_NAMES or hidden or (tag == "header" and not inside):
             return FURNITURE
-        return ARTICLE if tag in ("article", "main") or role in ("main", "article") else NEUTRAL
+        if tag in ("article", "main") or role in ("main", "article"):
+            return ARTICLE
+        return (SOFT if inside else FURNITURE) if names & SOFT_NAMES else NEUTRAL
+
+    def _settle_soft(self) -> None:
+        """Softly named branches are furniture if more than half of their characters stand in links."""
+        if SOFT not in self.prior:
+            return
+        n = len(self.tags)
+        every, linked, link = [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            link[i] = self.tags[i] == "a" or link[self.parent[i]]
+        for i, data in self.events:
+            if data:
+                every[i] += (size := len(data.strip()))
+                linked[i] += size * link[i]
+        for i in range(n - 1, 0, -1):
+            every[self.parent[i]] += every[i]
+            linked[self.parent[i]] += linked[i]
+        for i in range(1, n):
+            if self.prior[i] == SOFT:
+                self.prior[i] = FURNITURE if 2 * linked[i] > every[i] else NEUTRAL
+
+    def _shut(self, at: int) -> None:
+        self.opened.subtract(self.tags[i] for i in self.open[at:])
+        del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(self.opened[t] for t in SIBLINGS[tag]):
             for at in range(len(self.open) - 1, 0, -1):
                 name = self.tags[self.open[at]]
                 if name in SCOPES[tag]:
                     break
                 if name in SIBLINGS[tag]:
-                    del self.open[at:]
+                    self._shut(at)
                     break
-        elif tag in ENDS_P:
+        elif tag in ENDS_P and self.opened["p"]:
             for at in range(len(self.open) - 1, 0, -1):
                 name = self.tags[self.open[at]]
                 if name == "p":
-                    del self.open[at:]
+                    self._shut(at)
                     break
                 if name in BLOCK:
                     break
@@ -89,18 +129,24 @@ class PageTree(HTMLParser):
             return
         known = dict(attrs)
         up = self.open[-1]
-        sign = ".".join([tag, *sorted((known.get("class") or "").lower().split())[:4]])
-        self.path.append(f"{self.path[up]}/{sign}" if len(self.open) <= MAX_STYLE_DEPTH else self.path[up])
-        self.prior.append(self._prior(tag, known))
+        deep = len(self.open) > MAX_STYLE_DEPTH
+        sign = ".".join([tag, *sorted((known.get("class") or "").lower().split())])
+        prior = self._prior(tag, known)
+        self.path.append(self.path[up] if deep else f"{self.path[up]}/{sign}")
+        self.prior.append(prior)
         self.tags.append(tag)
         self.parent.append(up)
         self.open.append(len(self.tags) - 1)
+        self.opened[tag] += 1
+        self.styled.append(self.styled[up] if deep else len(self.tags) - 1)
+        self.in_article.append(self.in_article[up] or prior == ARTICLE)
 
     def handle_endtag(self, tag: str) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.tags[self.open[at]] == tag:
-                del self.open[at:]
-                break
+        if self.opened[tag]:
+            for at in range(len(self.open) - 1, 0, -1):
+                if self.tags[self.open[at]] == tag:
+                    self._shut(at)
+                    break
         if tag in BLOCK:
             self.events.append((-1, None))
 
@@ -108,15 +154,20 @@ class PageTree(HTMLParser):
         self.events.append((self.open[-1], data))
 
     def styles(self) -> list[tuple[str, int, int]]:
-        """For each path of the page: the path, the hash of its children's sequence, the hash of its text."""
+        """For each path of the page: the path, the hash of its children's sequence, the hash of its text.
+
+        Branches that go by the priors have no style: the tree is not asked about them.
+        """
+        gone = self._gone()
         kids: dict[str, list[str]] = {}
         for i in range(1, len(self.tags)):
-            kids.setdefault(self.path[i], [])
-            kids.setdefault(self.path[self.parent[i]], []).append(self.tags[i])
+            if not gone[i]:
+                kids.setdefault(self.path[i], [])
+                kids.setdefault(self.path[self.parent[i]], []).append(self.tags[i])
         text: dict[str, xxhash.xxh3_64] = {p: xxhash.xxh3_64() for p in kids}
         for i, data in self.events:
-            if data and not data.isspace():
-                raw, seen = data.encode("utf-8", "replace"), set()
+            if data and not data.isspace() and not gone[i]:
+                raw, i, seen = data.encode("utf-8", "replace"), self.styled[i], set()
                 while i > 0:
                     if self.path[i] not in seen:
                         seen.add(self.path[i])
@@ -125,13 +176,18 @@ class PageTree(HTMLParser):
         signed = lambda n: n - (1 << 64) if n >> 63 else n
         return [(p, signed(xxhash.xxh3_64_intdigest("/".join(k))), signed(text[p].intdigest())) for p, k in kids.items() if p]
 
+    def _gone(self) -> list[bool]:
+        gone = [False] * len(self.tags)
+        for i in range(1, len(gone)):
+            gone[i] = gone[self.parent[i]] or self.prior[i] == FURNITURE
+        return gone
+
     def main_text(self, low: frozenset[str] = frozenset()) -> str:
         """The blocks that stay, joined by line breaks."""
         n = len(self.tags)
-        gone, inside = [False] * n, [False] * n
+        gone, inside = self._gone(), [False] * n
         for i in range(1, n):
             up = self.parent[i]
-            gone[i] = gone[up] or self.prior[i] == FURNITURE
             inside[i] = not gone[i] and (inside[up] or self.prior[i] == ARTICLE)
         kept = inside if any(inside) else [not g for g in gone]
         dropped = [False] * n
@@ -185,17 +241,25 @@ def site_styles(pages: DataFrame, *, url_col: str = "url", html_col: str = "html
     return spread.select("host", "path", "pages", importance.alias("importance"))
 
 
-def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.3, min_pages: int = 3, salts: int = 16) -> DataFrame:
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.3, min_pages: int = 3) -> DataFrame:
     """id, url and main text of every page.
 
     Null and empty html give an empty text. A page without a usable url has no style tree, only the priors.
     Repeated rows and ids stay as they are; broken markup is read as far as it goes. Other columns are ignored.
     """
     low = site_styles(pages, url_col=url_col, html_col=html_col).filter((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
-    site = low.groupBy("host").agg(F.collect_set("path").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    lean = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    lean = lean.withColumn("host", F.lower(F.try_parse_url("url", F.lit("HOST")))).withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
-    joined = lean.join(site, ["host", "salt"], "left").select("id", "url", "html", "low")
+    host = F.lower(F.try_parse_url(F.col(url_col), F.lit("HOST")))
+    held = pages.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
+    site = held.join(low.groupBy("host").agg(F.collect_set("path").alias("low")), "host", "left")
+    site = cut(site.select("host", "n", F.coalesce("low", F.array().cast("array<string>")).alias("low")).filter(F.col("host").isNotNull()))
+    large = max(1000, pages.select(id_col).count() // HOT)
+    lean = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    joined = lean.join(F.broadcast(site.filter(F.col("n") > large).select("host", "low")), "host", "left")
+    rest = site.filter((F.col("n") <= large) & (F.size("low") > 0)).select("host", "low")
+    if not rest.isEmpty():
+        plain = F.col("low").isNull() & F.col("host").isNotNull()
+        joined = joined.filter(~plain).unionByName(joined.filter(plain).drop("low").join(rest, "host", "left"))
+    joined = joined.select("id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -233,6 +233,61 @@ def test_style_tree_drops_what_repeats_inside_main(spark):
     assert got[50] == "Read our other stories\nStory 50 told at length"
 
 
+def test_style_tree_against_brute_force(spark):
+    """Pages of unnamed blocks, some of which repeat: entropies by hand say which of them go."""
+    import math
+
+    rng = random.Random(20)
+    pages, blocks, number = [], {}, 0
+    for host in ("one", "two", "three"):
+        kinds = {f"k{k}": rng.choice([1, 1, 2, 50]) for k in range(6)}  # how many texts a block draws from
+        kinds["body"] = 10**9
+        for _ in range(rng.choice([6, 15, 30])):
+            shown = {k: f"{host} {k} text {rng.randrange(n)}" for k, n in kinds.items() if k == "body" or rng.random() < 0.8}
+            pages.append((number, f"http://{host}/{number}", "<main>" + "".join(f"<div class='{k}'><p>{t}</p></div>" for k, t in shown.items()) + "</main>"))
+            blocks[number] = host, shown
+            number += 1
+    low = set()
+    for host in ("one", "two", "three"):
+        for k in [f"k{k}" for k in range(6)]:
+            texts = [shown[k] for h, shown in blocks.values() if h == host and k in shown]
+            if len(texts) >= 3:
+                h = -sum(texts.count(t) / len(texts) * math.log(texts.count(t) / len(texts)) for t in set(texts)) / math.log(len(texts))
+                if 0.9 * h < 0.3:  # children are alike on all pages
+                    low.add((host, k))
+    assert len(low) > 5
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {i: "\n".join(t for k, t in shown.items() if (host, k) not in low) for i, (host, shown) in blocks.items()}
+    assert got == want
+    off = html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), threshold=-1).collect()
+    assert sum(r["text"] != got[r["page_id"]] for r in off) > len(pages) // 2
+
+
+def test_names_inside_an_article():
+    page = "<article><section class='related-work'><p>Prose on <a href='#'>others</a> and their work</p></section><div class='social'>Society at large</div>"
+    page += "<ul class='related'><li><a href='#'>One</a><li><a href='#'>Two</a></ul><p style='color:red; display: none'>Hidden</p><p class='c1 c2 c3 c4 c5 ad'>Buy</p><div class='notice'>Cookies</div></article>"
+    assert html_extract.PageTree(page).main_text() == "Prose on others and their work\nSociety at large"
+    assert html_extract.PageTree("<div class='share'>Share</div><p>Body</p>").main_text() == "Body"
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 100_000 + "deep", "<b>" * 50_000 + "x" + "</i>" * 50_000, "<p>a" * 50_000, "<ul>" + "<li>a" * 50_000):
+        tree = html_extract.PageTree(page)
+        assert tree.main_text() and tree.styles()
+    assert time.time() - began < 30
+
+
+def test_pages_of_large_and_small_hosts(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "HOT", 2)
+    page = "<div class='x'>Same on all</div><p>Own %d</p>"
+    rows = [(i, "http://big/" if i < 1500 else f"http://h{i % 40}/", page % i) for i in range(1800)] + [(1800, None, page % 1800)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own {i}" for i in range(1800)} | {1800: "Same on all\nOwn 1800"}
+
+
 # 6
 
 
@@ -256,21 +311,49 @@ def test_line_dedup(spark):
     assert got[5] == rows[4][1] and got[6] == rows[5][1]
 
 
-def brute_dedup(texts, min_words=50):
-    """Each text without the lines of runs that hold min_words words and stand at an earlier place too."""
+def brute_chunks(lines, chunk_words):
+    """Chunks of several lines, cut after a line where the hash over it and the line with words before it is low."""
+    import xxhash
+
+    held = [i for i, x in enumerate(lines) if x.split()]
+    h = {i: xxhash.xxh3_64_intdigest(lines[i].encode()) for i in held}
+    parts, now = [], []
+    for k, i in enumerate(held):
+        now.append(i)
+        rolled = ((h[held[k - 1]] * line_dedup.ROLL + h[i]) * line_dedup.ROLL) % 2**64 if len(now) > 1 else 2**64
+        if rolled < 2**64 // line_dedup.CHUNK_LINES or k == len(held) - 1:
+            parts, now = [*parts, now], []
+    return [(p[0], p[-1] + 1) for p in parts if len(p) > 1 and sum(len(lines[i].split()) for i in p) >= chunk_words]
+
+
+def brute_dedup(texts, min_words=50, chunk_words=20):
+    """Each text without the lines of chunks, and of runs that hold min_words words, that stand at an earlier place too."""
     split = [t.split("\n") for t in texts]
     first, gone = {}, [set() for _ in texts]
     for d, lines in enumerate(split):
+        chunks = brute_chunks(lines, chunk_words)
         for b in range(len(lines)):
             for e in range(b + 1, len(lines) + 1):
                 run = lines[b:e]
-                if run[0].split() and run[-1].split() and sum(len(x.split()) for x in run) >= min_words:
+                if run[0].split() and run[-1].split() and (sum(len(x.split()) for x in run) >= min_words or (b, e) in chunks):
                     at = first.setdefault(tuple(run), (d, b))
                     if at != (d, b):
                         gone[d] |= set(range(b, e)) - (set(range(at[1], at[1] + e - b)) if at[0] == d else set())
     return ["\n".join(x for i, x in enumerate(lines) if i not in g) for lines, g in zip(split, gone, strict=True)]
 
 
+def test_multi_line_chunks_go_below_the_window(spark):
+    rng = random.Random(23)
+    passage = "\n".join(prose(rng, 7) for _ in range(7))  # 49 words
+    texts = [f"head {i} {prose(rng, 3)}\n{passage}\ntail {i} {prose(rng, 4)}" for i in range(5)]
+    texts += ["\n".join(prose(rng, rng.randrange(1, 9)) for _ in range(rng.randrange(1, 30))) for _ in range(20)]
+    texts += ["\n".join(rng.choice(texts[-20:]).split("\n")[rng.randrange(4) :]) for _ in range(20)]
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.dedup_lines(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    want = brute_dedup(texts)
+    assert [got[i][0] for i in range(len(texts))] == want
+    assert got[0][1] == 0 and all(got[i][1] > 1 for i in range(1, 5))
+
+
 def test_line_dedup_of_short_lines(spark):
     rng = random.Random(16)
     texts = []
@@ -298,10 +381,21 @@ def test_line_dedup_where_lines_also_stand_alone(spark):
 def test_boundaries_resist_shifts():
     rng = random.Random(8)
     lines = [prose(rng, 6) for _ in range(60)]
-    whole = {tuple(lines[b:e]) for b, e in line_dedup.line_chunks("\n".join(lines), 40)[1]}
+    whole = {tuple(lines[b:e]) for b, e in line_dedup.line_chunks("\n".join(lines), 40, 20)[1]}
     for lead in (["x"], ["x", "y"]):
-        shifted, chunks = line_dedup.line_chunks("\n".join(lead + lines), 40)
+        shifted, chunks = line_dedup.line_chunks("\n".join(lead + lines), 40, 20)
         assert len(whole & {tuple(shifted[b:e]) for b, e in chunks}) >= len(whole) - 3
+    apart = {i + 3 for i in line_dedup.boundaries(lines, list(range(60)))}
+    shifted = set(line_dedup.boundaries(["x", "y", "z", *lines], list(range(63))))
+    assert 12 <= len(apart) <= 30 and len(apart & shifted) >= len(apart) - 4
+
+
+def test_exact_copies_are_dealt_evenly(spark):
+    rng = random.Random(19)
+    passage = prose(rng, 60)
+    rows = [(i, f"{passage}\nown {i}", "s") for i in range(2500)] + [(5000 + i, passage, "s") for i in range(2500)]
+    got = line_dedup.dedup_lines(docs(spark, rows)).collect()
+    assert sum(r["lines_removed"] for r in got) == 4999 and sum(passage in r["text"] for r in got) == 1
 
 
 def test_line_dedup_awkward(spark):
