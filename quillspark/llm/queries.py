@@ -28,7 +28,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates for secrets in every document, scored by the forest."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return secret_scan.scan_secrets(docs, secret_scan.train_forest(secret_scan.labelled_findings(spark)))
+    language = secret_scan.corpus_language(docs)
+    return secret_scan.scan_secrets(docs, secret_scan.train_forest(secret_scan.labelled_findings(spark), language), language)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
