@@ -47,6 +47,11 @@ def feed_date(text: Column) -> Column:
     return F.coalesce(F.to_date(F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z"))), F.to_date(F.try_to_timestamp(F.trim(text))), publication_date(text))
 
 
+def instant(text: Column) -> Column:
+    """An ISO date or time as an instant; without an offset it is in UTC, the session's zone. Others are null."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(text), "Z$", "+00:00"))
+
+
 def relative_date(text: Column, now: Column) -> Column:
     """``today`` or a day and month without a year; more than 14 days ahead means last year's."""
     lower = F.lower(F.trim(text))

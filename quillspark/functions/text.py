@@ -21,14 +21,29 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def decode_references(text: Column) -> Column:
+    """Numeric character references and the named ones of the lexicon as characters, &amp; last. Others stay."""
+    names = F.create_map(*[x for k, v in lexicon.REFERENCES.items() for x in (F.lit(k), F.lit(v))])
+    char = lambda point: F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    decimal, hexadecimal = (lambda ref: F.substring(ref, 3, 7).try_cast("int")), (lambda ref: F.conv(F.substring(ref, 4, 6), 16, 10).try_cast("int"))
+
+    def decoded(ref: Column) -> Column:
+        body = F.btrim(ref, F.lit("&;"))
+        point = F.when(body.rlike("^#[0-9]"), decimal(F.concat(F.lit("&"), body))).when(body.rlike("^#[xX]"), hexadecimal(F.concat(F.lit("&"), body))).otherwise(names[body])
+        return F.when((point > 0) & (point < 55296) | (point > 57343) & (point < 1114112), char(point))
+
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});"), F.lit(0))))
+    others = F.filter(found, lambda r: ~r.isin("&amp;", "&#38;", "&#x26;"))
+    plain = F.aggregate(others, text, lambda out, ref: F.coalesce(F.replace(out, ref, decoded(ref)), out))
+    return F.when(F.contains(text, F.lit("&")), F.regexp_replace(plain, "&(?:amp|#38|#x26);", "&")).otherwise(text)
+
+
 def clean_text(text: Column, most: int | None = None) -> Column:
     """Markup and white space removed, known encoding slips mended, decorations trimmed. Null becomes empty.
 
     Longer texts than ``most`` are cut at most - 1 and get three dots.
     """
-    out = F.coalesce(text, F.lit(""))
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    out = decode_references(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(out, r"<[A-Za-z/!][^>]*>", " ")
     for bad, good in lexicon.MOJIBAKE.items():
         out = F.replace(out, F.lit(bad), F.lit(good))
@@ -57,8 +72,10 @@ def any_word(text: Column, pattern: str) -> Column:
 
 
 def matched_terms(text: Column, terms: Iterable[str]) -> Column:
-    """The terms that a lower-case text has, in list order."""
-    return F.array_compact(F.array(*[F.when(any_term(text, [t]), F.lit(t)) for t in terms]))
+    """The terms that a lower-case text has, in list order. One scan for all decides whether each is looked for."""
+    terms = tuple(terms)
+    found = F.array_compact(F.array(*[F.when(any_term(text, [t]), F.lit(t)) for t in terms]))
+    return F.when(any_term(text, terms), found).otherwise(F.array().cast("array<string>"))
 
 
 def any_substring(text: Column, parts: Iterable[str]) -> Column:
@@ -127,11 +144,21 @@ def executive_title(title: Column) -> Column:
 def gazette_text(text: Column) -> Column:
     """Gazette leftovers removed: ids, dates, sizes and the word Download."""
     t = F.coalesce(text, F.lit(""))
-    for pattern in (r"\b[A-Z]{2}(?:-[A-Z]{2})?-[A-Z]-\d{8}-\d{6}\b", r"\b\d{1,2}[-/ ][A-Za-z]{3,9}[-/ ]\d{2,4}\b", r"(?i)\b\d+(?:\.\d+)?\s*MB\b", r"(?i)\bDownload\b"):
+    for pattern in (lexicon.GAZETTE_ID, r"\b\d{1,2}[-/ ][A-Za-z]{3,9}[-/ ]\d{2,4}\b", r"(?i)\b\d+(?:\.\d+)?\s*MB\b", r"(?i)\bDownload\b"):
         t = F.regexp_replace(t, pattern, "")
     return F.btrim(F.regexp_replace(t, r"\s+", " "), F.lit(" -|.,"))
 
 
+def gazette_title(cells: Column) -> Column:
+    """A title from the cells of a row: dates, ids, sizes and labels go, the rest is joined, each text once."""
+    from quillspark.functions.dates import publication_date
+
+    cleaned = F.transform(cells, lambda c: clean_text(c))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    kept = F.filter(cleaned, lambda c: (c != "") & publication_date(c).isNull() & ~c.rlike(lexicon.GAZETTE_ID) & ~c.rlike(lexicon.GAZETTE_SIZE) & ~plain(c).isin(*lexicon.GAZETTE_LABELS))
+    return F.array_join(F.array_distinct(kept), " ")
+
+
 def clean_model_output(text: Column) -> Column:
     """A model's preamble line and list bullets removed, blank lines dropped."""
     t = F.coalesce(text, F.lit(""))

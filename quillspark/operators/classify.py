@@ -43,7 +43,7 @@ def detect_country(text: Column, signals=lexicon.COUNTRY_SIGNALS) -> Column:
     return F.when(best["points"] > 0, best["country"])
 
 
-def legal_relevance(text: Column, *, legal=lexicon.LEGAL_TERMS, political=(), strong=(), enforcement=lexicon.ENFORCEMENT_TERMS, context=lexicon.COURT_CONTEXT_TERMS) -> Column:
+def legal_relevance(text: Column, *, legal=lexicon.LEGAL_TERMS, political=lexicon.POLITICAL_TERMS, strong=lexicon.STRONG_TERMS, enforcement=lexicon.ENFORCEMENT_TERMS, context=lexicon.COURT_CONTEXT_TERMS) -> Column:
     """A legal term; not political without a strong signal; enforcement news only with a court's context."""
     low = F.lower(clean_text(text))
     return any_term(low, legal) & ~(any_term(low, political) & ~any_term(low, strong)) & (~any_term(low, enforcement) | any_term(low, context))

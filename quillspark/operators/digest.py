@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +56,9 @@ def mail_draft(subject: Column, body: Column, most: int = 1800) -> Column:
 
 
 def of_today(items: DataFrame, today: Column) -> DataFrame:
-    """Items with a title and a link, dated or first seen on the day."""
-    same = (F.col("date") == today) | (F.to_date("first_seen_at") == today)
-    return items.filter(F.coalesce(same, F.lit(False)) & (F.length(F.trim("title")) > 0) & (F.length(F.trim("link")) > 0))
+    """Items with a title and a link, dated, first seen or last seen on the day."""
+    days = [F.coalesce(F.to_date(c) == today, F.lit(False)) for c in ("date", "first_seen_at", "last_seen_at") if c in items.columns]
+    return items.filter(reduce(lambda a, b: a | b, days) & (F.length(F.trim("title")) > 0) & (F.length(F.trim("link")) > 0))
 
 
 def feedback_counts(feedback: DataFrame) -> DataFrame:

@@ -78,6 +78,24 @@ def list_tagged(items: DataFrame, *, region: str | None = None, category: str |
     return out.orderBy(F.col("date").desc_nulls_last(), F.col("first_seen_at").desc(), "id").limit(clamp_page(limit, 0, 200)[0])
 
 
+def many_pages(items: DataFrame, now: Column, pages: list[dict], key: str = "id") -> DataFrame:
+    """Several listings as one: each row once, by its key."""
+    rows = reduce(lambda a, b: a.unionByName(b), [list_items(items, now, **page) for page in pages])
+    return rows.dropDuplicates([key])
+
+
+def public_view(rows: DataFrame, public: bool) -> DataFrame:
+    """Raw rows, but none of them where the site is public."""
+    return rows.limit(0) if public else rows
+
+
+def search_issues(issues: DataFrame, q: str) -> DataFrame:
+    """Issues with the words of ``q`` in title, summary or text body, letter case aside; all of them for a blank one."""
+    wanted = q.strip().lower()
+    columns = [c for c in ("title", "summary", "text_body") if c in issues.columns]
+    return issues.filter(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(wanted))) if wanted else issues
+
+
 def published(issues: DataFrame, limit: int = 50) -> DataFrame:
     """Published issues, newest first."""
     return issues.filter((F.col("status") == "published") & F.col("published_at").isNotNull()).orderBy(F.col("published_at").desc(), F.col("updated_at").desc(), "id").limit(clamp_page(limit, 0, 100)[0])

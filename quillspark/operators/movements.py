@@ -5,54 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import lexicon
+from quillspark.functions import lexicon, wordings
 from quillspark.functions.text import any_word, squeeze
+from quillspark.operators.frame import settled
 from quillspark.operators.heatmap import _rank_when
 
-NAME = r"[A-Z][A-Za-z.'-]+"
-NAME_PATTERNS = (
-    rf"\b(?:Justice|Judge|Judicial Commissioner|Chief Justice)\s+({NAME}(?:\s+{NAME}){{0,4}})\b",
-    rf"\b({NAME}(?:\s+{NAME}){{1,4}})\s+(?:has been|was|is)\s+(?:appointed|elevated|promoted|sworn in)\b",
-    rf"\b(?i:appointment of)\s+(?:(?i:justice|judge)\s+)?({NAME}(?:\s+{NAME}){{1,4}})\b",
-)
-ROLE_LEADS = ("appointed as", "appointed to", "elevated to", "promoted to", "assumes office as", "takes office as")
-
-
 def text_of(*columns: str) -> Column:
     return squeeze(F.concat_ws(" ", *columns))
 
 
 def _name(text: Column) -> Column:
-    out = None
-    for pattern in NAME_PATTERNS:
-        n = F.regexp_extract(text, pattern, 1)
-        n = F.element_at(F.split(n, r"[.;:,]\s+"), 1)
-        n = F.regexp_replace(n, r"[.;:,]+$", "")
-        n = F.regexp_replace(n, r"(?i)\b(?:Singapore|Malaysia|India|Australia|Hong Kong|New Zealand)?\s*(?:Legal News|News Sources|Judiciary Updates|Press Release).*$", "")
-        n = F.trim(F.regexp_replace(n, r"(?i)\b(?:as|to|at|of|the|court)\b.*$", ""))
-        good = F.when((n != "") & (F.size(F.split(n, r"\s+")) <= 5) & ~n.rlike(r"Court|Justice$|Judge$|President$"), n)
-        out = good if out is None else F.coalesce(out, good)
-    return F.coalesce(out, F.lit(""))
+    out = []
+    for pattern in lexicon.NAME_PATTERNS:
+        n = F.element_at(F.split(F.regexp_extract(text, pattern, 1), r"[.;:,]\s+"), 1)
+        for end in lexicon.NAME_ENDS:
+            n = F.regexp_replace(n, end, "")
+        n = F.trim(n)
+        out.append(F.when((n != "") & (F.size(F.split(n, r"\s+")) <= 5) & ~n.rlike(lexicon.NAME_REFUSED), n))
+    return F.coalesce(*out, F.lit(""))
 
 
 def _role(text: Column, kind: Column) -> Column:
-    found = [F.nullif(F.trim(F.regexp_extract(text, rf"(?i)\b{lead}\s+([^.,;]+?)(?:\s+at|\s+of|\.|,|;|$)", 1)), F.lit("")) for lead in ROLE_LEADS]
-    chief = F.when(kind == "leadership_change", F.nullif(F.regexp_extract(text, r"(?i)\b(Chief Justice|President of the Court|Deputy President)\b", 1), F.lit("")))
+    found = [F.nullif(F.trim(F.regexp_extract(text, rf"(?i)\b{lead}{lexicon.ROLE_ENDS}", 1)), F.lit("")) for lead in lexicon.ROLE_LEADS]
+    chief = F.when(kind == "leadership_change", F.nullif(F.regexp_extract(text, lexicon.CHIEF_ROLES, 1), F.lit("")))
     return F.coalesce(*found, chief, F.when(kind == "elevation", F.lit("Elevation")), F.lit(""))
 
 
 def detect_movements(items: DataFrame, keywords=lexicon.MOVEMENT_KEYWORDS, threshold: int = 42, source_pattern: str = r"court|judiciar|ministry|government|gazette|bar|law society") -> DataFrame:
     """Items that report a movement: movement_type, judge_name, court, new_role, confidence, status, keywords."""
-    out = items.withColumn("__x", text_of("title", "summary", "country", "category", "source", "source_tab"))
+    out = settled(items, {"__x": text_of("title", "summary", "country", "category", "source", "source_tab")})
     x, low = F.col("__x"), F.lower("__x")
     pairs = [(kind, word) for kind, words in keywords.items() for word in words]
     hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.struct(F.lit(k).alias("kind"), F.lit(w).alias("word"))) for k, w in pairs]))
     speech = any_word(low, lexicon.JUDGE_WORDS) & any_word(low, lexicon.SPEECH_WORDS) & ~any_word(low, lexicon.MOVE_WORDS)
-    out = out.withColumns({"__h": hits, "__speech": speech})
+    # Items without a keyword, or that report a speech, have no confidence, so names and roles are read from the others alone.
+    out = settled(out, {"__h": hits})
+    out = settled(out.filter(F.size("__h") > 0) if threshold > 0 else out, {"__speech": F.when(F.size("__h") > 0, speech).otherwise(True)})
+    out = out.filter(~F.col("__speech")) if threshold > 0 else out
     kind = _rank_when([(F.array_contains(F.transform("__h", lambda h: h["kind"]), k), k) for k in lexicon.MOVEMENT_PRIORITY], "unknown")
     court = F.coalesce(*[F.when(x.rlike(rf"(?i)\b{c}\b"), F.lit(c)) for c in lexicon.COURTS], F.lit(""))
-    out = out.withColumns({"movement_type": kind, "court": court, "judge_name": _name(x)})
-    out = out.withColumn("new_role", _role(x, F.col("movement_type")))
+    out = settled(out, {"movement_type": kind, "court": court, "judge_name": _name(x)})
+    out = settled(out, {"new_role": _role(x, F.col("movement_type"))})
     source = F.lower(F.concat_ws(" ", "source", "source_tab", "category"))
     own = F.lower(F.concat_ws(" ", "title", "summary"))
     points = lambda condition, n: F.when(condition, n).otherwise(0)
@@ -68,7 +61,7 @@ def detect_movements(items: DataFrame, keywords=lexicon.MOVEMENT_KEYWORDS, thres
         + points((F.col("judge_name") == "") & F.contains(own, F.lit("elevation")), 10)
         + points(F.contains(source, F.lit("news")), 4)
     )
-    out = out.withColumn("confidence", F.when(F.col("__speech") | (F.size("__h") == 0), 0).otherwise(F.least(F.lit(100), score)))
+    out = settled(out, {"confidence": F.when(F.col("__speech") | (F.size("__h") == 0), 0).otherwise(F.least(F.lit(100), score))})
     sure = (F.col("confidence") >= 70) & (F.col("judge_name") != "") & ((F.col("new_role") != "") | (F.col("court") != ""))
     found = out.filter(F.col("confidence") >= threshold)
     return found.withColumns({"status": F.when(sure, "detected").otherwise("needs_review"), "keywords": F.array_distinct(F.transform("__h", lambda h: h["word"]))}).drop("__x", "__h", "__speech")
@@ -91,16 +84,49 @@ def funnel(movements: DataFrame) -> DataFrame:
     return movements.agg(F.count("*").alias("total"), n("detected"), n("needs_review"), n("approved"), n("dismissed"))
 
 
-def draft(movements: DataFrame) -> DataFrame:
-    """subject, body, missing fields and whether a draft can be approved.
+def filtered(movements: DataFrame, *, country: str | None = None, kind: str | None = None, band: str | None = None, status: str | None = None) -> DataFrame:
+    """Movements of a country, type, confidence band (High, Medium, Low) and review state; None or 'All' lets all pass."""
+    asked = {"country": country, "movement_type": kind, "status": status}
+    out = movements
+    for column, value in asked.items():
+        out = out.filter(F.col(column) == value) if value not in (None, "All") else out
+    return out.filter(confidence_label(F.col("confidence")) == band) if band not in (None, "All") else out
+
+
+def fallback_id(text: Column) -> Column:
+    """A short id of a text: code units folded as h * 31 + c in 32 signed bits, its magnitude in base 36."""
+    wrap = lambda x: F.pmod(x + F.lit(2147483648), F.lit(4294967296)) - F.lit(2147483648)
+    units = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long"))
+    # A character beyond the basic plane is two units: its code is high * 65536 + low.
+    each = F.flatten(F.transform(units, lambda u: F.when(u > 65535, F.array(F.floor(u / 65536), u % 65536)).otherwise(F.array(u))))
+    folded = F.aggregate(each, F.lit(0).cast("long"), lambda h, u: wrap(h * 31 + u))
+    return F.lower(F.conv(F.abs(folded).cast("string"), 10, 36))
+
+
+def draft(movements: DataFrame, *, tone: str = "Formal judiciary", output: str = "Email", organisation: str = "[Organisation/Team]", sender: str = "[Sender Name]") -> DataFrame:
+    """subject, body, missing fields and whether a draft can be approved, in a tone and for an output.
 
-    A name is always needed, a role or a court unless someone retires or is honoured.
+    Outputs: Email and Formal letter, LinkedIn/internal post, Short executive note. A name is always needed, a role
+    or a court unless someone retires or is honoured.
     """
     kind = F.col("movement_type")
     role = _rank_when([(F.col("new_role") != "", F.col("new_role")), (kind == "retirement", "your judicial service"), (kind == "honour", "this honour")], "[New Role]")
     name = F.when(F.col("judge_name") != "", F.col("judge_name")).otherwise("[Judge Name]")
+    court = F.when(F.col("court") != "", F.concat(F.lit(" at "), F.col("court"))).otherwise("")
+    country = F.when(F.coalesce("country", F.lit("")) != "", F.concat(F.lit(" in "), F.col("country"))).otherwise("")
     placeless = (F.col("new_role") == "") & (F.col("court") == "") & ~kind.isin("retirement", "honour")
     missing = F.array_compact(F.array(F.when(F.col("judge_name") == "", F.lit("judge name")), F.when(placeless, F.lit("new role or court"))))
     subject = F.when(kind == "retirement", "Congratulations on your judicial service").otherwise(F.concat(F.lit("Congratulations on your appointment as "), role))
-    body = F.concat_ws("\n\n", F.format_string("Dear %s,", name), F.format_string("Congratulations on the news of your %s%s.", role, F.when(F.col("court") != "", F.concat(F.lit(" at the "), F.col("court"))).otherwise("")), F.lit("With respect,"))
-    return movements.withColumns({"subject": subject, "body": body, "missing": missing, "can_approve": F.size(missing) == 0})
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    if output == "LinkedIn/internal post":
+        earned = F.when(kind == "retirement", "their judicial service").otherwise(text("their ", role, court))
+        lines = [F.lit(wordings.REVIEW_NOTE), F.lit(""), text(organisation, " congratulates ", name, " on ", earned, "."), text("We wish ", name, " every success and continued contribution to the administration of justice", country, "."), F.lit(""), F.lit("Human review required before posting.")]
+    elif output == "Short executive note":
+        subject = text("Judicial movement note: ", name)
+        lines = [F.lit(wordings.REVIEW_NOTE), F.lit(""), text(name, " has been identified from source reporting for ", F.replace(kind, F.lit("_"), F.lit(" ")), ": ", role, court, "."), F.lit("Recommended action: review details against the original source before any congratulatory outreach.")]
+    else:
+        wish = wordings.TONES.get(tone, wordings.TONES["Formal judiciary"])
+        greeting = F.replace(F.lit(wish), F.lit("this important appointment"), text("your appointment as ", role, court))
+        success = text("We wish you every success in this important role and look forward to following your continued contribution to the administration of justice", country, ".")
+        lines = [F.lit(wordings.REVIEW_NOTE), F.lit(""), text("Dear ", name, ","), F.lit(""), text(f"On behalf of {organisation}, ", greeting), F.lit(""), F.lit(""), success, F.lit(""), F.lit("Yours sincerely,"), F.lit(sender)]
+    return movements.withColumns({"subject": subject, "body": F.concat_ws("\n", *lines), "missing": missing, "can_approve": F.size(missing) == 0})

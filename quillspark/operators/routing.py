@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon
 from quillspark.functions.text import any_word, executive_title
+from quillspark.operators.frame import settled
 from quillspark.operators.heatmap import _rank_when
 
 
@@ -39,9 +40,9 @@ def impact_of(urgency: Column, topic: Column, category: Column, is_new: Column,
 def routing_items(items: DataFrame, now: Column, topic_rules=lexicon.TOPIC_RULES, action=lexicon.ACTION_PATTERN) -> DataFrame:
     """Items with topic, urgency, impact, status and tags."""
     text = routing_text("title", "summary", "category", "source", "source_tab")
-    out = items.withColumns({"__text": text, "is_new": F.col("first_seen_at") >= now - F.expr("INTERVAL 24 HOURS")})
-    out = out.withColumn("topic", topic_of(F.col("__text"), F.col("category"), topic_rules))
-    out = out.withColumn("urgency", urgency_of(F.col("__text"), F.col("topic"), F.col("category"), action))
+    out = settled(items, {"__text": text, "is_new": F.col("first_seen_at") >= now - F.expr("INTERVAL 24 HOURS")})
+    out = settled(out, {"topic": topic_of(F.col("__text"), F.col("category"), topic_rules)})
+    out = settled(out, {"urgency": urgency_of(F.col("__text"), F.col("topic"), F.col("category"), action)})
     out = out.withColumn("impact", impact_of(F.col("urgency"), F.col("topic"), F.col("category"), F.col("is_new"), routing_text("source", "source_tab")))
     tags = F.array_compact(F.array(F.regexp_replace(F.lower("topic"), "[^a-z0-9]+", "_"), "category", "source_tab"))
     return out.withColumns({"status": F.when(F.col("is_new"), "New").otherwise("Reviewed"), "tags": tags}).drop("__text")
@@ -92,10 +93,20 @@ def strategic_scores(routed: DataFrame, scores: DataFrame, rules=lexicon.SIGNAL_
     routes = scores.filter(F.col("routed") & (F.col("department") != "sales")).groupBy("id").agg(F.count("*").alias("n_routes"))
     out = routed.join(routes, "id", "left").withColumn("n_routes", F.coalesce("n_routes", F.lit(0))).withColumn("__t", _text())
     t, topic, n, urgency = F.col("__t"), F.col("topic"), F.col("n_routes"), F.col("urgency")
+    # Every pattern is matched once; points, caps and reasons read the outcome.
+    tests = {f"hit{i}": any_word(t, pattern) | topic.isin(*topics) for i, (_, _, pattern, topics) in enumerate(rules)}
+    tests |= {
+        "intake": routine_intake(t),
+        "plain": (topic == "Precedent-Setting Judgment") & ~any_word(t, lexicon.PRECEDENT_WORDS),
+        "routine": routine_judgment(t, topic),
+        "notice": any_word(t, lexicon.NOTICE_WORDS) & ~any_word(t, lexicon.NOTICE_EXCUSE_WORDS),
+    }
+    out = settled(settled(out, {"__t": t}), {"__s": F.struct(*[c.alias(k) for k, c in tests.items()])})
+    said = F.col("__s")
     score = _rank_when([(n >= 3, 24), (n == 2, 14), (n == 1, 6)], 0)
     reasons = [F.when(n >= 3, "multi-department relevance").when(n == 2, "cross-team relevance")]
-    for points, reason, pattern, topics in rules:
-        hit = any_word(t, pattern) | topic.isin(*topics)
+    for i, (points, reason, _, _) in enumerate(rules):
+        hit = said[f"hit{i}"]
         score = score + F.when(hit, points).otherwise(0)
         reasons.append(F.when(hit, reason))
     for name, (points, reason) in lexicon.URGENCY_POINTS.items():
@@ -104,29 +115,39 @@ def strategic_scores(routed: DataFrame, scores: DataFrame, rules=lexicon.SIGNAL_
             reasons.append(F.when(urgency == name, reason))
     score = score + F.least(F.lit(10), F.greatest(F.lit(0), F.floor((F.col("impact") - 65) / F.lit(3.0) + 0.5).cast("int")))
     caps = [
-        (routine_intake(t), 38, "suppressed routine intake item"),
-        ((topic == "Precedent-Setting Judgment") & ~any_word(t, lexicon.PRECEDENT_WORDS), 64, "ordinary judgment without clear strategic significance"),
-        (routine_judgment(t, topic), 58, "ordinary judgment/procedural item without strategic significance"),
-        (any_word(t, lexicon.NOTICE_WORDS) & ~any_word(t, lexicon.NOTICE_EXCUSE_WORDS), 45, "low-impact administrative notice"),
+        (said["intake"], 38, "suppressed routine intake item"),
+        (said["plain"], 64, "ordinary judgment without clear strategic significance"),
+        (said["routine"], 58, "ordinary judgment/procedural item without strategic significance"),
+        (said["notice"], 45, "low-impact administrative notice"),
     ]
     for condition, most, reason in caps:
         score = F.when(condition, F.least(score, F.lit(most))).otherwise(score)
         reasons.append(F.when(condition, reason))
-    return out.withColumns({"signal_score": F.greatest(F.lit(0), F.least(F.lit(100), score)), "reasons": F.array_distinct(F.array_compact(F.array(*reasons))), "headline": executive_title(F.col("title"))}).drop("__t")
+    return settled(out, {"signal_score": F.greatest(F.lit(0), F.least(F.lit(100), score)), "__why": F.array(*reasons)}).withColumns({"reasons": F.array_distinct(F.array_compact("__why")), "headline": executive_title(F.col("title"))}).drop("__t", "__s", "__why")
 
 
 def strategic_signals(scored: DataFrame, threshold: int = 72) -> DataFrame:
     return scored.filter(F.col("signal_score") >= threshold).orderBy(F.col("signal_score").desc(), F.col("impact").desc(), F.col("date").desc_nulls_last(), "id")
 
 
-def digest_candidates(scored: DataFrame, scores: DataFrame, department: str) -> DataFrame:
-    """Alertable items of a department (route score 52 or more) in digest order, numbered by ``rank``."""
+def digest_candidates(scored: DataFrame, scores: DataFrame, department: str, most: int | None = 12) -> DataFrame:
+    """Alertable items of a department (route score 52 or more) in digest order, numbered by ``rank``.
+
+    ``most`` keeps the first of each country, which is all that a digest of so many entries can need; without it
+    every candidate is numbered, in one task.
+    """
     own = scores.filter((F.col("department") == department) & (F.col("route_score") >= 52)).select("id", "route_score")
     order = F.array(*[F.lit(c) for c in lexicon.PRODUCT_CATEGORY_ORDER])
     place = F.when(F.array_position(order, F.col("category")) > 0, F.array_position(order, F.col("category"))) if department == "product" else F.lit(0)
-    out = scored.join(own, "id").withColumns({"category_rank": place.cast("int"), "__t": _text()}).filter(F.col("category_rank").isNotNull() & alertable(F.col("title"), F.col("__t"), F.col("topic")))
-    rank = Window.partitionBy(F.lit(1)).orderBy("category_rank", F.col("signal_score").desc(), F.col("route_score").desc(), F.col("impact").desc(), "id")
-    return out.withColumn("rank", F.row_number().over(rank)).drop("__t")
+    out = settled(scored.join(own, "id"), {"category_rank": place.cast("int"), "__t": _text()}).filter(F.col("category_rank").isNotNull())
+    out = settled(out, {"__ok": alertable(F.col("title"), F.col("__t"), F.col("topic"))}).filter("__ok").drop("__ok")
+    out = out.drop("__t")
+    order = ["category_rank", F.col("signal_score").desc(), F.col("route_score").desc(), F.col("impact").desc(), "id"]
+    if most is None:
+        return out.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+    # No country gives a digest more entries than it has in all, so the first of each are enough; ranks count those alone.
+    best = out.withColumn("__n", F.row_number().over(Window.partitionBy("country").orderBy(*order))).filter(F.col("__n") <= most).drop("__n")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
 
 
 def balanced(entries: DataFrame, most: int, by: str = "country", order: tuple[str, ...] = ("rank",)) -> DataFrame:
@@ -141,6 +162,19 @@ def breakdown(signals_: DataFrame) -> DataFrame:
     return sets.select(F.when(F.col("g") == 3, "urgency").when(F.col("g") == 5, "country").otherwise("topic").alias("kind"), F.coalesce("urgency", "country", "topic").alias("name"), "n")
 
 
+def source_registry_lookup(items: DataFrame, registry: DataFrame) -> DataFrame:
+    """source_name and source_link of items, by the first of: own link, source name, country with the topic as category, country, '#'."""
+    first = lambda keys, as_: registry.groupBy(*keys).agg(F.min_by(F.struct("name", "url"), "id").alias(as_))
+    by_name = first([F.col("name").alias("source")], "__s1")
+    by_topic = first(["country", F.lower("category").alias("__topic")], "__s2")
+    by_place = first(["country"], "__s3")
+    own = F.when(F.length(F.trim(F.coalesce("link", F.lit("")))) > 0, F.struct(F.coalesce("source", F.lit("Collected legal update")).alias("name"), F.col("link").alias("url")))
+    none = F.struct(F.coalesce("source", F.lit("Source registry")).alias("name"), F.lit("#").alias("url"))
+    joined = items.withColumn("__topic", F.lower("topic")).join(by_name, "source", "left").join(by_topic, ["country", "__topic"], "left").join(by_place, "country", "left")
+    found = F.coalesce(own, "__s1", "__s2", "__s3", none)
+    return joined.withColumns({"source_name": found["name"], "source_link": found["url"]}).drop("__topic", "__s1", "__s2", "__s3")
+
+
 def source_lookup(items: DataFrame, registry: DataFrame) -> DataFrame:
     """source_url by prioritised lookup: the source's name, else the first of its country and category, else the link."""
     by_name = registry.groupBy(F.col("name").alias("source")).agg(F.min_by("url", "id").alias("__u1"))

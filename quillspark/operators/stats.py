@@ -28,13 +28,14 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 def run_health(runs: DataFrame, registry: DataFrame, items: DataFrame) -> DataFrame:
     """Latest runs of registered sources, with access basis; a failed run of a source that has items is stale.
 
-    A stale run counts the items held before, and its message says so; a blank message becomes 'Error'.
+    A stale run counts the items held before, and its message says so; a blank message becomes the error's class
+    (column error_type, if there is one), else 'Error'.
     """
     held = items.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("held"))
     known = registry.select(F.col("id").alias("source_id"), "name", F.when(F.col("official"), "official").when(F.col("source_type") == "rss", "public feed").otherwise("public page").alias("access_basis"))
     joined = latest_runs(runs).join(F.broadcast(known), "source_id").join(held, "name", "left")
     stale = (F.col("status") == "error") & (F.coalesce("held", F.lit(0)) > 0)
-    message = F.coalesce(F.nullif(F.trim("error"), F.lit("")), F.lit("Error"))
+    message = F.coalesce(F.nullif(F.trim("error"), F.lit("")), *([F.col("error_type")] if "error_type" in runs.columns else []), F.lit("Error"))
     return joined.select(
         "source_id",
         "name",
@@ -45,6 +46,17 @@ def run_health(runs: DataFrame, registry: DataFrame, items: DataFrame) -> DataFr
     )
 
 
+def public_stats(issues: DataFrame) -> DataFrame:
+    """What the public sees: how many published issues there are, and when the last one was."""
+    shown = issues.filter((F.col("status") == "published") & F.col("published_at").isNotNull())
+    return shown.agg(F.count("*").alias("published"), F.max("published_at").alias("last_published"))
+
+
+def official_sources(registry: DataFrame) -> DataFrame:
+    """One row: registered sources and official ones among them."""
+    return registry.agg(F.count("*").alias("sources"), F.count_if(F.coalesce("official", F.lit(False))).alias("official"))
+
+
 def share_of_top(items: DataFrame, by: str) -> DataFrame:
     """Counts by a column with bar widths: percent of the largest, at least 8."""
     counts = items.groupBy(by).agg(F.count("*").alias("n"))

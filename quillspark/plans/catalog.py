@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import insight_queries, items_queries
+from quillspark.plans import briefing_queries, insight_queries, items_queries
 
-QUERIES: dict = {**items_queries.QUERIES, **insight_queries.QUERIES}
-ORACLES: dict = {**items_queries.ORACLES, **insight_queries.ORACLES}
+QUERIES: dict = {**items_queries.QUERIES, **insight_queries.QUERIES, **briefing_queries.QUERIES}
+ORACLES: dict = {**items_queries.ORACLES, **insight_queries.ORACLES, **briefing_queries.ORACLES}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import dates, lexicon, text
-from quillspark.operators import digest, heatmap, movements, positional, routing, summarize
+from quillspark.functions import dates, labels, lexicon, text, wordings
+from quillspark.operators import briefing, digest, heatmap, movements, positional, routing, summarize
 from quillspark.plans.sqlparts import NOW_SQL, has_term, has_word, with_items
 from quillspark.sources import markup
 from quillspark.sources.items import REGISTRY_SQL, items, now, read, registry
@@ -27,7 +27,8 @@ def risk_signals(spark, sf):
 
 
 def risk_heatmap_cells(spark, sf):
-    return heatmap.grid(_signals(spark, sf), now(), DOMAINS).drop("authority_mix", "j_ord", "d_ord", "rationale", "label")
+    cells = heatmap.grid(_signals(spark, sf), now(), DOMAINS).drop("j_ord", "d_ord")
+    return cells.withColumn("authority_mix", briefing.authority_mix_text(F.col("authority_mix"))).withColumn("trend_line", briefing.trend_line(F.col("n"), F.col("delta7")))
 
 
 def risk_heatmap_top_signals(spark, sf):
@@ -103,7 +104,7 @@ def source_urls(spark, sf):
 
 
 def detected_movements(spark, sf):
-    return movements.detect_movements(items(spark, sf), MOVE_KEYWORDS).select("id", "movement_type", "confidence", "status", F.array_join("keywords", ",").alias("keywords"))
+    return movements.detect_movements(items(spark, sf), MOVE_KEYWORDS).select("id", "movement_type", "judge_name", "court", "new_role", "confidence", "status", F.array_join("keywords", ",").alias("keywords"))
 
 
 def movement_funnel(spark, sf):
@@ -112,8 +113,14 @@ def movement_funnel(spark, sf):
     return movements.funnel(movements.hydrate(found, reviews))
 
 
+def movement_bands(spark, sf):
+    """Movements of one country and confidence band, each with a label and a short id."""
+    found = movements.filtered(movements.detect_movements(items(spark, sf), MOVE_KEYWORDS), country="India", band="Medium")
+    return found.select("id", movements.confidence_label(F.col("confidence")).alias("band"), movements.fallback_id(F.col("link")).alias("short_id"), labels.title_case(F.col("movement_type")).alias("label"))
+
+
 def movement_drafts(spark, sf):
-    return movements.draft(movements.detect_movements(items(spark, sf), MOVE_KEYWORDS)).select("id", "subject", F.array_join("missing", ",").alias("missing"), "can_approve")
+    return movements.draft(movements.detect_movements(items(spark, sf), MOVE_KEYWORDS)).select("id", "subject", "body", F.array_join("missing", ",").alias("missing"), "can_approve")
 
 
 def _feedback(spark, sf) -> DataFrame:
@@ -144,7 +151,8 @@ def country_line(spark, sf):
 
 
 def mail_drafts(spark, sf):
-    d = digest.mail_draft(F.substring("title", 1, 60), F.substring("summary", 1, 300))
+    """Mail links of all items; texts too long for a link are to be copied."""
+    d = digest.mail_draft(F.col("title"), text.cut_at_word(F.col("summary"), 320, 319))
     return items(spark, sf).select("id", d["mode"].alias("mode"), F.length(d["url"]).alias("chars"))
 
 
@@ -157,7 +165,7 @@ def carried_lines(spark, sf):
 
 
 def page_nodes(spark, sf):
-    return markup.page_nodes(read(spark, sf, "pages")).select("page_id", "pos", "tag", F.length("text").alias("chars"))
+    return markup.page_nodes(read(spark, sf, "pages")).select("page_id", "pos", "tag", "class", "text", "href", "datetime")
 
 
 def page_list_items(spark, sf):
@@ -169,10 +177,15 @@ def page_contents(spark, sf):
 
 
 def rss_entries(spark, sf):
-    d = items(spark, sf)
+    """Items written as feeds of at most 50 entries, read back, and the first 25 of each source."""
+    d = items(spark, sf).withColumn("feed", F.floor(F.col("id") / 50))
     entry = F.concat(F.lit("<item><title>"), text.escape_html(F.col("title")), F.lit("</title><link>"), F.col("link"), F.lit("</link><pubDate>"), F.date_format("first_seen_at", "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate></item>"))
-    feeds = d.groupBy("source").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))), lambda x: x["e"]), ""), F.lit("</channel></rss>")).alias("xml"))
-    return markup.rss_items(feeds).select("source", "pos", "link", "date")
+    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", entry.alias("e")))), lambda x: x["e"]), "")
+    feeds = d.groupBy("source", "feed").agg(F.concat(F.lit("<rss><channel>"), entries, F.lit("</channel></rss>")).alias("xml"))
+    found = markup.rss_items(feeds.select(F.struct("source", "feed").alias("at"), "xml"), source_col="at", most=50)
+    order = Window.partitionBy("source").orderBy("feed", "pos")
+    numbered = found.select("at.source", "at.feed", "pos", "link", "date").withColumn("n", F.row_number().over(order)).filter("n <= 25")
+    return numbered.select("source", (F.col("n") - 1).alias("pos"), "link", "date")
 
 
 def publication_dates(spark, sf):
@@ -187,7 +200,7 @@ def headlines(spark, sf):
 
 
 def cleaned_texts(spark, sf):
-    return read(spark, sf, "pages").select("page_id", F.length(text.clean_text(text.repair_encoding(F.substring("html", 1, 2000)))).alias("chars"))
+    return read(spark, sf, "pages").select("page_id", text.clean_text(text.repair_encoding(F.col("html"))).alias("text"))
 
 
 def event_windows(spark, sf):
@@ -198,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         risk_signals, risk_heatmap_cells, risk_heatmap_top_signals, risk_kpis, risk_cells_filtered, routing_topics, route_scores, signal_scores, strategic_signals, routing_breakdown, balanced_digest, digest_summary,
-        digest_bodies, digest_with_summaries, source_urls, detected_movements, movement_funnel, movement_drafts, feedback_topics, ignored_topics, kept_selection, todays_items, country_line, mail_drafts, carried_lines,
+        digest_bodies, digest_with_summaries, source_urls, detected_movements, movement_funnel, movement_bands, movement_drafts, feedback_topics, ignored_topics, kept_selection, todays_items, country_line, mail_drafts, carried_lines,
         page_nodes, page_list_items, page_contents, rss_entries, publication_dates, headlines, cleaned_texts, event_windows,
     )
 }
@@ -223,14 +236,14 @@ SIGNALS_SQL = f"""base AS (
 CELLS_SQL = f"""raw AS (
   SELECT country, domain, count(*) AS n, count(*) FILTER (CAST(date AS TIMESTAMP) BETWEEN {NOW_SQL} - INTERVAL 7 DAY AND {NOW_SQL}) AS last7,
     count(*) FILTER (CAST(date AS TIMESTAMP) >= {NOW_SQL} - INTERVAL 14 DAY AND CAST(date AS TIMESTAMP) < {NOW_SQL} - INTERVAL 7 DAY) AS previous7, count(*) FILTER (CAST(date AS TIMESTAMP) >= {NOW_SQL} - INTERVAL 37 DAY AND CAST(date AS TIMESTAMP) < {NOW_SQL} - INTERVAL 7 DAY) AS previous30,
-    round_even(sum(CASE authority WHEN 25 THEN 1.0::DECIMAL(10,2) WHEN 10 THEN 0.5::DECIMAL(10,2) ELSE 0.35::DECIMAL(10,2) END), 1) AS weighted, CAST(round_even(avg(score), 0) AS BIGINT) AS mean, count(*) FILTER (authority = 25) AS high
+    round_even(sum(CASE authority WHEN 25 THEN 1.0::DECIMAL(10,2) WHEN 10 THEN 0.5::DECIMAL(10,2) ELSE 0.35::DECIMAL(10,2) END), 1) AS weighted, CAST(round_even(avg(score), 0) AS BIGINT) AS mean, count(*) FILTER (authority = 25) AS high, count(*) FILTER (authority = 10) AS middle, count(*) FILTER (authority = 6) AS low
   FROM sig GROUP BY 1, 2
 ), scored AS (
   SELECT *, last7 - previous7 AS delta7, greatest(1, least(100, CAST(round_even(CAST(mean * 0.55 AS DECIMAL(20,2)) + least(30, n * 7) + greatest(-8, least(18, (last7 - previous7) * 5)) + round_even(n * 8 / max(n) OVER (PARTITION BY domain), 0), 0) AS INTEGER))) AS uncapped,
     CASE WHEN n = 1 THEN CASE WHEN high > 0 THEN 70 ELSE 60 END WHEN n <= 3 THEN CASE WHEN high > 0 THEN 85 ELSE 75 END WHEN high > 0 THEN 100 ELSE 85 END AS cap FROM raw
 ), cells AS (
   SELECT j.country, d.domain, j_ord, d_ord, coalesce(least(uncapped, cap), 0) AS score, coalesce(uncapped, 0) AS uncapped, coalesce(cap, 0) AS cap, coalesce(n, 0) AS n, coalesce(weighted, 0) AS weighted, coalesce(last7, 0) AS last7, coalesce(previous7, 0) AS previous7,
-    coalesce(previous30, 0) AS previous30, coalesce(delta7, 0) AS delta7, CASE WHEN previous7 > 0 THEN CASE WHEN delta7 > 0 THEN 'rising' WHEN delta7 = 0 THEN 'stable' ELSE 'falling' END WHEN last7 > 0 THEN 'new activity' ELSE 'insufficient historical data' END AS trend
+    coalesce(previous30, 0) AS previous30, coalesce(delta7, 0) AS delta7, coalesce(high, 0) AS high, coalesce(middle, 0) AS middle, coalesce(low, 0) AS low, CASE WHEN previous7 > 0 THEN CASE WHEN delta7 > 0 THEN 'rising' WHEN delta7 = 0 THEN 'stable' ELSE 'falling' END WHEN last7 > 0 THEN 'new activity' ELSE 'insufficient historical data' END AS trend
   FROM {_COUNTRIES} CROSS JOIN {_DOMAINS} LEFT JOIN scored s ON s.country = j.country AND s.domain = d.domain
 ), leveled AS (SELECT *, CASE WHEN score <= 0 THEN 'No Signals' WHEN score >= 86 THEN 'Critical' WHEN score >= 71 THEN 'Elevated' WHEN score >= 51 THEN 'Active' WHEN score >= 26 THEN 'Watch' ELSE 'Low' END AS level FROM cells),
 top AS (SELECT *, row_number() OVER (PARTITION BY country, domain ORDER BY date DESC NULLS LAST, score DESC, id) AS place FROM sig QUALIFY place <= 8)"""
@@ -255,20 +268,50 @@ s1 AS (SELECT *, CASE WHEN {_INTAKE} THEN least(a, 38) ELSE a END AS b FROM s0),
 s2 AS (SELECT *, CASE WHEN topic = 'Precedent-Setting Judgment' AND NOT {has_word('x', lexicon.PRECEDENT_WORDS)} THEN least(b, 64) ELSE b END AS c FROM s1),
 s3 AS (SELECT *, CASE WHEN {_JUDGED} THEN least(c, 58) ELSE c END AS d FROM s2),
 scored_items AS (SELECT *, greatest(0, least(100, CASE WHEN {has_word('x', lexicon.NOTICE_WORDS)} AND NOT {has_word('x', lexicon.NOTICE_EXCUSE_WORDS)} THEN least(d, 45) ELSE d END)) AS signal_score FROM s3)"""
-DIGEST_SQL = f"""candidates AS (SELECT i.*, s.route_score, row_number() OVER (ORDER BY signal_score DESC, route_score DESC, impact DESC, i.id) AS rank FROM scored_items i JOIN scores s ON s.id = i.id AND s.department = 'legislation' AND s.route_score >= 52
-  WHERE NOT {has_word('lower(title)', lexicon.OPINION_WORDS)} AND NOT ({has_word('lower(title)', lexicon.ANALYSIS_WORDS)} AND NOT {has_word('x', lexicon.ANALYSIS_EXCUSE_WORDS)}) AND NOT {_INTAKE} AND NOT {_JUDGED}),
+DIGEST_SQL = f"""alerts AS (SELECT i.*, s.route_score FROM scored_items i JOIN scores s ON s.id = i.id AND s.department = 'legislation' AND s.route_score >= 52
+  WHERE NOT {has_word('lower(title)', lexicon.OPINION_WORDS)} AND NOT ({has_word('lower(title)', lexicon.ANALYSIS_WORDS)} AND NOT {has_word('x', lexicon.ANALYSIS_EXCUSE_WORDS)}) AND NOT {_INTAKE} AND NOT {_JUDGED}
+  QUALIFY row_number() OVER (PARTITION BY country ORDER BY signal_score DESC, s.route_score DESC, impact DESC, i.id) <= 12),
+candidates AS (SELECT *, row_number() OVER (ORDER BY signal_score DESC, route_score DESC, impact DESC, id) AS rank FROM alerts),
 chosen AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY rank) AS turn FROM candidates ORDER BY turn, rank LIMIT 12)"""
 _KEYWORDS = [(k, w) for k, ws in MOVE_KEYWORDS.items() for w in ws]
 _MOVE_HIT = "list_filter([" + ", ".join(f"CASE WHEN contains(low, '{w}') THEN '{w}' END" for _, w in _KEYWORDS) + "], lambda v: v IS NOT NULL)"
 _MOVE_TYPE = "CASE " + " ".join("WHEN {} THEN '{}'".format(" OR ".join(f"contains(low, '{w}')" for w in MOVE_KEYWORDS[k]), k) for k in lexicon.MOVEMENT_PRIORITY) + " ELSE 'unknown' END"
-MOVES_SQL = f"""m0 AS (SELECT *, lower(trim(regexp_replace(concat_ws(' ', title, summary, country, category, source, source_tab), '\\s+', ' ', 'g'))) AS low, lower(concat_ws(' ', source, source_tab, category)) AS src FROM items),
-m1 AS (SELECT *, {_MOVE_HIT} AS hits, {_MOVE_TYPE} AS movement_type FROM m0),
-moved AS (SELECT *, CASE WHEN {has_word('low', lexicon.JUDGE_WORDS)} AND {has_word('low', lexicon.SPEECH_WORDS)} AND NOT {has_word('low', lexicon.MOVE_WORDS)} OR len(hits) = 0 THEN 0 ELSE least(100, 28 + least(26, len(hits) * 8) + CASE WHEN movement_type IN ('appointment', 'elevation', 'leadership_change', 'retirement') THEN 10 ELSE 0 END + CASE WHEN movement_type = 'elevation' THEN 10 ELSE 0 END
-  + CASE WHEN regexp_matches(src, 'court|judiciar|ministry|government|gazette|bar|law society') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(src, 'press release|judiciary updates') THEN 8 ELSE 0 END + CASE WHEN contains(lower(title || ' ' || summary), 'elevation') THEN 10 ELSE 0 END + CASE WHEN contains(src, 'news') THEN 4 ELSE 0 END) END AS confidence FROM m1)"""
+_Q = lambda pattern: pattern.replace("'", "''")
+
+
+def _raw_name(pattern: str) -> str:
+    n = f"string_split_regex(regexp_extract(x, '{_Q(pattern)}', 1), '[.;:,]\\s+')[1]"
+    for end in lexicon.NAME_ENDS:
+        n = f"regexp_replace({n}, '{end}', '')"
+    return f"trim({n})"
+
+
+_NAMES = ", ".join(f"{_raw_name(p)} AS n{i}" for i, p in enumerate(lexicon.NAME_PATTERNS))
+_NAME = "coalesce(" + ", ".join(f"CASE WHEN n{i} <> '' AND len(string_split_regex(n{i}, '\\s+')) <= 5 AND NOT regexp_matches(n{i}, '{lexicon.NAME_REFUSED}') THEN n{i} END" for i in range(len(lexicon.NAME_PATTERNS))) + ", '')"
+_ROLES = ", ".join(f"nullif(trim(regexp_extract(x, '(?i)\\b{lead}{lexicon.ROLE_ENDS}', 1)), '')" for lead in lexicon.ROLE_LEADS)
+_ROLE = f"coalesce({_ROLES}, CASE WHEN movement_type = 'leadership_change' THEN nullif(regexp_extract(x, '{lexicon.CHIEF_ROLES}', 1), '') END, CASE WHEN movement_type = 'elevation' THEN 'Elevation' END, '')"
+_COURT = "CASE " + " ".join(f"WHEN regexp_matches(x, '(?i)\\b{c}\\b') THEN '{c}'" for c in lexicon.COURTS) + " ELSE '' END"
+MOVES_SQL = f"""m0 AS (SELECT *, trim(regexp_replace(concat_ws(' ', title, summary, country, category, source, source_tab), '\\s+', ' ', 'g')) AS x, lower(trim(regexp_replace(concat_ws(' ', title, summary, country, category, source, source_tab), '\\s+', ' ', 'g'))) AS low, lower(concat_ws(' ', source, source_tab, category)) AS src FROM items),
+m1 AS (SELECT *, {_MOVE_HIT} AS hits, {_MOVE_TYPE} AS movement_type, {_NAMES} FROM m0),
+m2 AS (SELECT *, {_NAME} AS judge_name, {_COURT} AS court, {_ROLE} AS new_role FROM m1),
+moved AS (SELECT *, CASE WHEN {has_word('low', lexicon.JUDGE_WORDS)} AND {has_word('low', lexicon.SPEECH_WORDS)} AND NOT {has_word('low', lexicon.MOVE_WORDS)} OR len(hits) = 0 THEN 0 ELSE least(100, 28 + least(26, len(hits) * 8) + CASE WHEN movement_type IN ('appointment', 'elevation', 'leadership_change', 'retirement') THEN 10 ELSE 0 END + CASE WHEN judge_name <> '' THEN 14 ELSE 0 END + CASE WHEN court <> '' THEN 10 ELSE 0 END + CASE WHEN new_role <> '' THEN 10 ELSE 0 END
+  + CASE WHEN regexp_matches(src, 'court|judiciar|ministry|government|gazette|bar|law society') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(src, 'press release|judiciary updates') THEN 8 ELSE 0 END + CASE WHEN judge_name = '' AND contains(lower(title || ' ' || summary), 'elevation') THEN 10 ELSE 0 END + CASE WHEN contains(src, 'news') THEN 4 ELSE 0 END) END AS confidence FROM m2),
+shown AS (SELECT *, CASE WHEN confidence >= 70 AND judge_name <> '' AND (new_role <> '' OR court <> '') THEN 'detected' ELSE 'needs_review' END AS status FROM moved WHERE confidence >= 42)"""
+def _escaped(column: str) -> str:
+    out = column
+    for char, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        out = f"replace({out}, '{char}', '{ref}')"
+    return out
+
+
 _FEEDBACK = """feedback AS (SELECT CASE WHEN value > 50 THEN 'useful' ELSE 'noise' END AS value, ['product', 'legislation', 'sales', 'editorial'][user_id % 4 + 1] AS department, list_filter([CASE WHEN event_id % 2 = 0 THEN event_type END, CASE WHEN event_id % 5 = 0 THEN 'citation' END], lambda x: x IS NOT NULL) AS topics FROM events)"""
 
 _GRID = (REGISTRY_SQL, SIGNALS_SQL, CELLS_SQL)
-_CELL_COLUMNS = "country, domain, score, level, uncapped, cap, n, weighted, last7, previous7, previous30, delta7, trend"
+_LABELS = "CASE domain " + " ".join(f"WHEN '{d[0]}' THEN '{d[1]}'" for d in DOMAINS) + " END"
+_CELL_COLUMNS = f"""country, domain, {_LABELS} AS label, score, level, uncapped, cap, n, weighted, last7, previous7, previous30, delta7, trend,
+  coalesce(nullif(concat_ws(' / ', CASE WHEN high > 0 THEN 'High: ' || high END, CASE WHEN middle > 0 THEN 'Medium-Low: ' || middle END, CASE WHEN low > 0 THEN 'Low: ' || low END), ''), 'No authority mix yet') AS authority_mix,
+  CASE WHEN n > 0 THEN n || CASE WHEN n = 1 THEN ' raw signal; ' ELSE ' raw signals; ' END || CAST(CAST(weighted AS DECIMAL(20,1)) AS VARCHAR) || ' weighted; delta ' || delta7 ELSE 'No signals in selected period.' END AS rationale,
+  n || CASE WHEN n = 1 THEN ' signal · ' ELSE ' signals · ' END || CASE WHEN delta7 > 0 THEN '↑ +' WHEN delta7 < 0 THEN '↓ ' ELSE '→ +' END || delta7 || ' vs prior 7d' AS trend_line"""
 ORACLES = {
     "risk_signals": with_items("SELECT id, domain, CAST(n_terms AS INTEGER) AS n_terms, authority, severity, recency, confidence, score FROM sig", REGISTRY_SQL, SIGNALS_SQL),
     "risk_heatmap_cells": with_items(f"SELECT {_CELL_COLUMNS} FROM leveled", *_GRID),
@@ -287,9 +330,25 @@ ORACLES = {
     "routing_breakdown": with_items("SELECT CASE grouping(urgency, country, topic) WHEN 3 THEN 'urgency' WHEN 5 THEN 'country' ELSE 'topic' END AS kind, coalesce(urgency, country, topic) AS name, count(*) AS n FROM scored_items WHERE signal_score >= 60 GROUP BY GROUPING SETS ((urgency), (country), (topic))", ROUTED_SQL, SCORES_SQL, SCORED_SQL),
     "balanced_digest": with_items("SELECT id, country, rank, turn FROM chosen", ROUTED_SQL, SCORES_SQL, SCORED_SQL, DIGEST_SQL),
     "digest_summary": with_items("SELECT count(*) AS n, count(*) FILTER (urgency IN ('ACTION REQUIRED', 'STRATEGIC')) AS urgent, (SELECT string_agg(topic, ', ' ORDER BY p) FROM (SELECT topic, min(rank) AS p FROM chosen GROUP BY 1 ORDER BY p LIMIT 3)) AS topics FROM chosen", ROUTED_SQL, SCORES_SQL, SCORED_SQL, DIGEST_SQL),
+    "digest_bodies": with_items(
+        r"""SELECT 'Weekly <briefing>' || chr(10) || chr(10) || string_agg(k || '. ' || title || ' [' || country || ']' || chr(10) || '   ' || link, chr(10) ORDER BY k) AS text_body,
+  '<h1>Weekly &lt;briefing&gt;</h1><ol>' || string_agg('<li><a href="' || ESC(link) || '">' || ESC(title) || '</a> ' || ESC(country) || '</li>', '' ORDER BY k) || '</ol>' AS html_body FROM (SELECT *, row_number() OVER (ORDER BY rank) AS k FROM chosen)""".replace("ESC(link)", _escaped("link")).replace("ESC(title)", _escaped("title")).replace("ESC(country)", _escaped("country")),
+        ROUTED_SQL, SCORES_SQL, SCORED_SQL, DIGEST_SQL,
+    ),
     "source_urls": with_items("SELECT i.id, coalesce(a.url, b.url, i.link) AS source_url FROM items i LEFT JOIN registry a ON a.name = i.source AND a.id NOT IN ('s4', 's7') LEFT JOIN (SELECT country, category, min_by(url, id) AS url FROM registry WHERE id NOT IN ('s4', 's7') GROUP BY 1, 2) b ON b.country = i.country AND b.category = i.category", REGISTRY_SQL),
-    "detected_movements": with_items("SELECT id, movement_type, confidence, 'needs_review' AS status, array_to_string(hits, ',') AS keywords FROM moved WHERE confidence >= 42", MOVES_SQL),
-    "movement_funnel": with_items("SELECT count(*) AS total, count(*) FILTER (false) AS detected, count(*) FILTER (id % 3 <> 0) AS needs_review, count(*) FILTER (id % 3 = 0) AS approved, count(*) FILTER (false) AS dismissed FROM moved WHERE confidence >= 42", MOVES_SQL),
+    "detected_movements": with_items("SELECT id, movement_type, judge_name, court, new_role, confidence, status, array_to_string(hits, ',') AS keywords FROM shown", MOVES_SQL),
+    "movement_funnel": with_items("SELECT count(*) AS total, count(*) FILTER (status = 'detected' AND id % 3 <> 0) AS detected, count(*) FILTER (status = 'needs_review' AND id % 3 <> 0) AS needs_review, count(*) FILTER (id % 3 = 0) AS approved, count(*) FILTER (false) AS dismissed FROM shown", MOVES_SQL),
+    "movement_bands": with_items(
+        r"""SELECT id, 'Medium' AS band, lower(to_base(abs(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(link, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648)), 36)) AS short_id,
+  array_to_string(list_transform(string_split(replace(movement_type, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM shown WHERE country = 'India' AND confidence >= 60 AND confidence < 80""",
+        MOVES_SQL,
+    ),
+    "movement_drafts": with_items(f"""SELECT id, CASE WHEN movement_type = 'retirement' THEN 'Congratulations on your judicial service' ELSE 'Congratulations on your appointment as ' || role END AS subject,
+  '{wordings.REVIEW_NOTE}' || chr(10) || chr(10) || 'Dear ' || name || ',' || chr(10) || chr(10) || 'On behalf of [Organisation/Team], ' || replace('{wordings.TONES['Formal judiciary']}', 'this important appointment', 'your appointment as ' || role || at_court) || chr(10) || chr(10) || chr(10)
+    || 'We wish you every success in this important role and look forward to following your continued contribution to the administration of justice in ' || country || '.' || chr(10) || chr(10) || 'Yours sincerely,' || chr(10) || '[Sender Name]' AS body,
+  concat_ws(',', CASE WHEN judge_name = '' THEN 'judge name' END, CASE WHEN placeless THEN 'new role or court' END) AS missing, judge_name <> '' AND NOT placeless AS can_approve
+FROM (SELECT *, CASE WHEN new_role <> '' THEN new_role WHEN movement_type = 'retirement' THEN 'your judicial service' WHEN movement_type = 'honour' THEN 'this honour' ELSE '[New Role]' END AS role, CASE WHEN judge_name <> '' THEN judge_name ELSE '[Judge Name]' END AS name,
+  CASE WHEN court <> '' THEN ' at ' || court ELSE '' END AS at_court, new_role = '' AND court = '' AND movement_type NOT IN ('retirement', 'honour') AS placeless FROM shown)""", MOVES_SQL),
     "feedback_topics": f"WITH {_FEEDBACK} SELECT 'value' AS kind, value AS name, count(*) AS n FROM feedback GROUP BY 2 UNION ALL SELECT 'department', department, count(*) FROM feedback GROUP BY 2 UNION ALL SELECT * FROM (SELECT 'topic' AS kind, t AS name, count(*) AS n FROM (SELECT unnest(topics) AS t FROM feedback) GROUP BY 2 ORDER BY n DESC, name LIMIT 5)",
     "ignored_topics": f"WITH {_FEEDBACK} SELECT topic FROM (SELECT lower(string_split(p_type, ' ')[1]) AS topic FROM part UNION SELECT event_type FROM events) WHERE topic NOT IN (SELECT unnest(topics) FROM feedback) ORDER BY 1 LIMIT 5",
     "kept_selection": with_items("SELECT id FROM routed WHERE id % 4 = 0 AND urgency = 'ACTION REQUIRED'", ROUTED_SQL),

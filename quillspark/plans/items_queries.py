@@ -17,7 +17,7 @@ CATEGORY_RULES = (("Legislation News", ("license", "licensed")), ("Policy/Regula
 COUNTRY_SIGNALS = {"Malaysia": ("ai", "en"), "Singapore": ("the", "license"), "Hong Kong": ("und", "der"), "Australia": ("que", "de"), "New Zealand": ("st",), "India": ("of", "mit")}
 LEGAL_TERMS, POLICY_TERMS, TAGS = ("the", "und", "que", "ai"), ("ai", "license"), ("ai", "the", "license", "und", "que")
 EDITORIAL_RULE = {"tab": "News Sources", "titles": ("%the.", "%en."), "summaries": ("%licensed under%",)}
-GATE_NOISE, GATE_COMMERCIAL = ("all rights reserved",), ("mit license",)
+GATE_NOISE, GATE_COMMERCIAL, GATE_POLITICAL, GATE_STRONG = ("all rights reserved",), ("mit license",), ("nd", "der"), ("st", "ein", "in")
 
 
 def visible_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +54,8 @@ def stats_grouping_sets(spark, sf):
 
 def stats_overview(spark, sf):
     one = stats.overview(visible_items(spark, sf), runs(spark, sf), now())
-    return one.select("total", "new_24h", "last_scan", F.size("by_country").alias("countries"), F.col("by_category")["Legal News"].alias("legal_news"))
+    listed = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return one.select("total", "new_24h", "last_scan", listed("by_country").alias("by_country"), listed("by_category").alias("by_category"))
 
 
 def latest_run_per_source(spark, sf):
@@ -62,7 +63,7 @@ def latest_run_per_source(spark, sf):
 
 
 def run_health(spark, sf):
-    return stats.run_health(runs(spark, sf), registry(spark), visible_items(spark, sf)).select("source_id", "name", "access_basis", "status", "item_count")
+    return stats.run_health(runs(spark, sf), registry(spark), visible_items(spark, sf)).select("source_id", "name", "access_basis", "status", "item_count", "error")
 
 
 def country_mix(spark, sf):
@@ -93,7 +94,7 @@ def capped_per_source(spark, sf):
 
 def _gated(spark, sf):
     joined = classify.with_registry(items(spark, sf), registry(spark))
-    return gates.gate_items(joined, noise_phrases=GATE_NOISE, commercial=GATE_COMMERCIAL, editorial=("licensed under",), legal=LEGAL_TERMS, gazette_ids=("s2",), country_signals=COUNTRY_SIGNALS, rules=CATEGORY_RULES)
+    return gates.gate_items(joined, noise_phrases=GATE_NOISE, commercial=GATE_COMMERCIAL, editorial=("licensed under",), legal=LEGAL_TERMS, political=GATE_POLITICAL, strong=GATE_STRONG, gazette_ids=("s2",), country_signals=COUNTRY_SIGNALS, rules=CATEGORY_RULES)
 
 
 def gate_reasons(spark, sf):
@@ -135,32 +136,70 @@ def merge_summary(spark, sf):
     return merge.merge_counts(merge.merge_items(*_store(spark, sf), now()))
 
 
-def _issues(spark, sf, low: int, high: int) -> DataFrame:
-    d = read(spark, sf, "documents").filter((F.col("doc_id") >= low) & (F.col("doc_id") < high))
-    status = F.when(F.col("doc_id") % 3 == 0, "draft").otherwise("published")
-    at = F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("doc_id").cast("int")))
-    return d.select((F.col("doc_id") % 120).alias("id"), F.substring("text", 1, 40).alias("title"), status.alias("status"), at.alias("published_at"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"), F.lit("2024-01-02 00:00:00").cast("timestamp").alias("updated_at"))
+def _issues(spark, sf, part: str, months: int = 0) -> DataFrame:
+    """A part of the documents as issues: the stored ones are two thirds of all, as are the new ones."""
+    d, n = read(spark, sf, "documents").filter(part), F.col("doc_id")
+    status = F.when((n + months) % 3 == 0, "draft").otherwise("published")
+    start = F.add_months(F.lit("2024-01-01").cast("date"), months).cast("timestamp")
+    at = F.when(n % 2 == 0, start + F.make_dt_interval(hours=n.cast("int")))
+    created = start + F.make_dt_interval(hours=(n % 997).cast("int"))
+    return d.select(n.alias("id"), F.substring_index("text", "\n", 1).alias("title"), status.alias("status"), at.alias("published_at"), created.alias("created_at"), F.lit("2024-01-02 00:00:00").cast("timestamp").alias("updated_at"))
+
+
+STORED, NEW = "doc_id % 3 < 2", "doc_id % 3 > 0"
 
 
 def published_issues(spark, sf):
-    merged = merge.upsert_issues(_issues(spark, sf, 0, 80), _issues(spark, sf, 150, 200), now())
+    merged = merge.upsert_issues(_issues(spark, sf, STORED), _issues(spark, sf, NEW, 1), now())
     return listing.published(merged, 100)
 
 
+def upserted_issues(spark, sf):
+    """All issues after the batch, with their dates."""
+    return merge.upsert_issues(_issues(spark, sf, STORED), _issues(spark, sf, NEW, 1), now())
+
+
+def upserted_digests(spark, sf):
+    """Weekly digests: their item count is the number of entries where none is given."""
+    e = F.transform(F.sequence(F.lit(1), (F.col("id") % 5).cast("int") + 1), lambda k: F.struct(k.alias("item")))
+    with_entries = lambda df: df.withColumns({"entries": e, "item_count": F.when(F.col("id") % 4 == 0, 99)})
+    return merge.upsert_issues(with_entries(_issues(spark, sf, STORED)), with_entries(_issues(spark, sf, NEW, 1)), now()).select("id", "status", "item_count", "created_at")
+
+
 def deleted_issues(spark, sf):
-    kept = merge.delete_by_key(_issues(spark, sf, 0, 80), _issues(spark, sf, 40, 60), "id")
+    kept = merge.delete_by_key(_issues(spark, sf, STORED), _issues(spark, sf, NEW), "id")
     return kept.agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
+def public_stats(spark, sf):
+    return stats.public_stats(_issues(spark, sf, STORED))
+
+
+def found_issues(spark, sf):
+    """Issues that a search finds in their titles."""
+    return listing.search_issues(_issues(spark, sf, STORED), "the").select("id")
+
+
+def official_sources(spark, sf):
+    return stats.official_sources(registry(spark))
+
+
+def merge_tagged(spark, sf):
+    """The merge of tagged items, which also overwrites region and tags."""
+    tag = lambda df: df.withColumns({"region": F.concat(F.lit("r"), F.length("title").cast("string")), "tags": F.array("category")})
+    stored, batch = _store(spark, sf)
+    batch = batch.withColumn("title", F.concat("title", F.lit("!")))
+    merged = merge.merge_items(tag(stored), tag(batch), now(), overwrite=("source_tab", "category", "region", "tags"))
+    return merged.select("fingerprint", "region", F.array_join("tags", ",").alias("tags"), "title", "action")
+
+
 def migrated_items(spark, sf):
     old = items(spark, sf).withColumns({"category": F.when(F.col("id") % 2 == 0, "Judgment").otherwise("Court News/Legal News"), "source_tab": F.lit(None).cast("string"), "fingerprint": F.sha2((F.col("id") % 400).cast("string").cast("binary"), 256)})
     return merge.migrate_items(old, registry(spark)).select("id", "category", "source_tab", "fingerprint")
 
 
 def issue_history(spark, sf):
-    base = _issues(spark, sf, 0, 100).withColumn("created_at", F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int")))
-    new = _issues(spark, sf, 90, 110).withColumn("created_at", F.lit("2024-02-01").cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int")))
-    return merge.bounded_history(base, new).select("id", "created_at")
+    return merge.bounded_history(_issues(spark, sf, STORED), _issues(spark, sf, NEW, 1)).select("id", "created_at")
 
 
 def run_log(spark, sf):
@@ -178,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_items, list_tagged_items, hidden_by_rule, stats_by_country, stats_grouping_sets, stats_overview, latest_run_per_source, run_health, country_mix, category_facets, canonical_urls, fingerprint_dedup,
-        first_per_title, capped_per_source, gate_reasons, classify_category, stored_categories, detect_country, ai_gate, merge_updates, merge_summary, published_issues, deleted_issues, migrated_items, issue_history,
+        first_per_title, capped_per_source, gate_reasons, classify_category, stored_categories, detect_country, ai_gate, merge_updates, merge_summary, merge_tagged, published_issues, upserted_issues, upserted_digests, found_issues, public_stats, official_sources, deleted_issues, migrated_items, issue_history,
         run_log, weekly_velocity,
     )
 }
@@ -202,11 +241,30 @@ merged AS (
     coalesce(n.date, o.date) AS date, CASE WHEN o.id IS NULL THEN {now} ELSE o.first_seen_at END AS first_seen_at, CASE WHEN n.id IS NULL THEN o.last_seen_at ELSE {now} END AS last_seen_at,
     CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS action
   FROM stored o FULL JOIN batch n ON o.fingerprint = n.fingerprint)""".replace("{now}", NOW_SQL)
-_ISSUE = """SELECT doc_id % 120 AS id, substr(text, 1, 40) AS title, CASE WHEN doc_id % 3 = 0 THEN 'draft' ELSE 'published' END AS status,
-  CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-01-01' + to_hours(doc_id) END AS published_at, TIMESTAMP '2024-01-01' AS created_at, TIMESTAMP '2024-01-02' AS updated_at
-  FROM documents WHERE doc_id >= {0} AND doc_id < {1}"""
+_ISSUE = """SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, CASE WHEN (doc_id + {1}) % 3 = 0 THEN 'draft' ELSE 'published' END AS status,
+  CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-0{2}-01' + to_hours(doc_id) END AS published_at, TIMESTAMP '2024-0{2}-01' + to_hours(doc_id % 997) AS created_at, TIMESTAMP '2024-01-02' AS updated_at
+  FROM documents WHERE {0}"""
+_OLD, _NEW = _ISSUE.format(STORED, 0, 1), _ISSUE.format(NEW, 1, 2)
+_UPSERTED = f"""o AS ({_OLD}), n AS ({_NEW}),
+m AS (SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN o.title ELSE n.title END AS title, CASE WHEN n.id IS NULL THEN o.status ELSE n.status END AS status,
+  CASE WHEN n.id IS NULL THEN o.published_at ELSE coalesce(n.published_at, CASE WHEN n.status = 'published' THEN {NOW_SQL} END) END AS published_at, coalesce(o.created_at, {NOW_SQL}) AS created_at, CASE WHEN n.id IS NULL THEN o.updated_at ELSE {NOW_SQL} END AS updated_at
+  FROM o FULL JOIN n ON o.id = n.id)"""
 _POLICY = f"CASE WHEN c = 'Legal News' AND {{0}} THEN 'Policy/Regulatory News' ELSE c END"
 
+GATED_SQL = f"""gated AS (SELECT *, CASE WHEN len(ct) < 8 THEN 'short title' WHEN tk IN ({quoted(lexicon.NOISE_TITLES)}) THEN 'noise title'
+  WHEN contains(tk, 'all rights reserved') OR contains(sk, 'all rights reserved') THEN 'noise phrase'
+  WHEN starts_with(tk, 'adv ') OR starts_with(tk, 'advertisement ') OR contains(tk || ' ' || sk, 'mit license') THEN 'commercial'
+  WHEN tk LIKE '% opinion' OR tk LIKE '% forum' OR contains(tk || ' ' || sk, 'licensed under') THEN 'editorial'
+  WHEN r_require_date AND date IS NULL THEN 'no date'
+  WHEN len(r_required_terms) > 0 AND NOT {has_any('low', ('the', 'der'))} THEN 'required terms'
+  WHEN len(r_excluded_terms) > 0 AND {has_any('low', ('license',))} THEN 'excluded terms'
+  WHEN NOT coalesce(r_include_all, false) AND NOT ({has_any('low', LEGAL_TERMS)} AND NOT ({has_any('low', GATE_POLITICAL)} AND NOT {has_any('low', GATE_STRONG)}) AND (NOT {has_any('low', lexicon.ENFORCEMENT_TERMS)} OR {has_any('low', lexicon.COURT_CONTEXT_TERMS)})) THEN 'not legal'
+  WHEN r_country_detection AND NOT {has_any("low || ' ' || lower(link)", [t for ts in COUNTRY_SIGNALS.values() for t in ts])} THEN 'no country' ELSE 'accepted' END AS outcome
+FROM (SELECT *, {KEY_SQL.format('ct')} AS tk, {KEY_SQL.format('cs')} AS sk, lower(ct || ' ' || cs) AS low FROM (
+  SELECT i.*, {_CUT.format('c1', 260, 259)} AS ct, {_CUT.format('c2', 520, 519)} AS cs FROM (
+    SELECT i.*, {_CLEAN.format('i.title')} AS c1, {_CLEAN.format('i.summary')} AS c2, r.require_date AS r_require_date, r.required_terms AS r_required_terms, r.excluded_terms AS r_excluded_terms, r.include_all AS r_include_all, r.country_detection AS r_country_detection, r.country AS r_country
+    FROM items i LEFT JOIN registry r ON r.name = i.source) i)))"""
+
 ORACLES = {
     "list_items": with_items(f"SELECT id, country, source, title, date, first_seen_at, first_seen_at >= {NOW_SQL} - INTERVAL 24 HOUR AS is_new FROM visible WHERE category = 'Legal News' AND (title ILIKE '%the%' OR summary ILIKE '%the%' OR source ILIKE '%the%') ORDER BY date DESC NULLS LAST, first_seen_at DESC, id LIMIT 200 OFFSET 5", VISIBLE_SQL),
     "list_tagged_items": with_items(
@@ -217,10 +275,10 @@ ORACLES = {
     ),
     "stats_by_country": with_items(f"SELECT country, count(*) AS n, count(*) FILTER (first_seen_at >= {NOW_SQL} - INTERVAL 24 HOUR) AS n_new FROM visible GROUP BY 1", VISIBLE_SQL),
     "stats_grouping_sets": with_items("SELECT CASE grouping(country, category) WHEN 3 THEN 'total' WHEN 1 THEN 'country' ELSE 'category' END AS kind, coalesce(country, category) AS name, count(*) AS n FROM visible GROUP BY GROUPING SETS ((), (country), (category))", VISIBLE_SQL),
-    "stats_overview": with_items(f"SELECT count(*) AS total, count(*) FILTER (first_seen_at >= {NOW_SQL} - INTERVAL 24 HOUR) AS new_24h, (SELECT max(fetched_at) FROM runs) AS last_scan, CAST(count(DISTINCT country) AS INTEGER) AS countries, count(*) FILTER (category = 'Legal News') AS legal_news FROM visible", VISIBLE_SQL, RUNS_SQL),
+    "stats_overview": with_items(f"SELECT count(*) AS total, count(*) FILTER (first_seen_at >= {NOW_SQL} - INTERVAL 24 HOUR) AS new_24h, (SELECT max(fetched_at) FROM runs) AS last_scan, (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM (SELECT country AS k, count(*) AS n FROM visible GROUP BY 1)) AS by_country, (SELECT string_agg(k || ':' || n, ',' ORDER BY k) FROM (SELECT category AS k, count(*) AS n FROM visible GROUP BY 1)) AS by_category FROM visible", VISIBLE_SQL, RUNS_SQL),
     "latest_run_per_source": f"WITH {RUNS_SQL} SELECT source_id, id, status, fetched_at FROM runs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id DESC) = 1",
     "run_health": with_items(
-        "SELECT l.source_id, r.name, CASE WHEN r.official THEN 'official' WHEN r.source_type = 'rss' THEN 'public feed' ELSE 'public page' END AS access_basis, CASE WHEN l.status = 'error' AND h.n > 0 THEN 'stale' ELSE l.status END AS status, CASE WHEN l.status = 'error' AND h.n > 0 THEN h.n ELSE l.item_count END AS item_count FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id DESC) = 1) l JOIN registry r ON r.id = l.source_id LEFT JOIN (SELECT source, count(*) AS n FROM visible GROUP BY 1) h ON h.source = r.name",
+        "SELECT l.source_id, r.name, CASE WHEN r.official THEN 'official' WHEN r.source_type = 'rss' THEN 'public feed' ELSE 'public page' END AS access_basis, CASE WHEN l.status = 'error' AND h.n > 0 THEN 'stale' ELSE l.status END AS status, CASE WHEN l.status = 'error' AND h.n > 0 THEN h.n ELSE l.item_count END AS item_count, CASE WHEN l.status = 'error' AND h.n > 0 THEN 'Showing stored items. Last error: ' || substr(coalesce(nullif(trim(l.error), ''), 'Error'), 1, 600) WHEN l.status = 'error' THEN substr(coalesce(nullif(trim(l.error), ''), 'Error'), 1, 700) END AS error FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id DESC) = 1) l JOIN registry r ON r.id = l.source_id LEFT JOIN (SELECT source, count(*) AS n FROM visible GROUP BY 1) h ON h.source = r.name",
         VISIBLE_SQL, RUNS_SQL, REGISTRY_SQL,
     ),
     "country_mix": with_items("SELECT country, count(*) AS n, CAST(greatest(8, floor(count(*) * 100 / max(count(*)) OVER () + 0.5)) AS INTEGER) AS width FROM visible GROUP BY 1", VISIBLE_SQL),
@@ -233,22 +291,7 @@ ORACLES = {
     "fingerprint_dedup": with_items("SELECT id, fingerprint FROM (SELECT id, sha256(country || '|' || CASE WHEN k <> '' THEN k ELSE " + URL_SQL + " END) AS fingerprint FROM (SELECT *, " + KEY_SQL.format("title") + " AS k FROM items)) QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY id DESC) = 1"),
     "first_per_title": with_items("SELECT min(id) AS id FROM items GROUP BY lower(title)"),
     "capped_per_source": with_items("SELECT source, count(*) AS n, max(id) AS last_id FROM (SELECT source, id FROM visible QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 25) GROUP BY 1", VISIBLE_SQL),
-    "gate_reasons": with_items(
-        f"""SELECT id, CASE WHEN len(ct) < 8 THEN 'short title' WHEN tk IN ({quoted(lexicon.NOISE_TITLES)}) THEN 'noise title'
-  WHEN contains(tk, 'all rights reserved') OR contains(sk, 'all rights reserved') THEN 'noise phrase'
-  WHEN starts_with(tk, 'adv ') OR starts_with(tk, 'advertisement ') OR contains(tk || ' ' || sk, 'mit license') THEN 'commercial'
-  WHEN tk LIKE '% opinion' OR tk LIKE '% forum' OR contains(tk || ' ' || sk, 'licensed under') THEN 'editorial'
-  WHEN r_require_date AND date IS NULL THEN 'no date'
-  WHEN len(r_required_terms) > 0 AND NOT {has_any('low', ('the', 'der'))} THEN 'required terms'
-  WHEN len(r_excluded_terms) > 0 AND {has_any('low', ('license',))} THEN 'excluded terms'
-  WHEN NOT coalesce(r_include_all, false) AND NOT ({has_any('low', LEGAL_TERMS)} AND (NOT {has_any('low', lexicon.ENFORCEMENT_TERMS)} OR {has_any('low', lexicon.COURT_CONTEXT_TERMS)})) THEN 'not legal'
-  WHEN r_country_detection AND NOT {has_any("low || ' ' || lower(link)", [t for ts in COUNTRY_SIGNALS.values() for t in ts])} THEN 'no country' ELSE 'accepted' END AS outcome
-FROM (SELECT *, {KEY_SQL.format('ct')} AS tk, {KEY_SQL.format('cs')} AS sk, lower(ct || ' ' || cs) AS low FROM (
-  SELECT i.*, {_CUT.format('c1', 260, 259)} AS ct, {_CUT.format('c2', 520, 519)} AS cs FROM (
-    SELECT i.*, {_CLEAN.format('i.title')} AS c1, {_CLEAN.format('i.summary')} AS c2, r.require_date AS r_require_date, r.required_terms AS r_required_terms, r.excluded_terms AS r_excluded_terms, r.include_all AS r_include_all, r.country_detection AS r_country_detection
-    FROM items i LEFT JOIN registry r ON r.name = i.source) i))""",
-        REGISTRY_SQL,
-    ),
+    "gate_reasons": with_items("SELECT id, outcome FROM gated", REGISTRY_SQL, GATED_SQL),
     "classify_category": with_items(
         f"SELECT id, CASE WHEN coalesce(f, false) OR c IN ({quoted(lexicon.PINNED_CATEGORIES)}) THEN c {_rules_sql('t', CATEGORY_RULES)} WHEN c IN ({quoted(lexicon.CATEGORIES)}) THEN c ELSE 'Legal News' END AS category FROM (SELECT i.id, r.force_category AS f, coalesce(r.category, i.category) AS c, lower(i.title || ' ' || i.summary) AS t FROM items i LEFT JOIN registry r ON r.name = i.source)",
         REGISTRY_SQL,
@@ -263,19 +306,24 @@ FROM (SELECT *, {KEY_SQL.format('ct')} AS tk, {KEY_SQL.format('cs')} AS sk, lowe
         _STORE_SQL,
     ),
     "merge_summary": with_items("SELECT count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action = 'updated') AS updated FROM merged", _STORE_SQL),
-    "published_issues": f"""WITH o AS ({_ISSUE.format(0, 80)}), n AS ({_ISSUE.format(150, 200)}),
-m AS (SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN o.title ELSE n.title END AS title, CASE WHEN n.id IS NULL THEN o.status ELSE n.status END AS status,
-  CASE WHEN n.id IS NULL THEN o.published_at ELSE coalesce(n.published_at, CASE WHEN n.status = 'published' THEN {NOW_SQL} END) END AS published_at, coalesce(o.created_at, {NOW_SQL}) AS created_at, CASE WHEN n.id IS NULL THEN o.updated_at ELSE {NOW_SQL} END AS updated_at
-  FROM o FULL JOIN n ON o.id = n.id)
-SELECT * FROM m WHERE status = 'published' AND published_at IS NOT NULL ORDER BY published_at DESC, updated_at DESC, id LIMIT 100""",
-    "deleted_issues": f"WITH o AS ({_ISSUE.format(0, 80)}), n AS ({_ISSUE.format(40, 60)}) SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM o WHERE id NOT IN (SELECT id FROM n)",
+    "published_issues": f"WITH {_UPSERTED} SELECT * FROM m WHERE status = 'published' AND published_at IS NOT NULL ORDER BY published_at DESC, updated_at DESC, id LIMIT 100",
+    "upserted_issues": f"WITH {_UPSERTED} SELECT * FROM m",
+    "upserted_digests": f"WITH {_UPSERTED} SELECT id, status, CAST(CASE WHEN id % 4 = 0 THEN 99 WHEN id % 3 = 0 THEN NULL ELSE id % 5 + 1 END AS INTEGER) AS item_count, created_at FROM m",
+    "deleted_issues": f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM o WHERE id NOT IN (SELECT id FROM n)",
+    "public_stats": f"SELECT count(*) AS published, max(published_at) AS last_published FROM ({_OLD}) WHERE status = 'published' AND published_at IS NOT NULL",
+    "found_issues": f"SELECT id FROM ({_OLD}) WHERE contains(lower(title), 'the')",
+    "official_sources": f"WITH {REGISTRY_SQL} SELECT count(*) AS sources, count(*) FILTER (official) AS official FROM registry",
+    "merge_tagged": with_items(
+        "SELECT coalesce(o.fingerprint, n.fingerprint) AS fingerprint, 'r' || len(CASE WHEN n.id IS NULL THEN o.title ELSE n.title || '!' END) AS region, CASE WHEN n.id IS NULL THEN o.category ELSE n.category END AS tags, coalesce(o.title, n.title || '!') AS title, CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM stored o FULL JOIN batch n ON o.fingerprint = n.fingerprint",
+        _STORE_SQL,
+    ),
     "migrated_items": with_items(
         f"""SELECT id, coalesce(forced, {_POLICY.format(has_any('t', lexicon.POLICY_TERMS))}) AS category, source_tab, fingerprint FROM (
   SELECT i.id, lower(i.title || ' ' || i.summary) AS t, CASE WHEN i.id % 2 = 0 THEN 'Recent Judgments' ELSE 'Legal News' END AS c, CASE WHEN r.force_category THEN r.category END AS forced, r.source_tab, sha256(CAST(i.id % 400 AS VARCHAR)) AS fingerprint
   FROM items i LEFT JOIN registry r ON r.name = i.source QUALIFY row_number() OVER (PARTITION BY i.id % 400 ORDER BY i.id) = 1)""",
         REGISTRY_SQL,
     ),
-    "issue_history": f"WITH b AS (SELECT id, TIMESTAMP '2024-01-01' + to_hours(id) AS created_at FROM ({_ISSUE.format(0, 100)})), n AS (SELECT id, TIMESTAMP '2024-02-01' + to_hours(id) AS created_at FROM ({_ISSUE.format(90, 110)})) SELECT * FROM (SELECT * FROM b WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n) ORDER BY created_at DESC, id LIMIT 30",
+    "issue_history": f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT id, created_at FROM (SELECT * FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n) ORDER BY created_at DESC, id LIMIT 30",
     "run_log": f"WITH {RUNS_SQL} SELECT source_id, status, count(*) AS n, CAST(max(len(substr(error, 1, 700))) AS INTEGER) AS longest FROM runs GROUP BY 1, 2",
     "weekly_velocity": f"WITH {RUNS_SQL} SELECT source_id, CAST(week AS TIMESTAMP) AS week, n, n - lag(n) OVER (PARTITION BY source_id ORDER BY week) AS delta FROM (SELECT source_id, date_trunc('week', fetched_at) AS week, count(*) AS n FROM runs GROUP BY 1, 2)",
 }

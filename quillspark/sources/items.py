@@ -26,15 +26,15 @@ def _pick(values, index):
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as items: id, country, source, source_tab, title, summary, category, date, first_seen_at, link."""
+    """documents, their whole texts, as items: id, country, source, source_tab, title, summary, category, date, first_seen_at, link."""
     d, n = read(spark, sf_dir, "documents"), F.col("doc_id")
     return d.select(
         n.alias("id"),
         _pick(JURISDICTIONS, n % 6).alias("country"),
         "source",
         F.when(n % 4 < 3, _pick(TABS, n % 4 % 3)).alias("source_tab"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("title"),
-        F.substring("text", 1, 400).alias("summary"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("summary"),
         _pick(CATEGORIES, F.floor(n / 6) % 6).alias("category"),
         F.when(n % 7 != 0, F.date_add(F.lit("2024-02-01").cast("date"), -(n % 61).cast("int"))).alias("date"),
         (F.lit("2024-01-31 00:00:00").cast("timestamp") - F.make_dt_interval(days=(n % 40).cast("int"), hours=(n % 24).cast("int"))).alias("first_seen_at"),
@@ -49,7 +49,7 @@ def _sql_list(values) -> str:
 ITEMS_SQL = f"""items AS (
   SELECT doc_id AS id, {_sql_list(JURISDICTIONS)}[doc_id % 6 + 1] AS country, source,
     CASE WHEN doc_id % 4 < 3 THEN {_sql_list(TABS)}[doc_id % 4 % 3 + 1] END AS source_tab,
-    substr(string_split(text, chr(10))[1], 1, 120) AS title, substr(text, 1, 400) AS summary,
+    string_split(text, chr(10))[1] AS title, text AS summary,
     {_sql_list(CATEGORIES)}[(doc_id // 6) % 6 + 1] AS category,
     CASE WHEN doc_id % 7 <> 0 THEN DATE '2024-02-01' - CAST(doc_id % 61 AS INTEGER) END AS date,
     TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(doc_id % 40 AS INTEGER)) - to_hours(doc_id % 24) AS first_seen_at,

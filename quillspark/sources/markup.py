@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import lexicon
 from quillspark.functions.dates import feed_date, publication_date
 from quillspark.functions.text import canonical_url, clean_text
 
@@ -101,7 +102,7 @@ def gazette_rows(nodes: DataFrame, *, id_col: str = "page_id") -> DataFrame:
     from quillspark.functions.text import gazette_text
 
     t = F.col("text")
-    both = t.rlike(r"\b[A-Z]{2}(?:-[A-Z]{2})?-[A-Z]-\d{8}-\d{6}\b") & publication_date(t).isNotNull()
+    both = t.rlike(lexicon.GAZETTE_ID) & publication_date(t).isNotNull()
     return nodes.filter((F.col("tag") == "tr") & both).select(id_col, "pos", gazette_text(t).alias("title"), publication_date(t).alias("date"))
 
 
