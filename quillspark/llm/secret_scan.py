@@ -24,6 +24,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.lineage import cut
+
 #: Kinds of candidate, most specific first. Group 1 of a pattern is the value.
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----([A-Za-z0-9+/=:,.\s]{16,})-----END",
@@ -51,6 +53,8 @@ DICTIONARY = (
 ).split()
 WORD_LENGTHS = range(4, 13)
 NEAR_CHARS = 60
+#: A word of the dictionary is at least one in so many of the corpus.
+RARE = 50_000
 
 
 class Language:
@@ -89,7 +93,10 @@ def letter_pairs(texts: Iterable[str | None]) -> np.ndarray:
 
 
 def corpus_language(docs: DataFrame, *, text_col: str = "text", words: int = 5000) -> Language:
-    """The letter model and dictionary of all documents. Ties between words go to the first in order."""
+    """The letter model of all documents, and their ``words`` most frequent words (each one in ``RARE`` or more).
+
+    Ties between words go to the first in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((27, 27), dtype=np.int64)
@@ -102,7 +109,10 @@ def corpus_language(docs: DataFrame, *, text_col: str = "text", words: int = 500
     for r in lean.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[r["pair"]] = r["n"]
     spelt = lean.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter(F.length("word").between(WORD_LENGTHS[0], WORD_LENGTHS[-1]))
-    top = spelt.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(words)
+    counts = cut(spelt.groupBy("word").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # Words that are more than one in RARE of all are fewer than RARE, whatever the corpus.
+    top = counts.filter(F.col("n") > total // RARE).orderBy(F.col("n").desc(), "word").limit(words)
     return Language(pairs.reshape(27, 27), [r["word"] for r in top.collect()])
 
 
