@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,30 +9,44 @@ from pyspark.sql.streaming import StreamingQuery
 from quillspark.operators.merge import merge_items
 
 
-def latest(spark: SparkSession, root: str) -> str:
-    """The path of the store's present version, from its pointer file."""
-    return spark.read.text(f"{root}/_current").first()[0]
+#: Partitions of a store, by a hash of the fingerprint.
+BUCKETS = 64
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("fingerprint"), F.lit(BUCKETS)).cast("int"))
 
 
-def publish(df: DataFrame, root: str) -> None:
-    """Write a new version of the store beside the old one, then move the pointer."""
-    at = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    df.sparkSession.createDataFrame([(at,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_current")
+def create_store(items: DataFrame, root: str) -> None:
+    """Write items as a store: Parquet partitioned by a hash of the fingerprint."""
+    _bucketed(items).repartition("bucket").write.partitionBy("bucket").parquet(root)
 
 
-def merge_stream(batches: DataFrame, root: str, checkpoint: str, now=None) -> StreamingQuery:
+def read_store(spark: SparkSession, root: str, schema) -> DataFrame:
+    """The items of a store, with its partition column ``bucket``."""
+    return spark.read.schema(_bucketed(spark.createDataFrame([], schema)).schema).parquet(root)
+
+
+def merge_stream(batches: DataFrame, root: str, checkpoint: str, schema, now=None) -> StreamingQuery:
     """Merge every micro-batch into the store at ``root``: redelivered items change nothing but last_seen_at.
 
-    All input there is, then stop: an outside scheduler starts the next run.
+    Only the partitions that a batch touches are read and overwritten. What is written has been checkpointed before,
+    so no task reads what another one overwrites. All input there is, then stop: an outside scheduler starts the next run.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        merged = merge_items(spark.read.parquet(latest(spark, root)), batch, now if now is not None else F.current_timestamp())
-        publish(merged.drop("action"), root)
-
-    return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{checkpoint}/tables")
+        touched = [r["bucket"] for r in _bucketed(batch).select("bucket").distinct().collect()]
+        if not touched:
+            return
+        stored = read_store(spark, root, schema).filter(F.col("bucket").isin(touched)).drop("bucket")
+        merged = merge_items(stored, batch, now if now is not None else F.current_timestamp()).drop("action")
+        out = _bucketed(merged).repartition("bucket").checkpoint()
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
+
+    return batches.writeStream.foreachBatch(merge).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, *, at: str = "ts", by: str = "event_type", width: str = "7 days", late: str = "1 day") -> DataFrame:

@@ -13,6 +13,7 @@ from quillspark.sources import markup
 from quillspark.streaming import ingest
 
 NOW = "2024-01-31 12:00:00"
+NOW_AT = dt.datetime(2024, 1, 1)
 
 
 def one(spark, column, **values):
@@ -175,12 +176,14 @@ def test_failing_summariser_falls_back(spark):
 
 def test_streamed_merge_is_idempotent(spark, tmp_path):
     schema = "fingerprint string, country string, title string, summary string, category string, source_tab string, date date, link string, first_seen_at timestamp, last_seen_at timestamp"
-    ingest.publish(spark.createDataFrame([], schema), str(tmp_path / "store"))
+    old = spark.createDataFrame([("z", "X", "t", "s", "Case Summary", "tab", None, "l", NOW_AT, NOW_AT)], schema)
+    ingest.create_store(old, str(tmp_path / "store"))
     batch = spark.createDataFrame([("a", "X", "t", "s", "Case Summary", "tab", None, "l", 1), ("b", "X", "t", "s", "Case Summary", "tab", None, "l", 1)], "fingerprint string, country string, title string, summary string, category string, source_tab string, date date, link string, seq int")
     for run in range(2):
         batch.write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
-        query = ingest.merge_stream(stream, str(tmp_path / "store"), str(tmp_path / "ck"), F.lit(NOW).cast("timestamp"))
+        query = ingest.merge_stream(stream, str(tmp_path / "store"), str(tmp_path / "ck"), schema, F.lit(NOW).cast("timestamp"))
         query.awaitTermination(120)
         assert query.exception() is None
-        assert spark.read.parquet(ingest.latest(spark, str(tmp_path / "store"))).count() == 2, run
+        got = {r["fingerprint"] for r in ingest.read_store(spark, str(tmp_path / "store"), schema).collect()}
+        assert got == {"a", "b", "z"}, run
