@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.lineage import cut, keyed_rows
 
 #: Occurrences of a passage that are compared with one copy of its first.
-SPREAD, HOT = 1000, 400
+SPREAD, HOT = 100, 400
+#: Characters that a task gathers before it hands them on.
+OUT_CHARS = 4_000_000
 #: One line in so many ends a chunk, once it has two, and the rolling hash's odd factor.
 CHUNK_LINES, ROLL = 2, 0x9E3779B97F4A7C15
 
@@ -151,13 +153,17 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict] = []
             rows, ids, hashes_, wanted = batch.columns
-            texts = rows.field(text_col)
+            texts, out, held = rows.field(text_col), [], 0
             for i in range(batch.num_rows):
                 lines = texts[i].as_py().split("\n")
                 for p in wanted[i].as_py():
-                    out.append({"__id": ids[i].as_py(), "__th": hashes_[i].as_py(), **p, "body": "\n".join(lines[p["start"] : p["stop"]])})
+                    body = "\n".join(lines[p["start"] : p["stop"]])
+                    out.append({"__id": ids[i].as_py(), "__th": hashes_[i].as_py(), **p, "body": body})
+                    held += len(body)
+                    if held > OUT_CHARS:
+                        yield pa.RecordBatch.from_pylist(out, schema=shape)
+                        out, held = [], 0
             yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     shape = pa.schema([("__id", pa.string()), ("__th", pa.int64()), ("id0", pa.string()), ("th0", pa.int64()), ("start0", pa.int32()), ("stop0", pa.int32()), ("salt", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("spans", pa.list_(pa.int32())), ("body", pa.string())])
