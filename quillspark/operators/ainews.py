@@ -32,7 +32,7 @@ def ai_items(entries: DataFrame, registry: DataFrame, *, terms=wordings.AI_TERMS
     """
     known = registry.select(F.col("id").alias("source_id"), F.col("name").alias("source"), "region", "source_type", "category", "tags", F.col("url").alias("__url"))
     own = [c for c in entries.columns if c == "source_id" or c not in known.columns]
-    rows = entries.select(own).join(F.broadcast(known), "source_id")
+    rows = entries.select(own).join(known, "source_id")
     rows = settled(rows, {"title": clean_text(F.col("title"), 260), "summary": clean_text(F.col("summary"), 520), "link": canonical_url(F.coalesce(F.nullif(F.col("link"), F.lit("")), "__url"))})
     relevant = (F.col("source_id").isin(*focused) if focused else F.lit(False)) | any_term(F.lower(clean_text(F.concat_ws(" ", "title", "summary"))), terms)
     kept = rows.filter((F.length("title") >= 8) & relevant).drop("__url")
@@ -48,7 +48,7 @@ def ai_routing_items(items: DataFrame, registry: DataFrame, now: Column, pattern
     """AI items as routing items; index pages by title are left out. Source addresses go by id, else name, else link."""
     by_id = registry.select(F.col("id").alias("source_id"), F.col("url").alias("__u1"))
     by_name = registry.groupBy(F.col("name").alias("source")).agg(F.min_by("url", "id").alias("__u2"))
-    rows = items.filter(~F.coalesce(F.trim("title").isin(*generic), F.lit(False))).join(F.broadcast(by_id), "source_id", "left").join(F.broadcast(by_name), "source", "left")
+    rows = items.filter(~F.coalesce(F.trim("title").isin(*generic), F.lit(False))).join(by_id, "source_id", "left").join(by_name, "source", "left")
     tags = F.coalesce("tags", F.array().cast("array<string>"))
     rows = settled(rows, {"topic": ai_topic(F.lower(F.concat_ws(" ", "title", "summary", "source_type", "category", F.array_join(tags, " "))), patterns)})
     vendor = (F.col("category") == "Vendor") | F.array_contains(tags, "competitor_intelligence")

@@ -50,5 +50,5 @@ def legal_relevance(text: Column, *, legal=lexicon.LEGAL_TERMS, political=lexico
 
 
 def with_registry(items: DataFrame, registry: DataFrame, prefix: str = "r_") -> DataFrame:
-    """Items with their source's registry row, its columns prefixed; a small dimension, broadcast."""
-    return items.join(F.broadcast(registry.select(*[F.col(c).alias(prefix + c) for c in registry.columns])), F.col("source") == F.col(f"{prefix}name"), "left")
+    """Items with their source's registry row, its columns prefixed. Spark broadcasts a registry that measures small enough."""
+    return items.join(registry.select(*[F.col(c).alias(prefix + c) for c in registry.columns]), F.col("source") == F.col(f"{prefix}name"), "left")

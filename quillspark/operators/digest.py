@@ -12,7 +12,7 @@ from quillspark.functions.text import escape_html, safe_href
 
 def selected_entries(candidates: DataFrame, ids: DataFrame) -> DataFrame:
     """Candidates by an ordered selection (pos, id); missing ids drop out."""
-    return candidates.join(F.broadcast(ids), "id").orderBy("pos")
+    return candidates.join(ids, "id").orderBy("pos")
 
 
 def with_summaries(entries: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def signals(items: DataFrame, registry: DataFrame, now: Column, domains=lexicon.
         ((F.col("category") == "Legal News") | (F.coalesce("source_tab", F.lit("")) == "News Sources")).alias("__news"),
         F.col("source_type").alias("__type"),
     )
-    rows = items.filter(F.col("country").isin(*jurisdictions)).join(F.broadcast(known), "source", "left")
+    rows = items.filter(F.col("country").isin(*jurisdictions)).join(known, "source", "left")
     category, title, name = F.lower(F.coalesce("category", F.lit(""))), F.lower(clean_text(F.col("title"))), F.lower(F.coalesce("source", F.lit("")))
     text = F.lower(clean_text(F.concat_ws(" ", "title", "summary", "category", "source")))
     rows = rows.withColumns({"__text": text, "__title": title, "__cat": category})

@@ -81,7 +81,7 @@ def migrate_items(old: DataFrame, registry: DataFrame) -> DataFrame:
     Of rows with one fingerprint the smallest id stays.
     """
     known = registry.select(F.col("name").alias("source"), F.col("source_tab").alias("__tab"), F.when(F.col("force_category"), F.col("category")).alias("__forced"))
-    joined = old.join(F.broadcast(known), "source", "left")
+    joined = old.join(known, "source", "left")
     fixed = joined.withColumn("category", F.coalesce("__forced", stored_category(F.col("category"), F.col("title"), F.col("summary")))).withColumn("source_tab", F.coalesce("__tab", "source_tab"))
     first = fixed.groupBy("fingerprint").agg(F.min("id").alias("id"))
     return fixed.drop("__tab", "__forced").join(first, ["fingerprint", "id"], "left_semi").select(old.columns)

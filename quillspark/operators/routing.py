@@ -179,5 +179,5 @@ def source_lookup(items: DataFrame, registry: DataFrame) -> DataFrame:
     """source_url by prioritised lookup: the source's name, else the first of its country and category, else the link."""
     by_name = registry.groupBy(F.col("name").alias("source")).agg(F.min_by("url", "id").alias("__u1"))
     by_place = registry.groupBy("country", "category").agg(F.min_by("url", "id").alias("__u2"))
-    joined = items.join(F.broadcast(by_name), "source", "left").join(F.broadcast(by_place), ["country", "category"], "left")
+    joined = items.join(by_name, "source", "left").join(by_place, ["country", "category"], "left")
     return joined.withColumn("source_url", F.coalesce("__u1", "__u2", "link")).drop("__u1", "__u2")

@@ -33,7 +33,7 @@ def run_health(runs: DataFrame, registry: DataFrame, items: DataFrame) -> DataFr
     """
     held = items.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("held"))
     known = registry.select(F.col("id").alias("source_id"), "name", F.when(F.col("official"), "official").when(F.col("source_type") == "rss", "public feed").otherwise("public page").alias("access_basis"))
-    joined = latest_runs(runs).join(F.broadcast(known), "source_id").join(held, "name", "left")
+    joined = latest_runs(runs).join(known, "source_id").join(held, "name", "left")
     stale = (F.col("status") == "error") & (F.coalesce("held", F.lit(0)) > 0)
     message = F.coalesce(F.nullif(F.trim("error"), F.lit("")), *([F.col("error_type")] if "error_type" in runs.columns else []), F.lit("Error"))
     return joined.select(

@@ -43,7 +43,7 @@ airouted AS (SELECT 'legal-ai-' || id AS id, {_AI_TOPIC} AS topic, {_REGION} AS
 
 def _ai(spark, sf) -> DataFrame:
     sources = ai_registry(spark).select(F.col("name").alias("source"), F.col("id").alias("source_id"))
-    return ainews.ai_items(items(spark, sf).join(F.broadcast(sources), "source"), ai_registry(spark), terms=AI_TERMS, focused=AI_FOCUSED)
+    return ainews.ai_items(items(spark, sf).join(sources, "source"), ai_registry(spark), terms=AI_TERMS, focused=AI_FOCUSED)
 
 
 def ai_items(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import dates, labels, lexicon, text, wordings
 from quillspark.operators import briefing, digest, heatmap, movements, positional, routing, summarize
 from quillspark.plans.sqlparts import NOW_SQL, has_term, has_word, with_items
-from quillspark.sources import markup
+from quillspark.sources import markup, scans
 from quillspark.sources.items import REGISTRY_SQL, items, now, read, registry
 from quillspark.streaming import ingest
 
@@ -172,6 +172,20 @@ def page_list_items(spark, sf):
     return markup.node_items(markup.page_nodes(read(spark, sf, "pages")), tags=("p", "li"))
 
 
+def scanned_pages(spark, sf):
+    """Every page as a listing of its articles, by selectors of its own."""
+    p, none = read(spark, sf, "pages"), F.lit(None).cast("string")
+    own = p.select(F.col("page_id").cast("string").alias("id"), "url", F.lit("selector").alias("finder"), F.lit("article").alias("item_selector"), F.lit("h1").alias("title_selector"), none.alias("link_selector"), F.lit("h1").alias("summary_selector"), none.alias("date_selector"))
+    found = scans.scan_pages(p.select(F.col("page_id").cast("string").alias("source_id"), "html"), own)
+    return found.select("source_id", "pos", "title", F.length("summary").alias("summary_chars"), "link")
+
+
+def summary_contents(spark, sf):
+    """Texts of pages for summaries; every third page is served as something else."""
+    p = read(spark, sf, "pages").withColumn("kind", F.when(F.col("page_id") % 3 == 0, "application/pdf; q=1").otherwise("text/html"))
+    return scans.page_contents(p, type_col="kind").select("page_id", "error", F.length("content").alias("chars"))
+
+
 def page_contents(spark, sf):
     return markup.page_text(markup.page_nodes(read(spark, sf, "pages")))
 
@@ -212,7 +226,7 @@ QUERIES = {
     for f in (
         risk_signals, risk_heatmap_cells, risk_heatmap_top_signals, risk_kpis, risk_cells_filtered, routing_topics, route_scores, signal_scores, strategic_signals, routing_breakdown, balanced_digest, digest_summary,
         digest_bodies, digest_with_summaries, source_urls, detected_movements, movement_funnel, movement_bands, movement_drafts, feedback_topics, ignored_topics, kept_selection, todays_items, country_line, mail_drafts, carried_lines,
-        page_nodes, page_list_items, page_contents, rss_entries, publication_dates, headlines, cleaned_texts, event_windows,
+        page_nodes, page_list_items, scanned_pages, summary_contents, page_contents, rss_entries, publication_dates, headlines, cleaned_texts, event_windows,
     )
 }
 
@@ -306,6 +320,14 @@ def _escaped(column: str) -> str:
 
 _FEEDBACK = """feedback AS (SELECT CASE WHEN value > 50 THEN 'useful' ELSE 'noise' END AS value, ['product', 'legislation', 'sales', 'editorial'][user_id % 4 + 1] AS department, list_filter([CASE WHEN event_id % 2 = 0 THEN event_type END, CASE WHEN event_id % 5 = 0 THEN 'citation' END], lambda x: x IS NOT NULL) AS topics FROM events)"""
 
+_WORD_CUT = r"CASE WHEN len({0}) <= {1} THEN {0} ELSE regexp_replace(substr({0}, 1, {2}), '\s+\S*$', '') || '...' END"
+_SQUEEZE = f"trim(regexp_replace({{0}}, '{text.SPACE}', ' ', 'g'))"
+_ENCODED = "replace(replace(url_encode({0}), '%2A', '*'), '~', '%7E')"
+_DECODED = "html"
+for _name, _point in lexicon.REFERENCES.items():
+    if _name != "amp":
+        _DECODED = f"replace({_DECODED}, '&{_name};', chr({_point}))"
+_DECODED = f"replace(replace({_DECODED}, '&#39;', chr(39)), '&amp;', '&')"
 _GRID = (REGISTRY_SQL, SIGNALS_SQL, CELLS_SQL)
 _LABELS = "CASE domain " + " ".join(f"WHEN '{d[0]}' THEN '{d[1]}'" for d in DOMAINS) + " END"
 _CELL_COLUMNS = f"""country, domain, {_LABELS} AS label, score, level, uncapped, cap, n, weighted, last7, previous7, previous30, delta7, trend,
@@ -359,6 +381,17 @@ f AS (SELECT *, CASE WHEN len(line) % 5 = 0 THEN len(line) END AS d, CASE WHEN l
 b AS (SELECT *, count(d) OVER w AS block, last_value(d IGNORE NULLS) OVER w AS day FROM f WINDOW w AS (PARTITION BY page_id ORDER BY pos))
 SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(day AS INTEGER) AS day, last_value(h IGNORE NULLS) OVER (PARTITION BY page_id, block ORDER BY pos) AS heading FROM b QUALIFY stopped = 0""",
     "rss_entries": with_items("SELECT source, CAST(k - 1 AS INTEGER) AS pos, 'https://news.example/' || source || '/' || (id % 500) || '?a=' || (id % 3) AS link, CAST(first_seen_at AS DATE) AS date FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS k FROM items) WHERE k <= 25"),
+    "headlines": with_items(
+        rf"""SELECT id, {_WORD_CUT.format('h', 118, 115)} AS headline, CASE WHEN len(s) <= 120 THEN s ELSE trim(regexp_replace(substr(s, 1, 117), '\s+\S*$', ''), ' .,;:') || '...' END AS lead, regexp_replace(lower(category), '[^a-z0-9]+', '-', 'g') AS slug FROM (
+  SELECT *, CASE WHEN letters > 0 AND capitals / letters > 0.72 THEN regexp_replace(array_to_string(list_transform(string_split(lower(c), ' '), lambda w: upper(w[1]) || w[2:]), ' '), '\bVs\.?(\s|$)', 'v.\1', 'g') ELSE c END AS h FROM (
+    SELECT *, len(regexp_replace(c, '[^A-Za-z]', '', 'g')) AS letters, len(regexp_replace(c, '[^A-Z]', '', 'g')) AS capitals FROM (
+      SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\bDownload\b.*$', ''), '(?i)\bGazette ID\b.*$', ''), '(?i)\s*[-|]\s*(Latest|News|Update)$', '')) AS c FROM (SELECT *, {_SQUEEZE.format('title')} AS t, {_SQUEEZE.format('summary')} AS s FROM items))))"""
+    ),
+    "mail_drafts": with_items(
+        f"SELECT id, CASE WHEN len(u) <= 1800 THEN 'mailto' ELSE 'copy' END AS mode, CASE WHEN len(u) <= 1800 THEN len(u) END AS chars FROM (SELECT id, 'mailto:?subject=' || {_ENCODED.format('title')} || '&body=' || {_ENCODED.format('b')} AS u FROM (SELECT *, {_WORD_CUT.format('summary', 320, 319)} AS b FROM items))"
+    ),
+    "cleaned_texts": f"SELECT page_id, trim(regexp_replace(regexp_replace({_DECODED}, '<[A-Za-z/!][^>]*>', ' ', 'g'), '{text.SPACE}', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(10) || '-•|') AS text FROM pages",
+    "scanned_pages": f"SELECT CAST(page_id AS VARCHAR) AS source_id, CAST(0 AS INTEGER) AS pos, CASE WHEN len(t) > 260 THEN rtrim(substr(t, 1, 259)) || '...' ELSE t END AS title, CAST(CASE WHEN len(t) > 520 THEN len(rtrim(substr(t, 1, 519))) + 3 ELSE len(t) END AS INTEGER) AS summary_chars, url AS link FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace({_DECODED.replace('html', 'h')}, '<[A-Za-z/!][^>]*>', ' ', 'g'), '{text.SPACE}', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(10) || '-•|') AS t FROM (SELECT *, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h FROM pages))",
     "publication_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders",
     "event_windows": "SELECT TIMESTAMP '1970-01-01' + to_days(CAST(floor(epoch(ts) / 86400 / 7) * 7 AS INTEGER)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

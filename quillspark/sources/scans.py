@@ -267,7 +267,7 @@ def scan_pages(pages: DataFrame, registry: DataFrame, *, most: int = 25, html_co
             kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=["source_id", "pos", "title", "summary", "dated", "link", "cells", "ai"])
 
-    lean = pages.select("source_id", F.col(html_col).alias("html")).join(F.broadcast(known), "source_id").select("source_id", "html", *CONFIG)
+    lean = pages.select("source_id", F.col(html_col).alias("html")).join(known, "source_id").select("source_id", "html", *CONFIG)
     found = lean.mapInArrow(run, f"source_id {id_type}, pos int, title string, summary string, dated string, link string, cells array<string>, ai boolean")
     shown = found.select("source_id", "pos", clean_text(F.col("title"), 260).alias("title"), clean_text(F.col("summary"), 520).alias("summary"), publication_date(F.col("dated")).alias("date"), "link", "cells", "ai")
     keyed = shown.filter(F.col("title") != "").withColumn("key", F.when(F.col("ai"), normal_key(F.col("title"))).otherwise(F.col("title")))
