@@ -29,6 +29,7 @@ def publication_date(text: Column) -> Column:
 
     The first layout that gives a real date wins; null if none does.
     """
+    # The three layouts, in the order in which they are tried.
     ymd, dmy_name, dmy = (
         r"(?<!\d)(20\d{2}|19\d{2})[./-](\d{1,2})[./-](\d{1,2})(?!\d)",
         r"(?<!\d)(\d{1,2})[\s./-]([A-Za-z]{3,9})[\s,./-]+(20\d{2}|19\d{2}|\d{2})(?!\d)",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,15 +55,32 @@ def departments(spark: SparkSession, profiles=lexicon.DEPARTMENTS) -> DataFrame:
     return spark.createDataFrame([(d[0], i, d[1], d[2], dict(d[3]), list(d[4])) for i, d in enumerate(profiles)], "department string, d_ord int, name string, short_name string, topics map<string,int>, places array<string>")
 
 
-def route_scores(routed: DataFrame, teams: DataFrame) -> DataFrame:
-    """Every item against every department (a handful of rows, broadcast), scored and ranked."""
+def _score(topic_weight: Column, place_match: Column) -> Column:
+    """The route score of an item with urgency and impact, 0 to 100, rounded half up on decimals."""
     urgency = F.create_map(*[x for k, v in lexicon.URGENCY_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     exact = lambda x: F.lit(x).cast("decimal(4,2)")
+    raw = topic_weight * exact("0.45") + F.when(place_match, 18).otherwise(5) + F.coalesce(urgency[F.col("urgency")], F.lit(20)) * exact("0.18") + F.col("impact") * exact("0.19")
+    return F.greatest(F.lit(0), F.least(F.lit(100), half_up(raw)))
+
+
+def route_score(department: str, profiles=lexicon.DEPARTMENTS) -> Column:
+    """The score of a routing item for one department, as a column: no pairs are made."""
+    profile = next(p for p in profiles if p[0] == department)
+    weights = F.create_map(*[x for k, v in dict(profile[3]).items() for x in (F.lit(k), F.lit(v))])
+    return _score(F.coalesce(weights[F.col("topic")], F.lit(0)), F.coalesce(F.col("country").isin(*profile[4]), F.lit(False)))
+
+
+def route_count(profiles=lexicon.DEPARTMENTS, least: int = 58) -> Column:
+    """How many departments other than sales an item is routed to."""
+    return reduce(lambda a, b: a + b, [F.when(route_score(p[0], profiles) >= least, 1).otherwise(0) for p in profiles if p[0] != "sales"]).cast("long")
+
+
+def route_scores(routed: DataFrame, teams: DataFrame) -> DataFrame:
+    """Every item against every department (a handful of rows, broadcast), scored and ranked."""
     pairs = routed.crossJoin(F.broadcast(teams))
     topic = F.coalesce(F.col("topics")[F.col("topic")], F.lit(0))
     match = F.array_contains("places", F.col("country"))
-    raw = topic * exact("0.45") + F.when(match, 18).otherwise(5) + F.coalesce(urgency[F.col("urgency")], F.lit(20)) * exact("0.18") + F.col("impact") * exact("0.19")
-    out = pairs.withColumns({"topic_weight": topic, "place_match": match, "route_score": F.greatest(F.lit(0), F.least(F.lit(100), half_up(raw)))})
+    out = pairs.withColumns({"topic_weight": topic, "place_match": match, "route_score": _score(topic, match)})
     s = F.col("route_score")
     out = out.withColumns({"routed": s >= 58, "confidence": _rank_when([(s >= 82, "High"), (s >= 66, "Medium-High"), (s >= 48, "Medium")], "Low")})
     return out.withColumn("route_rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("route_score").desc(), "d_ord"))).drop("topics", "places")
@@ -88,10 +107,17 @@ def alertable(title: Column, text: Column, topic: Column) -> Column:
     return ~any_word(low, lexicon.OPINION_WORDS) & ~mere & ~routine_intake(text) & ~routine_judgment(text, topic)
 
 
-def strategic_scores(routed: DataFrame, scores: DataFrame, rules=lexicon.SIGNAL_RULES) -> DataFrame:
-    """Routed items with n_routes, signal_score and reasons; caps apply in order."""
-    routes = scores.filter(F.col("routed") & (F.col("department") != "sales")).groupBy("id").agg(F.count("*").alias("n_routes"))
-    out = routed.join(routes, "id", "left").withColumn("n_routes", F.coalesce("n_routes", F.lit(0))).withColumn("__t", _text())
+def strategic_scores(routed: DataFrame, scores: DataFrame | None = None, rules=lexicon.SIGNAL_RULES) -> DataFrame:
+    """Routed items with n_routes, signal_score and reasons; caps apply in order.
+
+    Without ``scores`` routes are counted from the default profiles, in the same pass.
+    """
+    if scores is None:
+        out = routed.withColumn("n_routes", route_count())
+    else:
+        routes = scores.filter(F.col("routed") & (F.col("department") != "sales")).groupBy("id").agg(F.count("*").alias("n_routes"))
+        out = routed.join(routes, "id", "left").withColumn("n_routes", F.coalesce("n_routes", F.lit(0)))
+    out = out.withColumn("__t", _text())
     t, topic, n, urgency = F.col("__t"), F.col("topic"), F.col("n_routes"), F.col("urgency")
     # Every pattern is matched once; points, caps and reasons read the outcome.
     tests = {f"hit{i}": any_word(t, pattern) | topic.isin(*topics) for i, (_, _, pattern, topics) in enumerate(rules)}
@@ -130,16 +156,19 @@ def strategic_signals(scored: DataFrame, threshold: int = 72) -> DataFrame:
     return scored.filter(F.col("signal_score") >= threshold).orderBy(F.col("signal_score").desc(), F.col("impact").desc(), F.col("date").desc_nulls_last(), "id")
 
 
-def digest_candidates(scored: DataFrame, scores: DataFrame, department: str, most: int | None = 12) -> DataFrame:
+def digest_candidates(scored: DataFrame, scores: DataFrame | None, department: str, most: int | None = 12) -> DataFrame:
     """Alertable items of a department (route score 52 or more) in digest order, numbered by ``rank``.
 
     ``most`` keeps the first of each country, which is all that a digest of so many entries can need; without it
-    every candidate is numbered, in one task.
+    every candidate is numbered, in one task. Without ``scores`` the default profiles score the items in the same pass.
     """
-    own = scores.filter((F.col("department") == department) & (F.col("route_score") >= 52)).select("id", "route_score")
     order = F.array(*[F.lit(c) for c in lexicon.PRODUCT_CATEGORY_ORDER])
     place = F.when(F.array_position(order, F.col("category")) > 0, F.array_position(order, F.col("category"))) if department == "product" else F.lit(0)
-    out = settled(scored.join(own, "id"), {"category_rank": place.cast("int"), "__t": _text()}).filter(F.col("category_rank").isNotNull())
+    if scores is None:
+        own = settled(scored, {"route_score": route_score(department)}).filter("route_score >= 52")
+    else:
+        own = scored.join(scores.filter((F.col("department") == department) & (F.col("route_score") >= 52)).select("id", "route_score"), "id")
+    out = settled(own, {"category_rank": place.cast("int"), "__t": _text()}).filter(F.col("category_rank").isNotNull())
     out = settled(out, {"__ok": alertable(F.col("title"), F.col("__t"), F.col("topic"))}).filter("__ok").drop("__ok")
     out = out.drop("__t")
     order = ["category_rank", F.col("signal_score").desc(), F.col("route_score").desc(), F.col("impact").desc(), "id"]

@@ -62,7 +62,7 @@ def route_scores(spark, sf):
 
 
 def _scored(spark, sf) -> DataFrame:
-    return routing.strategic_scores(_routed(spark, sf), _scores(spark, sf))
+    return routing.strategic_scores(_routed(spark, sf))
 
 
 def signal_scores(spark, sf):
@@ -78,7 +78,7 @@ def routing_breakdown(spark, sf):
 
 
 def _digest(spark, sf, department: str = "legislation") -> DataFrame:
-    return routing.balanced(routing.digest_candidates(_scored(spark, sf), _scores(spark, sf), department), 12)
+    return routing.balanced(routing.digest_candidates(_scored(spark, sf), None, department), 12)
 
 
 def balanced_digest(spark, sf):
