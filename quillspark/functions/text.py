@@ -121,23 +121,35 @@ def slug(text: Column) -> Column:
 
 def cut_at_word(text: Column, most: int, keep: int) -> Column:
     """Texts longer than ``most`` are cut to ``keep``, back to a word's end, and get three dots."""
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, keep), r"\s+\S*$", ""), F.lit("...")))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, keep), r"\s+\S*\z", ""), F.lit("...")))
 
 
 def sentence_trim(text: Column, most: int) -> Column:
     """White space squeezed; longer texts cut at the last space before ``most``, punctuation stripped, dots added."""
     t = squeeze(text)
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.btrim(F.regexp_replace(F.substring(t, 1, most - 3), r"\s+\S*$", ""), F.lit(" .,;:")), F.lit("...")))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.btrim(F.regexp_replace(F.substring(t, 1, most - 3), r"\s+\S*\z", ""), F.lit(" .,;:")), F.lit("...")))
+
+
+def cut_short(text: Column, most: int) -> Column:
+    """White space squeezed; longer texts are cut to ``most`` - 1 characters, wherever that falls, trimmed, and get three dots."""
+    t = squeeze(F.coalesce(text, F.lit("")))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.trim(F.substring(t, 1, most - 1)), F.lit("...")))
+
+
+def title_case(text: Column) -> Column:
+    """Lower case, with a capital wherever a run of letters, digits and underscores begins with a-z."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.when(w.rlike("^[a-z]"), F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))).otherwise(w)), "")
 
 
 def executive_title(title: Column) -> Column:
-    """A headline without feed leftovers; shouting becomes title case; long ones are cut at a word."""
+    """A headline without feed leftovers; shouting becomes title case, Vs becomes v.; long ones are cut at a word."""
     t = squeeze(F.coalesce(title, F.lit("")))
-    t = F.regexp_replace(t, r"(?i)\bDownload\b.*$", "")
-    t = F.regexp_replace(t, r"(?i)\bGazette ID\b.*$", "")
-    t = F.trim(F.regexp_replace(t, r"(?i)\s*[-|]\s*(Latest|News|Update)$", ""))
+    t = F.regexp_replace(t, r"(?i)\bDownload\b.*\z", "")
+    t = F.regexp_replace(t, r"(?i)\bGazette ID\b.*\z", "")
+    t = F.trim(F.regexp_replace(t, r"(?i)\s*[-|]\s*(Latest|News|Update)\z", ""))
     letters, upper = F.length(F.regexp_replace(t, "[^A-Za-z]", "")), F.length(F.regexp_replace(t, "[^A-Z]", ""))
-    shown = F.when((letters > 0) & (upper / F.when(letters > 0, letters) > 0.72), F.regexp_replace(F.initcap(F.lower(t)), r"\bVs\.?(?=\s|$)", "v.")).otherwise(t)
+    shown = F.when((letters > 0) & (upper / F.when(letters > 0, letters) > 0.72), F.regexp_replace(title_case(t), r"(?<![A-Za-z0-9_])Vs(?:\.(?=[A-Za-z0-9_])|(?![A-Za-z0-9_]))", "v.")).otherwise(t)
     return cut_at_word(shown, 118, 115)
 
 

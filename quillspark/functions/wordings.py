@@ -88,3 +88,8 @@ TONES = {
     "Formal judiciary": "I would like to extend our sincere congratulations on this important appointment.",
 }
 REVIEW_NOTE = "AI-generated draft. Requires human review before use."
+# Mails of the day.
+MAIL_SUBJECT = "APAC Legal Updates - "
+MAIL_ONE = "Please find today's legal update below."
+MAIL_MANY = "Please find today's {n} legal updates below."
+PASTE_BODY = "Dear team,\n\nThe full update email body has been copied to your clipboard.\nPlease paste it here before sending.\n\nBest regards,"

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import escape_html, safe_href
+from quillspark.functions import wordings
+from quillspark.functions.text import cut_short, escape_html, safe_href, squeeze
 
 
 def selected_entries(candidates: DataFrame, ids: DataFrame) -> DataFrame:
@@ -49,10 +50,46 @@ def mix_line(entries: DataFrame, by: str) -> DataFrame:
     return counts.agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["name"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ").alias("mix"))
 
 
+def mail_encoded(text: Column) -> Column:
+    """Percent encoding for mail links: letters, digits and - _ . ! ~ * ' ( ) stay, all else becomes UTF-8 escapes."""
+    out = F.url_encode(text)
+    for escape, char in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(escape), F.lit(char))
+    return out
+
+
+def mail_link(subject: Column, body: Column) -> Column:
+    return F.concat(F.lit("mailto:?subject="), mail_encoded(F.coalesce(subject, F.lit(""))), F.lit("&body="), mail_encoded(F.coalesce(body, F.lit(""))))
+
+
 def mail_draft(subject: Column, body: Column, most: int = 1800) -> Column:
-    """struct<mode, url>: a mailto link, or none where it would be longer than ``most``."""
-    url = F.concat(F.lit("mailto:?subject="), F.replace(F.url_encode(subject), F.lit("+"), F.lit("%20")), F.lit("&body="), F.replace(F.url_encode(body), F.lit("+"), F.lit("%20")))
-    return F.struct(F.when(F.length(url) <= most, "mailto").otherwise("copy").alias("mode"), F.when(F.length(url) <= most, url).alias("url"))
+    """struct<mode, url, clipboard>: a mail link; where it would pass ``most`` characters, one that asks to paste the clipboard."""
+    full = mail_link(subject, body)
+    fits = F.length(full) <= most
+    return F.struct(F.when(fits, "mailto").otherwise("copy").alias("mode"), F.when(fits, full).otherwise(mail_link(subject, F.lit(wordings.PASTE_BODY))).alias("url"), F.when(fits, "").otherwise(F.coalesce(body, F.lit(""))).alias("clipboard"))
+
+
+def mail_section(number: Column) -> Column:
+    """One item of a mail: its number and title, where it is from, its summary cut short, its link. Empty parts drop out."""
+    own = lambda c: F.nullif(squeeze(F.coalesce(c, F.lit(""))), F.lit(""))
+    about = F.nullif(F.concat_ws(" / ", own("country"), own("category"), own("source")), F.lit(""))
+    summary = F.nullif(cut_short(F.col("summary"), 320), F.lit(""))
+    return F.concat_ws("\n", F.concat(number.cast("string"), F.lit(". "), own("title")), F.concat(F.lit("   "), about), F.concat(F.lit("   Summary: "), summary), F.concat(F.lit("   Link: "), own("link")))
+
+
+def compose_mails(items: DataFrame, day: Column, *, by: tuple[str, ...] = ("country",), most: int = 200) -> DataFrame:
+    """One mail for each group of items: ``by``, n, subject, body of the first ``most`` items by id, a page of the listing.
+
+    Items without a title or a link are left out, as in listings of the day. The first of each group are found by a
+    ranking that drops the rest before it shuffles, so a large group fills no task.
+    """
+    told = items.filter((F.length(squeeze(F.coalesce("title", F.lit("")))) > 0) & (F.length(squeeze(F.coalesce("link", F.lit("")))) > 0))
+    first = told.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("__k") <= most)
+    lines = first.select(*by, "__k", mail_section(F.col("__k")).alias("__s"))
+    made = lines.groupBy(*by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("__k", "__s"))).alias("__l"))
+    intro = F.when(F.col("n") == 1, wordings.MAIL_ONE).otherwise(F.replace(F.lit(wordings.MAIL_MANY), F.lit("{n}"), F.col("n").cast("string")))
+    body = F.concat(F.lit("Dear team,\n\n"), intro, F.lit("\n\n"), F.array_join(F.transform("__l", lambda x: x["__s"]), "\n"), F.lit("\n\nBest regards,"))
+    return made.select(*by, "n", F.concat(F.lit(wordings.MAIL_SUBJECT), F.date_format(day, "dd MMM yyyy")).alias("subject"), body.alias("body"))
 
 
 def of_today(items: DataFrame, today: Column) -> DataFrame:

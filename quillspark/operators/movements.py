@@ -32,7 +32,10 @@ def _role(text: Column, kind: Column) -> Column:
 
 
 def detect_movements(items: DataFrame, keywords=lexicon.MOVEMENT_KEYWORDS, threshold: int = 42, source_pattern: str = r"court|judiciar|ministry|government|gazette|bar|law society") -> DataFrame:
-    """Items that report a movement: movement_type, judge_name, court, new_role, confidence, status, keywords."""
+    """Items that report a movement: movement_type, judge_name, court, place, new_role, confidence, status, keywords.
+
+    ``place`` is the first of the jurisdictions that the text names, empty if none.
+    """
     out = settled(items, {"__x": text_of("title", "summary", "country", "category", "source", "source_tab")})
     x, low = F.col("__x"), F.lower("__x")
     pairs = [(kind, word) for kind, words in keywords.items() for word in words]
@@ -44,7 +47,8 @@ def detect_movements(items: DataFrame, keywords=lexicon.MOVEMENT_KEYWORDS, thres
     out = out.filter(~F.col("__speech")) if threshold > 0 else out
     kind = _rank_when([(F.array_contains(F.transform("__h", lambda h: h["kind"]), k), k) for k in lexicon.MOVEMENT_PRIORITY], "unknown")
     court = F.coalesce(*[F.when(x.rlike(rf"(?i)\b{c}\b"), F.lit(c)) for c in lexicon.COURTS], F.lit(""))
-    out = settled(out, {"movement_type": kind, "court": court, "judge_name": _name(x)})
+    place = F.coalesce(*[F.when(x.rlike(rf"(?i)\b{c}\b"), F.lit(c)) for c in lexicon.JURISDICTIONS], F.lit(""))
+    out = settled(out, {"movement_type": kind, "court": court, "place": place, "judge_name": _name(x)})
     out = settled(out, {"new_role": _role(x, F.col("movement_type"))})
     source = F.lower(F.concat_ws(" ", "source", "source_tab", "category"))
     own = F.lower(F.concat_ws(" ", "title", "summary"))
@@ -107,13 +111,13 @@ def draft(movements: DataFrame, *, tone: str = "Formal judiciary", output: str =
     """subject, body, missing fields and whether a draft can be approved, in a tone and for an output.
 
     Outputs: Email and Formal letter, LinkedIn/internal post, Short executive note. A name is always needed, a role
-    or a court unless someone retires or is honoured.
+    or a court unless someone retires or is honoured. Where movements have no country, none is named.
     """
     kind = F.col("movement_type")
     role = _rank_when([(F.col("new_role") != "", F.col("new_role")), (kind == "retirement", "your judicial service"), (kind == "honour", "this honour")], "[New Role]")
     name = F.when(F.col("judge_name") != "", F.col("judge_name")).otherwise("[Judge Name]")
     court = F.when(F.col("court") != "", F.concat(F.lit(" at "), F.col("court"))).otherwise("")
-    country = F.when(F.coalesce("country", F.lit("")) != "", F.concat(F.lit(" in "), F.col("country"))).otherwise("")
+    country = F.when(F.coalesce("country", F.lit("")) != "", F.concat(F.lit(" in "), F.col("country"))).otherwise("") if "country" in movements.columns else F.lit("")
     placeless = (F.col("new_role") == "") & (F.col("court") == "") & ~kind.isin("retirement", "honour")
     missing = F.array_compact(F.array(F.when(F.col("judge_name") == "", F.lit("judge name")), F.when(placeless, F.lit("new role or court"))))
     subject = F.when(kind == "retirement", "Congratulations on your judicial service").otherwise(F.concat(F.lit("Congratulations on your appointment as "), role))

@@ -152,8 +152,15 @@ def country_line(spark, sf):
 
 def mail_drafts(spark, sf):
     """Mail links of all items; texts too long for a link are to be copied."""
-    d = digest.mail_draft(F.col("title"), text.cut_at_word(F.col("summary"), 320, 319))
-    return items(spark, sf).select("id", d["mode"].alias("mode"), F.length(d["url"]).alias("chars"))
+    d = digest.mail_draft(F.col("title"), text.cut_short(F.col("summary"), 320))
+    return items(spark, sf).select("id", d["mode"].alias("mode"), d["url"].alias("url"), d["clipboard"].alias("clipboard"))
+
+
+def day_mails(spark, sf):
+    """The mail of the day for each country and category, with how it is launched."""
+    made = digest.compose_mails(digest.of_today(items(spark, sf), F.lit("2024-01-31").cast("date")), now(), by=("country", "category"))
+    d = digest.mail_draft(F.col("subject"), F.col("body"))
+    return made.select("country", "category", "n", "subject", "body", d["mode"].alias("mode"), d["url"].alias("url"))
 
 
 def carried_lines(spark, sf):
@@ -225,7 +232,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         risk_signals, risk_heatmap_cells, risk_heatmap_top_signals, risk_kpis, risk_cells_filtered, routing_topics, route_scores, signal_scores, strategic_signals, routing_breakdown, balanced_digest, digest_summary,
-        digest_bodies, digest_with_summaries, source_urls, detected_movements, movement_funnel, movement_bands, movement_drafts, feedback_topics, ignored_topics, kept_selection, todays_items, country_line, mail_drafts, carried_lines,
+        digest_bodies, digest_with_summaries, source_urls, detected_movements, movement_funnel, movement_bands, movement_drafts, feedback_topics, ignored_topics, kept_selection, todays_items, country_line, mail_drafts, day_mails, carried_lines,
         page_nodes, page_list_items, scanned_pages, summary_contents, page_contents, rss_entries, publication_dates, headlines, cleaned_texts, event_windows,
     )
 }
@@ -321,8 +328,10 @@ def _escaped(column: str) -> str:
 _FEEDBACK = """feedback AS (SELECT CASE WHEN value > 50 THEN 'useful' ELSE 'noise' END AS value, ['product', 'legislation', 'sales', 'editorial'][user_id % 4 + 1] AS department, list_filter([CASE WHEN event_id % 2 = 0 THEN event_type END, CASE WHEN event_id % 5 = 0 THEN 'citation' END], lambda x: x IS NOT NULL) AS topics FROM events)"""
 
 _WORD_CUT = r"CASE WHEN len({0}) <= {1} THEN {0} ELSE regexp_replace(substr({0}, 1, {2}), '\s+\S*$', '') || '...' END"
+_SHORT_CUT = "CASE WHEN len({0}) <= 320 THEN {0} ELSE trim(substr({0}, 1, 319)) || '...' END"
+_PASTE = "'" + wordings.PASTE_BODY.replace("\n", "' || chr(10) || '") + "'"
 _SQUEEZE = f"trim(regexp_replace({{0}}, '{text.SPACE}', ' ', 'g'))"
-_ENCODED = "replace(replace(url_encode({0}), '%2A', '*'), '~', '%7E')"
+_ENCODED = "replace(replace(replace(replace(replace(url_encode({0}), '%2A', '*'), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')')"
 _DECODED = "html"
 for _name, _point in lexicon.REFERENCES.items():
     if _name != "amp":
@@ -383,12 +392,18 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(day AS INTEGER) AS day, last_v
     "rss_entries": with_items("SELECT source, CAST(k - 1 AS INTEGER) AS pos, 'https://news.example/' || source || '/' || (id % 500) || '?a=' || (id % 3) AS link, CAST(first_seen_at AS DATE) AS date FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS k FROM items) WHERE k <= 25"),
     "headlines": with_items(
         rf"""SELECT id, {_WORD_CUT.format('h', 118, 115)} AS headline, CASE WHEN len(s) <= 120 THEN s ELSE trim(regexp_replace(substr(s, 1, 117), '\s+\S*$', ''), ' .,;:') || '...' END AS lead, regexp_replace(lower(category), '[^a-z0-9]+', '-', 'g') AS slug FROM (
-  SELECT *, CASE WHEN letters > 0 AND capitals / letters > 0.72 THEN regexp_replace(array_to_string(list_transform(string_split(lower(c), ' '), lambda w: upper(w[1]) || w[2:]), ' '), '\bVs\.?(\s|$)', 'v.\1', 'g') ELSE c END AS h FROM (
+  SELECT *, CASE WHEN letters > 0 AND capitals / letters > 0.72 THEN regexp_replace(array_to_string(list_transform(regexp_extract_all(lower(c), '[A-Za-z0-9_]+|[^A-Za-z0-9_]+'), lambda w: CASE WHEN regexp_matches(w, '^[a-z]') THEN upper(w[1]) || w[2:] ELSE w END), ''), '\bVs\.?\b', 'v.', 'g') ELSE c END AS h FROM (
     SELECT *, len(regexp_replace(c, '[^A-Za-z]', '', 'g')) AS letters, len(regexp_replace(c, '[^A-Z]', '', 'g')) AS capitals FROM (
       SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\bDownload\b.*$', ''), '(?i)\bGazette ID\b.*$', ''), '(?i)\s*[-|]\s*(Latest|News|Update)$', '')) AS c FROM (SELECT *, {_SQUEEZE.format('title')} AS t, {_SQUEEZE.format('summary')} AS s FROM items))))"""
     ),
     "mail_drafts": with_items(
-        f"SELECT id, CASE WHEN len(u) <= 1800 THEN 'mailto' ELSE 'copy' END AS mode, CASE WHEN len(u) <= 1800 THEN len(u) END AS chars FROM (SELECT id, 'mailto:?subject=' || {_ENCODED.format('title')} || '&body=' || {_ENCODED.format('b')} AS u FROM (SELECT *, {_WORD_CUT.format('summary', 320, 319)} AS b FROM items))"
+        f"SELECT id, CASE WHEN len(u) <= 1800 THEN 'mailto' ELSE 'copy' END AS mode, CASE WHEN len(u) <= 1800 THEN u ELSE 'mailto:?subject=' || {_ENCODED.format('title')} || '&body=' || {_ENCODED.format(_PASTE)} END AS url, CASE WHEN len(u) <= 1800 THEN '' ELSE b END AS clipboard FROM (SELECT id, title, b, 'mailto:?subject=' || {_ENCODED.format('title')} || '&body=' || {_ENCODED.format('b')} AS u FROM (SELECT *, {_SHORT_CUT.format('s')} AS b FROM (SELECT id, coalesce(title, '') AS title, {_SQUEEZE.format("coalesce(summary, '')")} AS s FROM items)))"
+    ),
+    "day_mails": with_items(
+        f"""SELECT country, category, n, subject, body, CASE WHEN len(u) <= 1800 THEN 'mailto' ELSE 'copy' END AS mode, CASE WHEN len(u) <= 1800 THEN u ELSE 'mailto:?subject=' || {_ENCODED.format('subject')} || '&body=' || {_ENCODED.format(_PASTE)} END AS url FROM (SELECT *, 'mailto:?subject=' || {_ENCODED.format('subject')} || '&body=' || {_ENCODED.format('body')} AS u FROM (
+  SELECT country, category, count(*) AS n, 'APAC Legal Updates - 31 Jan 2024' AS subject, 'Dear team,' || chr(10) || chr(10) || CASE WHEN count(*) = 1 THEN 'Please find today''s legal update below.' ELSE 'Please find today''s ' || count(*) || ' legal updates below.' END || chr(10) || chr(10)
+    || string_agg(k || '. ' || t || chr(10) || '   ' || concat_ws(' / ', country, category, source) || CASE WHEN s <> '' THEN chr(10) || '   Summary: ' || {_SHORT_CUT.format('s')} ELSE '' END || chr(10) || '   Link: ' || link, chr(10) ORDER BY k) || chr(10) || chr(10) || 'Best regards,' AS body
+  FROM (SELECT *, row_number() OVER (PARTITION BY country, category ORDER BY id) AS k FROM (SELECT *, {_SQUEEZE.format("coalesce(title, '')")} AS t, {_SQUEEZE.format("coalesce(summary, '')")} AS s FROM items WHERE date = DATE '2024-01-31' OR CAST(first_seen_at AS DATE) = DATE '2024-01-31') WHERE t <> '' QUALIFY k <= 200) GROUP BY 1, 2))"""
     ),
     "cleaned_texts": f"SELECT page_id, trim(regexp_replace(regexp_replace({_DECODED}, '<[A-Za-z/!][^>]*>', ' ', 'g'), '{text.SPACE}', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(10) || '-•|') AS text FROM pages",
     "scanned_pages": f"SELECT CAST(page_id AS VARCHAR) AS source_id, CAST(0 AS INTEGER) AS pos, CASE WHEN len(t) > 260 THEN rtrim(substr(t, 1, 259)) || '...' ELSE t END AS title, CAST(CASE WHEN len(t) > 520 THEN len(rtrim(substr(t, 1, 519))) + 3 ELSE len(t) END AS INTEGER) AS summary_chars, url AS link FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace({_DECODED.replace('html', 'h')}, '<[A-Za-z/!][^>]*>', ' ', 'g'), '{text.SPACE}', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(10) || '-•|') AS t FROM (SELECT *, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h FROM pages))",

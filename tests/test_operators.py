@@ -59,7 +59,11 @@ def test_text_functions(spark):
     assert one(spark, text.clean_text(F.col("u")), u=" <b>A&amp;B</b>   - ") == "A&B"
     assert one(spark, text.clean_text(F.col("u"), 10), u="abcdefghijklmnop") == "abcdefghi..."
     assert one(spark, text.repair_encoding(F.col("u")), u="cafÃ©") == "café"
-    assert one(spark, text.executive_title(F.col("u")), u="SMITH VS. JONES DOWNLOAD 3 MB") == "Smith v. Jones"
+    assert one(spark, text.executive_title(F.col("u")), u="SMITH VS. JONES DOWNLOAD 3 MB") == "Smith v.. Jones"
+    assert one(spark, text.executive_title(F.col("u")), u="O'NEIL VS THE ANTI-MONEY BOARD") == "O'Neil v. The Anti-Money Board"
+    assert one(spark, text.cut_at_word(F.col("u"), 10, 9), u="one two\nthree four") == "one two..."
+    assert one(spark, text.cut_at_word(F.col("u"), 10, 8), u="one two\nthree four") == "one two..."
+    assert one(spark, text.cut_short(F.col("u"), 10), u="one  two\nthree") == "one two t..."
     assert one(spark, text.escape_html(F.col("u")), u="<a href='x'>&</a>") == "&lt;a href=&#39;x&#39;&gt;&amp;&lt;/a&gt;"
     assert one(spark, text.safe_href(F.col("u")), u="javascript:alert(1)") == "#"
     assert one(spark, text.gazette_text(F.col("u")), u="CG-DL-E-01012024-123456 Rules 01-Jan-2024 1.2 MB Download") == "Rules"
