@@ -56,3 +56,15 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts are told apart; rows alike in both are treated alike.
     """
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.coalesce(docs[id_col].cast("string"), F.lit("\u0000null")).alias("__id"), F.xxhash64(docs[text_col]).alias("__th"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, total: int, share: int = 400) -> DataFrame:
+    """``rows`` left-joined with ``groups``, which has one row for each of its keys and, in ``count``, how many rows it meets.
+
+    Groups of more than a ``share``-th of all ``total`` rows are fewer than ``share``: those are broadcast, the others
+    shuffle, so no task gets more than such a part of the rows for one key. Keys are not null.
+    """
+    often = groups.filter(F.col(count) > total // share)
+    met = rows.join(F.broadcast(often), keys, "left")
+    rest = met.filter(F.col(count).isNull()).select(rows.columns).join(groups.filter(F.col(count) <= total // share), keys, "left")
+    return met.filter(F.col(count).isNotNull()).unionByName(rest)

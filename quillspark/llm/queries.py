@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import additive_ann, chat_format, decontaminate, html_extract, line_dedup, mixing, ngram_join, quality_mil, secret_scan, token_counts
-from quillspark.llm.lineage import cut
+from quillspark.llm import additive_ann, chat_format, decontaminate, digest_tree, html_extract, line_dedup, mixing, ngram_join, periodic_runs, quality_mil, secret_scan, token_counts, vector_codes
+from quillspark.llm.lineage import cut, join_groups
+from quillspark.operators.frame import settled
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,9 +96,76 @@ def op10_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {"op2_ngram_join": op2_ngram_join, "op4_decontaminate": op4_decontaminate, "op6_line_dedup": op6_line_dedup, "op3_secret_scan": op3_secret_scan, "op5_html_extract": op5_html_extract, "op7_additive_ann": op7_additive_ann, "op8_mix_sources": op8_mix_sources, "op10_quality_mil": op10_quality_mil, "op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format}
+def op11_digest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the group of its text, of which the largest id stays."""
+    return digest_tree.exact_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), smallest=False)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector as 16 codes of 64 integer entries, with its error and that of its label."""
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows, books = vector_codes.compress_vectors(vectors, id_col="vec_id", vec_col="embedding", keep=("label",))
+    rows = cut(rows.withColumn("__key", F.to_json(F.struct("label"))))  # null labels have a key too
+    totals = cut(rows.groupBy("__key").agg(F.count("*").alias("n"), F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long").alias("label_error")))
+    found = join_groups(rows, totals, ["__key"], "n", rows.count())
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
+
+
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """The texts of a tenth of all documents, by their ids' hashes, made to repeat from some word on; others as they are."""
+    hashed = settled(docs, {"__h": F.crc32(F.col("doc_id").cast("string").cast("binary"))})
+    chosen = settled(hashed, {"__w": F.when(F.col("__h") % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))})
+    g, n = F.floor(F.col("__h") / 10), F.size("__w")
+    spans = settled(chosen.withColumn("__n", F.when(n > 0, n)), {"__a": g % F.col("__n"), "__g": g})
+    spans = settled(spans, {"__p": F.floor((F.col("__n") - F.col("__a")) / (F.col("__g") % 8 + 3)) + 1})
+    word = lambda i: F.get("__w", F.when(i < F.col("__a"), i).otherwise(F.col("__a") + (i - F.col("__a")) % F.col("__p")).cast("int"))
+    made = F.array_join(F.transform(F.sequence(F.lit(0), F.col("__n") - 1), word), " ")
+    return spans.select("doc_id", F.when(F.col("__n").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every whole text, a tenth of them made to repeat, and what is left without repeats."""
+    found = periodic_runs.periodic_runs(_made_periodic(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return settled(found, {"__b": best}).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("__b.start")).alias("start"),
+        F.col("__b.length").alias("length"),
+        (-F.col("__b.period")).alias("period"),
+        F.expr("1000 * __b.length div -__b.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op2_ngram_join": op2_ngram_join, "op4_decontaminate": op4_decontaminate, "op6_line_dedup": op6_line_dedup, "op3_secret_scan": op3_secret_scan, "op5_html_extract": op5_html_extract, "op7_additive_ann": op7_additive_ann, "op8_mix_sources": op8_mix_sources, "op10_quality_mil": op10_quality_mil, "op1_token_counts": op1_token_counts, "op9_chat_format": op9_chat_format, "op11_digest_tree": op11_digest_tree, "op12_vector_codes": op12_vector_codes, "op13_periodic_runs": op13_periodic_runs}
+
+#: One round's assignment of parts p to codebook b, as d * 64 + e: least distance, then least entry.
+_ASSIGNED = "SELECT vec_id, k, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS m FROM p JOIN {0} USING (k) GROUP BY vec_id, k"
+_MOVED = """SELECT k, e, coalesce(any_value(m.c), any_value({0}.c)) AS c FROM {0} LEFT JOIN (
+  SELECT k, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS c FROM (
+    SELECT k, m % 64 AS e, pos, sum(x[pos]) AS s, count(*) AS n FROM (SELECT k, m, x, unnest(range(1, len(x) + 1)) AS pos FROM {1}) GROUP BY ALL) GROUP BY ALL) m USING (k, e) GROUP BY ALL"""
 
 ORACLES = {
+    "op11_digest_tree": """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+    "op12_vector_codes": f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), p AS (
+  SELECT vec_id, k, x[k * (len(x) // 16) + 1:(k + 1) * (len(x) // 16)] AS x FROM (SELECT vec_id, x, unnest(range(16)) AS k FROM v)
+), b0 AS (
+  SELECT k, e, x AS c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT 64) USING (vec_id)
+), a0 AS ({_ASSIGNED.format("b0")}), b1 AS ({_MOVED.format("b0", "a0")}), a1 AS ({_ASSIGNED.format("b1")}), b2 AS ({_MOVED.format("b1", "a1")}), a2 AS ({_ASSIGNED.format("b2")}), coded AS (
+  SELECT vec_id, string_agg(printf('%02x', CAST(m % 64 AS INTEGER)), '' ORDER BY k) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, e)) FROM b2) AS codebooks_sha256
+FROM coded JOIN v USING (vec_id)""",
     "op2_ngram_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
