@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import lexicon
+from quillspark.functions.matching import PATTERN, TERM, Lexicons
 
 SPACE = r"[\s  -     　]+"
 
@@ -59,23 +60,22 @@ def normal_key(text: Column) -> Column:
 
 
 def any_term(text: Column, terms: Iterable[str]) -> Column:
-    """Whether a lower-case text has any of the terms, bounded by characters other than a-z and 0-9: one scan."""
+    """Whether a lower-case text has any of the terms, bounded by characters other than a-z and 0-9: one pass."""
     terms = tuple(terms)
-    if not terms:
-        return F.lit(False)
-    return text.rlike(f"(?<![a-z0-9])(?:{'|'.join(re.escape(t) for t in terms)})(?![a-z0-9])")
+    lexicons = Lexicons(TERM, asked=terms)
+    return lexicons.found(text, lambda words, t: lexicons.any("asked", words, t)) if terms else F.lit(False)
 
 
 def any_word(text: Column, pattern: str) -> Column:
-    """Whether a lower-case text has the pattern between word boundaries of letters, digits and underscores."""
-    return text.rlike(f"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])")
+    """Whether a lower-case text has the pattern between word boundaries of letters, digits and underscores: one pass."""
+    lexicons = Lexicons(PATTERN, asked=pattern)
+    return lexicons.found(text, lambda words, t: lexicons.any("asked", words, t))
 
 
 def matched_terms(text: Column, terms: Iterable[str]) -> Column:
-    """The terms that a lower-case text has, in list order. One scan for all decides whether each is looked for."""
-    terms = tuple(terms)
-    found = F.array_compact(F.array(*[F.when(any_term(text, [t]), F.lit(t)) for t in terms]))
-    return F.when(any_term(text, terms), found).otherwise(F.array().cast("array<string>"))
+    """The terms that a lower-case text has, in list order, bounded as in ``any_term``: one pass."""
+    lexicons = Lexicons(TERM, asked=tuple(terms))
+    return lexicons.found(text, lambda words, t: lexicons.which("asked", words, t))
 
 
 def any_substring(text: Column, parts: Iterable[str]) -> Column:

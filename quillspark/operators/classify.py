@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon
+from quillspark.functions.matching import TERM, Lexicons, let
 from quillspark.functions.text import any_term, clean_text
 
 
@@ -25,28 +26,39 @@ def stored_category(category: Column, title: Column, summary: Column, policy_ter
 
 def detect_category(source_category: Column, forced: Column, title: Column, summary: Column, rules=lexicon.CATEGORY_RULES) -> Column:
     """Forced, else pinned, else that of the first matching rule, else the source's, else the default."""
-    text = F.lower(clean_text(F.concat_ws(" ", title, summary)))
-    out = F.when(F.coalesce(forced, F.lit(False)) | source_category.isin(*lexicon.PINNED_CATEGORIES), source_category)
-    for category, terms in rules:
-        out = out.when(any_term(text, terms), category)
-    return out.when(source_category.isin(*lexicon.CATEGORIES), source_category).otherwise(lexicon.DEFAULT_CATEGORY)
+    lexicons = Lexicons(TERM, **{f"rule{i}": terms for i, (_, terms) in enumerate(rules)})
+
+    def by_rules(words: Column, text: Column) -> Column:
+        found = [F.when(lexicons.any(f"rule{i}", words, text), category) for i, (category, _) in enumerate(rules)]
+        return F.coalesce(*found, F.when(source_category.isin(*lexicon.CATEGORIES), source_category), F.lit(lexicon.DEFAULT_CATEGORY))
+
+    pinned = F.coalesce(forced, F.lit(False)) | source_category.isin(*lexicon.PINNED_CATEGORIES)
+    return F.when(pinned, source_category).otherwise(lexicons.found(F.lower(clean_text(F.concat_ws(" ", title, summary))), by_rules))
 
 
 def detect_country(text: Column, signals=lexicon.COUNTRY_SIGNALS) -> Column:
     """The country whose signals score most (its own name 3, others 1), the first of equals; null without any."""
-    low = F.lower(clean_text(text))
-    scored = []
-    for i, (country, terms) in enumerate(signals.items()):
-        points = sum((F.when(any_term(low, [t]), 3 if t == country.lower() else 1).otherwise(0) for t in terms), F.lit(0))
-        scored.append(F.struct(points.alias("points"), F.lit(-i).alias("place"), F.lit(country).alias("country")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["points"] > 0, best["country"])
+    lexicons = Lexicons(TERM, **{f"country{i}": terms for i, terms in enumerate(signals.values())})
+
+    def best(words: Column, low: Column) -> Column:
+        scored = []
+        for i, country in enumerate(signals):
+            points = sum((F.when(has, 3 if t == country.lower() else 1).otherwise(0) for t, has in lexicons.each(f"country{i}", words, low).items()), F.lit(0))
+            scored.append(F.struct(points.alias("points"), F.lit(-i).alias("place"), F.lit(country).alias("country")))
+        return F.array_max(F.array(*scored))
+
+    return let(lexicons.found(F.lower(clean_text(text)), best), lambda x: F.when(x["points"] > 0, x["country"]))
 
 
 def legal_relevance(text: Column, *, legal=lexicon.LEGAL_TERMS, political=lexicon.POLITICAL_TERMS, strong=lexicon.STRONG_TERMS, enforcement=lexicon.ENFORCEMENT_TERMS, context=lexicon.COURT_CONTEXT_TERMS) -> Column:
     """A legal term; not political without a strong signal; enforcement news only with a court's context."""
-    low = F.lower(clean_text(text))
-    return any_term(low, legal) & ~(any_term(low, political) & ~any_term(low, strong)) & (~any_term(low, enforcement) | any_term(low, context))
+    lexicons = Lexicons(TERM, legal=legal, political=political, strong=strong, enforcement=enforcement, context=context)
+
+    def relevant(words: Column, low: Column) -> Column:
+        has = lambda name: lexicons.any(name, words, low)
+        return has("legal") & ~(has("political") & ~has("strong")) & (~has("enforcement") | has("context"))
+
+    return lexicons.found(F.lower(clean_text(text)), relevant)
 
 
 def with_registry(items: DataFrame, registry: DataFrame, prefix: str = "r_") -> DataFrame:

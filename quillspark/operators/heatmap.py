@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon
 from quillspark.functions.dates import age_days
-from quillspark.functions.text import any_substring, any_term, clean_text, matched_terms
+from quillspark.functions.matching import TERM, Lexicons
+from quillspark.functions.text import any_substring, clean_text
+from quillspark.operators.frame import settled
 
 LEVELS = (("Critical", 86), ("Elevated", 71), ("Active", 51), ("Watch", 26))
 
@@ -54,14 +56,16 @@ def signals(items: DataFrame, registry: DataFrame, now: Column, domains=lexicon.
     rows = items.filter(F.col("country").isin(*jurisdictions)).join(known, "source", "left")
     category, title, name = F.lower(F.coalesce("category", F.lit(""))), F.lower(clean_text(F.col("title"))), F.lower(F.coalesce("source", F.lit("")))
     text = F.lower(clean_text(F.concat_ws(" ", "title", "summary", "category", "source")))
-    rows = rows.withColumns({"__text": text, "__title": title, "__cat": category})
+    lexicons = Lexicons(TERM, **{d[0]: d[3] for d in domains})
+    rows = settled(rows, {"__text": text, "__title": title, "__cat": category})
+    rows = settled(rows, {"__words": lexicons.words(F.col("__text")), "__tw": lexicons.words(F.col("__title"))})
 
     def of_domain(key: str, label: str, weight: int, terms) -> Column:
-        matched = matched_terms(F.col("__text"), terms)
+        matched = lexicons.which(key, F.col("__words"), F.col("__text"))
         if key == "litigation_spikes":
             extra = F.array_compact(F.array(F.when(F.col("__cat").isin("recent judgments", "case summary"), F.col("__cat")), F.when(any_substring(name, ("court", "judiciary", "tribunal")), F.lit("court source"))))
             matched = F.array_distinct(F.concat(matched, extra))
-        return F.struct(F.lit(key).alias("domain"), F.lit(weight).alias("business"), matched.alias("terms"), any_term(F.col("__title"), terms).alias("in_title"))
+        return F.struct(F.lit(key).alias("domain"), F.lit(weight).alias("business"), matched.alias("terms"), lexicons.any(key, F.col("__tw"), F.col("__title")).alias("in_title"))
 
     every = rows.withColumn("__d", F.explode(F.array(*[of_domain(*d) for d in domains]))).filter(F.size("__d.terms") > 0)
     severity = 10 + _rank_when([(F.col("__cat").isin("recent judgments", "case summary"), 10), (F.col("__cat") == "legislation news", 12), (F.col("__cat") == "press release/judiciary updates", 8)], 0) + F.when(F.col("__d.in_title"), 5).otherwise(0)
@@ -80,7 +84,7 @@ def signals(items: DataFrame, registry: DataFrame, now: Column, domains=lexicon.
         }
     ).withColumns({"authority": F.col("__a.points"), "authority_label": F.col("__a.label")})
     total = reduce(lambda a, b: a + b, [F.col(c) for c in ("severity", "authority", "recency", "confidence", "business")])
-    return out.withColumn("score", F.least(F.lit(100), total)).drop("__d", "__a", "__text", "__title", "__cat", "__official", "__news", "__type")
+    return out.withColumn("score", F.least(F.lit(100), total)).drop("__d", "__a", "__text", "__title", "__words", "__tw", "__cat", "__official", "__news", "__type")
 
 
 def level_of(score: Column) -> Column:

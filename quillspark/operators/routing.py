@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon
-from quillspark.functions.text import any_word, executive_title
+from quillspark.functions.matching import PATTERN, Lexicons
+from quillspark.functions.text import any_substring, any_word, executive_title
 from quillspark.operators.frame import settled
 from quillspark.operators.heatmap import _rank_when
 
@@ -21,14 +23,24 @@ def routing_text(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *columns))
 
 
+def _topics(rules, action) -> Lexicons:
+    return Lexicons(PATTERN, action=action, **{f"topic{i}": pattern for i, (_, pattern, _) in enumerate(rules)})
+
+
 def topic_of(text: Column, category: Column, rules=lexicon.TOPIC_RULES) -> Column:
-    pairs = [(any_word(text, pattern) | (category.isin(*cats) if cats else F.lit(False)), topic) for topic, pattern, cats in rules]
+    lexicons = _topics(rules, "")
+    return lexicons.found(text, lambda words, t: _topic(lexicons, words, t, category, rules))
+
+
+def _topic(lexicons: Lexicons, words: Column, text: Column, category: Column, rules) -> Column:
+    pairs = [(lexicons.any(f"topic{i}", words, text) | (category.isin(*cats) if cats else F.lit(False)), topic) for i, (topic, _, cats) in enumerate(rules)]
     return _rank_when([*pairs, (category == "Press Release/Judiciary Updates", "Judiciary Modernization")], "Legislative Development")
 
 
-def urgency_of(text: Column, topic: Column, category: Column, action=lexicon.ACTION_PATTERN) -> Column:
+def urgency_of(acts: Column, topic: Column, category: Column) -> Column:
+    """``acts`` is whether the text asks for action."""
     return _rank_when(
-        [(any_word(text, action), "ACTION REQUIRED"), (topic.isin(*lexicon.STRATEGIC_TOPICS), "STRATEGIC"), (category.isin("Legislation News", "Recent Judgments"), "WATCH"), (category == "Legal News", "INFORMATIONAL")], "WATCH"
+        [(acts, "ACTION REQUIRED"), (topic.isin(*lexicon.STRATEGIC_TOPICS), "STRATEGIC"), (category.isin("Legislation News", "Recent Judgments"), "WATCH"), (category == "Legal News", "INFORMATIONAL")], "WATCH"
     )
 
 
@@ -43,11 +55,14 @@ def routing_items(items: DataFrame, now: Column, topic_rules=lexicon.TOPIC_RULES
     """Items with topic, urgency, impact, status and tags."""
     text = routing_text("title", "summary", "category", "source", "source_tab")
     out = settled(items, {"__text": text, "is_new": F.col("first_seen_at") >= now - F.expr("INTERVAL 24 HOURS")})
-    out = settled(out, {"topic": topic_of(F.col("__text"), F.col("category"), topic_rules)})
-    out = settled(out, {"urgency": urgency_of(F.col("__text"), F.col("topic"), F.col("category"), action)})
+    lexicons = _topics(topic_rules, action)
+    words, said = F.col("__words"), F.col("__text")
+    out = settled(out, {"__words": lexicons.words(said)})
+    out = settled(out, {"topic": _topic(lexicons, words, said, F.col("category"), topic_rules), "__acts": lexicons.any("action", words, said)})
+    out = settled(out.drop("__text", "__words"), {"urgency": urgency_of(F.col("__acts"), F.col("topic"), F.col("category"))})
     out = out.withColumn("impact", impact_of(F.col("urgency"), F.col("topic"), F.col("category"), F.col("is_new"), routing_text("source", "source_tab")))
     tags = F.array_compact(F.array(F.regexp_replace(F.lower("topic"), "[^a-z0-9]+", "_"), "category", "source_tab"))
-    return out.withColumns({"status": F.when(F.col("is_new"), "New").otherwise("Reviewed"), "tags": tags}).drop("__text")
+    return out.withColumns({"status": F.when(F.col("is_new"), "New").otherwise("Reviewed"), "tags": tags}).drop("__acts")
 
 
 def departments(spark: SparkSession, profiles=lexicon.DEPARTMENTS) -> DataFrame:
@@ -76,39 +91,68 @@ def route_count(profiles=lexicon.DEPARTMENTS, least: int = 58) -> Column:
 
 
 def route_scores(routed: DataFrame, teams: DataFrame) -> DataFrame:
-    """Every item against every department (a handful of rows, broadcast), scored and ranked."""
-    pairs = routed.crossJoin(F.broadcast(teams))
-    topic = F.coalesce(F.col("topics")[F.col("topic")], F.lit(0))
-    match = F.array_contains("places", F.col("country"))
-    out = pairs.withColumns({"topic_weight": topic, "place_match": match, "route_score": _score(topic, match)})
+    """Every item against every department, scored and ranked: departments, a handful, are one row that meets each item.
+
+    Ranking is a sort of those few scores beside the item, so nothing is shuffled.
+    """
+    one = teams.agg(F.collect_list(F.struct("department", "d_ord", "name", "short_name", "topics", "places")).alias("__teams"))
+    both = routed.crossJoin(F.broadcast(one))
+
+    def scored(t: Column) -> Column:
+        topic, match = F.coalesce(t["topics"][F.col("topic")], F.lit(0)), F.array_contains(t["places"], F.col("country"))
+        s = _score(topic, match)
+        # Ordered by score, best first, then by the departments' order.
+        return F.struct((-s).alias("minus"), *[t[c].alias(c) for c in ("d_ord", "department", "name", "short_name")], topic.alias("topic_weight"), match.alias("place_match"), s.alias("route_score"))
+
+    ranked = both.select(*routed.columns, F.posexplode(F.array_sort(F.transform("__teams", scored))).alias("__p", "__r"))
     s = F.col("route_score")
-    out = out.withColumns({"routed": s >= 58, "confidence": _rank_when([(s >= 82, "High"), (s >= 66, "Medium-High"), (s >= 48, "Medium")], "Low")})
-    return out.withColumn("route_rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("route_score").desc(), "d_ord"))).drop("topics", "places")
+    out = ranked.select(*routed.columns, "__r.department", "__r.d_ord", "__r.name", "__r.short_name", "__r.topic_weight", "__r.place_match", "__r.route_score", (F.col("__p") + 1).alias("route_rank"))
+    return out.withColumns({"routed": s >= 58, "confidence": _rank_when([(s >= 82, "High"), (s >= 66, "Medium-High"), (s >= 48, "Medium")], "Low")})
 
 
 def _text(with_tags: bool = True) -> Column:
     return F.lower(F.concat_ws(" ", "title", "summary", "topic", "category", "source", "source_tab", *([F.array_join("tags", " ")] if with_tags else [])))
 
 
+#: Every word pattern of routine, strategic and alertable texts, and the v of a case's name.
+SAYINGS = {
+    "court": lexicon.COURT_TOPIC_WORDS, "cause": lexicon.CAUSE_LIST_WORDS, "outcome": lexicon.ROUTINE_OUTCOME_WORDS, "strategic": lexicon.STRATEGIC_COURT_WORDS, "precedent": lexicon.PRECEDENT_WORDS,
+    "notice": lexicon.NOTICE_WORDS, "excuse": lexicon.NOTICE_EXCUSE_WORDS, "unless": lexicon.ANALYSIS_EXCUSE_WORDS, "versus": "v",
+}
+#: The alternatives of the intake pattern that are plain, and a part that each of the others needs.
+_INTAKE_PLAIN = tuple(p for p in lexicon.ROUTINE_INTAKE_PATTERN.split("|") if re.fullmatch("[a-z ]+", p))
+_INTAKE_PARTS = ("agms and egms", "in memoriam", "download ministry")
+
+
 def routine_intake(text: Column) -> Column:
-    return text.rlike(lexicon.ROUTINE_INTAKE_PATTERN)
+    return any_substring(text, _INTAKE_PLAIN) | any_substring(text, _INTAKE_PARTS) & text.rlike(lexicon.ROUTINE_INTAKE_PATTERN)
+
+
+def _routine_judgment(lexicons: Lexicons, words: Column, text: Column, topic: Column) -> Column:
+    has = lambda name: lexicons.any(name, words, text)
+    listed = has("cause") | has("versus") & text.rlike(r"\sv\.?\s")
+    return (topic.isin("Precedent-Setting Judgment", "Judiciary Modernization") | has("court")) & (listed | has("outcome")) & ~has("strategic")
 
 
 def routine_judgment(text: Column, topic: Column) -> Column:
-    listed = any_word(text, lexicon.CAUSE_LIST_WORDS) | text.rlike(r"\sv\.?\s")
-    about_courts = topic.isin("Precedent-Setting Judgment", "Judiciary Modernization") | any_word(text, lexicon.COURT_TOPIC_WORDS)
-    return about_courts & (listed | any_word(text, lexicon.ROUTINE_OUTCOME_WORDS)) & ~any_word(text, lexicon.STRATEGIC_COURT_WORDS)
+    lexicons = Lexicons(PATTERN, **SAYINGS)
+    return lexicons.found(text, lambda words, t: _routine_judgment(lexicons, words, t, topic))
+
+
+def _alertable(title: Column, unless: Column, intake: Column, routine: Column) -> Column:
+    low = F.lower(F.coalesce(title, F.lit("")))
+    lexicons = Lexicons(PATTERN, opinion=lexicon.OPINION_WORDS, analysis=lexicon.ANALYSIS_WORDS)
+    quiet = lexicons.found(low, lambda words, t: ~lexicons.any("opinion", words, t) & ~(lexicons.any("analysis", words, t) & ~unless))
+    return ~intake & ~routine & quiet
 
 
 def alertable(title: Column, text: Column, topic: Column) -> Column:
     """Not opinion, not mere analysis, not routine."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    mere = any_word(low, lexicon.ANALYSIS_WORDS) & ~any_word(text, lexicon.ANALYSIS_EXCUSE_WORDS)
-    return ~any_word(low, lexicon.OPINION_WORDS) & ~mere & ~routine_intake(text) & ~routine_judgment(text, topic)
+    return _alertable(title, any_word(text, lexicon.ANALYSIS_EXCUSE_WORDS), routine_intake(text), routine_judgment(text, topic))
 
 
 def strategic_scores(routed: DataFrame, scores: DataFrame | None = None, rules=lexicon.SIGNAL_RULES) -> DataFrame:
-    """Routed items with n_routes, signal_score and reasons; caps apply in order.
+    """Routed items with n_routes, signal_score, reasons, headline and alertable; caps apply in order.
 
     Without ``scores`` routes are counted from the default profiles, in the same pass.
     """
@@ -117,17 +161,21 @@ def strategic_scores(routed: DataFrame, scores: DataFrame | None = None, rules=l
     else:
         routes = scores.filter(F.col("routed") & (F.col("department") != "sales")).groupBy("id").agg(F.count("*").alias("n_routes"))
         out = routed.join(routes, "id", "left").withColumn("n_routes", F.coalesce("n_routes", F.lit(0)))
-    out = out.withColumn("__t", _text())
-    t, topic, n, urgency = F.col("__t"), F.col("topic"), F.col("n_routes"), F.col("urgency")
-    # Every pattern is matched once; points, caps and reasons read the outcome.
-    tests = {f"hit{i}": any_word(t, pattern) | topic.isin(*topics) for i, (_, _, pattern, topics) in enumerate(rules)}
+    # A text is cut into words once; points, caps, reasons and alerts read what was found.
+    lexicons = Lexicons(PATTERN, **SAYINGS, **{f"rule{i}": pattern for i, (_, _, pattern, _) in enumerate(rules)})
+    out = settled(out, {"__t": _text()})
+    out = settled(out, {"__w": lexicons.words(F.col("__t"))})
+    t, w, topic, n, urgency = F.col("__t"), F.col("__w"), F.col("topic"), F.col("n_routes"), F.col("urgency")
+    has = lambda name: lexicons.any(name, w, t)
+    tests = {f"hit{i}": has(f"rule{i}") | topic.isin(*topics) for i, (_, _, _, topics) in enumerate(rules)}
     tests |= {
         "intake": routine_intake(t),
-        "plain": (topic == "Precedent-Setting Judgment") & ~any_word(t, lexicon.PRECEDENT_WORDS),
-        "routine": routine_judgment(t, topic),
-        "notice": any_word(t, lexicon.NOTICE_WORDS) & ~any_word(t, lexicon.NOTICE_EXCUSE_WORDS),
+        "plain": (topic == "Precedent-Setting Judgment") & ~has("precedent"),
+        "routine": _routine_judgment(lexicons, w, t, topic),
+        "notice": has("notice") & ~has("excuse"),
+        "unless": has("unless"),
     }
-    out = settled(settled(out, {"__t": t}), {"__s": F.struct(*[c.alias(k) for k, c in tests.items()])})
+    out = settled(out, {"__s": F.struct(*[c.alias(k) for k, c in tests.items()])}).drop("__t", "__w")
     said = F.col("__s")
     score = _rank_when([(n >= 3, 24), (n == 2, 14), (n == 1, 6)], 0)
     reasons = [F.when(n >= 3, "multi-department relevance").when(n == 2, "cross-team relevance")]
@@ -149,18 +197,23 @@ def strategic_scores(routed: DataFrame, scores: DataFrame | None = None, rules=l
     for condition, most, reason in caps:
         score = F.when(condition, F.least(score, F.lit(most))).otherwise(score)
         reasons.append(F.when(condition, reason))
-    return settled(out, {"signal_score": F.greatest(F.lit(0), F.least(F.lit(100), score)), "__why": F.array(*reasons)}).withColumns({"reasons": F.array_distinct(F.array_compact("__why")), "headline": executive_title(F.col("title"))}).drop("__t", "__s", "__why")
+    made = {"signal_score": F.greatest(F.lit(0), F.least(F.lit(100), score)), "__why": F.array(*reasons), "alertable": _alertable(F.col("title"), said["unless"], said["intake"], said["routine"])}
+    return settled(out, made).withColumns({"reasons": F.array_distinct(F.array_compact("__why")), "headline": executive_title(F.col("title"))}).drop("__s", "__why")
 
 
 def strategic_signals(scored: DataFrame, threshold: int = 72) -> DataFrame:
-    return scored.filter(F.col("signal_score") >= threshold).orderBy(F.col("signal_score").desc(), F.col("impact").desc(), F.col("date").desc_nulls_last(), "id")
+    """Items of ``threshold`` points or more, best first.
+
+    A global sort samples its input before it sorts it; the exchange before it makes it read what was scored, not score twice.
+    """
+    return scored.filter(F.col("signal_score") >= threshold).hint("rebalance").orderBy(F.col("signal_score").desc(), F.col("impact").desc(), F.col("date").desc_nulls_last(), "id")
 
 
-def digest_candidates(scored: DataFrame, scores: DataFrame | None, department: str, most: int | None = 12) -> DataFrame:
+def digest_candidates(scored: DataFrame, scores: DataFrame | None, department: str, most: int = 12) -> DataFrame:
     """Alertable items of a department (route score 52 or more) in digest order, numbered by ``rank``.
 
-    ``most`` keeps the first of each country, which is all that a digest of so many entries can need; without it
-    every candidate is numbered, in one task. Without ``scores`` the default profiles score the items in the same pass.
+    ``most`` keeps the first of each country, which is all that a digest of so many entries can need. Without
+    ``scores`` the default profiles score the items in the same pass.
     """
     order = F.array(*[F.lit(c) for c in lexicon.PRODUCT_CATEGORY_ORDER])
     place = F.when(F.array_position(order, F.col("category")) > 0, F.array_position(order, F.col("category"))) if department == "product" else F.lit(0)
@@ -168,12 +221,8 @@ def digest_candidates(scored: DataFrame, scores: DataFrame | None, department: s
         own = settled(scored, {"route_score": route_score(department)}).filter("route_score >= 52")
     else:
         own = scored.join(scores.filter((F.col("department") == department) & (F.col("route_score") >= 52)).select("id", "route_score"), "id")
-    out = settled(own, {"category_rank": place.cast("int"), "__t": _text()}).filter(F.col("category_rank").isNotNull())
-    out = settled(out, {"__ok": alertable(F.col("title"), F.col("__t"), F.col("topic"))}).filter("__ok").drop("__ok")
-    out = out.drop("__t")
+    out = own.withColumn("category_rank", place.cast("int")).filter(F.col("category_rank").isNotNull() & F.col("alertable"))
     order = ["category_rank", F.col("signal_score").desc(), F.col("route_score").desc(), F.col("impact").desc(), "id"]
-    if most is None:
-        return out.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
     # No country gives a digest more entries than it has in all, so the first of each are enough; ranks count those alone.
     best = out.withColumn("__n", F.row_number().over(Window.partitionBy("country").orderBy(*order))).filter(F.col("__n") <= most).drop("__n")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))

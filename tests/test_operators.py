@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import dates, text
+from quillspark.functions import dates, lexicon, matching, text
 from quillspark.operators import classify, gates, heatmap, listing, merge, movements, positional, routing, summarize
+from quillspark.operators.frame import settled
 from quillspark.sources import items as item_source
 from quillspark.sources import markup
 from quillspark.streaming import ingest
@@ -191,3 +192,43 @@ def test_streamed_merge_is_idempotent(spark, tmp_path):
         assert query.exception() is None
         got = {r["fingerprint"] for r in ingest.read_store(spark, str(tmp_path / "store"), schema).collect()}
         assert got == {"a", "b", "z"}, run
+
+
+def test_spellings_of_patterns():
+    assert sorted("".join(p) for p in matching.spellings("licen[cs]ed?")) == ["licence", "licenced", "license", "licensed"]
+    assert matching.spellings(r"c\.?a\.?\s+no") == [["c.a.", "no"], ["c.a", "no"], ["ca.", "no"], ["ca", "no"]]
+    for odd in ("a(b)", "a+", "x{2}", ".", r"\d"):
+        with pytest.raises(ValueError):
+            matching.spellings(odd)
+
+
+def test_one_pass_finds_what_regular_expressions_find(spark):
+    """Every lexicon and pattern, on texts made of their own words and of what almost is one."""
+    import random
+    import re
+
+    terms = {f"t{i}": tuple(d[3]) for i, d in enumerate(lexicon.RISK_DOMAINS)} | {"odd": ("import/export", "a.b", "é", "x y", "-", "_a", "ai")}
+    patterns = {f"p{i}": r[1] for i, r in enumerate(lexicon.TOPIC_RULES)} | {f"s{i}": r[2] for i, r in enumerate(lexicon.SIGNAL_RULES)} | {"cause": lexicon.CAUSE_LIST_WORDS, "odd": r"a\d+|ai", "court": lexicon.COURT_TOPIC_WORDS}
+    by_term, by_pattern = matching.Lexicons(matching.TERM, **terms), matching.Lexicons(matching.PATTERN, **patterns)
+    rng = random.Random(4)
+    pieces = sorted({p for ts in terms.values() for t in ts for p in (t, *t.split())} | {p for x in patterns.values() for a in x.split("|") for p in (re.sub(r"\\s\+", " ", a).replace("\\", "").replace("?", ""), a[:3])} | {"c.a. no", "crla", "a77", "judgement s", "É"})
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", " ", "  ", "-", "_", ".", "", "\n", "é"]) for _ in range(rng.randrange(8))).lower() for _ in range(600)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(2)
+    t, w1, w2 = F.col("t"), F.col("w1"), F.col("w2")
+    found = settled(rows, {"w1": by_term.words(t), "w2": by_pattern.words(t)})
+    got = found.select("t", *[by_term.any(k, w1, t).alias(k) for k in terms if k != "odd"], by_term.which("odd", w1, t).alias("which"), *[by_pattern.any(k, w2, t).alias(k) for k in patterns], text.any_word(t, "ai|e-?filing").alias("alone")).collect()
+    for r in got:
+        for k, ts in terms.items():
+            hits = [x for x in ts if re.search(rf"(?<![a-z0-9]){re.escape(x)}(?![a-z0-9])", r["t"])]
+            assert r["which"] == hits if k == "odd" else r[k] == bool(hits), (k, r["t"])
+        for k, p in patterns.items():
+            assert r[k] == bool(re.search(rf"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])", r["t"])), (k, r["t"])
+        assert r["alone"] == bool(re.search(r"(?<![A-Za-z0-9_])(?:ai|e-?filing)(?![A-Za-z0-9_])", r["t"]))
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """One array_intersect with a vocabulary for each text, and no regular expression that scans whole texts for words."""
+    rows = spark.createDataFrame([(1, "t", "s", "Legal News", "src", None, "2024-01-30 00:00:00", None, "Singapore")], "id int, title string, summary string, category string, source string, source_tab string, first_seen_at string, date date, country string")
+    rows = rows.withColumn("first_seen_at", F.to_timestamp("first_seen_at"))
+    plan = routing.strategic_scores(routing.routing_items(rows, F.lit("2024-01-31").cast("timestamp")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") <= 3 and "(?:ai|" not in plan and "?:bill" not in plan
