@@ -12,14 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import lexicon
-from quillspark.functions.matching import PATTERN, TERM, Lexicons
+from quillspark.functions.matching import PATTERN, TERM, Lexicons, let
 
 SPACE = r"[\s  -     　]+"
 
 
+#: The characters of that class beyond ASCII. Their class is slow to match, so it is asked for only where one is there.
+_RARE_SPACES = tuple(c for c in map(chr, range(128, 0x3001)) if re.fullmatch(SPACE.replace(r"\s", ""), c))
+_PLAIN_RUNS = r"[\t\n\x0B\f\r][ \t\n\x0B\f\r]*| [ \t\n\x0B\f\r]+"
+
+
+def _single_spaces(text: Column) -> Column:
+    return let(text, lambda t: F.when(any_substring(t, _RARE_SPACES), F.regexp_replace(t, SPACE, " ")).otherwise(F.regexp_replace(t, _PLAIN_RUNS, " ")))
+
+
 def squeeze(text: Column) -> Column:
     """White space runs (no-break spaces too) become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    return F.trim(_single_spaces(text))
 
 
 def decode_references(text: Column) -> Column:
@@ -39,18 +48,22 @@ def decode_references(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.regexp_replace(plain, "&(?:amp|#38|#x26);", "&")).otherwise(text)
 
 
+def _mended(text: Column) -> Column:
+    for bad, good in lexicon.MOJIBAKE.items():
+        text = F.replace(text, F.lit(bad), F.lit(good))
+    return text
+
+
 def clean_text(text: Column, most: int | None = None) -> Column:
     """Markup and white space removed, known encoding slips mended, decorations trimmed. Null becomes empty.
 
     Longer texts than ``most`` are cut at most - 1 and get three dots.
     """
-    out = decode_references(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, r"<[A-Za-z/!][^>]*>", " ")
-    for bad, good in lexicon.MOJIBAKE.items():
-        out = F.replace(out, F.lit(bad), F.lit(good))
-    out = F.btrim(F.regexp_replace(out, SPACE, " "), F.lit(" \t\r\n-•|"))
+    out = let(decode_references(F.coalesce(text, F.lit(""))), lambda t: F.when(F.contains(t, F.lit("<")), F.regexp_replace(t, r"<[A-Za-z/!][^>]*>", " ")).otherwise(t))
+    out = let(out, lambda t: F.when(any_substring(t, ("â", "Â")), _mended(t)).otherwise(t))
+    out = F.btrim(_single_spaces(out), F.lit(" \t\r\n-•|"))
     if most:
-        out = F.when(F.length(out) > most, F.concat(F.rtrim(F.substring(out, 1, most - 1)), F.lit("..."))).otherwise(out)
+        out = let(out, lambda t: F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("..."))).otherwise(t))
     return out
 
 
@@ -144,13 +157,19 @@ def title_case(text: Column) -> Column:
 
 def executive_title(title: Column) -> Column:
     """A headline without feed leftovers; shouting becomes title case, Vs becomes v.; long ones are cut at a word."""
-    t = squeeze(F.coalesce(title, F.lit("")))
-    t = F.regexp_replace(t, r"(?i)\bDownload\b.*\z", "")
-    t = F.regexp_replace(t, r"(?i)\bGazette ID\b.*\z", "")
-    t = F.trim(F.regexp_replace(t, r"(?i)\s*[-|]\s*(Latest|News|Update)\z", ""))
-    letters, upper = F.length(F.regexp_replace(t, "[^A-Za-z]", "")), F.length(F.regexp_replace(t, "[^A-Z]", ""))
-    shown = F.when((letters > 0) & (upper / F.when(letters > 0, letters) > 0.72), F.regexp_replace(title_case(t), r"(?<![A-Za-z0-9_])Vs(?:\.(?=[A-Za-z0-9_])|(?![A-Za-z0-9_]))", "v.")).otherwise(t)
-    return cut_at_word(shown, 118, 115)
+    def shown(t: Column) -> Column:
+        letters, upper = F.length(F.regexp_replace(t, "[^A-Za-z]+", "")), F.length(F.regexp_replace(t, "[^A-Z]+", ""))
+        return F.when((letters > 0) & (upper / F.when(letters > 0, letters) > 0.72), F.regexp_replace(title_case(t), r"(?<![A-Za-z0-9_])Vs(?:\.(?=[A-Za-z0-9_])|(?![A-Za-z0-9_]))", "v.")).otherwise(t)
+
+    def plain(t: Column) -> Column:
+        t = F.regexp_replace(t, r"(?i)\bDownload\b.*\z", "")
+        t = F.regexp_replace(t, r"(?i)\bGazette ID\b.*\z", "")
+        return F.trim(F.regexp_replace(t, r"(?i)\s*[-|]\s*(Latest|News|Update)\z", ""))
+
+    # Most headlines have none of these leftovers and are not searched for them.
+    left = lambda t: let(F.lower(t), lambda low: any_substring(low, ("download", "gazette id")) | low.rlike("(?:latest|news|update)\\z"))
+    told = let(squeeze(F.coalesce(title, F.lit(""))), lambda t: F.when(left(t), plain(t)).otherwise(t))
+    return let(let(told, shown), lambda t: cut_at_word(t, 118, 115))
 
 
 def gazette_text(text: Column) -> Column:

@@ -23,12 +23,20 @@ def routing_text(*columns: str) -> Column:
     return F.lower(F.concat_ws(" ", *columns))
 
 
-def _topics(rules, action) -> Lexicons:
-    return Lexicons(PATTERN, action=action, **{f"topic{i}": pattern for i, (_, pattern, _) in enumerate(rules)})
+#: Every word pattern of routine, strategic and alertable texts, and the v of a case's name.
+SAYINGS = {
+    "court": lexicon.COURT_TOPIC_WORDS, "cause": lexicon.CAUSE_LIST_WORDS, "outcome": lexicon.ROUTINE_OUTCOME_WORDS, "strategic": lexicon.STRATEGIC_COURT_WORDS, "precedent": lexicon.PRECEDENT_WORDS,
+    "notice": lexicon.NOTICE_WORDS, "excuse": lexicon.NOTICE_EXCUSE_WORDS, "unless": lexicon.ANALYSIS_EXCUSE_WORDS, "versus": "v",
+}
+
+
+def _lexicons(topics=(), action: str = "", signals=()) -> Lexicons:
+    """Topics, action and signals, and what routine and alertable texts say, as one set of lexicons."""
+    return Lexicons(PATTERN, action=action, **SAYINGS, **{f"topic{i}": t[1] for i, t in enumerate(topics)}, **{f"rule{i}": r[2] for i, r in enumerate(signals)})
 
 
 def topic_of(text: Column, category: Column, rules=lexicon.TOPIC_RULES) -> Column:
-    lexicons = _topics(rules, "")
+    lexicons = _lexicons(rules)
     return lexicons.found(text, lambda words, t: _topic(lexicons, words, t, category, rules))
 
 
@@ -51,15 +59,18 @@ def impact_of(urgency: Column, topic: Column, category: Column, is_new: Column,
     return F.greatest(F.lit(35), F.least(F.lit(98), score + F.when(source_text.rlike(lexicon.OFFICIAL_SOURCE_PATTERN), 4).otherwise(0)))
 
 
-def routing_items(items: DataFrame, now: Column, topic_rules=lexicon.TOPIC_RULES, action=lexicon.ACTION_PATTERN) -> DataFrame:
-    """Items with topic, urgency, impact, status and tags."""
+def routing_items(items: DataFrame, now: Column, topic_rules=lexicon.TOPIC_RULES, action=lexicon.ACTION_PATTERN, signal_rules=lexicon.SIGNAL_RULES) -> DataFrame:
+    """Items with topic, urgency, impact, status, tags, and words: those of all routing lexicons that their texts have.
+
+    A text is cut into words here, once; strategic scores of the same rules read ``words``.
+    """
     text = routing_text("title", "summary", "category", "source", "source_tab")
     out = settled(items, {"__text": text, "is_new": F.col("first_seen_at") >= now - F.expr("INTERVAL 24 HOURS")})
-    lexicons = _topics(topic_rules, action)
-    words, said = F.col("__words"), F.col("__text")
-    out = settled(out, {"__words": lexicons.words(said)})
+    lexicons = _lexicons(topic_rules, action, signal_rules)
+    words, said = F.col("words"), F.col("__text")
+    out = settled(out, {"words": lexicons.words(said)})
     out = settled(out, {"topic": _topic(lexicons, words, said, F.col("category"), topic_rules), "__acts": lexicons.any("action", words, said)})
-    out = settled(out.drop("__text", "__words"), {"urgency": urgency_of(F.col("__acts"), F.col("topic"), F.col("category"))})
+    out = settled(out.drop("__text"), {"urgency": urgency_of(F.col("__acts"), F.col("topic"), F.col("category"))})
     out = out.withColumn("impact", impact_of(F.col("urgency"), F.col("topic"), F.col("category"), F.col("is_new"), routing_text("source", "source_tab")))
     tags = F.array_compact(F.array(F.regexp_replace(F.lower("topic"), "[^a-z0-9]+", "_"), "category", "source_tab"))
     return out.withColumns({"status": F.when(F.col("is_new"), "New").otherwise("Reviewed"), "tags": tags}).drop("__acts")
@@ -114,11 +125,6 @@ def _text(with_tags: bool = True) -> Column:
     return F.lower(F.concat_ws(" ", "title", "summary", "topic", "category", "source", "source_tab", *([F.array_join("tags", " ")] if with_tags else [])))
 
 
-#: Every word pattern of routine, strategic and alertable texts, and the v of a case's name.
-SAYINGS = {
-    "court": lexicon.COURT_TOPIC_WORDS, "cause": lexicon.CAUSE_LIST_WORDS, "outcome": lexicon.ROUTINE_OUTCOME_WORDS, "strategic": lexicon.STRATEGIC_COURT_WORDS, "precedent": lexicon.PRECEDENT_WORDS,
-    "notice": lexicon.NOTICE_WORDS, "excuse": lexicon.NOTICE_EXCUSE_WORDS, "unless": lexicon.ANALYSIS_EXCUSE_WORDS, "versus": "v",
-}
 #: The alternatives of the intake pattern that are plain, and a part that each of the others needs.
 _INTAKE_PLAIN = tuple(p for p in lexicon.ROUTINE_INTAKE_PATTERN.split("|") if re.fullmatch("[a-z ]+", p))
 _INTAKE_PARTS = ("agms and egms", "in memoriam", "download ministry")
@@ -154,17 +160,19 @@ def alertable(title: Column, text: Column, topic: Column) -> Column:
 def strategic_scores(routed: DataFrame, scores: DataFrame | None = None, rules=lexicon.SIGNAL_RULES) -> DataFrame:
     """Routed items with n_routes, signal_score, reasons, headline and alertable; caps apply in order.
 
-    Without ``scores`` routes are counted from the default profiles, in the same pass.
+    Without ``scores`` routes are counted from the default profiles, in the same pass. ``words`` of routed items must be
+    those of the same signal rules; items without that column are cut into words here.
     """
     if scores is None:
         out = routed.withColumn("n_routes", route_count())
     else:
         routes = scores.filter(F.col("routed") & (F.col("department") != "sales")).groupBy("id").agg(F.count("*").alias("n_routes"))
         out = routed.join(routes, "id", "left").withColumn("n_routes", F.coalesce("n_routes", F.lit(0)))
-    # A text is cut into words once; points, caps, reasons and alerts read what was found.
-    lexicons = Lexicons(PATTERN, **SAYINGS, **{f"rule{i}": pattern for i, (_, _, pattern, _) in enumerate(rules)})
+    # Points, caps, reasons and alerts read the words that were found, and those of what routing has added.
+    lexicons = _lexicons(signals=rules)
+    added = F.lower(F.concat_ws(" ", "topic", F.array_join("tags", " ")))
     out = settled(out, {"__t": _text()})
-    out = settled(out, {"__w": lexicons.words(F.col("__t"))})
+    out = settled(out, {"__w": F.array_union("words", lexicons.words(added)) if "words" in out.columns else lexicons.words(F.col("__t"))})
     t, w, topic, n, urgency = F.col("__t"), F.col("__w"), F.col("topic"), F.col("n_routes"), F.col("urgency")
     has = lambda name: lexicons.any(name, w, t)
     tests = {f"hit{i}": has(f"rule{i}") | topic.isin(*topics) for i, (_, _, _, topics) in enumerate(rules)}
