@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon
+from quillspark.operators.search_index import search
 
 # What hides an item.
 GAZETTE_SOURCE = "Gazette of India"
@@ -49,16 +50,19 @@ def clamp_page(limit: int, offset: int, most: int) -> tuple[int, int]:
     return max(1, min(limit, most)), max(0, offset)
 
 
-def list_items(items: DataFrame, now: Column, *, country: str | None = None, category: str | None = None, q: str | None = None, limit: int = 50, offset: int = 0, most: int = 200) -> DataFrame:
+def list_items(items: DataFrame, now: Column, *, country: str | None = None, category: str | None = None, q: str | None = None, limit: int = 50, offset: int = 0, most: int = 200, index: str | None = None) -> DataFrame:
     """A page of visible items, newest first, undated last; ``is_new`` marks those first seen within 24 hours.
 
-    A query matches title, summary or source anywhere, without case; % and _ in it are wildcards.
+    A query matches title, summary or source anywhere, without case; % and _ in it are wildcards. With ``index``, the
+    folder of a trigram index of these columns, only the rows that its postings name are searched.
     """
     out = items
     for column, value in (("country", country), ("category", category)):
         if value and value != "All":
             out = out.filter(F.col(column) == value)
-    if q:
+    if q and index:
+        out = search(out, index, q.strip())
+    elif q:
         out = out.filter(reduce(lambda a, b: a | b, [F.col(c).ilike(f"%{q.strip()}%") for c in ("title", "summary", "source")]))
     limit, offset = clamp_page(limit, offset, most)
     flagged = out.withColumn("is_new", F.col("first_seen_at") >= now - F.expr("INTERVAL 24 HOURS"))
@@ -99,3 +103,22 @@ def search_issues(issues: DataFrame, q: str) -> DataFrame:
 def published(issues: DataFrame, limit: int = 50) -> DataFrame:
     """Published issues, newest first."""
     return issues.filter((F.col("status") == "published") & F.col("published_at").isNotNull()).orderBy(F.col("published_at").desc(), F.col("updated_at").desc(), "id").limit(clamp_page(limit, 0, 100)[0])
+
+
+def pages_by(items: DataFrame, column: str, values: tuple[str, ...], *, limit: int = 200) -> DataFrame:
+    """The first page of each value's own listing, one after the other in the order of ``values``: item columns and ``place`` from 0.
+
+    One ranking that drops all but ``limit`` rows a value before it shuffles, not a scan for each. A value given twice counts once.
+    """
+    values = tuple(dict.fromkeys(values))
+    newest = [F.col("date").desc_nulls_last(), F.col("first_seen_at").desc(), "id"]
+    own = items.filter(F.col(column).isin(*values)).withColumn("__at", F.row_number().over(Window.partitionBy(column).orderBy(*newest))).filter(F.col("__at") <= limit)
+    turn = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))
+    return own.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(turn, "__at")) - 1).drop("__at")
+
+
+def merged_pages(pages: DataFrame, key: str = "id") -> DataFrame:
+    """Pages of several listings as one: each row once, the later of equal ones, by the day or else the time first seen, newest first."""
+    last = pages.groupBy(key).agg(F.max("place").alias("place"))
+    when = F.coalesce(F.col("date").cast("timestamp"), F.col("first_seen_at"))
+    return pages.join(last, [key, "place"], "left_semi").orderBy(when.desc_nulls_last(), F.col("first_seen_at").desc_nulls_last(), key)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon
 from quillspark.functions.text import canonical_url, fingerprint
-from quillspark.operators import classify, dedup, gates, listing, merge, stats
+from quillspark.operators import classify, dedup, gates, listing, merge, pages, search_index, stats
 from quillspark.plans.sqlparts import KEY_SQL, NOW_SQL, URL_SQL, has_any, has_term, quoted, with_items
+from quillspark.session import scratch
 from quillspark.sources.items import REGISTRY_SQL, RUNS_SQL, items, now, read, registry, runs
 
 # Terms that the driver's invented prose does hold; defaults stay with the operators.
@@ -33,6 +36,38 @@ def list_items(spark, sf):
     return page.select("id", "country", "source", "title", "date", "first_seen_at", "is_new")
 
 
+#: Searches: words, a phrase over a line break, two characters, one, wildcards, an escaped one, none, everything.
+SEARCHES = ("license", " the ", "src7", "qu", "x", "t_e %ed", "100\\%", "nowhere to be found", "%")
+
+
+def searched_items(spark, sf):
+    """What each search finds, by way of the trigram index of all items."""
+    rows, root = items(spark, sf), scratch(spark, "trigrams")
+    search_index.build_index(rows, root)
+    found = [search_index.search(rows, root, q).select(F.lit(q).alias("q"), "id") for q in SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
+def deep_page(spark, sf):
+    """A page far down the listing of all items, read from the range that it lies in."""
+    root = scratch(spark, "ranges")
+    pages.write_ranges(items(spark, sf), root, range_rows=64)
+    return pages.page(spark, root, limit=40, offset=150).select("id", "date", "first_seen_at")
+
+
+COUNTRIES = ("Singapore", "Hong Kong", "India", "Singapore")
+
+
+def listing_by_country(spark, sf):
+    """The first pages of three countries, one after the other."""
+    return listing.pages_by(visible_items(spark, sf), "country", COUNTRIES, limit=100).select("place", "country", "id")
+
+
+def merged_listing(spark, sf):
+    """The same pages as one listing, the first 150 of it."""
+    return listing.merged_pages(listing.pages_by(visible_items(spark, sf), "country", COUNTRIES, limit=100)).select("id", "country", "date").limit(150)
+
+
 def list_tagged_items(spark, sf):
     low = F.lower("summary")
     tagged = items(spark, sf).withColumn("tags", F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in TAGS]))).withColumn("region", F.col("country"))
@@ -217,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_items, list_tagged_items, hidden_by_rule, stats_by_country, stats_grouping_sets, stats_overview, latest_run_per_source, run_health, country_mix, category_facets, canonical_urls, fingerprint_dedup,
-        first_per_title, capped_per_source, gate_reasons, classify_category, stored_categories, detect_country, ai_gate, merge_updates, merge_summary, merge_tagged, published_issues, upserted_issues, upserted_digests, found_issues, public_stats, official_sources, deleted_issues, migrated_items, issue_history,
+        searched_items, deep_page, listing_by_country, merged_listing, first_per_title, capped_per_source, gate_reasons, classify_category, stored_categories, detect_country, ai_gate, merge_updates, merge_summary, merge_tagged, published_issues, upserted_issues, upserted_digests, found_issues, public_stats, official_sources, deleted_issues, migrated_items, issue_history,
         run_log, weekly_velocity,
     )
 }
@@ -265,7 +300,14 @@ FROM (SELECT *, {KEY_SQL.format('ct')} AS tk, {KEY_SQL.format('cs')} AS sk, lowe
     SELECT i.*, {_CLEAN.format('i.title')} AS c1, {_CLEAN.format('i.summary')} AS c2, r.require_date AS r_require_date, r.required_terms AS r_required_terms, r.excluded_terms AS r_excluded_terms, r.include_all AS r_include_all, r.country_detection AS r_country_detection, r.country AS r_country
     FROM items i LEFT JOIN registry r ON r.name = i.source) i)))"""
 
+_PAGES_SQL = f"""pages_by AS (SELECT *, row_number() OVER (ORDER BY turn, k) - 1 AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY country ORDER BY date DESC NULLS LAST, first_seen_at DESC, id) AS k, list_position([{quoted(COUNTRIES[:3])}], country) AS turn FROM visible WHERE country IN ({quoted(COUNTRIES)})) WHERE k <= 100)"""
+
 ORACLES = {
+    "searched_items": with_items(" UNION ALL ".join("SELECT {0} AS q, id FROM items WHERE title ILIKE {1} ESCAPE '\\' OR summary ILIKE {1} ESCAPE '\\' OR source ILIKE {1} ESCAPE '\\'".format(quoted([q]), quoted([f"%{q}%"])) for q in SEARCHES)),
+    "deep_page": with_items("SELECT id, date, first_seen_at FROM items ORDER BY date DESC NULLS LAST, first_seen_at DESC, id LIMIT 40 OFFSET 150"),
+    "listing_by_country": with_items("SELECT CAST(place AS INTEGER) AS place, country, id FROM pages_by", VISIBLE_SQL, _PAGES_SQL),
+    "merged_listing": with_items("SELECT id, country, date FROM pages_by ORDER BY coalesce(CAST(date AS TIMESTAMP), first_seen_at) DESC, first_seen_at DESC, id LIMIT 150", VISIBLE_SQL, _PAGES_SQL),
     "list_items": with_items(f"SELECT id, country, source, title, date, first_seen_at, first_seen_at >= {NOW_SQL} - INTERVAL 24 HOUR AS is_new FROM visible WHERE category = 'Legal News' AND (title ILIKE '%the%' OR summary ILIKE '%the%' OR source ILIKE '%the%') ORDER BY date DESC NULLS LAST, first_seen_at DESC, id LIMIT 200 OFFSET 5", VISIBLE_SQL),
     "list_tagged_items": with_items(
         f"SELECT id, country AS region, category, array_to_string(tags, ',') AS tags FROM (SELECT *, list_filter({list(TAGS)}, lambda x: contains(lower(summary), x)) AS tags FROM items) WHERE country = 'Singapore' AND list_contains(tags, 'ai') AND concat_ws(' ', title, summary, source, category, array_to_string(tags, ' ')) ILIKE '%en%' ORDER BY date DESC NULLS LAST, first_seen_at DESC, id LIMIT 60"
