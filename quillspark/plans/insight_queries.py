@@ -228,12 +228,22 @@ def event_windows(spark, sf):
     return ingest.windowed_counts(read(spark, sf, "events"))
 
 
+def sliding_windows(spark, sf):
+    """Events of any three days by type, a window a day."""
+    return ingest.windowed_counts(read(spark, sf, "events"), width="3 days", slide="1 day")
+
+
+def risk_lookbacks(spark, sf):
+    """Dated signals of the 7 days up to each day, the 7 and the 30 before, by country and domain."""
+    return ingest.lookback_counts(_signals(spark, sf).filter("date IS NOT NULL"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         risk_signals, risk_heatmap_cells, risk_heatmap_top_signals, risk_kpis, risk_cells_filtered, routing_topics, route_scores, signal_scores, strategic_signals, routing_breakdown, balanced_digest, digest_summary,
         digest_bodies, digest_with_summaries, source_urls, detected_movements, movement_funnel, movement_bands, movement_drafts, feedback_topics, ignored_topics, kept_selection, todays_items, country_line, mail_drafts, day_mails, carried_lines,
-        page_nodes, page_list_items, scanned_pages, summary_contents, page_contents, rss_entries, publication_dates, headlines, cleaned_texts, event_windows,
+        page_nodes, page_list_items, scanned_pages, summary_contents, page_contents, rss_entries, publication_dates, headlines, cleaned_texts, event_windows, sliding_windows, risk_lookbacks,
     )
 }
 
@@ -409,4 +419,6 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(day AS INTEGER) AS day, last_v
     "scanned_pages": f"SELECT CAST(page_id AS VARCHAR) AS source_id, CAST(0 AS INTEGER) AS pos, CASE WHEN len(t) > 260 THEN rtrim(substr(t, 1, 259)) || '...' ELSE t END AS title, CAST(CASE WHEN len(t) > 520 THEN len(rtrim(substr(t, 1, 519))) + 3 ELSE len(t) END AS INTEGER) AS summary_chars, url AS link FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace({_DECODED.replace('html', 'h')}, '<[A-Za-z/!][^>]*>', ' ', 'g'), '{text.SPACE}', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(10) || '-•|') AS t FROM (SELECT *, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h FROM pages))",
     "publication_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders",
     "event_windows": "SELECT TIMESTAMP '1970-01-01' + to_days(CAST(floor(epoch(ts) / 86400 / 7) * 7 AS INTEGER)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "sliding_windows": "SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS start, event_type, count(*) AS n FROM events, (SELECT unnest(range(3)) AS k) GROUP BY 1, 2",
+    "risk_lookbacks": with_items("SELECT date + CAST(k AS INTEGER) AS day, country, domain, count(*) FILTER (k < 7) AS last7, count(*) FILTER (k BETWEEN 7 AND 13) AS previous7, count(*) FILTER (k >= 7) AS previous30 FROM sig, (SELECT unnest(range(37)) AS k) WHERE date IS NOT NULL GROUP BY 1, 2, 3", REGISTRY_SQL, SIGNALS_SQL),
 }

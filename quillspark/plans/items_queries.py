@@ -13,6 +13,8 @@ from quillspark.operators import classify, dedup, gates, listing, merge, pages,
 from quillspark.plans.sqlparts import KEY_SQL, NOW_SQL, URL_SQL, has_any, has_term, quoted, with_items
 from quillspark.session import scratch
 from quillspark.sources.items import REGISTRY_SQL, RUNS_SQL, items, now, read, registry, runs
+from quillspark.streaming.runs import latest_runs_state
+from quillspark.streaming.store import ItemStore
 
 # Terms that the driver's invented prose does hold; defaults stay with the operators.
 HIDDEN_SOURCES = ("src3", "src11")
@@ -167,6 +169,33 @@ def merge_updates(spark, sf):
     return merged.select("fingerprint", "title", F.md5("summary").alias("summary_md5"), "category", "source_tab", "date", "first_seen_at", "last_seen_at", "action")
 
 
+def _as_store(spark, stored: DataFrame) -> ItemStore:
+    store = ItemStore(spark, scratch(spark, "store"), stored.schema, bucket_rows=500)
+    store.create(stored)
+    return store
+
+
+def stored_merge(spark, sf):
+    """The merge in a bucketed store, which exchanges the batch alone."""
+    stored, batch = _store(spark, sf)
+    store = _as_store(spark, stored)
+    store.merge(batch, now())
+    return store.read().select("fingerprint", "title", F.md5("summary").alias("summary_md5"), "category", "source_tab", "date", "first_seen_at", "last_seen_at")
+
+
+def stored_delta(spark, sf):
+    """The same batch appended to the store as a delta and folded in as it is read."""
+    stored, batch = _store(spark, sf)
+    store = _as_store(spark, stored)
+    store.append(batch, now())
+    return store.read().select("fingerprint", "title", F.md5("summary").alias("summary_md5"), "category", "source_tab", "date", "first_seen_at", "last_seen_at")
+
+
+def run_states(spark, sf):
+    """The state that a stream of all runs ends with: latest runs, first seen, runs, and whether a source is stale."""
+    return latest_runs_state(runs(spark, sf), now(), stale_after_hours=12)
+
+
 def merge_summary(spark, sf):
     return merge.merge_counts(merge.merge_items(*_store(spark, sf), now()))
 
@@ -252,7 +281,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_items, list_tagged_items, hidden_by_rule, stats_by_country, stats_grouping_sets, stats_overview, latest_run_per_source, run_health, country_mix, category_facets, canonical_urls, fingerprint_dedup,
-        searched_items, deep_page, listing_by_country, merged_listing, first_per_title, capped_per_source, gate_reasons, classify_category, stored_categories, detect_country, ai_gate, merge_updates, merge_summary, merge_tagged, published_issues, upserted_issues, upserted_digests, found_issues, public_stats, official_sources, deleted_issues, migrated_items, issue_history,
+        searched_items, deep_page, listing_by_country, merged_listing, first_per_title, capped_per_source, gate_reasons, classify_category, stored_categories, detect_country, ai_gate, merge_updates, stored_merge, stored_delta, run_states, merge_summary, merge_tagged, published_issues, upserted_issues, upserted_digests, found_issues, public_stats, official_sources, deleted_issues, migrated_items, issue_history,
         run_log, weekly_velocity,
     )
 }
@@ -347,6 +376,11 @@ ORACLES = {
         f"SELECT fingerprint, title, md5(summary) AS summary_md5, CASE WHEN action <> 'kept' AND category = 'Legal News' AND {has_any('lower(title || chr(32) || summary)', lexicon.POLICY_TERMS)} THEN 'Policy/Regulatory News' ELSE category END AS category, source_tab, date, first_seen_at, last_seen_at, action FROM merged",
         _STORE_SQL,
     ),
+    **dict.fromkeys(("stored_merge", "stored_delta"), with_items(
+        f"SELECT fingerprint, title, md5(summary) AS summary_md5, CASE WHEN action <> 'kept' AND category = 'Legal News' AND {has_any('lower(title || chr(32) || summary)', lexicon.POLICY_TERMS)} THEN 'Policy/Regulatory News' ELSE category END AS category, source_tab, date, first_seen_at, last_seen_at FROM merged",
+        _STORE_SQL,
+    )),
+    "run_states": f"WITH {RUNS_SQL} SELECT source_id, max(id) AS id, arg_max(status, id) AS status, arg_max(fetched_at, id) AS fetched_at, min(fetched_at) AS first_seen, count(*) AS runs, arg_max(fetched_at, id) + INTERVAL 12 HOUR <= {NOW_SQL} AS stale FROM runs GROUP BY source_id",
     "merge_summary": with_items("SELECT count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action = 'updated') AS updated FROM merged", _STORE_SQL),
     "published_issues": f"WITH {_UPSERTED} SELECT * FROM m WHERE status = 'published' AND published_at IS NOT NULL ORDER BY published_at DESC, updated_at DESC, id LIMIT 100",
     "upserted_issues": f"WITH {_UPSERTED} SELECT * FROM m",

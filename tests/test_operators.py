@@ -11,7 +11,6 @@ from quillspark.operators import classify, gates, heatmap, listing, merge, movem
 from quillspark.operators.frame import settled
 from quillspark.sources import items as item_source
 from quillspark.sources import markup
-from quillspark.streaming import ingest
 
 NOW = "2024-01-31 12:00:00"
 NOW_AT = dt.datetime(2024, 1, 1)
@@ -179,21 +178,6 @@ def test_failing_summariser_falls_back(spark):
     assert got == {1: ("ok", "One. Two.", "no provider"), 2: ("ok", "short", "no provider"), 3: ("error", None, "nothing to summarise")}
 
 
-def test_streamed_merge_is_idempotent(spark, tmp_path):
-    schema = "fingerprint string, country string, title string, summary string, category string, source_tab string, date date, link string, first_seen_at timestamp, last_seen_at timestamp"
-    old = spark.createDataFrame([("z", "X", "t", "s", "Case Summary", "tab", None, "l", NOW_AT, NOW_AT)], schema)
-    ingest.create_store(old, str(tmp_path / "store"))
-    batch = spark.createDataFrame([("a", "X", "t", "s", "Case Summary", "tab", None, "l", 1), ("b", "X", "t", "s", "Case Summary", "tab", None, "l", 1)], "fingerprint string, country string, title string, summary string, category string, source_tab string, date date, link string, seq int")
-    for run in range(2):
-        batch.write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
-        query = ingest.merge_stream(stream, str(tmp_path / "store"), str(tmp_path / "ck"), schema, F.lit(NOW).cast("timestamp"))
-        query.awaitTermination(120)
-        assert query.exception() is None
-        got = {r["fingerprint"] for r in ingest.read_store(spark, str(tmp_path / "store"), schema).collect()}
-        assert got == {"a", "b", "z"}, run
-
-
 def test_spellings_of_patterns():
     assert sorted("".join(p) for p in matching.spellings("licen[cs]ed?")) == ["licence", "licenced", "license", "licensed"]
     assert matching.spellings(r"c\.?a\.?\s+no") == [["c.a.", "no"], ["c.a", "no"], ["ca.", "no"], ["ca", "no"]]
