@@ -98,10 +98,15 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def fit_quantizer(vectors: DataFrame, *, id_col: str, vec_col: str, fit_rows: int = 4000, dim: int | None = None, **params) -> AdditiveQuantizer | None:
-    """Fit on at most ``fit_rows`` vectors, the first by a hash of the id. None where no vector takes part."""
+    """Fit on at most ``fit_rows`` vectors, the first by a hash of the id. None where no vector takes part.
+
+    Vectors of one length can be near each other: ``dim``, or else the most frequent length, of equals the smaller.
+    """
     rows = usable(vectors, id_col, vec_col)
-    if dim is not None:
-        rows = rows.filter(F.size("v") == dim)
+    if dim is None:
+        lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+        dim = lengths[0]["d"] if lengths else 0
+    rows = rows.filter(F.size("v") == dim)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()
     if not sample:
         return None

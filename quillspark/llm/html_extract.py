@@ -46,6 +46,8 @@ FURNITURE_NAMES = frozenset(
     "newsletter subscribe subscription signup login paywall widget toolbar pagination pager".split()
 )
 SOFT_NAMES = frozenset("share sharing social related recommended".split())
+#: Parts of class names that say nothing of what stands in a branch.
+LAYOUT_NAMES = frozenset("bar block box btn button col column container content d field footer frame global group header holder hidden home icon id inline inner item items js layout left link links list main mobile module outer page panel right row section site slot small static sticky strip text top unit wide wrap wrapper zone".split())
 HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 #: What an element's start tag closes, if it is open in the same list or table.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -53,8 +55,8 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 NEUTRAL, FURNITURE, ARTICLE, SOFT = 0, 1, 2, 3
 #: Elements deeper than this share the style node of their ancestor at this depth.
 MAX_STYLE_DEPTH = 24
-#: A host with more than one page in so many is large.
-HOT = 400
+#: A host with more than one page in so many is large; their paths are broadcast up to so many characters, else salted.
+HOT, BROADCAST_CHARS, SALTS = 400, 32_000_000, 64
 
 
 class PageTree(HTMLParser):
@@ -71,18 +73,23 @@ class PageTree(HTMLParser):
         self._settle_soft()
 
     def _prior(self, tag: str, attrs: dict[str, str | None]) -> int:
-        names = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        words = [[p for p in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", w) if p] for w in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()]
+        names = {p for w in words for p in w}
+        # A name tells if it is made of furniture and layout alone; with other parts beside, it may be prose's own.
+        telling = any(FURNITURE_NAMES.intersection(w) and all(p in FURNITURE_NAMES or p in LAYOUT_NAMES or p in SOFT_NAMES or p.isdigit() for p in w) for w in words)
         role = (attrs.get("role") or "").lower()
         inside = self.in_article[self.open[-1]]
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or HIDING_STYLE.search(attrs.get("style") or "")
-        if tag in FURNITURE_TAGS or role in FURNITURE_ROLES or names & FURNITURE_NAMES or hidden or (tag == "header" and not inside):
+        if tag in FURNITURE_TAGS or role in FURNITURE_ROLES or telling or hidden or (tag == "header" and not inside):
             return FURNITURE
         if tag in ("article", "main") or role in ("main", "article"):
             return ARTICLE
-        return (SOFT if inside else FURNITURE) if names & SOFT_NAMES else NEUTRAL
+        if names & SOFT_NAMES:
+            return SOFT if inside else FURNITURE
+        return SOFT if names & FURNITURE_NAMES else NEUTRAL
 
     def _settle_soft(self) -> None:
-        """Softly named branches are furniture if more than half of their characters stand in links."""
+        """Suspected branches are furniture if more than half of their characters stand in links; else the tree decides."""
         if SOFT not in self.prior:
             return
         n = len(self.tags)
@@ -98,7 +105,7 @@ class PageTree(HTMLParser):
             linked[self.parent[i]] += linked[i]
         for i in range(1, n):
             if self.prior[i] == SOFT:
-                self.prior[i] = FURNITURE if 2 * linked[i] > every[i] else NEUTRAL
+                self.prior[i] = FURNITURE if 2 * linked[i] > every[i] else SOFT
 
     def _shut(self, at: int) -> None:
         self.opened.subtract(self.tags[i] for i in self.open[at:])
@@ -182,8 +189,8 @@ class PageTree(HTMLParser):
             gone[i] = gone[self.parent[i]] or self.prior[i] == FURNITURE
         return gone
 
-    def main_text(self, low: frozenset[str] = frozenset()) -> str:
-        """The blocks that stay, joined by line breaks."""
+    def main_text(self, low: frozenset[str] = frozenset(), dim: frozenset[str] = frozenset()) -> str:
+        """The blocks that stay, joined by line breaks: branches of the ``low`` paths go, suspected ones of the ``dim`` paths too."""
         n = len(self.tags)
         gone, inside = self._gone(), [False] * n
         for i in range(1, n):
@@ -194,7 +201,7 @@ class PageTree(HTMLParser):
         for i in range(1, n):
             up = self.parent[i]
             outer = dropped[up] and (kept[up] or not inside[i])
-            dropped[i] = outer or (self.path[i] in low and not (inside[i] and self.prior[i] == ARTICLE))
+            dropped[i] = outer or ((self.path[i] in low or self.prior[i] == SOFT and self.path[i] in dim) and not (inside[i] and self.prior[i] == ARTICLE))
         return self._blocks([k and not d for k, d in zip(kept, dropped, strict=True)]) or self._blocks(kept)
 
     def _blocks(self, stays: list[bool]) -> str:
@@ -241,20 +248,30 @@ def site_styles(pages: DataFrame, *, url_col: str = "url", html_col: str = "html
     return spread.select("host", "path", "pages", importance.alias("importance"))
 
 
-def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.3, min_pages: int = 3) -> DataFrame:
-    """id, url and main text of every page.
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.3, suspected: float = 0.7, min_pages: int = 3) -> DataFrame:
+    """id, url and main text of every page; importance below ``threshold`` is low, below ``suspected`` for suspected branches.
 
     Null and empty html give an empty text. A page without a usable url has no style tree, only the priors.
     Repeated rows and ids stay as they are; broken markup is read as far as it goes. Other columns are ignored.
     """
-    low = site_styles(pages, url_col=url_col, html_col=html_col).filter((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
+    styles = site_styles(pages, url_col=url_col, html_col=html_col).filter(F.col("pages") >= min_pages)
+    # Of the paths between the bounds only those are needed whose last element has a name that can raise a suspicion.
+    doubtful = F.lower(F.substring_index("path", "/", -1)).rlike("[.](?:.*[^a-z0-9])?(?:" + "|".join(sorted(FURNITURE_NAMES | SOFT_NAMES)) + ")(?:[^a-z]|$)")
+    is_low = F.col("importance") < threshold
+    low = styles.filter(is_low | (F.col("importance") < suspected) & (threshold >= 0) & doubtful).select("host", F.concat(F.when(is_low, "").otherwise("?"), F.col("path")).alias("path"))
     host = F.lower(F.try_parse_url(F.col(url_col), F.lit("HOST")))
     held = pages.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
     site = held.join(low.groupBy("host").agg(F.collect_set("path").alias("low")), "host", "left")
     site = cut(site.select("host", "n", F.coalesce("low", F.array().cast("array<string>")).alias("low")).filter(F.col("host").isNotNull()))
     large = max(1000, pages.select(id_col).count() // HOT)
     lean = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    joined = lean.join(F.broadcast(site.filter(F.col("n") > large).select("host", "low")), "host", "left")
+    big = site.filter(F.col("n") > large).select("host", "low")
+    # Large hosts are few, but their lists can be long: they are broadcast where they measure small, else spread by salt.
+    if (big.agg(F.sum(F.length(F.array_join("low", " ")))).first()[0] or 0) <= BROADCAST_CHARS:
+        joined = lean.join(F.broadcast(big), "host", "left")
+    else:
+        spread = big.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = lean.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left").drop("salt")
     rest = site.filter((F.col("n") <= large) & (F.size("low") > 0)).select("host", "low")
     if not rest.isEmpty():
         plain = F.col("low").isNull() & F.col("host").isNotNull()
@@ -263,7 +280,11 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [PageTree(h).main_text(frozenset(low.as_py() or ())) if (h := html.as_py()) else "" for html, low in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = []
+            for html, low in zip(batch.column(2), batch.column(3), strict=True):
+                paths = low.as_py() or ()
+                sure, dim = frozenset(p for p in paths if p[:1] != "?"), frozenset(p[1:] for p in paths if p[:1] == "?")
+                texts.append(PageTree(h).main_text(sure, dim) if (h := html.as_py()) else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, type=pa.string())], names=["id", "url", "text"])
 
     return joined.mapInArrow(run, f"id {lean.schema['id'].dataType.simpleString()}, url string, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
