@@ -10,6 +10,11 @@ from quillspark.functions.labels import region_label
 from quillspark.functions.text import any_term, canonical_url, clean_text, normal_key
 from quillspark.operators.frame import settled
 from quillspark.operators.heatmap import _rank_when
+from quillspark.operators.merge import merge_items
+from quillspark.operators.refresh import scan_runs
+
+#: Ways of ingestion that fetch something.
+FETCHED = ("rss", "scraper")
 
 
 def ai_fingerprint(source_id: Column, title: Column, link: Column, group: str = wordings.AI_GROUP) -> Column:
@@ -39,6 +44,26 @@ def ai_items(entries: DataFrame, registry: DataFrame, *, terms=wordings.AI_TERMS
     return kept.withColumn("fingerprint", ai_fingerprint(F.col("source_id"), F.col("title"), F.col("link")))
 
 
+def refresh_ai(entries: DataFrame, scans: DataFrame, registry: DataFrame, stored: DataFrame, now: Column, *, terms=wordings.AI_TERMS, focused=wordings.AI_FOCUSED_SOURCES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """AI news ingested as one job: the merged store, a run for each source, and one row of counters.
+
+    ``entries`` (source_id, title, summary, date, link, seq) come from feeds and pages alike; ``scans`` has a source_id
+    and its error (null: none). Only sources that are fetched (rss, scraper) count as scanned; the others are idle. Of items
+    with one fingerprint the last by ``seq`` is merged; a merge also replaces region, source type, category and tags.
+    """
+    fetched = registry.filter(F.col("ingestion_method").isin(*FETCHED))
+    failed = scans.filter(F.col("error").isNotNull()).select("source_id").distinct()
+    known = entries.join(failed, "source_id", "left_anti").join(fetched.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    seen = ai_items(known, registry, terms=terms, focused=focused)
+    names = registry.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
+    runs = scan_runs(registry, scans.join(names, "source_id").select("source", "error"), seen, now)
+    kept = [c for c in stored.columns if c not in ("first_seen_at", "last_seen_at")]
+    merged = merge_items(stored, seen.select(*kept, "seq"), now, overwrite=("region", "source_type", "category", "tags"), recategorise=False)
+    changed = merged.agg(F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "updated").alias("updated"))
+    counted = runs.agg(F.count_if(F.col("status") != "idle").alias("sources"), F.coalesce(F.sum("item_count"), F.lit(0)).alias("seen"), F.count_if(F.col("status") == "error").alias("failed"))
+    return merged, runs, counted.crossJoin(changed)
+
+
 def ai_topic(text: Column, patterns=wordings.AI_TOPIC_PATTERNS) -> Column:
     """The first topic whose pattern stands anywhere in a lower-case text."""
     return _rank_when([(text.rlike(p), topic) for p, topic in patterns], wordings.AI_TOPIC_OTHERWISE)

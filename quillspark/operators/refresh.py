@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.classify import with_registry
-from quillspark.operators.dedup import keep_last
+from quillspark.operators.dedup import cap_per, keep_last
 from quillspark.operators.gates import gate_items
 from quillspark.operators.merge import merge_items
 
 IDLE_METHODS = ("manual", "pending", "api")
 
 
-def accepted_items(entries: DataFrame, registry: DataFrame, **gates) -> DataFrame:
-    """Items of scanned entries (source, title, summary, date, link, seq) that pass the gates, in the stored shape."""
+def accepted_items(entries: DataFrame, registry: DataFrame, *, most: int | None = None, **gates) -> DataFrame:
+    """Items of scanned entries (source, title, summary, date, link, seq) that pass the gates, in the stored shape.
+
+    ``most`` keeps the first so many accepted ones of each source, in the order of ``seq``: what gates turn away does not count.
+    """
     gated = gate_items(with_registry(entries.withColumns({c: F.lit(None).cast("string") for c in ("country", "category", "source_tab") if c not in entries.columns}), registry), **gates)
     kept = gated.filter(F.col("reject_reason").isNull())
+    if most:
+        kept = cap_per(kept, "source", most, "seq")
     return kept.select(
         "fingerprint", F.col("item_country").alias("country"), "source", F.coalesce("r_source_tab", "source_tab").alias("source_tab"), F.col("clean_title").alias("title"), F.col("clean_summary").alias("summary"), "date",
         F.col("clean_link").alias("link"), F.col("item_category").alias("category"), "seq",

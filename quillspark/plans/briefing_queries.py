@@ -10,6 +10,7 @@ from quillspark.operators import ainews, briefing, dedup, digest, listing, refre
 from quillspark.plans import insight_queries as insight
 from quillspark.plans.items_queries import _CLEAN, _COUNTRY_SQL, _CUT, _SCORES as _COUNTRY_SCORES, CATEGORY_RULES, COUNTRY_SIGNALS, GATE_COMMERCIAL, GATE_NOISE, GATE_POLITICAL, GATE_STRONG, GATED_SQL, LEGAL_TERMS
 from quillspark.plans.sqlparts import KEY_SQL, NOW_SQL, URL_SQL, has_any, quoted, with_items
+from quillspark.sources import scans
 from quillspark.sources.items import REGISTRY_SQL, RUNS_SQL, items, now, read, registry, runs
 
 AI_REGISTRY = [
@@ -210,8 +211,11 @@ def _entries(spark, sf) -> DataFrame:
     return items(spark, sf).select("source", "title", "summary", "date", "link", F.col("id").alias("seq"), F.col("country").alias("country"), F.col("category").alias("category"), "source_tab")
 
 
+_GATES = {"noise_phrases": GATE_NOISE, "commercial": GATE_COMMERCIAL, "editorial": ("licensed under",), "legal": LEGAL_TERMS, "political": GATE_POLITICAL, "strong": GATE_STRONG, "gazette_ids": ("s2",), "country_signals": COUNTRY_SIGNALS, "rules": CATEGORY_RULES}
+
+
 def _refreshed(spark, sf):
-    gates = {"noise_phrases": GATE_NOISE, "commercial": GATE_COMMERCIAL, "editorial": ("licensed under",), "legal": LEGAL_TERMS, "political": GATE_POLITICAL, "strong": GATE_STRONG, "gazette_ids": ("s2",), "country_signals": COUNTRY_SIGNALS, "rules": CATEGORY_RULES}
+    gates = _GATES
     scans = registry(spark).select(F.col("name").alias("source"), F.when(F.col("id").isin("s3", "s8"), F.concat(F.lit("timeout of "), "name")).alias("error"))
     known = registry(spark).withColumn("ingestion_method", F.when(F.col("id") == "s5", "manual").otherwise(F.col("source_type")))
     entries = _entries(spark, sf).filter("source <> 'src5'")
@@ -229,12 +233,56 @@ def refresh_runs(spark, sf):
     return _refreshed(spark, sf)[1].drop("fetched_at")
 
 
+def _ai_refreshed(spark, sf):
+    """Items of the AI sources as feeds and as pages of articles, read back and ingested."""
+    own = ai_registry(spark)
+    rows = items(spark, sf).join(F.broadcast(own.select(F.col("name").alias("source"), F.col("id").alias("source_id"), "ingestion_method")), "source")
+    rows = rows.filter(F.length(text.clean_text(F.col("title"))) >= 8)
+    shown = lambda c: text.escape_html(F.col(c))
+    article = F.concat(F.lit('<article><h2><a href="'), shown("link"), F.lit('">'), shown("title"), F.lit('</a></h2><time datetime="'), F.date_format("first_seen_at", "yyyy-MM-dd"), F.lit('"></time><p>'), shown("summary"), F.lit("</p></article>"))
+    pages = rows.filter("ingestion_method = 'scraper'").withColumn("page", F.floor(F.col("id") / 200)).groupBy("source_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", article.alias("a")))), lambda x: x["a"]), "").alias("html"))
+    site = F.lit("https://news.example/")
+    none = F.lit(None).cast("string")
+    listing_pages = pages.select(F.struct("source_id", "page").alias("at"), "html")
+    selectors = pages.select(F.struct("source_id", "page").alias("id"), site.alias("url"), F.lit("ai").alias("finder"), *[none.alias(c) for c in ("item_selector", "title_selector", "link_selector", "summary_selector", "date_selector")])
+    scanned = scans.scan_pages(listing_pages.withColumnRenamed("at", "source_id"), selectors, most=None).select("source_id.source_id", "title", "summary", "date", "link", (F.col("source_id.page") * 100_000 + F.col("pos")).alias("seq"))
+    fed = rows.filter("ingestion_method <> 'scraper'").select("source_id", "title", "summary", "date", "link", F.col("id").alias("seq"))
+    entries = fed.unionByName(scanned)
+    seen = ainews.ai_items(fed, own, terms=AI_TERMS, focused=AI_FOCUSED).filter("seq % 2 = 0 AND source_id = 'ai_src0'")
+    stored = dedup.keep_first(seen, "fingerprint", "seq").select("fingerprint", "source_id", "source", "region", "source_type", "category", "tags", "title", "summary", "date", "link").withColumns({"first_seen_at": F.lit("2024-01-01").cast("timestamp"), "last_seen_at": F.lit("2024-01-01").cast("timestamp")})
+    failures = own.select(F.col("id").alias("source_id"), F.when(F.col("id") == "ai_src3", "timeout").alias("error"))
+    return ainews.refresh_ai(entries, failures, own, stored, now(), terms=AI_TERMS, focused=AI_FOCUSED)
+
+
+def ai_refresh_counts(spark, sf):
+    """One ingestion of AI news: sources scanned, items seen, inserted, updated, failed scans."""
+    return _ai_refreshed(spark, sf)[2]
+
+
+def ai_refresh_runs(spark, sf):
+    return _ai_refreshed(spark, sf)[1].drop("fetched_at")
+
+
+def ai_fetch_urls(spark, sf):
+    """Where the items of AI sources would be fetched from: the feed's address where one is known, else the source's."""
+    known = {"ai_src1": "https://ai1.example/feed.xml"}
+    found = ainews.feed_urls(ai_registry(spark), known).select(F.col("name").alias("source"), "fetch_url")
+    return items(spark, sf).join(found, "source").groupBy("source", "fetch_url").agg(F.count("*").alias("n"))
+
+
+def refresh_capped(spark, sf):
+    """Items that each source gives when it stops at 25 accepted ones."""
+    known = registry(spark).withColumn("ingestion_method", F.col("source_type"))
+    kept = refresh.accepted_items(_entries(spark, sf), known, most=25, **_GATES)
+    return kept.groupBy("source").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ai_items, ai_routing, sales_items, explained_routes, intake_cards, department_digest, digest_sentence, executive_summaries, dashboard_counts, digest_choice, selected_digest, issues_as_items, issues_as_digests,
         decoded_digests, rebuilt_digests, summary_payload, summary_inputs, fallback_contents, provider_texts, public_urls, part_labels, scan_ages, order_instants, gazette_titles, routing_rows, public_rows, refresh_counts,
-        refresh_runs,
+        refresh_runs, refresh_capped, ai_refresh_counts, ai_refresh_runs, ai_fetch_urls,
     )
 }
 
@@ -255,7 +303,16 @@ placed AS (SELECT *, {_COUNTRY_SQL} AS found FROM (SELECT *, {', '.join(f'{sql}
 accepted AS (SELECT id, source, CASE WHEN r_country_detection THEN found ELSE r_country END || '|' || CASE WHEN tk <> '' THEN tk ELSE {URL_SQL} END AS fp FROM placed),
 batch AS (SELECT DISTINCT fp FROM accepted WHERE source NOT IN ('src3', 'src8'))"""
 
+AI_SEEN_SQL = f"""aiseen AS (SELECT source_id, id, sha256('{wordings.AI_GROUP}|' || source_id || '|' || CASE WHEN {KEY_SQL.format('title')} <> '' THEN {KEY_SQL.format('title')} ELSE link END) AS fp FROM (
+  SELECT * FROM ai1 WHERE len(title) >= 8 AND method = 'rss' UNION ALL (SELECT * FROM ai1 WHERE len(title) >= 8 AND source_id = 'ai_src1' QUALIFY row_number() OVER (PARTITION BY id // 200, {KEY_SQL.format('title')} ORDER BY id) = 1))
+  WHERE source_id IN ({quoted(AI_FOCUSED)}) OR {has_any("lower(title || ' ' || summary)", AI_TERMS)}),
+aiheld AS (SELECT DISTINCT fp FROM aiseen WHERE source_id = 'ai_src0' AND id % 2 = 0), aibatch AS (SELECT DISTINCT fp FROM aiseen)"""
+
 ORACLES = {
+    "refresh_capped": with_items("SELECT source, count(*) AS n, max(id) AS last FROM (SELECT source, id FROM gated WHERE outcome = 'accepted' QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 25) GROUP BY 1", REGISTRY_SQL, GATED_SQL),
+    "ai_refresh_counts": with_items("SELECT CAST(3 AS BIGINT) AS sources, (SELECT count(*) FROM aiseen) AS seen, CAST(1 AS BIGINT) AS failed, count(*) FILTER (fp NOT IN (SELECT fp FROM aiheld)) AS inserted, count(*) FILTER (fp IN (SELECT fp FROM aiheld)) AS updated FROM aibatch", AI_SQL, AI_SEEN_SQL),
+    "ai_refresh_runs": with_items("SELECT source_id, name AS source, CASE WHEN method IN ('manual', 'api') THEN 'idle' WHEN source_id = 'ai_src3' THEN 'error' ELSE 'ok' END AS status, (SELECT count(*) FROM aiseen s WHERE s.source_id = air.source_id) AS item_count, CASE WHEN source_id = 'ai_src3' THEN 'timeout' END AS error FROM air", AI_SQL, AI_SEEN_SQL),
+    "ai_fetch_urls": with_items("SELECT source, CASE source_id WHEN 'ai_src1' THEN 'https://ai1.example/feed.xml' ELSE u END AS fetch_url, count(*) AS n FROM items JOIN air ON air.name = source GROUP BY 1, 2", AI_SQL),
     "refresh_counts": with_items(
         "SELECT CAST(20 AS BIGINT) AS sources, (SELECT count(*) FROM accepted WHERE source NOT IN ('src3', 'src8')) AS seen, CAST(2 AS BIGINT) AS failed, count(*) FILTER (fp NOT IN (SELECT fp FROM accepted WHERE id % 2 = 0)) AS inserted, count(*) FILTER (fp IN (SELECT fp FROM accepted WHERE id % 2 = 0)) AS updated FROM batch",
         REGISTRY_SQL, GATED_SQL, ACCEPTED_SQL,

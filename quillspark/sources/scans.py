@@ -7,13 +7,16 @@ table: item, title, link, summary and date selectors (null: none) and a ``finder
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from quillspark.functions import lexicon
 from quillspark.functions.dates import publication_date
@@ -37,12 +40,13 @@ CONTENT_KINDS = ("html", "xml", "text")
 
 
 class Element:
-    """A tag with its attributes, its parent and its children: elements and texts in order."""
+    """A tag with its attributes, its parent and its children: elements and texts in order; ``at`` and ``end`` are its places on the page."""
 
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "parent", "children", "page", "at", "end")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.page, self.at, self.end = None, 0, 0
 
     def walk(self) -> Iterator[Element]:
         """All elements below, in document order."""
@@ -107,14 +111,62 @@ def parse(html: str | None, skipped: Iterable[str] = SKIPPED["general"]) -> Elem
     builder = _Builder(skipped)
     builder.feed(html or "")
     builder.close()
+    Page(builder.root)
     return builder.root
 
 
+class Page:
+    """The elements of a page in document order, and for each selector that was asked the places of what it matches.
+
+    A selector is matched against all elements in one pass; what it matches below an element is a slice of those.
+    """
+
+    def __init__(self, root: Element):
+        self.elements, self.hits = [root], {}
+        root.page = self
+        for found in root.walk():
+            found.page, found.at = self, len(self.elements)
+            self.elements.append(found)
+        for found in reversed(self.elements):
+            found.end = max(found.end, found.at + 1)
+            if found.parent is not None:
+                found.parent.end = max(found.parent.end, found.end)
+
+    def matching(self, selector: str) -> list[int]:
+        if selector not in self.hits:
+            ways = compiled(selector)
+            # Of each way, how many of its parts end at an element (own) or at it or above it (seen), as bits.
+            own, seen, found = [[0] * len(ways)], [[0] * len(ways)], []
+            for el in self.elements[1:]:
+                up = el.parent.at
+                mine = []
+                for w, parts in enumerate(ways):
+                    bits = 0
+                    for k, (child, tests) in enumerate(parts):
+                        before = k == 0 or (own if child else seen)[up][w] >> (k - 1) & 1
+                        if before and _fits(el, tests):
+                            bits |= 1 << k
+                    mine.append(bits)
+                own.append(mine)
+                seen.append([a | b for a, b in zip(mine, seen[up], strict=True)])
+                if any(bits >> (len(parts) - 1) & 1 for bits, parts in zip(mine, ways, strict=True)):
+                    found.append(el.at)
+            self.hits[selector] = found
+        return self.hits[selector]
+
+
 _SIMPLE = re.compile(r"([.#]?[\w-]+|\*)|\[([\w:-]+)(?:([*^$]?=)[\"']?([^\]\"']*)[\"']?)?\]")
 
 
-def _fits(el: Element, compound: str) -> bool:
-    for name, attr, how, value in _SIMPLE.findall(compound):
+@lru_cache(maxsize=1024)
+def compiled(selector: str) -> tuple:
+    """The ways of a list of selectors: tags, classes, ids and attributes, descendants and children (>)."""
+    ways = [re.sub(r"\s*>\s*", " >", way.strip()).split() for way in selector.split(",")]
+    return tuple(tuple((part.startswith(">"), tuple(_SIMPLE.findall(part.lstrip(">")))) for part in parts) for parts in ways if parts)
+
+
+def _fits(el: Element, tests: tuple) -> bool:
+    for name, attr, how, value in tests:
         if name:
             if name[0] == ".":
                 good = name[1:] in el.attrs.get("class", "").split()
@@ -131,28 +183,17 @@ def _fits(el: Element, compound: str) -> bool:
 
 
 def select(el: Element, selector: str) -> list[Element]:
-    """Elements below ``el`` by a list of selectors: tags, classes, ids and attributes, descendants and children (>)."""
-    ways = [re.sub(r"\s*>\s*", " >", way.strip()).split() for way in selector.split(",")]
-
-    def fits(found: Element, parts: list[str]) -> bool:
-        if not _fits(found, parts[-1].lstrip(">")):
-            return False
-        if len(parts) == 1:
-            return True
-        up = found.parent
-        while up is not None and up.tag != "#root":
-            if fits(up, parts[:-1]):
-                return True
-            if parts[-1].startswith(">"):
-                return False
-            up = up.parent
-        return False
-
-    return [found for found in el.walk() if any(fits(found, parts) for parts in ways)]
+    """Elements below ``el`` that a list of selectors matches on its page."""
+    hits = el.page.matching(selector)
+    return [el.page.elements[i] for i in hits[bisect_left(hits, el.at + 1) : bisect_left(hits, el.end)]]
 
 
 def _first(el: Element, selector: str | None) -> Element | None:
-    return next(iter(select(el, selector)), None) if selector else None
+    if not selector:
+        return None
+    hits = el.page.matching(selector)
+    i = bisect_left(hits, el.at + 1)
+    return el.page.elements[hits[i]] if i < len(hits) and hits[i] < el.end else None
 
 
 def _anchors(node: Element) -> list[Element]:
@@ -243,11 +284,35 @@ def date_text(node: Element, source: dict) -> str:
 CONFIG = ("url", "finder", "item_selector", "title_selector", "link_selector", "summary_selector", "date_selector")
 
 
-def scan_pages(pages: DataFrame, registry: DataFrame, *, most: int = 25, html_col: str = "html") -> DataFrame:
+def entries(html: str | None, source: dict) -> Iterator[tuple]:
+    """pos, title, summary, dated, link and cells of each node that a source's finder and selectors choose on a page."""
+    page = parse(html, SKIPPED["ai" if source["finder"] == "ai" else "general"])
+    for pos, node in enumerate(find_nodes(page, source["finder"], source["item_selector"])):
+        link = best_anchor(node, source)
+        title = best_title(node, link, source)
+        cells = [c.text() for c in node.children if isinstance(c, Element) and c.tag in ("td", "th")]
+        yield pos, title, best_summary(node, title, source), date_text(node, source), urljoin(source["url"] or "", link.attrs.get("href", "")) if link else source["url"], cells
+
+
+@udtf(returnType="pos int, title string, summary string, dated string, link string, cells array<string>", useArrow=True)
+class ScanPage:
+    """``scan_page(html, url, finder, item, title, link, summary, date selectors)`` for SQL: a page's nodes as rows of a LATERAL join."""
+
+    def eval(self, html: str, url: str, finder: str, item: str, title: str, link: str, summary: str, date: str):
+        yield from entries(html, dict(zip(CONFIG, (url, finder or "selector", item, title, link, summary, date), strict=True)))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make ``scan_page`` known to the session's SQL."""
+    spark.udtf.register("scan_page", ScanPage)
+
+
+def scan_pages(pages: DataFrame, registry: DataFrame, *, most: int | None = 25, html_col: str = "html") -> DataFrame:
     """Entries of listing pages (source_id, html): source_id, pos, title, summary, date, link, cells.
 
     Every title counts once a page (AI pages: by its normalised form), and a page gives at most ``most`` entries. Null
-    and broken pages give what can be read. ``cells`` are a gazette row's cells, for ``gazette_title``.
+    and broken pages give what can be read. ``cells`` are a gazette row's cells, for ``gazette_title``. Where gates follow
+    that may turn entries away, ``most`` is None here and the gates count (``refresh.accepted_items``).
     """
     known = registry.select(F.col("id").alias("source_id"), *CONFIG)
     id_type = pages.schema["source_id"].dataType.simpleString()
@@ -257,13 +322,9 @@ def scan_pages(pages: DataFrame, registry: DataFrame, *, most: int = 25, html_co
             at, rows = [], []
             for i, row in enumerate(batch.to_pylist()):
                 source = {k: row[k] for k in CONFIG}
-                page = parse(row["html"], SKIPPED["ai" if source["finder"] == "ai" else "general"])
-                for pos, node in enumerate(find_nodes(page, source["finder"], source["item_selector"])):
-                    link = best_anchor(node, source)
-                    title = best_title(node, link, source)
-                    cells = [c.text() for c in node.children if isinstance(c, Element) and c.tag in ("td", "th")]
+                for entry in entries(row["html"], source):
                     at.append(i)
-                    rows.append((pos, title, best_summary(node, title, source), date_text(node, source), urljoin(source["url"], link.attrs.get("href", "")) if link else source["url"], cells, source["finder"] == "ai"))
+                    rows.append((*entry, source["finder"] == "ai"))
             kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=["source_id", "pos", "title", "summary", "dated", "link", "cells", "ai"])
 
@@ -272,7 +333,7 @@ def scan_pages(pages: DataFrame, registry: DataFrame, *, most: int = 25, html_co
     shown = found.select("source_id", "pos", clean_text(F.col("title"), 260).alias("title"), clean_text(F.col("summary"), 520).alias("summary"), publication_date(F.col("dated")).alias("date"), "link", "cells", "ai")
     keyed = shown.filter(F.col("title") != "").withColumn("key", F.when(F.col("ai"), normal_key(F.col("title"))).otherwise(F.col("title")))
     first = keyed.filter(F.col("key") != "").groupBy("source_id", "key").agg(F.min_by(F.struct("pos", "title", "summary", "date", "link", "cells"), "pos").alias("r"))
-    return cap_per(first.select("source_id", "r.*"), "source_id", most, "pos")
+    return cap_per(first.select("source_id", "r.*"), "source_id", most, "pos") if most else first.select("source_id", "r.*")
 
 
 def page_contents(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", type_col: str | None = None, most: int = 12_000) -> DataFrame:
@@ -298,7 +359,7 @@ def page_contents(pages: DataFrame, *, id_col: str = "page_id", html_col: str =
     cleaned = F.transform("parts", lambda p: clean_text(p))
     body = F.filter(F.slice(cleaned, 3, 1_000_000), lambda p: useful_paragraph(p))
     whole = F.array_join(F.array_distinct(F.filter(F.concat(F.slice(cleaned, 1, 2), body), lambda p: p != "")), " ")
-    cut = F.when(F.length(whole) <= most, whole).otherwise(F.concat(F.btrim(F.regexp_replace(F.substring(whole, 1, most), r"\s+\S*$", ""), F.lit(" .,;:")), F.lit("...")))
+    cut = F.when(F.length(whole) <= most, whole).otherwise(F.concat(F.btrim(F.regexp_replace(F.substring(whole, 1, most), r"\s+\S*\z", ""), F.lit(" .,;:")), F.lit("...")))
     text = read.select(F.col("id").alias(id_col), F.nullif(cut, F.lit("")).alias("content"), F.when(whole == "", "no readable text").alias("error"))
     refused = pages.filter(~readable).select(id_col, F.lit(None).cast("string").alias("content"), F.concat(F.lit("served as "), F.substring_index(served, ";", 1)).alias("error"))
     return text.unionByName(refused)
