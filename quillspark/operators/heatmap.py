@@ -98,7 +98,7 @@ def _capped(n: Column, high: Column) -> Column:
 
 def grid(found: DataFrame, now: Column, domains=lexicon.RISK_DOMAINS, jurisdictions=lexicon.JURISDICTIONS) -> DataFrame:
     """Every cell of the grid, empty ones too, from ``signals``: one grouped pass, one window over 30 rows, one small join."""
-    spark, at = found.sparkSession, F.col("date").cast("timestamp")
+    at = F.col("date").cast("timestamp")
     days = lambda n: now - F.expr(f"INTERVAL {n} DAYS")
     weight = F.create_map(*[x for k, v in lexicon.AUTHORITY_WEIGHTS.items() for x in (F.lit(k), F.lit(v).cast("decimal(10,2)"))])[F.col("authority_label")]
     cells = found.groupBy("country", "domain").agg(
@@ -110,6 +110,12 @@ def grid(found: DataFrame, now: Column, domains=lexicon.RISK_DOMAINS, jurisdicti
         F.bround(F.sum("score").cast("decimal(20,0)") / F.count("*"), 0).cast("long").alias("mean"),
         *[F.count_if(F.col("authority_label") == k).alias(f"a_{k}") for k in lexicon.AUTHORITY_WEIGHTS],
     )
+    return grid_of(cells, domains, jurisdictions)
+
+
+def grid_of(cells: DataFrame, domains, jurisdictions) -> DataFrame:
+    """The grid from the sums of its cells: n, last7, previous7, previous30, weighted, mean, and a count of each authority."""
+    spark = cells.sparkSession
     top = F.max("n").over(Window.partitionBy("domain"))
     delta = F.col("last7") - F.col("previous7")
     parts = F.col("mean").cast("decimal(10,0)") * F.lit("0.55").cast("decimal(4,2)") + F.least(F.lit(30), F.col("n") * 7) + F.greatest(F.lit(-8), F.least(F.lit(18), delta * 5)) + F.bround(F.col("n").cast("decimal(20,0)") * 8 / top, 0)

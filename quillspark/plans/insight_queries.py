@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates, labels, lexicon, text, wordings
-from quillspark.operators import briefing, digest, heatmap, movements, positional, routing, summarize
+from quillspark.operators import briefing, digest, heatmap, movements, positional, rollups, routing, summarize
 from quillspark.plans.sqlparts import NOW_SQL, has_term, has_word, with_items
 from quillspark.sources import markup, scans
 from quillspark.sources.items import REGISTRY_SQL, items, now, read, registry
@@ -31,6 +31,29 @@ def risk_heatmap_cells(spark, sf):
     return cells.withColumn("authority_mix", briefing.authority_mix_text(F.col("authority_mix"))).withColumn("trend_line", briefing.trend_line(F.col("n"), F.col("delta7")))
 
 
+def _kept_up(rows: DataFrame, cells_of):
+    """Cells of ``rows`` as three batches leave them: a half, then the others, some of them first in another shape."""
+    wrong = lambda df: df.withColumns({"country": F.lit("India"), "first_seen_at": F.col("first_seen_at") - F.expr("INTERVAL 9 DAYS")})
+    first, second, third = rows.filter("id % 2 = 0"), rows.filter("id % 4 = 1"), rows.filter("id % 4 = 3")
+    none = cells_of(rows.limit(0))
+    cells = rollups.changed(cells_of(first), cells_of(wrong(second)), none)
+    cells = rollups.changed(cells, cells_of(wrong(third)), none)
+    return rollups.changed(cells, cells_of(second.unionByName(third)), cells_of(wrong(second).unionByName(wrong(third))))
+
+
+def risk_cells_kept_up(spark, sf):
+    """The risk grid from partial aggregates after three batches, of which the last replaces what the others brought."""
+    cells = rollups.grid(_kept_up(_signals(spark, sf), rollups.signal_cells), now(), DOMAINS).drop("j_ord", "d_ord")
+    return cells.withColumn("authority_mix", briefing.authority_mix_text(F.col("authority_mix"))).withColumn("trend_line", briefing.trend_line(F.col("n"), F.col("delta7")))
+
+
+def counts_kept_up(spark, sf):
+    """Counts by country and category, and new items, from partial aggregates after the same batches."""
+    cells = _kept_up(items(spark, sf), rollups.item_cells)
+    fresh = rollups.new_since(cells, now() - F.expr("INTERVAL 24 HOURS")).select(F.lit("new").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("n_new").alias("n"))
+    return rollups.grouped_counts(cells).unionByName(fresh)
+
+
 def risk_heatmap_top_signals(spark, sf):
     return heatmap.top_signals(_signals(spark, sf)).select("country", "domain", "place", "id", "score")
 
@@ -241,7 +264,7 @@ def risk_lookbacks(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        risk_signals, risk_heatmap_cells, risk_heatmap_top_signals, risk_kpis, risk_cells_filtered, routing_topics, route_scores, signal_scores, strategic_signals, routing_breakdown, balanced_digest, digest_summary,
+        risk_signals, risk_heatmap_cells, risk_cells_kept_up, counts_kept_up, risk_heatmap_top_signals, risk_kpis, risk_cells_filtered, routing_topics, route_scores, signal_scores, strategic_signals, routing_breakdown, balanced_digest, digest_summary,
         digest_bodies, digest_with_summaries, source_urls, detected_movements, movement_funnel, movement_bands, movement_drafts, feedback_topics, ignored_topics, kept_selection, todays_items, country_line, mail_drafts, day_mails, carried_lines,
         page_nodes, page_list_items, scanned_pages, summary_contents, page_contents, rss_entries, publication_dates, headlines, cleaned_texts, event_windows, sliding_windows, risk_lookbacks,
     )
@@ -355,7 +378,8 @@ _CELL_COLUMNS = f"""country, domain, {_LABELS} AS label, score, level, uncapped,
   n || CASE WHEN n = 1 THEN ' signal · ' ELSE ' signals · ' END || CASE WHEN delta7 > 0 THEN '↑ +' WHEN delta7 < 0 THEN '↓ ' ELSE '→ +' END || delta7 || ' vs prior 7d' AS trend_line"""
 ORACLES = {
     "risk_signals": with_items("SELECT id, domain, CAST(n_terms AS INTEGER) AS n_terms, authority, severity, recency, confidence, score FROM sig", REGISTRY_SQL, SIGNALS_SQL),
-    "risk_heatmap_cells": with_items(f"SELECT {_CELL_COLUMNS} FROM leveled", *_GRID),
+    **dict.fromkeys(("risk_heatmap_cells", "risk_cells_kept_up"), with_items(f"SELECT {_CELL_COLUMNS} FROM leveled", *_GRID)),
+    "counts_kept_up": with_items(f"SELECT 'total' AS kind, NULL AS name, count(*) AS n FROM items UNION ALL SELECT 'country', country, count(*) FROM items GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM items GROUP BY 2 UNION ALL SELECT 'new', NULL, count(*) FROM items WHERE first_seen_at >= {NOW_SQL} - INTERVAL 24 HOUR"),
     "risk_heatmap_top_signals": with_items("SELECT country, domain, place, id, score FROM top", *_GRID),
     "risk_kpis": with_items(
         f"""SELECT (SELECT country FROM leveled WHERE score > 0 ORDER BY score DESC, j_ord, d_ord LIMIT 1) AS highest_country, (SELECT domain FROM leveled WHERE score > 0 ORDER BY score DESC, j_ord, d_ord LIMIT 1) AS highest_domain,
