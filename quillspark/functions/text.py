@@ -103,8 +103,12 @@ def canonical_url(url: Column) -> Column:
     host = F.lower(F.regexp_extract(u, r"^[^:/?#]+://([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_extract(u, r"^[^:/?#]+://[^/?#]*([^?#;]*)", 1), "/+$", "")
     query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (F.length(p) > 0) & ~F.substring_index(p, "=", 1).isin(*lexicon.TRACKING_PARAMS))
-    asked = F.array_join(F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("=")))), "&")
+    # Names and values are decoded and encoded anew, so that spellings of one query are one; bytes that decode to nothing stay.
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    encoded = lambda x: F.replace(F.replace(F.url_encode(decoded(x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    kept = F.filter(F.split(query, "&"), lambda p: (F.length(p) > 0) & ~decoded(F.substring_index(p, "=", 1)).isin(*lexicon.TRACKING_PARAMS))
+    pair = lambda p: F.concat(encoded(F.substring_index(p, "=", 1)), F.lit("="), F.when(F.contains(p, F.lit("=")), encoded(p.substr(F.instr(p, "=") + 1, F.length(p)))).otherwise(""))
+    asked = F.array_join(F.transform(kept, pair), "&")
     return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(asked == "", "").otherwise(F.concat(F.lit("?"), asked)))
 
 

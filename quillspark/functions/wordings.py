@@ -93,3 +93,5 @@ MAIL_SUBJECT = "APAC Legal Updates - "
 MAIL_ONE = "Please find today's legal update below."
 MAIL_MANY = "Please find today's {n} legal updates below."
 PASTE_BODY = "Dear team,\n\nThe full update email body has been copied to your clipboard.\nPlease paste it here before sending.\n\nBest regards,"
+# What a summary of an item without a public address reports.
+NO_PUBLIC_SOURCE = "Only public http(s) source URLs can be summarized."

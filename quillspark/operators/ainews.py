@@ -12,6 +12,7 @@ from quillspark.operators.frame import settled
 from quillspark.operators.heatmap import _rank_when
 from quillspark.operators.merge import merge_items
 from quillspark.operators.refresh import scan_runs
+from quillspark.session import written
 
 #: Ways of ingestion that fetch something.
 FETCHED = ("rss", "scraper")
@@ -54,7 +55,7 @@ def refresh_ai(entries: DataFrame, scans: DataFrame, registry: DataFrame, stored
     fetched = registry.filter(F.col("ingestion_method").isin(*FETCHED))
     failed = scans.filter(F.col("error").isNotNull()).select("source_id").distinct()
     known = entries.join(failed, "source_id", "left_anti").join(fetched.select(F.col("id").alias("source_id")), "source_id", "left_semi")
-    seen = ai_items(known, registry, terms=terms, focused=focused)
+    seen = written(ai_items(known, registry, terms=terms, focused=focused))
     names = registry.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
     runs = scan_runs(registry, scans.join(names, "source_id").select("source", "error"), seen, now)
     kept = [c for c in stored.columns if c not in ("first_seen_at", "last_seen_at")]

@@ -9,6 +9,7 @@ from quillspark.operators.classify import with_registry
 from quillspark.operators.dedup import cap_per, keep_last
 from quillspark.operators.gates import gate_items
 from quillspark.operators.merge import merge_items
+from quillspark.session import written
 
 IDLE_METHODS = ("manual", "pending", "api")
 
@@ -42,13 +43,20 @@ def scan_runs(registry: DataFrame, scans: DataFrame, items: DataFrame, now: Colu
     return rows.select("source_id", "source", status.alias("status"), shown.alias("item_count"), F.when(status == "error", F.substring("error", 1, 700)).alias("error"), now.alias("fetched_at"))
 
 
+def of_fetched(entries: DataFrame, registry: DataFrame) -> DataFrame:
+    """Entries of sources that are fetched: those of idle ones, should there be any, are left out."""
+    method = F.col("ingestion_method") if "ingestion_method" in registry.columns else F.col("source_type")
+    return entries.join(registry.filter(method.isin(*IDLE_METHODS)).select(F.col("name").alias("source")), "source", "left_anti")
+
+
 def refresh(entries: DataFrame, scans: DataFrame, registry: DataFrame, stored: DataFrame, now: Column, **gates) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The merged store, the runs, and one row of counters (sources, seen, inserted, updated, failed).
 
-    Entries of sources whose scan failed are left out. Of items with one fingerprint the last by ``seq`` is merged.
+    Entries of sources whose scan failed, or that are not fetched, are left out. Of items with one fingerprint the last by ``seq`` is merged.
     """
     failed = scans.filter(F.col("error").isNotNull()).select("source").distinct()
-    seen = accepted_items(entries.join(failed, "source", "left_anti"), registry, **gates)
+    # Runs, counters and the merge all read what was accepted: the gates are passed once.
+    seen = written(accepted_items(of_fetched(entries, registry).join(failed, "source", "left_anti"), registry, **gates))
     merged = merge_items(stored, keep_last(seen, "fingerprint", "seq"), now)
     runs = scan_runs(registry, scans, seen, now)
     changed = merged.agg(F.count_if(F.col("action") == "inserted").alias("inserted"), F.count_if(F.col("action") == "updated").alias("updated"))

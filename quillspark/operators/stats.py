@@ -52,9 +52,11 @@ def public_stats(issues: DataFrame) -> DataFrame:
     return shown.agg(F.count("*").alias("published"), F.max("published_at").alias("last_published"))
 
 
-def official_sources(registry: DataFrame) -> DataFrame:
-    """One row: registered sources and official ones among them."""
-    return registry.agg(F.count("*").alias("sources"), F.count_if(F.coalesce("official", F.lit(False))).alias("official"))
+def official_sources(items: DataFrame, registry: DataFrame) -> DataFrame:
+    """One row: registered sources that gave items, official ones among them, and the items of either."""
+    held = items.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"))
+    official = F.coalesce("official", F.lit(False))
+    return registry.join(held, "name").agg(F.count("*").alias("sources"), F.count_if(official).alias("official"), F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.coalesce(F.sum(F.when(official, F.col("n"))), F.lit(0)).alias("official_items"))
 
 
 def share_of_top(items: DataFrame, by: str) -> DataFrame:

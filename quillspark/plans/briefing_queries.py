@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates, labels, lexicon, text, urls, wordings
-from quillspark.operators import ainews, briefing, dedup, digest, listing, refresh, routing
+from quillspark.operators import ainews, briefing, dedup, digest, listing, refresh, routing, summarize
 from quillspark.plans import insight_queries as insight
 from quillspark.plans.items_queries import _CLEAN, _COUNTRY_SQL, _CUT, _SCORES as _COUNTRY_SCORES, CATEGORY_RULES, COUNTRY_SIGNALS, GATE_COMMERCIAL, GATE_NOISE, GATE_POLITICAL, GATE_STRONG, GATED_SQL, LEGAL_TERMS
 from quillspark.plans.sqlparts import KEY_SQL, NOW_SQL, URL_SQL, has_any, quoted, with_items
@@ -96,10 +96,13 @@ def dashboard_counts(spark, sf):
     return briefing.dashboard_counts(scored, routing.strategic_signals(scored, 60), now())
 
 
+CHOSEN = (lexicon.JURISDICTIONS[0], lexicon.JURISDICTIONS[1], lexicon.JURISDICTIONS[4])
+
+
 def digest_choice(spark, sf):
     """Candidates of two countries and one topic, and those of a selection that they hold."""
     routed = insight._routed(spark, sf).withColumn("status", F.when(F.col("id") % 2 == 0, "Approved").otherwise(F.col("status")))
-    return briefing.digest_choice(routed, approved=True, countries=("India", "Singapore"), topic="AI Regulation").select("id", "country")
+    return briefing.digest_choice(routed, approved=True, countries=CHOSEN, topic="API/Data Licensing").select("id", "country")
 
 
 def selected_digest(spark, sf):
@@ -145,12 +148,25 @@ def summary_payload(spark, sf):
 
 def summary_inputs(spark, sf):
     row = {"title": F.col("title"), "source": F.col("source"), "jurisdiction": F.col("country"), "category": F.when(F.col("id") % 2 == 0, F.col("category")), "link": F.col("link")}
-    return items(spark, sf).select("id", F.md5(briefing.summary_input(row, F.lit("content"))).alias("input_md5"))
+    return items(spark, sf).select("id", F.md5(briefing.summary_input(row, F.col("summary"))).alias("input_md5"))
 
 
 def fallback_contents(spark, sf):
-    """The items' own texts where a source gives none; short and boilerplate ones are empty."""
-    return items(spark, sf).select("id", (F.length(briefing.fallback_content(F.col("title"), F.lit(None).cast("string"))) > 0).alias("usable"))
+    """The items' own texts where a source gives none, by digest; short and boilerplate ones are empty."""
+    return items(spark, sf).select("id", F.md5(briefing.fallback_content(F.col("title"), F.when(F.col("id") % 3 > 0, F.col("summary")))).alias("text_md5"))
+
+
+def item_summaries(spark, sf):
+    """Summaries by the first provider that is configured, which fails on some texts; a third way of failing is a private address."""
+
+    def begins(text: str) -> str:
+        if len(text) % 3 == 0:
+            raise ValueError(f"length {len(text)}")
+        return text[:20] + "!"
+
+    link = F.when(F.col("id") % 7 == 0, F.lit("http://10.0.0.1/x")).otherwise(F.col("link"))
+    rows = items(spark, sf).select("id", F.when(F.col("id") % 5 > 0, F.col("title")).alias("content"), F.when(F.col("id") % 2 == 0, F.col("summary")).alias("summary"), link.alias("link"))
+    return summarize.summarize(rows, summarize.resolve({"remote": None, "local": begins}), allowed=briefing.summarisable(F.col("link")))
 
 
 def provider_texts(spark, sf):
@@ -203,8 +219,9 @@ def routing_rows(spark, sf):
 
 
 def public_rows(spark, sf):
-    """What public visitors see of the raw items: nothing."""
-    return listing.public_view(items(spark, sf), public=True).agg(F.count("*").alias("n"))
+    """What visitors see of the raw items by country: all of them, and nothing where the site is public."""
+    seen = lambda public: listing.public_view(items(spark, sf), public=public).groupBy("country").agg(F.count("*").alias("n")).withColumn("public", F.lit(public))
+    return seen(False).unionByName(seen(True))
 
 
 def _entries(spark, sf) -> DataFrame:
@@ -218,8 +235,8 @@ def _refreshed(spark, sf):
     gates = _GATES
     scans = registry(spark).select(F.col("name").alias("source"), F.when(F.col("id").isin("s3", "s8"), F.concat(F.lit("timeout of "), "name")).alias("error"))
     known = registry(spark).withColumn("ingestion_method", F.when(F.col("id") == "s5", "manual").otherwise(F.col("source_type")))
-    entries = _entries(spark, sf).filter("source <> 'src5'")
-    accepted = refresh.accepted_items(entries, known, **gates)
+    entries = _entries(spark, sf)
+    accepted = refresh.accepted_items(refresh.of_fetched(entries, known), known, **gates)
     stored = dedup.keep_first(accepted.filter("seq % 2 = 0"), "fingerprint", "seq").drop("seq").withColumns({"first_seen_at": F.lit("2024-01-01").cast("timestamp"), "last_seen_at": F.lit("2024-01-01").cast("timestamp")})
     return refresh.refresh(entries, scans, known, stored, now(), **gates)
 
@@ -281,7 +298,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ai_items, ai_routing, sales_items, explained_routes, intake_cards, department_digest, digest_sentence, executive_summaries, dashboard_counts, digest_choice, selected_digest, issues_as_items, issues_as_digests,
-        decoded_digests, rebuilt_digests, summary_payload, summary_inputs, fallback_contents, provider_texts, public_urls, part_labels, scan_ages, order_instants, gazette_titles, routing_rows, public_rows, refresh_counts,
+        decoded_digests, rebuilt_digests, summary_payload, summary_inputs, fallback_contents, item_summaries, provider_texts, public_urls, part_labels, scan_ages, order_instants, gazette_titles, routing_rows, public_rows, refresh_counts,
         refresh_runs, refresh_capped, ai_refresh_counts, ai_refresh_runs, ai_fetch_urls,
     )
 }
@@ -339,7 +356,7 @@ ORACLES = {
   FROM (SELECT *, {_SQUEEZED.format("coalesce(nullif(CASE WHEN id % 3 > 0 THEN summary END, ''), title, '')")} AS o FROM routed))""", *_ROUTED,
     ),
     "dashboard_counts": with_items(f"SELECT (SELECT count(*) FROM scored_items) AS items, count(*) AS signals, CAST(coalesce(sum(n_routes) FILTER (CAST(date AS TIMESTAMP) >= {NOW_SQL} - INTERVAL 7 DAY), 0) AS BIGINT) AS routed_this_week, (SELECT count(*) FROM scored_items) - count(*) AS suppressed FROM scored_items WHERE signal_score >= 60", *_SCORED),
-    "digest_choice": with_items("SELECT id, country FROM routed WHERE id % 2 = 0 AND country IN ('India', 'Singapore') AND topic = 'AI Regulation'", *_ROUTED),
+    "digest_choice": with_items("SELECT id, country FROM routed WHERE id % 2 = 0 AND country IN (" + quoted(CHOSEN) + ") AND topic = 'API/Data Licensing'", *_ROUTED),
     "selected_digest": with_items(
         "SELECT id, CAST(-id AS INTEGER) AS pos, 'selected' AS how FROM (SELECT id FROM cand WHERE id % 97 = 5 ORDER BY -id LIMIT 5) UNION ALL SELECT id, CAST(turn AS INTEGER), 'balanced' FROM (SELECT id, row_number() OVER (PARTITION BY country ORDER BY id) AS turn FROM cand ORDER BY turn, id LIMIT 12)",
         *_ROUTED, "cand AS (SELECT id, country FROM routed WHERE urgency = 'ACTION REQUIRED')",
@@ -354,9 +371,9 @@ FROM chosen c LEFT JOIN (SELECT name, min_by(url, id) AS url FROM registry GROUP
 WHERE rank % 3 <> 1 AND (rank % 3 = 2 OR a.url IS NOT NULL OR b.url IS NOT NULL)""", *_SCORED, insight.DIGEST_SQL, REGISTRY_SQL,
     ),
     "summary_inputs": with_items(
-        "SELECT id, md5(" + " || ".join([_FIELD.format("Title", _CUT.format("c", 220, 219), "Selected legal update"), _FIELD.format("Source", "source", "Unknown source"), _FIELD.format("Jurisdiction", "country", "Unknown"), _FIELD.format("Category", "CASE WHEN id % 2 = 0 THEN category END", "Unknown")]) + f" || 'URL: ' || link || chr(10) || chr(10) || 'Source content:' || chr(10) || 'content') AS input_md5 FROM (SELECT *, {_CLEAN.format('title')} AS c FROM items)"
+        "SELECT id, md5(" + " || ".join([_FIELD.format("Title", _CUT.format("c", 220, 219), "Selected legal update"), _FIELD.format("Source", "source", "Unknown source"), _FIELD.format("Jurisdiction", "country", "Unknown"), _FIELD.format("Category", "CASE WHEN id % 2 = 0 THEN category END", "Unknown")]) + f" || 'URL: ' || link || chr(10) || chr(10) || 'Source content:' || chr(10) || summary) AS input_md5 FROM (SELECT *, {_CLEAN.format('title')} AS c FROM items)"
     ),
-    "fallback_contents": with_items(f"SELECT id, len(c) >= 45 AND NOT regexp_matches(lower(c), '{'|'.join(wordings.PARAGRAPH_BOILERPLATE)}') AS usable FROM (SELECT id, {_CUT.format('c0', 260, 259)} AS c FROM (SELECT id, {_CLEAN.format('title')} AS c0 FROM items))"),
+    "fallback_contents": with_items(f"SELECT id, md5(CASE WHEN len(c) >= 45 AND NOT regexp_matches(lower(c), '{'|'.join(wordings.PARAGRAPH_BOILERPLATE)}') THEN trim(regexp_replace(c, '{text.SPACE}', ' ', 'g')) ELSE '' END) AS text_md5 FROM (SELECT id, concat_ws(' ', nullif({_CUT.format('c0', 260, 259)}, ''), nullif({_CUT.format('c1', 1400, 1399)}, '')) AS c FROM (SELECT id, {_CLEAN.format('title')} AS c0, {_CLEAN.format("CASE WHEN id % 3 > 0 THEN summary ELSE '' END")} AS c1 FROM items))"),
     "provider_texts": f"SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN {_CLEAN.format('string_split(text, chr(10))[1]')} WHEN doc_id % 3 = 1 THEN source || ' and ' || lang ELSE '' END) AS text_md5 FROM documents",
     "public_urls": f"SELECT page_id, {_PUBLIC.format('url')} AS own, {_PUBLIC.format('made')} AS made FROM (SELECT page_id, url, CASE WHEN page_id % 7 = 6 THEN 'ftp' ELSE 'http' END || '://' || ['localhost', '10.1.2.3', '127.0.0.1:80', '172.20.0.1', '172.40.0.1', '192.168.9.9', 'printer.local', '8.8.8.8', '[::1]', '169.254.1.1', '224.0.0.1', 'user@0.0.0.0'][page_id % 12 + 1] || '/x' AS made FROM pages)",
     "part_labels": f"SELECT p_partkey, {_TITLED.format('s')} AS topic, ['APAC', 'EU', 'mars', 'US'][p_size % 4 + 1] AS region, {_TITLED.format('s')} || ' / News Site' AS kind, 'Last 30 days' AS range FROM (SELECT *, lower(replace(p_type, ' ', '_')) AS s FROM part)",
@@ -364,5 +381,6 @@ WHERE rank % 3 <> 1 AND (rank % 3 = 2 OR a.url IS NOT NULL OR b.url IS NOT NULL)
     "order_instants": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN date_trunc('second', o_orderdate) WHEN 1 THEN date_trunc('second', o_orderdate) - INTERVAL 2 HOUR WHEN 2 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS at FROM orders",
     "gazette_titles": "SELECT p_partkey, p_name || ' ' || p_brand AS title FROM part",
     "routing_rows": with_items("SELECT id FROM items WHERE category IN ('Legislation News', 'Recent Judgments', 'Legal News') QUALIFY row_number() OVER (PARTITION BY category ORDER BY date DESC NULLS LAST, first_seen_at DESC, id) <= 100 UNION SELECT id FROM (SELECT id FROM items ORDER BY date DESC NULLS LAST, first_seen_at DESC, id LIMIT 200)"),
-    "public_rows": "SELECT CAST(0 AS BIGINT) AS n",
+    "public_rows": with_items("SELECT country, count(*) AS n, false AS public FROM items GROUP BY 1"),
+    "item_summaries": with_items("SELECT id, CASE WHEN id % 7 = 0 THEN 'error' WHEN s = '' THEN 'error' WHEN len(s) % 3 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN id % 7 = 0 OR s = '' OR len(s) % 3 = 0 THEN '' ELSE substr(s, 1, 20) || '!' END AS text, CASE WHEN id % 7 = 0 THEN 'Only public http(s) source URLs can be summarized.' WHEN s = '' THEN 'nothing to summarise' WHEN len(s) % 3 = 0 THEN 'length ' || len(s) END AS error FROM (SELECT id, coalesce(CASE WHEN id % 5 > 0 THEN title END, CASE WHEN id % 2 = 0 THEN summary END, '') AS s FROM items)"),
 }

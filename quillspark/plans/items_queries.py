@@ -21,6 +21,7 @@ HIDDEN_SOURCES = ("src3", "src11")
 CATEGORY_RULES = (("Legislation News", ("license", "licensed")), ("Policy/Regulatory News", ("ai", "und")), ("Case Summary", ("mit", "apache")), ("Press Release/Judiciary Updates", ("reserved", "que")))
 COUNTRY_SIGNALS = {"Malaysia": ("ai", "en"), "Singapore": ("the", "license"), "Hong Kong": ("und", "der"), "Australia": ("que", "de"), "New Zealand": ("st",), "India": ("of", "mit")}
 LEGAL_TERMS, POLICY_TERMS, TAGS = ("the", "und", "que", "ai"), ("ai", "license"), ("ai", "the", "license", "und", "que")
+POLITICAL_RULE = {"source": "src4", "category": "Legal News", "actors": ("%ai%", "%mit%"), "places": ("%the %", "%und %")}
 EDITORIAL_RULE = {"tab": "News Sources", "titles": ("%the.", "%en."), "summaries": ("%licensed under%",)}
 GATE_NOISE, GATE_COMMERCIAL, GATE_POLITICAL, GATE_STRONG = ("all rights reserved",), ("mit license",), ("nd", "der"), ("st", "ein", "in")
 
@@ -77,7 +78,7 @@ def list_tagged_items(spark, sf):
 
 
 def hidden_by_rule(spark, sf):
-    rules = {"retired": listing.retired_rule(HIDDEN_SOURCES), "editorial": listing.editorial_rule(EDITORIAL_RULE), "gazette": listing.gazette_rule("src2", titles=("the%", "in %"), summaries=("%reserved%",))}
+    rules = {"retired": listing.retired_rule(HIDDEN_SOURCES), "editorial": listing.editorial_rule(EDITORIAL_RULE), "gazette": listing.gazette_rule("src2", titles=("the%", "in %"), summaries=("%reserved%",)), "political": listing.political_rule(POLITICAL_RULE)}
     return items(spark, sf).agg(*[F.count_if(~F.coalesce(r, F.lit(False))).alias(k) for k, r in rules.items()])
 
 
@@ -103,6 +104,12 @@ def run_health(spark, sf):
     return stats.run_health(runs(spark, sf), registry(spark), visible_items(spark, sf)).select("source_id", "name", "access_basis", "status", "item_count", "error")
 
 
+def run_messages(spark, sf):
+    """Errors of sources whose messages are blank: the class of the error stands for it."""
+    blank = runs(spark, sf).withColumns({"status": F.lit("error"), "error": F.when(F.col("id") % 2 == 0, "  ").otherwise(F.col("error")), "error_type": F.when(F.col("id") % 4 == 0, "TimeoutError")})
+    return stats.run_health(blank, registry(spark), visible_items(spark, sf).limit(0)).select("source_id", "error")
+
+
 def country_mix(spark, sf):
     return stats.share_of_top(visible_items(spark, sf), "country")
 
@@ -245,7 +252,7 @@ def found_issues(spark, sf):
 
 
 def official_sources(spark, sf):
-    return stats.official_sources(registry(spark))
+    return stats.official_sources(items(spark, sf), registry(spark))
 
 
 def merge_tagged(spark, sf):
@@ -280,7 +287,7 @@ def weekly_velocity(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        list_items, list_tagged_items, hidden_by_rule, stats_by_country, stats_grouping_sets, stats_overview, latest_run_per_source, run_health, country_mix, category_facets, canonical_urls, fingerprint_dedup,
+        list_items, list_tagged_items, hidden_by_rule, stats_by_country, stats_grouping_sets, stats_overview, latest_run_per_source, run_health, run_messages, country_mix, category_facets, canonical_urls, fingerprint_dedup,
         searched_items, deep_page, listing_by_country, merged_listing, first_per_title, capped_per_source, gate_reasons, classify_category, stored_categories, detect_country, ai_gate, merge_updates, stored_merge, stored_delta, run_states, merge_summary, merge_tagged, published_issues, upserted_issues, upserted_digests, found_issues, public_stats, official_sources, deleted_issues, migrated_items, issue_history,
         run_log, weekly_velocity,
     )
@@ -342,7 +349,7 @@ ORACLES = {
         f"SELECT id, country AS region, category, array_to_string(tags, ',') AS tags FROM (SELECT *, list_filter({list(TAGS)}, lambda x: contains(lower(summary), x)) AS tags FROM items) WHERE country = 'Singapore' AND list_contains(tags, 'ai') AND concat_ws(' ', title, summary, source, category, array_to_string(tags, ' ')) ILIKE '%en%' ORDER BY date DESC NULLS LAST, first_seen_at DESC, id LIMIT 60"
     ),
     "hidden_by_rule": with_items(
-        "SELECT count(*) FILTER (source IN ('src3', 'src11')) AS retired, count(*) FILTER (coalesce((title ILIKE '%the.' OR title ILIKE '%en.' OR summary ILIKE '%licensed under%') AND source_tab = 'News Sources', (title ILIKE '%the.' OR title ILIKE '%en.' OR summary ILIKE '%licensed under%'))) AS editorial, count(*) FILTER (source = 'src2' AND (title = 'Department of Publication' OR title ILIKE 'the%' OR title ILIKE 'in %' OR summary ILIKE '%reserved%')) AS gazette FROM items"
+        "SELECT count(*) FILTER (source IN ('src3', 'src11')) AS retired, count(*) FILTER (coalesce((title ILIKE '%the.' OR title ILIKE '%en.' OR summary ILIKE '%licensed under%') AND source_tab = 'News Sources', (title ILIKE '%the.' OR title ILIKE '%en.' OR summary ILIKE '%licensed under%'))) AS editorial, count(*) FILTER (source = 'src2' AND (title = 'Department of Publication' OR title ILIKE 'the%' OR title ILIKE 'in %' OR summary ILIKE '%reserved%')) AS gazette, count(*) FILTER (source = 'src4' AND category = 'Legal News' AND (title ILIKE '%ai%' OR title ILIKE '%mit%' OR summary ILIKE '%ai%' OR summary ILIKE '%mit%') AND (title ILIKE '%the %' OR title ILIKE '%und %' OR summary ILIKE '%the %' OR summary ILIKE '%und %')) AS political FROM items"
     ),
     "stats_by_country": with_items(f"SELECT country, count(*) AS n, count(*) FILTER (first_seen_at >= {NOW_SQL} - INTERVAL 24 HOUR) AS n_new FROM visible GROUP BY 1", VISIBLE_SQL),
     "stats_grouping_sets": with_items("SELECT CASE grouping(country, category) WHEN 3 THEN 'total' WHEN 1 THEN 'country' ELSE 'category' END AS kind, coalesce(country, category) AS name, count(*) AS n FROM visible GROUP BY GROUPING SETS ((), (country), (category))", VISIBLE_SQL),
@@ -352,6 +359,7 @@ ORACLES = {
         "SELECT l.source_id, r.name, CASE WHEN r.official THEN 'official' WHEN r.source_type = 'rss' THEN 'public feed' ELSE 'public page' END AS access_basis, CASE WHEN l.status = 'error' AND h.n > 0 THEN 'stale' ELSE l.status END AS status, CASE WHEN l.status = 'error' AND h.n > 0 THEN h.n ELSE l.item_count END AS item_count, CASE WHEN l.status = 'error' AND h.n > 0 THEN 'Showing stored items. Last error: ' || substr(coalesce(nullif(trim(l.error), ''), 'Error'), 1, 600) WHEN l.status = 'error' THEN substr(coalesce(nullif(trim(l.error), ''), 'Error'), 1, 700) END AS error FROM (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id DESC) = 1) l JOIN registry r ON r.id = l.source_id LEFT JOIN (SELECT source, count(*) AS n FROM visible GROUP BY 1) h ON h.source = r.name",
         VISIBLE_SQL, RUNS_SQL, REGISTRY_SQL,
     ),
+    "run_messages": f"WITH {RUNS_SQL}, {REGISTRY_SQL} SELECT source_id, substr(coalesce(nullif(trim(CASE WHEN id % 2 = 0 THEN '  ' ELSE error END), ''), CASE WHEN id % 4 = 0 THEN 'TimeoutError' END, 'Error'), 1, 700) AS error FROM runs WHERE source_id IN (SELECT id FROM registry) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY id DESC) = 1",
     "country_mix": with_items("SELECT country, count(*) AS n, CAST(greatest(8, floor(count(*) * 100 / max(count(*)) OVER () + 0.5)) AS INTEGER) AS width FROM visible GROUP BY 1", VISIBLE_SQL),
     "category_facets": with_items(f"SELECT value, CAST(coalesce(list_position([{quoted(lexicon.CATEGORIES[:3])}], value), 4) AS INTEGER) AS rank FROM (SELECT DISTINCT category AS value FROM visible)", VISIBLE_SQL),
     "canonical_urls": r"""SELECT page_id, s || '://' || h || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url FROM (
@@ -388,7 +396,7 @@ ORACLES = {
     "deleted_issues": f"WITH o AS ({_OLD}), n AS ({_NEW}) SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM o WHERE id NOT IN (SELECT id FROM n)",
     "public_stats": f"SELECT count(*) AS published, max(published_at) AS last_published FROM ({_OLD}) WHERE status = 'published' AND published_at IS NOT NULL",
     "found_issues": f"SELECT id FROM ({_OLD}) WHERE contains(lower(title), 'the')",
-    "official_sources": f"WITH {REGISTRY_SQL} SELECT count(*) AS sources, count(*) FILTER (official) AS official FROM registry",
+    "official_sources": with_items("SELECT count(*) AS sources, count(*) FILTER (official) AS official, CAST(sum(n) AS BIGINT) AS items, CAST(sum(n) FILTER (official) AS BIGINT) AS official_items FROM registry JOIN (SELECT source AS name, count(*) AS n FROM items GROUP BY 1) USING (name)", REGISTRY_SQL),
     "merge_tagged": with_items(
         "SELECT coalesce(o.fingerprint, n.fingerprint) AS fingerprint, 'r' || len(CASE WHEN n.id IS NULL THEN o.title ELSE n.title || '!' END) AS region, CASE WHEN n.id IS NULL THEN o.category ELSE n.category END AS tags, coalesce(o.title, n.title || '!') AS title, CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM stored o FULL JOIN batch n ON o.fingerprint = n.fingerprint",
         _STORE_SQL,

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "quillspark") -> SparkSession:
@@ -47,6 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder and read from there: a reliable checkpoint, which survives lost executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder of one use's own in the shared folder; whoever asks for it removes it."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

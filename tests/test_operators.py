@@ -175,7 +175,11 @@ def test_failing_summariser_falls_back(spark):
 
     rows = spark.createDataFrame([(1, "One. Two.", None), (2, None, "short"), (3, None, None)], "id int, content string, summary string")
     got = {r["id"]: (r["status"], r["text"], r["error"]) for r in summarize.summarize(rows, fails).collect()}
-    assert got == {1: ("ok", "One. Two.", "no provider"), 2: ("ok", "short", "no provider"), 3: ("error", None, "nothing to summarise")}
+    assert got == {1: ("error", "", "no provider"), 2: ("error", "", "no provider"), 3: ("error", "", "nothing to summarise")}
+    assert {r["id"]: r["text"] for r in summarize.summarize(rows, summarize.resolve({"remote": None})).collect()} == {1: "One. Two.", 2: "short", 3: ""}
+    assert [r["error"] for r in summarize.summarize(rows, allowed=F.col("id") < 0).collect()] == ["Only public http(s) source URLs can be summarized."] * 3
+    with pytest.raises(ValueError):
+        summarize.resolve({"remote": None}, "remote")
 
 
 def test_spellings_of_patterns():
