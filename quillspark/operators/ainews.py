@@ -87,6 +87,18 @@ def ai_routing_items(items: DataFrame, registry: DataFrame, now: Column, pattern
     )
 
 
+def recipient_group(department: Column, name: Column) -> Column:
+    """struct<department, group_name, email, channel>: who a department's digest goes to where no group is registered for it."""
+    team = F.coalesce(F.nullif(department, F.lit("")), F.lit("team"))
+    return F.struct(name.alias("department"), F.concat(name, F.lit(" Intelligence")).alias("group_name"), F.concat(team, F.lit("-intelligence@example.invalid")).alias("email"), F.lit("Email").alias("channel"))
+
+
+def recipients(teams: DataFrame, groups: DataFrame) -> DataFrame:
+    """Departments (department, name) with their registered group (team, group_name, email, channel), else the default one."""
+    own = groups.select(F.col("team").alias("department"), F.struct(F.col("name").alias("department"), "group_name", "email", "channel").alias("__own"))
+    return teams.join(own, "department", "left").select("department", F.coalesce("__own", recipient_group(F.col("department"), F.col("name"))).alias("g")).select(F.col("department").alias("team"), "g.*")
+
+
 def for_department(department: str, general: DataFrame, ai: DataFrame) -> DataFrame:
     """What a department reads: sales the AI items, where there are any; all others the general ones."""
     if department != "sales":

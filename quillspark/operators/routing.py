@@ -96,9 +96,12 @@ def route_score(department: str, profiles=lexicon.DEPARTMENTS) -> Column:
     return _score(F.coalesce(weights[F.col("topic")], F.lit(0)), F.coalesce(F.col("country").isin(*profile[4]), F.lit(False)))
 
 
-def route_count(profiles=lexicon.DEPARTMENTS, least: int = 58) -> Column:
-    """How many departments other than sales an item is routed to."""
-    return reduce(lambda a, b: a + b, [F.when(route_score(p[0], profiles) >= least, 1).otherwise(0) for p in profiles if p[0] != "sales"]).cast("long")
+def route_count(profiles=lexicon.DEPARTMENTS, least: int = 58, from_ai: Column | None = None) -> Column:
+    """How many departments an item is routed to; sales counts only for items ``from_ai``, the AI news."""
+    routed = {p[0]: F.when(route_score(p[0], profiles) >= least, 1).otherwise(0) for p in profiles}
+    if "sales" in routed:
+        routed["sales"] = F.when(from_ai, routed["sales"]).otherwise(0) if from_ai is not None else F.lit(0)
+    return reduce(lambda a, b: a + b, routed.values()).cast("long")
 
 
 def route_scores(routed: DataFrame, teams: DataFrame) -> DataFrame:
@@ -161,12 +164,16 @@ def strategic_scores(routed: DataFrame, scores: DataFrame | None = None, rules=l
     """Routed items with n_routes, signal_score, reasons, headline and alertable; caps apply in order.
 
     Without ``scores`` routes are counted from the default profiles, in the same pass. ``words`` of routed items must be
-    those of the same signal rules; items without that column are cut into words here.
+    those of the same signal rules; items without that column are cut into words here. Where there is a column
+    ``from_ai``, routes to sales count for the items that it marks.
     """
+    from_ai = F.coalesce(F.col("from_ai"), F.lit(False)) if "from_ai" in routed.columns else None
     if scores is None:
-        out = routed.withColumn("n_routes", route_count())
+        out = routed.withColumn("n_routes", route_count(from_ai=from_ai))
     else:
-        routes = scores.filter(F.col("routed") & (F.col("department") != "sales")).groupBy("id").agg(F.count("*").alias("n_routes"))
+        sales = F.col("department") == "sales"
+        counts = ~sales | F.coalesce(F.col("from_ai"), F.lit(False)) if from_ai is not None else ~sales
+        routes = scores.filter(F.col("routed") & counts).groupBy("id").agg(F.count("*").alias("n_routes"))
         out = routed.join(routes, "id", "left").withColumn("n_routes", F.coalesce("n_routes", F.lit(0)))
     # Points, caps, reasons and alerts read the words that were found, and those of what routing has added.
     lexicons = _lexicons(signals=rules)

@@ -68,6 +68,19 @@ def sales_items(spark, sf):
     return some.unionByName(none).groupBy("reader", "urgency").agg(F.count("*").alias("n"), F.sum("impact").alias("impact"))
 
 
+def ai_route_counts(spark, sf):
+    """How many departments AI items are routed to; sales is one of them, as it is not for others."""
+    items_ = _ai_routed(spark, sf).withColumn("from_ai", F.col("id").like("%2"))
+    return items_.select("id", routing.route_count(from_ai=F.col("from_ai")).alias("n_routes"))
+
+
+def department_recipients(spark, sf):
+    """Who gets the digest of each source's team: groups are registered for some."""
+    teams = items(spark, sf).select(F.col("source").alias("department"), F.concat(F.lit("Team "), "source").alias("name")).distinct()
+    groups = registry(spark).filter("official").select(F.col("name").alias("team"), F.col("category").alias("name"), F.concat("name", F.lit(" desk")).alias("group_name"), F.concat("name", F.lit("@example.invalid")).alias("email"), F.lit("Chat").alias("channel"))
+    return ainews.recipients(teams, groups)
+
+
 def explained_routes(spark, sf):
     scores = insight._scores(spark, sf)
     return briefing.explained_routes(scores, briefing.implications(spark)).select("id", "department", "why", "action")
@@ -297,7 +310,7 @@ def refresh_capped(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        ai_items, ai_routing, sales_items, explained_routes, intake_cards, department_digest, digest_sentence, executive_summaries, dashboard_counts, digest_choice, selected_digest, issues_as_items, issues_as_digests,
+        ai_items, ai_routing, sales_items, ai_route_counts, department_recipients, explained_routes, intake_cards, department_digest, digest_sentence, executive_summaries, dashboard_counts, digest_choice, selected_digest, issues_as_items, issues_as_digests,
         decoded_digests, rebuilt_digests, summary_payload, summary_inputs, fallback_contents, item_summaries, provider_texts, public_urls, part_labels, scan_ages, order_instants, gazette_titles, routing_rows, public_rows, refresh_counts,
         refresh_runs, refresh_capped, ai_refresh_counts, ai_refresh_runs, ai_fetch_urls,
     )
@@ -326,6 +339,8 @@ AI_SEEN_SQL = f"""aiseen AS (SELECT source_id, id, sha256('{wordings.AI_GROUP}|'
 aiheld AS (SELECT DISTINCT fp FROM aiseen WHERE source_id = 'ai_src0' AND id % 2 = 0), aibatch AS (SELECT DISTINCT fp FROM aiseen)"""
 
 ORACLES = {
+    "ai_route_counts": with_items("SELECT id, CAST(count(*) FILTER (routed AND (department <> 'sales' OR id LIKE '%2')) AS BIGINT) AS n_routes FROM aiscores GROUP BY id", AI_SQL, AI_ROUTED_SQL, insight.SCORES_SQL.replace("scores AS (", "aiscores AS (", 1).replace("FROM routed r", "FROM airouted r")),
+    "department_recipients": with_items("SELECT t.source AS team, coalesce(r.category, 'Team ' || t.source) AS department, CASE WHEN r.name IS NULL THEN 'Team ' || t.source || ' Intelligence' ELSE r.name || ' desk' END AS group_name, t.source || CASE WHEN r.name IS NULL THEN '-intelligence' ELSE '' END || '@example.invalid' AS email, CASE WHEN r.name IS NULL THEN 'Email' ELSE 'Chat' END AS channel FROM (SELECT DISTINCT source FROM items) t LEFT JOIN registry r ON r.name = t.source AND r.official", REGISTRY_SQL),
     "refresh_capped": with_items("SELECT source, count(*) AS n, max(id) AS last FROM (SELECT source, id FROM gated WHERE outcome = 'accepted' QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 25) GROUP BY 1", REGISTRY_SQL, GATED_SQL),
     "ai_refresh_counts": with_items("SELECT CAST(3 AS BIGINT) AS sources, (SELECT count(*) FROM aiseen) AS seen, CAST(1 AS BIGINT) AS failed, count(*) FILTER (fp NOT IN (SELECT fp FROM aiheld)) AS inserted, count(*) FILTER (fp IN (SELECT fp FROM aiheld)) AS updated FROM aibatch", AI_SQL, AI_SEEN_SQL),
     "ai_refresh_runs": with_items("SELECT source_id, name AS source, CASE WHEN method IN ('manual', 'api') THEN 'idle' WHEN source_id = 'ai_src3' THEN 'error' ELSE 'ok' END AS status, (SELECT count(*) FROM aiseen s WHERE s.source_id = air.source_id) AS item_count, CASE WHEN source_id = 'ai_src3' THEN 'timeout' END AS error FROM air", AI_SQL, AI_SEEN_SQL),
