@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 from itertools import product
-from operator import and_, or_
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -48,6 +48,16 @@ def spellings(alternative: str) -> list[list[str]]:
     return ["".join(x).split("\0") for x in product(*options)]
 
 
+def quoted(text: str) -> str:
+    """A text as a literal of SQL. Long lists of literals are given as SQL: one call, where columns would take one for each."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def texts(values: Iterable[str]) -> Column:
+    """An array of literals."""
+    return F.expr(f"CAST(array({', '.join(map(quoted, values))}) AS ARRAY<STRING>)")
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is computed once, however often ``then`` names it."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -84,27 +94,31 @@ class Lexicons:
 
     def words(self, text: Column) -> Column:
         """The words of the vocabulary that a text has."""
-        return F.array_intersect(F.split(text, f"[^{self.word}]+"), F.array(*[F.lit(w) for w in self.vocabulary]).cast("array<string>"))
+        return F.array_intersect(F.split(text, f"[^{self.word}]+"), texts(self.vocabulary))
 
     def found(self, text: Column, then: Callable[[Column, Column], Column]) -> Column:
         """``then`` of the vocabulary's words and the text, each computed once, where there is no column to settle them in."""
         return let(text, lambda t: let(self.words(t), lambda w: then(w, t)))
 
-    def _has(self, term: Term, words: Column, text: Column) -> Column:
-        there = reduce(and_, [F.array_contains(words, w) for w in term.words], F.lit(True))
-        return there if term.pattern is None else there & F.contains(text, F.lit(term.part)) & text.rlike(term.pattern)
+    @staticmethod
+    def _matching(terms: list[tuple[str, Term]], words: Column, text: Column) -> tuple[Column, Callable[[Column], Column]]:
+        """Terms as an array of structs, and whether the text has one of them."""
+        rows = [f"named_struct('shown', {quoted(shown)}, 'words', CAST(array({', '.join(map(quoted, t.words))}) AS ARRAY<STRING>), 'part', {quoted(t.part)}, 'pattern', {quoted(t.pattern or '')})" for shown, t in terms]
+        has = lambda t: (F.size(F.array_except(t["words"], words)) == 0) & ((t["pattern"] == "") | F.contains(text, t["part"]) & F.rlike(text, t["pattern"]))
+        return F.expr(f"array({', '.join(rows)})"), has
 
     def any(self, name: str, words: Column, text: Column) -> Column:
         """Whether a text has any term of a lexicon."""
         every = [t for group in self.terms[name] for t in group]
-        single = [F.lit(t.words[0]) for t in every if t.pattern is None]
-        found = [self._has(t, words, text) for t in every if t.pattern is not None]
-        return reduce(or_, [*([F.arrays_overlap(words, F.array(*single))] if single else []), *found], F.lit(False))
-
-    def each(self, name: str, words: Column, text: Column) -> dict[str, Column]:
-        """Whether a text has it, by term."""
-        return {shown: reduce(or_, [self._has(t, words, text) for t in group]) for shown, group in zip(self.shown[name], self.terms[name], strict=True)}
+        single, phrases = [t.words[0] for t in every if t.pattern is None], [("", t) for t in every if t.pattern is not None]
+        found = [F.arrays_overlap(words, texts(single))] if single else []
+        if phrases:
+            found.append(F.exists(*self._matching(phrases, words, text)))
+        return reduce(or_, found) if found else F.lit(False)
 
     def which(self, name: str, words: Column, text: Column) -> Column:
         """The terms of a lexicon that a text has, in the lexicon's order."""
-        return F.array_compact(F.array(*[F.when(has, F.lit(shown)) for shown, has in self.each(name, words, text).items()])).cast("array<string>")
+        every = [(shown, t) for shown, group in zip(self.shown[name], self.terms[name], strict=True) for t in group]
+        if not every:
+            return texts([])
+        return F.array_distinct(F.transform(F.filter(*self._matching(every, words, text)), lambda t: t["shown"]))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import lexicon
-from quillspark.functions.matching import PATTERN, TERM, Lexicons, let
+from quillspark.functions.matching import PATTERN, TERM, Lexicons, let, quoted, texts
 
 SPACE = r"[\s  -     　]+"
 
@@ -33,7 +32,7 @@ def squeeze(text: Column) -> Column:
 
 def decode_references(text: Column) -> Column:
     """Numeric character references and the named ones of the lexicon as characters, &amp; last. Others stay."""
-    names = F.create_map(*[x for k, v in lexicon.REFERENCES.items() for x in (F.lit(k), F.lit(v))])
+    names = F.expr(f"map({', '.join(f'{quoted(k)}, {v:d}' for k, v in lexicon.REFERENCES.items())})")
     char = lambda point: F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
     decimal, hexadecimal = (lambda ref: F.substring(ref, 3, 7).try_cast("int")), (lambda ref: F.conv(F.substring(ref, 4, 6), 16, 10).try_cast("int"))
 
@@ -93,7 +92,8 @@ def matched_terms(text: Column, terms: Iterable[str]) -> Column:
 
 def any_substring(text: Column, parts: Iterable[str]) -> Column:
     """Whether a text contains any of the parts."""
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts], F.lit(False))
+    parts = tuple(parts)
+    return F.exists(texts(parts), lambda p: F.contains(text, p)) if parts else F.lit(False)
 
 
 def canonical_url(url: Column) -> Column:

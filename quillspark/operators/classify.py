@@ -43,7 +43,8 @@ def detect_country(text: Column, signals=lexicon.COUNTRY_SIGNALS) -> Column:
     def best(words: Column, low: Column) -> Column:
         scored = []
         for i, country in enumerate(signals):
-            points = sum((F.when(has, 3 if t == country.lower() else 1).otherwise(0) for t, has in lexicons.each(f"country{i}", words, low).items()), F.lit(0))
+            found = lexicons.which(f"country{i}", words, low)
+            points = F.size(found) + F.when(F.array_contains(found, country.lower()), 2).otherwise(0)
             scored.append(F.struct(points.alias("points"), F.lit(-i).alias("place"), F.lit(country).alias("country")))
         return F.array_max(F.array(*scored))
 

@@ -210,6 +210,29 @@ def scanned_pages(spark, sf):
     return found.select("source_id", "pos", "title", F.length("summary").alias("summary_chars"), "link")
 
 
+def scanned_listings(spark, sf):
+    """Parts as listing pages of three kinds, scanned by their finders: gazette tables, marked judgments, AI articles with links of two sites."""
+    p = read(spark, sf, "part").withColumn("page", F.floor(F.col("p_partkey") / 50))
+    key = F.col("p_partkey").cast("string")
+    name, brand = text.escape_html(F.col("p_name")), text.escape_html(F.col("p_brand"))
+    cell = lambda *x: F.concat(F.lit("<td>"), *x, F.lit("</td>"))
+    day = F.date_add(F.lit("2019-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int"))
+    number = F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("AB-C-"), F.lpad(key, 8, "0"), F.lit("-123456"))).otherwise("")
+    row = F.concat(F.lit("<tr>"), cell(name), cell(brand), cell(F.date_format(day, "dd-MMM-yyyy")), cell(number), F.lit("<td>1.5 MB</td></tr>"))
+    marks = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit(", diary number "), key, F.lit(", uploaded on "), F.date_format(day, "dd-MM-yyyy"))).otherwise("")
+    entry = F.concat(F.lit('<li><a href="j'), key, F.lit('">'), name, marks, F.lit("</a></li>"))
+    post = F.concat(F.lit('<div class="post"><a href="https://other.example/'), key, F.lit('">A longer text of somebody else on '), name, F.lit('</a><a href="/p'), key, F.lit('">News of the part '), name, F.lit('</a><time datetime="'), day.cast("string"), F.lit('">x</time><p>About '), brand, F.lit("</p></div>"))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", c.alias("h")))), lambda x: x["h"]), "")
+    pages = p.groupBy("page").agg(listed(row).alias("gazette"), listed(entry).alias("judgments"), listed(post).alias("ai"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("finder"), html.alias("html")) for k, html in (("gazette", F.concat(F.lit("<table>"), F.col("gazette"), F.lit("</table>"))), ("judgments", F.concat(F.lit("<h3>Judgments</h3><ul>"), F.col("judgments"), F.lit("</ul>"))), ("ai", F.col("ai")))]))
+    made = pages.select("page", kinds.alias("k")).select(F.concat_ws("/", "k.finder", F.col("page").cast("string")).alias("source_id"), "k.finder", "k.html")
+    none = F.lit(None).cast("string")
+    sources = made.select(F.col("source_id").alias("id"), F.lit("https://site.example/list/").alias("url"), "finder", *[none.alias(c) for c in ("item_selector", "title_selector", "link_selector", "summary_selector", "date_selector")])
+    found = scans.scan_pages(made.select("source_id", "html"), sources, most=None)
+    title = F.when(F.col("source_id").startswith("gazette"), text.gazette_title(F.col("cells"))).otherwise(F.col("title"))
+    return found.select(F.substring_index("source_id", "/", 1).alias("finder"), title.alias("title"), "date", "link", F.when(F.col("source_id").startswith("ai"), F.col("summary")).alias("summary"))
+
+
 def summary_contents(spark, sf):
     """Texts of pages for summaries; every third page is served as something else."""
     p = read(spark, sf, "pages").withColumn("kind", F.when(F.col("page_id") % 3 == 0, "application/pdf; q=1").otherwise("text/html"))
@@ -266,7 +289,7 @@ QUERIES = {
     for f in (
         risk_signals, risk_heatmap_cells, risk_cells_kept_up, counts_kept_up, risk_heatmap_top_signals, risk_kpis, risk_cells_filtered, routing_topics, route_scores, signal_scores, strategic_signals, routing_breakdown, balanced_digest, digest_summary,
         digest_bodies, digest_with_summaries, source_urls, detected_movements, movement_funnel, movement_bands, movement_drafts, feedback_topics, ignored_topics, kept_selection, todays_items, country_line, mail_drafts, day_mails, carried_lines,
-        page_nodes, page_list_items, scanned_pages, summary_contents, page_contents, rss_entries, publication_dates, headlines, cleaned_texts, event_windows, sliding_windows, risk_lookbacks,
+        page_nodes, page_list_items, scanned_pages, scanned_listings, summary_contents, page_contents, rss_entries, publication_dates, headlines, cleaned_texts, event_windows, sliding_windows, risk_lookbacks,
     )
 }
 
@@ -445,4 +468,8 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(day AS INTEGER) AS day, last_v
     "event_windows": "SELECT TIMESTAMP '1970-01-01' + to_days(CAST(floor(epoch(ts) / 86400 / 7) * 7 AS INTEGER)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "sliding_windows": "SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS start, event_type, count(*) AS n FROM events, (SELECT unnest(range(3)) AS k) GROUP BY 1, 2",
     "risk_lookbacks": with_items("SELECT date + CAST(k AS INTEGER) AS day, country, domain, count(*) FILTER (k < 7) AS last7, count(*) FILTER (k BETWEEN 7 AND 13) AS previous7, count(*) FILTER (k >= 7) AS previous30 FROM sig, (SELECT unnest(range(37)) AS k) WHERE date IS NOT NULL GROUP BY 1, 2, 3", REGISTRY_SQL, SIGNALS_SQL),
+    "scanned_listings": """WITH p AS (SELECT *, DATE '2019-01-01' + CAST(p_partkey % 300 AS INTEGER) AS day FROM part)
+SELECT 'gazette' AS finder, p_name || ' ' || p_brand AS title, day AS date, 'https://site.example/list/' AS link, NULL AS summary FROM p WHERE p_partkey % 5 > 0
+UNION ALL SELECT 'judgments', p_name || ', diary number ' || p_partkey || ', uploaded on ' || strftime(day, '%d-%m-%Y'), day, 'https://site.example/list/j' || p_partkey, NULL FROM p WHERE p_partkey % 3 > 0
+UNION ALL SELECT 'ai', 'News of the part ' || n, first(day ORDER BY k), 'https://site.example/p' || min(k), first('About ' || b ORDER BY k) FROM (SELECT p_partkey AS k, p_partkey // 50 AS page, p_name AS n, p_brand AS b, day FROM p) GROUP BY page, n""",
 }

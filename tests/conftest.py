@@ -12,4 +12,7 @@ from quillspark.session import local_session  # noqa: E402
 def spark():
     session = local_session(4, 4, "tests")
     session.sparkContext.setLogLevel("ERROR")
+    # Tables of tests are tiny: compiling a plan takes longer than interpreting it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     return session
