@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from threading import Lock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import shared_dir
+
 #: Spark's setting that removes the shuffle files of an execution as it ends.
 SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The setting belongs to the session, so one thread at a time changes it and puts it back.
 _SETTING = Lock()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
-
-    A session that names none gets a temporary folder if it runs in this one process, as in tests. On a cluster
-    executors would not see such a folder, so there the setting is required.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="quillspark-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to, and read from, the folder named by spark.checkpoint.dir, which executors share.
 
