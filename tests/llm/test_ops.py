@@ -131,6 +131,27 @@ def test_ngram_awkward(spark):
     assert ngram_join.ngram_components(docs(spark, [])).count() == 0
 
 
+def test_components_with_hubs_and_hot_roots(spark):
+    """One id that a third of all edges meet, a component of a third of all ids, many small ones, loops, repeats, nulls."""
+    rng = random.Random(5)
+    edges = [(1500, 2000 + i) for i in range(900)] + [(rng.randrange(3000, 3900), rng.randrange(3000, 3900)) for _ in range(2000)]
+    edges += [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(300)] + [(7, 7), (7, 7), (1500, 2000), (2000, 1500), (None, 3), (3, None), (None, None)]
+    rng.shuffle(edges)
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r["id"], r["component"]) for r in got} == {(i, root(i)) for i in parent} and len(got) == len(parent)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.connected_components(edges).collect()}
