@@ -132,10 +132,10 @@ def test_ngram_awkward(spark):
 
 
 def test_components_with_hubs_and_hot_roots(spark):
-    """One id that a third of all edges meet, a component of a third of all ids, many small ones, loops, repeats, nulls."""
+    """One id that a third of all edges meet, components of hundreds and of more than are joined in one place, many small ones, loops, repeats, nulls."""
     rng = random.Random(5)
-    edges = [(1500, 2000 + i) for i in range(900)] + [(rng.randrange(3000, 3900), rng.randrange(3000, 3900)) for _ in range(2000)]
-    edges += [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(300)] + [(7, 7), (7, 7), (1500, 2000), (2000, 1500), (None, 3), (3, None), (None, None)]
+    edges = [(1500, 20_000 + i) for i in range(1200)] + [(rng.randrange(3000, 3900), rng.randrange(3000, 3900)) for _ in range(2000)]
+    edges += [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(300)] + [(7, 7), (7, 7), (1500, 20_000), (20_000, 1500), (None, 3), (3, None), (None, None)]
     rng.shuffle(edges)
     parent = {}
 
