@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import queries, secret_scan
+from quillspark.llm import quality_mil, queries, secret_scan
 from tests.llm.test_ops import brute_components, brute_dedup, brute_fill, brute_hits, prose
 
 SF = "/root/testdata/sf0.001"
@@ -86,6 +86,29 @@ def test_op10_holds_rows_out(spark, texts):
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
 
 
+@needs_tables
+def test_op10_against_plain_scores(spark, texts):
+    """The model fitted on a sample gathered here, and every document scored by itself, passage by passage."""
+    marks = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r["quality"] is not None and r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            marks[r["doc_id"]] = min(r["quality"], marks.get(r["doc_id"], 1))
+    bags = []
+    for i in sorted(marks):
+        f = quality_mil.passage_features(texts[i])
+        bags.append((f[np.linspace(0, len(f) - 1, 40).astype(np.int64)] if len(f) > 40 else f).astype(np.float16))
+    model = quality_mil.GatedAttentionMIL().fit(bags, np.array([float(marks[i]) for i in sorted(marks)]))
+    p, gate = model.p, lambda x: 1 / (1 + np.exp(-x))
+    got = {r["doc_id"]: r["score"] for r in queries.op10_quality_mil(spark, SF).collect()}
+    for i, text in texts.items():
+        weights, held = 0.0, np.zeros(p["c"].shape)
+        for passage in quality_mil.passage_features(text).astype(np.float64):
+            h = np.tanh((passage - model.mean) / model.scale @ p["W"] + p["b"])
+            weight = np.exp((np.tanh(h @ p["V"]) * gate(h @ p["U"])) @ p["w"])
+            weights, held = weights + weight, held + weight * h
+        assert abs(got[i] - gate(held / weights @ p["c"] + p["d"])[0]) < 1e-3
+
+
 @pytest.fixture(scope="module")
 def planted(spark, tmp_path_factory):
     """A folder with documents, labels and benchmark: junk, passages, near copies, benchmark passages, awkward rows."""
