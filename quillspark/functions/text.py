@@ -1,11 +1,11 @@
-"""Text functions as Column expressions; one pandas function where the JVM has no counterpart."""
+"""Text functions as Column expressions; one Arrow function where the JVM has no counterpart."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,24 +207,31 @@ def _suspicious(text: str) -> int:
     return sum(c in "âÃ�" or "\u0080" <= c <= "\u009f" for c in text)
 
 
-@F.pandas_udf(T.StringType())
-def repair_encoding(texts: pd.Series) -> pd.Series:
+def _repaired(text: str | None) -> str | None:
+    if not text or not (best := _suspicious(text)):
+        return text
+    out = text
+    for page in ("cp1252", "latin-1"):
+        try:
+            tried = text.encode(page).decode("utf-8")
+        except UnicodeError:
+            continue
+        if (n := _suspicious(tried)) < best:
+            out, best = tried, n
+    return out
+
+
+@F.arrow_udf(T.StringType())
+def _repair(texts: pa.Array) -> pa.Array:
+    # A few texts at a time are Python's; the others are bytes in the batch.
+    return pa.concat_arrays([pa.array([_repaired(t.as_py()) for t in texts.slice(at, 32)], texts.type) for at in range(0, len(texts), 32)]) if len(texts) else texts
+
+
+def repair_encoding(text: Column) -> Column:
     """UTF-8 once read as a Western code page, read again rightly if that leaves fewer suspicious characters.
 
-    Spark's own ``encode`` has no such code page and stops at characters it cannot map, hence a pandas function.
+    Spark's own ``encode`` has no such code page and stops at characters it cannot map, hence a function of Python. It is
+    given the texts that have suspicious characters and nulls for the others.
     """
-
-    def repair(text: str | None) -> str | None:
-        if not text or not (best := _suspicious(text)):
-            return text
-        out = text
-        for page in ("cp1252", "latin-1"):
-            try:
-                tried = text.encode(page).decode("utf-8")
-            except UnicodeError:
-                continue
-            if (n := _suspicious(tried)) < best:
-                out, best = tried, n
-        return out
-
-    return texts.map(repair)
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_repair(F.when(text.rlike("[âÃ\ufffd\u0080-\u009f]"), text)), text)

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,20 @@ def test_feed_and_relative_dates(spark):
     assert one(spark, dates.relative_date(F.col("u"), now), u="Today") == dt.date(2024, 1, 10)
 
 
+def test_encoding_repair_holds_few_texts(spark):
+    """Of a batch only a few texts are Python's at a time, and only suspicious ones are given to it."""
+    bad, good, wide = "cafÃ© " * 2000, "café " * 2000, "漢字 plain " * 1000
+    batch = pa.array([bad] * 3000)
+    tracemalloc.start()
+    out = text._repair.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20 and len(out) == 3000 and out[0].as_py() == out[2999].as_py() == good
+    assert [text._repair.func(pa.array([x], pa.string())).to_pylist() for x in (None, "", wide)] == [[None], [""], [wide]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate((bad, wide, None, "", "â"))], "i int, u string")
+    assert [r[1] for r in rows.select("i", text.repair_encoding(F.col("u"))).orderBy("i").collect()] == [good, wide, None, "", "â"]
+
+
 def test_text_functions(spark):
     assert one(spark, text.clean_text(F.col("u")), u=" <b>A&amp;B</b>   - ") == "A&B"
     assert one(spark, text.clean_text(F.col("u"), 10), u="abcdefghijklmnop") == "abcdefghi..."
