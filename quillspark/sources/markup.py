@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import lexicon
 from quillspark.functions.dates import feed_date, publication_date
 from quillspark.functions.text import canonical_url, clean_text
+from quillspark.sources.batches import pieces
 
 SKIPPED = frozenset(("script", "style", "nav", "footer", "noscript"))
 SINGLE = frozenset(("br", "img", "hr", "meta", "link", "input"))
@@ -59,11 +60,14 @@ class _Nodes(HTMLParser):
 
 
 def page_nodes(pages: DataFrame, *, tags: tuple[str, ...] = ("h1", "h2", "h3", "h4", "li", "tr", "article", "p"), id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row for each node of the wanted tags: page, pos, tag, class, text, href, datetime. Boilerplate elements are skipped."""
+    """One row for each node of the wanted tags: page, pos, tag, class, text, href, datetime. Boilerplate elements are skipped.
+
+    Nodes go out after every few pages, so that a task's Python holds those of a piece of a batch alone.
+    """
     wanted, id_type = frozenset(tags), pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             at, rows = [], []
             for i in range(batch.num_rows):
                 parser = _Nodes(wanted)
