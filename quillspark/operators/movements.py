@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import lexicon, wordings
-from quillspark.functions.text import any_word, squeeze
+from quillspark.functions.matching import PATTERN, Lexicons, let
+from quillspark.functions.text import squeeze
 from quillspark.operators.frame import settled
 from quillspark.operators.heatmap import _rank_when
 
@@ -14,42 +18,56 @@ def text_of(*columns: str) -> Column:
     return squeeze(F.concat_ws(" ", *columns))
 
 
-def _name(text: Column) -> Column:
+def _any_part(low: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(low, F.lit(p)) for p in parts])
+
+
+def _name(text: Column, low: Column) -> Column:
+    """The first name by the patterns; ``low``, the text in lower case, says which of them can match at all."""
+
+    def kept(n: Column) -> Column:
+        return let(n, lambda n: F.when((n != "") & (F.size(F.split(n, r"\s+")) <= 5) & ~n.rlike(lexicon.NAME_REFUSED), n))
+
     out = []
-    for pattern in lexicon.NAME_PATTERNS:
+    for pattern, parts in zip(lexicon.NAME_PATTERNS, lexicon.NAME_PARTS, strict=True):
         n = F.element_at(F.split(F.regexp_extract(text, pattern, 1), r"[.;:,]\s+"), 1)
         for end in lexicon.NAME_ENDS:
             n = F.regexp_replace(n, end, "")
-        n = F.trim(n)
-        out.append(F.when((n != "") & (F.size(F.split(n, r"\s+")) <= 5) & ~n.rlike(lexicon.NAME_REFUSED), n))
+        out.append(F.when(_any_part(low, parts), kept(F.trim(n))))
     return F.coalesce(*out, F.lit(""))
 
 
-def _role(text: Column, kind: Column) -> Column:
-    found = [F.nullif(F.trim(F.regexp_extract(text, rf"(?i)\b{lead}{lexicon.ROLE_ENDS}", 1)), F.lit("")) for lead in lexicon.ROLE_LEADS]
+def _role(text: Column, low: Column, kind: Column) -> Column:
+    found = [F.when(F.contains(low, F.lit(lead)), F.nullif(F.trim(F.regexp_extract(text, rf"(?i)\b{lead}{lexicon.ROLE_ENDS}", 1)), F.lit(""))) for lead in lexicon.ROLE_LEADS]
     chief = F.when(kind == "leadership_change", F.nullif(F.regexp_extract(text, lexicon.CHIEF_ROLES, 1), F.lit("")))
     return F.coalesce(*found, chief, F.when(kind == "elevation", F.lit("Elevation")), F.lit(""))
 
 
+def _first_named(text: Column, low: Column, names: tuple[str, ...]) -> Column:
+    """The first of the names, in list order, that a text has between word bounds; empty if none."""
+    return F.coalesce(*[F.when(F.contains(low, F.lit(n.lower())) & text.rlike(rf"(?i)\b{n}\b"), F.lit(n)) for n in names], F.lit(""))
+
+
 def detect_movements(items: DataFrame, keywords=lexicon.MOVEMENT_KEYWORDS, threshold: int = 42, source_pattern: str = r"court|judiciar|ministry|government|gazette|bar|law society") -> DataFrame:
     """Items that report a movement: movement_type, judge_name, court, place, new_role, confidence, status, keywords.
 
     ``place`` is the first of the jurisdictions that the text names, empty if none.
     """
     out = settled(items, {"__x": text_of("title", "summary", "country", "category", "source", "source_tab")})
-    x, low = F.col("__x"), F.lower("__x")
+    out = settled(out, {"__low": F.lower("__x")})
+    x, low = F.col("__x"), F.col("__low")
     pairs = [(kind, word) for kind, words in keywords.items() for word in words]
     hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.struct(F.lit(k).alias("kind"), F.lit(w).alias("word"))) for k, w in pairs]))
-    speech = any_word(low, lexicon.JUDGE_WORDS) & any_word(low, lexicon.SPEECH_WORDS) & ~any_word(low, lexicon.MOVE_WORDS)
+    said = Lexicons(PATTERN, judge=lexicon.JUDGE_WORDS, speech=lexicon.SPEECH_WORDS, move=lexicon.MOVE_WORDS)
+    speech = said.found(low, lambda words, t: said.any("judge", words, t) & said.any("speech", words, t) & ~said.any("move", words, t))
     # Items without a keyword, or that report a speech, have no confidence, so names and roles are read from the others alone.
     out = settled(out, {"__h": hits})
     out = settled(out.filter(F.size("__h") > 0) if threshold > 0 else out, {"__speech": F.when(F.size("__h") > 0, speech).otherwise(True)})
     out = out.filter(~F.col("__speech")) if threshold > 0 else out
     kind = _rank_when([(F.array_contains(F.transform("__h", lambda h: h["kind"]), k), k) for k in lexicon.MOVEMENT_PRIORITY], "unknown")
-    court = F.coalesce(*[F.when(x.rlike(rf"(?i)\b{c}\b"), F.lit(c)) for c in lexicon.COURTS], F.lit(""))
-    place = F.coalesce(*[F.when(x.rlike(rf"(?i)\b{c}\b"), F.lit(c)) for c in lexicon.JURISDICTIONS], F.lit(""))
-    out = settled(out, {"movement_type": kind, "court": court, "place": place, "judge_name": _name(x)})
-    out = settled(out, {"new_role": _role(x, F.col("movement_type"))})
+    court, place = _first_named(x, low, lexicon.COURTS), _first_named(x, low, lexicon.JURISDICTIONS)
+    out = settled(out, {"movement_type": kind, "court": court, "place": place, "judge_name": _name(x, low)})
+    out = settled(out, {"new_role": _role(x, low, F.col("movement_type"))})
     source = F.lower(F.concat_ws(" ", "source", "source_tab", "category"))
     own = F.lower(F.concat_ws(" ", "title", "summary"))
     points = lambda condition, n: F.when(condition, n).otherwise(0)
@@ -68,7 +86,7 @@ def detect_movements(items: DataFrame, keywords=lexicon.MOVEMENT_KEYWORDS, thres
     out = settled(out, {"confidence": F.when(F.col("__speech") | (F.size("__h") == 0), 0).otherwise(F.least(F.lit(100), score))})
     sure = (F.col("confidence") >= 70) & (F.col("judge_name") != "") & ((F.col("new_role") != "") | (F.col("court") != ""))
     found = out.filter(F.col("confidence") >= threshold)
-    return found.withColumns({"status": F.when(sure, "detected").otherwise("needs_review"), "keywords": F.array_distinct(F.transform("__h", lambda h: h["word"]))}).drop("__x", "__h", "__speech")
+    return found.withColumns({"status": F.when(sure, "detected").otherwise("needs_review"), "keywords": F.array_distinct(F.transform("__h", lambda h: h["word"]))}).drop("__x", "__low", "__h", "__speech")
 
 
 def confidence_label(confidence: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import dates, labels, lexicon, text, wordings
 from quillspark.operators import briefing, digest, heatmap, movements, positional, rollups, routing, summarize
 from quillspark.plans.sqlparts import NOW_SQL, has_term, has_word, with_items
+from quillspark.session import written
 from quillspark.sources import markup, scans
 from quillspark.sources.items import REGISTRY_SQL, items, now, read, registry
 from quillspark.streaming import ingest
@@ -117,7 +118,8 @@ def digest_bodies(spark, sf):
 
 
 def digest_with_summaries(spark, sf):
-    chosen = _digest(spark, sf).select("id", "title", "summary", F.col("summary").alias("content"))
+    # Twelve entries at most, which the digest and the summaries both read: items are scored once.
+    chosen = written(_digest(spark, sf).select("id", "title", "summary", F.col("summary").alias("content")))
     return digest.with_summaries(chosen, summarize.summarize(chosen)).select("id", "content_summary")
 
 
@@ -131,7 +133,8 @@ def detected_movements(spark, sf):
 
 
 def movement_funnel(spark, sf):
-    found = movements.detect_movements(items(spark, sf), MOVE_KEYWORDS)
+    # The funnel and the reviews both read what was detected: texts are read once.
+    found = written(movements.detect_movements(items(spark, sf), MOVE_KEYWORDS).select("id", "status"))
     reviews = found.filter("id % 3 = 0").select("id", F.lit("approved").alias("status"))
     return movements.funnel(movements.hydrate(found, reviews))
 

@@ -44,3 +44,14 @@ def test_query(spark, con, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert got == sorted(tuple(normal(r[i]) for i in at) for r in result.fetchall())
+
+
+@pytest.mark.parametrize("name", ["movement_funnel", "digest_with_summaries", "dashboard_counts"])
+def test_texts_are_read_once(spark, name):
+    """What two parts of a result are made of is detected or scored once; the count of all items asks for no scores."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    got = plan(catalog.QUERIES[name](spark, SF))
+    if name == "dashboard_counts":
+        assert got.count("Generate ") == plan(catalog.QUERIES["strategic_signals"](spark, SF)).count("Generate ") > 0
+    else:
+        assert "parquet" not in got
