@@ -82,7 +82,10 @@ def authority_mix_text(mix: Column) -> Column:
 
 
 def dashboard_counts(scored: DataFrame, signals: DataFrame, now: Column) -> DataFrame:
-    """One row: items, signals, suppressed ones, and routes of the signals dated in the last seven days."""
+    """One row: items, signals, suppressed ones, and routes of the signals dated in the last seven days.
+
+    ``scored`` is only counted, so the items themselves, before they are scored, will do.
+    """
     recent = F.coalesce(F.col("date").cast("timestamp") >= now - F.expr("INTERVAL 7 DAYS"), F.lit(False))
     shown = signals.agg(F.count("*").alias("signals"), F.coalesce(F.sum(F.when(recent, F.col("n_routes")).otherwise(0)), F.lit(0)).alias("routed_this_week"))
     both = scored.agg(F.count("*").alias("items")).crossJoin(shown)

@@ -105,8 +105,8 @@ def executive_summaries(spark, sf):
 
 
 def dashboard_counts(spark, sf):
-    scored = insight._scored(spark, sf)
-    return briefing.dashboard_counts(scored, routing.strategic_signals(scored, 60), now())
+    # Scores are of the items that are read once, for the signals; the count of all asks for none.
+    return briefing.dashboard_counts(items(spark, sf), routing.strategic_signals(insight._scored(spark, sf), 60), now())
 
 
 CHOSEN = (lexicon.JURISDICTIONS[0], lexicon.JURISDICTIONS[1], lexicon.JURISDICTIONS[4])
