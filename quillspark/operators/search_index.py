@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: What stands before and after every text.
 FIRST, LAST = "\u0002", "\u0003"
-#: Postings that a folder holds, about, and tasks that write one of them.
-PART_ROWS, SPREAD = 20_000_000, 4
+#: Postings that a folder holds, about, tasks that write one of them, at least, and postings that a task sorts, about.
+PART_ROWS, SPREAD, SHARE_ROWS = 20_000_000, 4, 2_000_000
 
 
 def trigrams(text: Column) -> Column:
@@ -30,11 +30,16 @@ def build_index(items: DataFrame, root: str, *, key: str = "id", columns: tuple[
     spark = items.sparkSession
     every = reduce(F.array_union, [trigrams(F.coalesce(c, F.lit(""))) for c in columns])
     rows = items.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(every).alias("gram"))
-    parts = max(1, items.count() * 1000 // PART_ROWS)  # a text has about a thousand different trigrams
+    held = items.count()
+    parts = max(1, held * 1000 // PART_ROWS)  # a text has about a thousand different trigrams
+    # Each task writes one share of one folder, by number: shares that hashing put together would be sorted by one task.
+    shares = max(SPREAD, -(-held * 1000 // (parts * SHARE_ROWS)))
     parted = rows.withColumn("part", _part(F.col("gram"), parts))
-    parted.repartition(max(parts, 8) * SPREAD, "part", F.pmod(F.xxhash64("key"), F.lit(SPREAD * 8 // min(parts, 8)))).sortWithinPartitions("part", "gram", "key").write.partitionBy("part").parquet(f"{root}/postings")
+    share = F.col("part") * shares + F.pmod(F.xxhash64("key"), F.lit(shares)).cast("int")
+    parted.repartitionById(parts * shares, share).sortWithinPartitions("part", "gram", "key").write.partitionBy("part").parquet(f"{root}/postings")
     parted.limit(0).write.parquet(f"{root}/schema")
-    counted = _postings(spark, root).groupBy("part", "gram").agg(F.countDistinct("key").alias("n"))
+    # A row is a posting (keys that repeat count as often), so the rows are counted and no set of keys is held.
+    counted = _postings(spark, root).groupBy("part", "gram").agg(F.count("*").alias("n"))
     counted.withColumn("parts", F.lit(parts)).write.parquet(f"{root}/grams")
 
 

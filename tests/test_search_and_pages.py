@@ -32,6 +32,21 @@ def test_search_finds_what_ilike_finds(spark, rows):
     assert search_index.search(rows.limit(0), empty, "court").collect() == []
 
 
+def test_index_is_written_in_even_shares(spark, rows, monkeypatch):
+    """Each file holds one share of one folder, so no task sorts several of them; grams know their postings."""
+    monkeypatch.setattr(search_index, "PART_ROWS", 100_000)
+    monkeypatch.setattr(search_index, "SHARE_ROWS", 20_000, raising=False)
+    root = scratch(spark, "index")
+    search_index.build_index(rows, root)
+    postings, shares = spark.read.parquet(f"{root}/postings"), -(-303 * 1000 // (3 * 20_000))
+    share = F.pmod(F.xxhash64("key"), F.lit(shares))
+    files = postings.groupBy(F.input_file_name().alias("f")).agg(F.countDistinct("part", share).alias("n"), F.first(share).alias("share"), F.first("part").alias("part"))
+    got = files.collect()
+    assert len(got) > 3 * 4 and {r["n"] for r in got} == {1} and len({(r["part"], r["share"]) for r in got}) == len(got)
+    counted = {(r["part"], r["gram"]): r["n"] for r in spark.read.parquet(f"{root}/grams").collect()}
+    assert counted == {(r["part"], r["gram"]): r["count"] for r in postings.groupBy("part", "gram").count().collect()}
+
+
 def test_listing_with_an_index_reads_postings(spark, rows):
     root = scratch(spark, "index")
     items = rows.filter("id < 1000").withColumns({"date": F.lit("2024-01-01").cast("date"), "first_seen_at": F.lit("2024-01-01").cast("timestamp")})
