@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.operators.dedup import keep_last
 from quillspark.operators.merge import merge_items
 
 #: Rows of a bucket, about, and deltas after which the next append compacts.
@@ -98,7 +99,8 @@ class ItemStore:
 
     def _merged(self, stored: DataFrame, batch: DataFrame, buckets: int, now: Column | None = None) -> DataFrame:
         if now is not None:
-            return merge_items(stored, batch.repartition(buckets, self.key), now, key=self.key)
+            # Of equal fingerprints the last goes on alone: the others are dropped where they were read, not in a bucket's task.
+            return merge_items(stored, keep_last(batch, self.key, "seq").repartition(buckets, self.key), now, key=self.key)
         folded = batch.withColumn("seq", F.lit(0)).repartition(buckets, self.key)
         seen = folded.select(F.col(self.key).alias("__k"), "__first", "__last")
         out = merge_items(stored, folded.drop("__first", "__last"), F.lit(None).cast("timestamp"), key=self.key)

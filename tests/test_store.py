@@ -79,3 +79,12 @@ def test_readers_see_whole_states(spark, store):
     old, state = store.base(store.state()), store.state()
     store.merge(batch(spark, range(50), "x", 5), at(5))
     assert rows(old) == before and store.state()["version"] == state["version"] + 1
+
+
+def test_a_merge_exchanges_last_rows_alone(spark, store):
+    """Rows of a fingerprint that a later one replaces are dropped before the batch goes to buckets."""
+    many = items(spark, range(7), "new", 5).withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(500)))).withColumn("summary", F.concat("summary", F.lit(" "), "seq"))
+    plan = store._merged(store.base(), many, 4, at(6))._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("WindowGroupLimit") > plan.rindex("Exchange hashpartitioning(fingerprint")
+    store.merge(many, at(6))
+    assert rows(store.read()) == rows(merge_items(stored(spark, range(200)), many, at(6)))
