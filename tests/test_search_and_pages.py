@@ -80,6 +80,15 @@ def test_deep_pages_are_read_from_one_range(spark):
     assert pages.page(spark, nothing, limit=5, offset=0).collect() == []
 
 
+def test_small_ranges_need_no_tasks_of_their_own(spark):
+    items = spark.range(2000).select("id", F.lit("2024-01-01").cast("date").alias("date"), F.lit("2024-01-01").cast("timestamp").alias("first_seen_at")).repartition(4)
+    root = scratch(spark, "ranges")
+    pages.write_ranges(items, root, range_rows=50)
+    ranges = spark.read.parquet(f"{root}/ranges").orderBy("range").collect()
+    assert [(r["n"], r["before"]) for r in ranges] == [(50, 50 * i) for i in range(40)]
+    assert [r["id"] for r in pages.page(spark, root, limit=30, offset=985).collect()] == list(range(985, 1015))
+
+
 def test_pages_of_countries(spark):
     made = [(i, "ABC"[i % 3], dt.date(2024, 1, 1 + i % 5) if i % 4 else None, dt.datetime(2024, 1, 9, i % 24)) for i in range(60)]
     items = spark.createDataFrame(made, "id long, country string, date date, first_seen_at timestamp")
