@@ -2,8 +2,10 @@
 
 import json
 import os
+import pickle
 import random
 import string
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -735,6 +737,26 @@ def test_quality_scores_in_batches_as_one_by_one(monkeypatch):
     assert np.allclose(model.score(bags), [model.score([b])[0] for b in bags])
 
 
+def test_quality_sample_reaches_the_driver_packed(spark, monkeypatch):
+    """A tenth of the dense bags at most, one bag of an id however many rows have it, and the same features."""
+    texts = {i: prose(random.Random(i), 40 + 90 * i) + "\t(日) A-1!" for i in range(30)}
+    known = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    learnt = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    same, other = learnt[5], learnt[7]
+    rows = [(i, t, "s") for i, t in texts.items()] + [(same, texts[same], "s")] * 20 + [(other, None, "s")]
+    given = []
+    monkeypatch.setattr(quality_mil.GatedAttentionMIL, "fit", lambda self, bags, labels: given.extend([bags, labels]) or self)
+    quality_mil.fit_quality(docs(spark, rows).repartition(3), known, fit_passages=20)
+    bags, labels = given
+    want = []
+    for i in learnt:
+        f = quality_mil.passage_features(None if i == other else texts[i])
+        want.append((f[np.linspace(0, len(f) - 1, 20).astype(np.int64)] if len(f) > 20 else f).astype(np.float16))
+    assert len(want) > 15 and labels.tolist() == [float(i % 2) for i in learnt]
+    assert all(np.array_equal(a, b) for a, b in zip(bags, want, strict=True))
+    assert len(pickle.dumps(bags)) < sum(b.nbytes for b in want) / 10
+
+
 def test_quality_awkward(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_mil.fit_quality(docs(spark, AWKWARD), none)
