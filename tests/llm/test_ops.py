@@ -126,6 +126,27 @@ def test_large_scopes_are_asked_block_by_block(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, 60)
 
 
+@pytest.mark.parametrize(("percent", "seed"), [(85, 3), (60, 4)])
+def test_quoted_passages_tie_only_those_that_hold_little_else(spark, monkeypatch, percent, seed):
+    """Passages that more than 32 documents quote (none counted as common, as in large corpora): who quotes them and has text of its own meets nobody by them."""
+    monkeypatch.setattr(ngram_join, "COMMON_SHARE", 1.0)
+    rng = random.Random(seed)
+    passages = [prose(rng, n, 10**6) for n in (12, 12, 13)]
+    quoting = [" ".join([rng.choice(passages), prose(rng, rng.choice([12, 14, 16]), 10**6)]) for _ in range(130)]
+    rows = list(enumerate(quoting))
+    edges = ngram_join.meetings(docs(spark, [(i, t, "s") for i, t in rows]).select(F.col("doc_id").alias("id"), "text"), 4, percent, np.empty(0, dtype=np.uint64)).collect()
+    assert len(edges) < 5 or percent < 80  # at 60 they share nearly enough
+    bases = [*quoting[:6], *[f"{p} {prose(rng, 3, 10**6)}" for p in passages for _ in range(20)], " ".join(passages)]
+    for i in range(130, 330):  # near copies of quoting ones, and texts of little but passages, by more than 32
+        words = rng.choice(bases).split()
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows = [(i, t, "s") for i, t in rows]
+    got = ngram_join.ngram_components(docs(spark, rows), k=4, percent=percent, leaders=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, percent)
+
+
 def test_ngram_awkward(spark):
     got = ngram_join.ngram_components(docs(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD)
