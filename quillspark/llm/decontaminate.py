@@ -18,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.lineage import cut, keyed_rows
+from quillspark.llm.lineage import by_merging, cut, keyed_rows
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -93,7 +93,7 @@ def decontaminate(
     shifts = found.groupBy("__id", "__th", "item", "ih").agg(F.collect_set(F.col("at") - F.col("p")).alias("shifts"))
     candidates = shifts.join(listed, ["item", "ih"]).groupBy("__id", "__th").agg(F.collect_list(F.struct("item", "iw", "shifts")).alias("__c"))
 
-    joined = keyed.join(candidates, ["__id", "__th"], "left").withColumn("__w", words_of(text)).withColumn("__n", F.size("__w"))
+    joined = keyed.join(by_merging(candidates), ["__id", "__th"], "left").withColumn("__w", words_of(text)).withColumn("__n", F.size("__w"))
     w, n = F.col("__w"), F.col("__n")
 
     def aligned(c: Column, shift: Column) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.lineage import cut, keyed_rows
+from quillspark.llm.lineage import by_merging, cut, keyed_rows
 
 #: Occurrences of a passage that are compared with one copy of its first.
 SPREAD, HOT = 100, 400
@@ -117,7 +117,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # Windows with more than 1 / HOT of all occurrences are fewer than HOT: those are broadcast, the others shuffle.
     often = max(SPREAD, windows.count() // HOT)
     met = windows.join(F.broadcast(repeated.filter(F.col("n") > often).drop("n")), ["high", "low"], "left")
-    rest = met.filter(F.col("first").isNull()).drop("first").join(repeated.filter(F.col("n") <= often).drop("n"), ["high", "low"])
+    rest = met.filter(F.col("first").isNull()).drop("first").join(by_merging(repeated.filter(F.col("n") <= often).drop("n")), ["high", "low"])
     later = met.filter(F.col("first").isNotNull()).unionByName(rest).filter(order != F.col("first"))
     place = F.struct(F.col("first.id0").alias("id0"), F.col("first.th0").alias("th0"), (F.col("first.start0") - F.col("start")).alias("shift"), "start", "stop")
     places = later.groupBy("__id", "__th").agg(F.array_sort(F.collect_set(place)).alias("places"))
@@ -168,10 +168,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     shape = pa.schema([("__id", pa.string()), ("__th", pa.int64()), ("id0", pa.string()), ("th0", pa.int64()), ("start0", pa.int32()), ("stop0", pa.int32()), ("salt", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("spans", pa.list_(pa.int32())), ("body", pa.string())])
     # Whole rows go in, so that these joins and the last one read one and the same exchange of the documents.
-    shown = lambda places: keyed.join(places, ["__id", "__th"]).select("__row", "__id", "__th", "__places").mapInArrow(bodies, "__id string, __th long, id0 string, th0 long, start0 int, stop0 int, salt int, start int, stop int, spans array<int>, body string")
+    shown = lambda places: keyed.join(by_merging(places), ["__id", "__th"]).select("__row", "__id", "__th", "__places").mapInArrow(bodies, "__id string, __th long, id0 string, th0 long, start0 int, stop0 int, salt int, start int, stop int, spans array<int>, body string")
     originals = shown(held).select(*key, F.explode(F.sequence(F.lit(0), F.col("salt") - 1)).alias("salt"), F.col("body").alias("body0"))
     originals = originals.groupBy(*key, "salt").agg(F.first("body0").alias("body0"))
-    pairs = shown(asked).join(originals, [*key, "salt"])
+    pairs = shown(asked).join(by_merging(originals), [*key, "salt"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +188,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     matched = pairs.select("__id", "__th", "start", "start0", "spans", "body", "body0").mapInArrow(alike, "__id string, __th long, gone array<int>")
     removed = matched.groupBy("__id", "__th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__gone"))
-    joined = keyed.join(removed, ["__id", "__th"], "left")
+    joined = keyed.join(by_merging(removed), ["__id", "__th"], "left")
     lines = F.split(text, "\n", -1)
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i))
     cleaned = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(stay, "\n"))

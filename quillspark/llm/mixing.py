@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.lineage import cut
+from quillspark.llm.lineage import by_merging, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -166,7 +166,7 @@ def mix_sources(
     dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("turn"))))
     shards_of = dealt.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("dealt"))
 
-    rows = sized.join(ranked.join(shards_of, ["src", "block"], "left"), ["src", "block"])
+    rows = sized.join(by_merging(ranked.join(shards_of, ["src", "block"], "left")), ["src", "block"])
     inside = Window.partitionBy("src", "block").orderBy(F.xxhash64(F.lit(seed + 3), "id"), "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_edge = rows.filter(F.col("edge").isNotNull()).withColumn("upto", F.sum("size").over(inside))
     at_edge = at_edge.withColumn("again", F.col("upto") <= F.col("edge")).drop("upto")
@@ -185,7 +185,7 @@ def mix_sources(
         """Takes what fits in the blocks before each source's ``stop``, and there one by one while it fits ``left``."""
         fits = F.coalesce(untaken & (F.col("size") <= F.col("open")), F.lit(False))
         at = F.when(~fits, 0).when(F.col("stop").isNull() | (slot < F.col("stop")), 1).when(slot == F.col("stop"), 2).otherwise(0)
-        walked = cut(rows.join(by_blocks(stops), ["src", "block"], "left").withColumn("at", at))
+        walked = cut(rows.join(by_merging(by_blocks(stops)), ["src", "block"], "left").withColumn("at", at))
         plain = walked.filter("at < 2").withColumn("extra", F.col("extra") | (F.col("at") == 1)).select(rows.columns)
         tried = walked.filter("at = 2").select(*rows.columns, "left").groupBy("src", "block").applyInArrow(_walk(seed), rows.schema)
         return cut(plain.unionByName(tried))
@@ -196,12 +196,12 @@ def mix_sources(
         short = open_.filter(F.col("least.size") <= F.col("open")).select("src", "open")
         if short.isEmpty():
             break
-        sums = rows.join(by_blocks(short), ["src", "block"]).filter(untaken & (F.col("size") <= F.col("open"))).groupBy("src", "open", "block").agg(F.sum("size").alias("block_size")).withColumn("slot", slot).withColumn("upto", upto)
+        sums = rows.join(by_merging(by_blocks(short)), ["src", "block"]).filter(untaken & (F.col("size") <= F.col("open"))).groupBy("src", "open", "block").agg(F.sum("size").alias("block_size")).withColumn("slot", slot).withColumn("upto", upto)
         edges = sums.filter(F.col("upto") > F.col("open")).groupBy("src").agg(F.min(F.struct("slot", (F.col("open") - F.col("upto") + F.col("block_size")).alias("left"))).alias("e"))
         rows = walk(rows, short.join(edges.select("src", F.col("e.slot").alias("stop"), F.col("e.left").alias("left")), "src", "left"))
     nearer = open_.filter(F.col("least.size") < 2 * F.col("open")).select("src", F.col("least.size").cast("double").alias("open"), F.col("least.slot").alias("stop"), F.col("least.size").cast("double").alias("left"))
     if not nearer.isEmpty():
-        last = rows.join(by_blocks(nearer.select("src", "stop")), ["src", "block"], "left").withColumn("only", F.coalesce(slot == F.col("stop"), F.lit(False))).drop("stop").select(*rows.columns, "only")
+        last = rows.join(by_merging(by_blocks(nearer.select("src", "stop"))), ["src", "block"], "left").withColumn("only", F.coalesce(slot == F.col("stop"), F.lit(False))).drop("stop").select(*rows.columns, "only")
         rows = walk(last.filter("only").drop("only"), nearer).unionByName(last.filter("NOT only").drop("only"))
     # A document at the edge has its block's shard for the last pass; others that were walked to get one of their own.
     none = F.array().cast("array<struct<pass:int,shard:int>>")

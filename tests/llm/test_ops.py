@@ -147,6 +147,16 @@ def test_quoted_passages_tie_only_those_that_hold_little_else(spark, monkeypatch
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, percent)
 
 
+def test_tables_that_grow_with_the_corpus_do_not_pass_the_driver(spark):
+    """Small as they are here, and sized too low where Spark explodes, they are sorted and merged, never broadcast."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 30), "s") for i in range(20)]
+    for made in (ngram_join.ngram_components(docs(spark, [*rows, *[(i + 50, t, s) for i, t, s in rows]])), mixing.mix_sources(docs(spark, rows))):
+        assert made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
 def test_ngram_awkward(spark):
     got = ngram_join.ngram_components(docs(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD)
